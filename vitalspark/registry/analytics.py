@@ -290,3 +290,31 @@ def trend_corr(spark, sf_dir):
 
 
 
+
+
+# ---------------------------------------------------------------- rules on a stream (batch twin)
+
+EVENT_RULES = [
+    {"name": "High value", "column": "value", "operator": ">", "value": 300, "severity": "critical"},
+    {"name": "Tiny value", "column": "value", "operator": "<", "value": 1, "severity": "warning"},
+    {"column": "user_id", "operator": "==", "value": 7, "severity": "info"},
+]
+
+
+def _event_rules_sql() -> str:
+    parts = []
+    for i, r in enumerate(EVENT_RULES):
+        op = {"==": "=", "!=": "<>"}.get(r["operator"], r["operator"])
+        name = r.get("name") or f"{r['column']} {r['operator']} {r['value']}"
+        parts.append(f"SELECT ts, {i} AS rule_id, '{name}' AS name, '{r.get('severity', 'warning')}' AS severity"
+                     f" FROM events WHERE TRY_CAST({r['column']} AS DOUBLE) {op} {float(r['value'])}")
+    return ("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, rule_id, name,"
+            " severity, count(*) AS n_triggered FROM (" + " UNION ALL ".join(parts) + ") GROUP BY ALL")
+
+
+@register("rules_stream_windows", "RUL-5", _event_rules_sql())
+def rules_stream_windows(spark, sf_dir):
+    from ..streaming.rules_stream import rule_window_counts
+    out = rule_window_counts(table(spark, sf_dir, "events"), EVENT_RULES, "ts")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+                      "rule_id", "name", "severity", "n_triggered")

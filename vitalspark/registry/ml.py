@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import r4
-from ..ml import cluster, explain, supervised
+from ..ml import cluster, dbscan, explain, isoforest, supervised, ward
 from ..operators import narrative, trend
 from .base import LINEITEM_KEY, register, table
 
@@ -129,3 +129,21 @@ def result_grading(spark, sf_dir):
     g = narrative.grade_results(res)
     return g.select("user_id", "task", "target", "n_features", "total_rows", r4(F.col("r2")).alias("r2"),
                     "summary", "risk_flag", "recommendation", "confidence")
+
+
+@register("risk_anomalies", "RSK-3")
+def risk_anomalies(spark, sf_dir):
+    from .base import LINEITEM_NUM
+    out = isoforest.isolation_forest(table(spark, sf_dir, "lineitem"), LINEITEM_NUM, LINEITEM_KEY)
+    return out.where("is_anomaly").select(*LINEITEM_KEY, r4(F.col("anomaly_score")).alias("anomaly_score"))
+
+
+@register("ml_dbscan", "ML-10")
+def ml_dbscan(spark, sf_dir):
+    return dbscan.dbscan(table(spark, sf_dir, "customer"), ["c_acctbal", "c_nationkey"], ["c_custkey"],
+                         eps=0.3, min_samples=10)
+
+
+@register("ml_ward", "ML-11")
+def ml_ward(spark, sf_dir):
+    return ward.ward(table(spark, sf_dir, "customer"), ["c_acctbal", "c_nationkey"], ["c_custkey"], k=3)
