@@ -43,9 +43,14 @@ def rule_hits(df: DataFrame, rules: Sequence[Mapping], ts_col: str) -> DataFrame
 def rule_window_counts(df: DataFrame, rules: Sequence[Mapping], ts_col: str, window: str = DEFAULT_WINDOW,
                        watermark: str | None = DEFAULT_WATERMARK) -> DataFrame:
     """Triggered-event counts per (tumbling window, rule)."""
-    hits = rule_hits(df, rules, ts_col)
     if watermark and df.isStreaming:
-        hits = hits.withWatermark("ts", watermark)
+        # Event time advances with every event, not only with rule hits, so
+        # the watermark sits on the source.  Watermarks need TIMESTAMP; a
+        # wall-clock (NTZ) column is read in the session time zone.
+        if dict(df.dtypes)[ts_col] == "timestamp_ntz":
+            df = df.withColumn(ts_col, F.col(ts_col).cast("timestamp"))
+        df = df.withWatermark(ts_col, watermark)
+    hits = rule_hits(df, rules, ts_col)
     return hits.groupBy(F.window("ts", window).alias("w"), "rule_id", "name", "severity") \
         .agg(F.count(F.lit(1)).alias("n_triggered")) \
         .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
@@ -54,11 +59,15 @@ def rule_window_counts(df: DataFrame, rules: Sequence[Mapping], ts_col: str, win
 
 def start_rules_stream(spark: SparkSession, source_dir: str, schema, rules: Sequence[Mapping], ts_col: str,
                        sink_dir: str, checkpoint_dir: str, window: str = DEFAULT_WINDOW,
-                       watermark: str = DEFAULT_WATERMARK, available_now: bool = True) -> StreamingQuery:
+                       watermark: str = DEFAULT_WATERMARK, available_now: bool = True,
+                       max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Parquet file source -> rule windows -> Parquet sink (append: a window
     is written once the watermark passes it).  ``checkpoint_dir`` must be on
     shared storage so the query restarts exactly where it stopped."""
-    stream = spark.readStream.schema(schema).parquet(source_dir)
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    stream = reader.parquet(source_dir)
     counts = rule_window_counts(stream, rules, ts_col, window, watermark)
     writer = counts.writeStream.outputMode("append").format("parquet") \
         .option("path", sink_dir).option("checkpointLocation", checkpoint_dir)
