@@ -22,6 +22,7 @@ SIMILARITY_SCALE = 15        # fixed: similarity % = max(0, 100 - 15 * distance)
 DEFAULT_K = 5
 SELF_EXCLUDED_K = 4          # fixed: PAT-5 keeps 4 neighbours
 MAX_QUERY_CELLS = 2_000_000  # queries x dimensions carried as a literal
+MAX_UNROLLED_TERMS = 256     # beyond this the unrolled distance outgrows codegen
 
 
 def _as_vector(cols: Sequence[str]) -> Column:
@@ -49,13 +50,31 @@ def standardise(vec: Column, means: Sequence[float], stds: Sequence[float]) -> C
     return F.zip_with(F.zip_with(vec, m, lambda x, a: x - a), s, lambda x, b: x / b)
 
 
-def _distances(z: Column, queries: Sequence[Sequence[float]]) -> Column:
-    q = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in queries])
-    return F.transform(q, lambda qv: F.sqrt(F.aggregate(
-        F.zip_with(z, qv, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)))
+def _distances(z: Column | Sequence[Column], queries: Sequence[Sequence[float]]) -> Column:
+    """Array of Euclidean distances to each query point.  With one Column
+    per dimension the whole expression is plain arithmetic and stays inside
+    whole-stage codegen (lambda functions would not)."""
+    if isinstance(z, Column):
+        q = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in queries])
+        return F.transform(q, lambda qv: F.sqrt(F.aggregate(
+            F.zip_with(z, qv, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)))
+    dims = list(z)
+    out = []
+    for row in queries:
+        total = None
+        for zc, qv in zip(dims, row):
+            diff = zc - F.lit(float(qv))
+            total = diff * diff if total is None else total + diff * diff
+        out.append(F.sqrt(total))
+    return F.array(*out)
 
 
-def nearest(df: DataFrame, z: Column, queries: Sequence[Sequence[float]], key_cols: Sequence[str],
+def standardised_dims(values: Sequence[Column], means: Sequence[float], stds: Sequence[float]) -> list[Column]:
+    """(x_j - mean_j) / std_j as one Column per dimension."""
+    return [(v - F.lit(float(m))) / F.lit(float(sd)) for v, m, sd in zip(values, means, stds)]
+
+
+def nearest(df: DataFrame, z: Column | Sequence[Column], queries: Sequence[Sequence[float]], key_cols: Sequence[str],
             k: int, exclude_keys: Sequence[tuple] | None = None) -> DataFrame:
     """k nearest rows to each query point: (query, rank, key..., distance,
     similarity_pct).  Ties break on the key."""
@@ -86,7 +105,8 @@ def find_similar(df: DataFrame, feature_cols: Sequence[str], key_cols: Sequence[
     means, stds = scale_stats(work, vec, len(cols))
     queries = [[(float(qv.get(c, means[i])) - means[i]) / stds[i] for i, c in enumerate(cols)]
                for qv in query_values]
-    return nearest(work, standardise(vec, means, stds), queries, key_cols, n_similar), cols
+    dims = standardised_dims([qcol(c).cast("double") for c in cols], means, stds)
+    return nearest(work, dims, queries, key_cols, n_similar), cols
 
 
 def cohort_comparison(df: DataFrame, feature_cols: Sequence[str], key_cols: Sequence[str],
@@ -125,7 +145,11 @@ def nearest_vectors(df: DataFrame, vec_col: str, key_cols: Sequence[str], raw_qu
     vec = qcol(vec_col).cast("array<double>")
     means, stds = scale_stats(df, vec, dims)
     queries = [[(q[d] - means[d]) / stds[d] for d in range(dims)] for q in raw_queries]
-    return nearest(df, standardise(vec, means, stds), queries, key_cols, k)
+    if len(queries) * dims <= MAX_UNROLLED_TERMS:
+        z = standardised_dims([vec[d] for d in range(dims)], means, stds)
+    else:  # too many terms for one generated method: array functions instead
+        z = standardise(vec, means, stds)
+    return nearest(df, z, queries, key_cols, k)
 
 
 def similar_rows(df: DataFrame, feature_cols: Sequence[str], key_cols: Sequence[str], query_keys: Sequence[tuple],
@@ -151,5 +175,6 @@ def similar_rows(df: DataFrame, feature_cols: Sequence[str], key_cols: Sequence[
     queries = [[(q_rows[k_][i] - m[i]) / s[i] for i in range(len(cols))] for k_ in ordered]
     if not queries:
         return df.sparkSession.createDataFrame([], "query int, rank int, distance double, similarity_pct double")
-    return nearest(filled, standardise(vec, m, s), queries, key_cols, k, exclude_keys=ordered)
+    z = standardised_dims([qcol(c) for c in cols], m, s)
+    return nearest(filled, z, queries, key_cols, k, exclude_keys=ordered)
 
