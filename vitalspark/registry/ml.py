@@ -147,3 +147,13 @@ def ml_dbscan(spark, sf_dir):
 @register("ml_ward", "ML-11")
 def ml_ward(spark, sf_dir):
     return ward.ward(table(spark, sf_dir, "customer"), ["c_acctbal", "c_nationkey"], ["c_custkey"], k=3)
+
+
+@register("profile_prediction", "PAT-4 ML-16")
+def profile_prediction(spark, sf_dir):
+    """The model fitted on all labelled rows, applied to each row's own
+    feature values (the prediction panel of an entity profile)."""
+    docs = _docs_labelled(spark, sf_dir)
+    fr = supervised.fit(docs, ["n_chars", "lang", "source"], "quality", ["doc_id"], task="classification",
+                        holdout=False)
+    return supervised.predict_inputs(fr, docs.select("doc_id", "n_chars", "lang", "source"), ["doc_id"])
