@@ -139,10 +139,10 @@ def _compare_sql() -> str:
         " t AS (SELECT *, (ma - mb) / pooled AS cd, CASE WHEN se > 0 THEN (ma - mb) / se ELSE 0.0 END AS ts FROM d),"
         " p AS (SELECT *, 2 * (1 - least(abs(ts) / (abs(ts) + 3), 0.999)) AS pa FROM t)"
         " SELECT \"column\", position, rows_a, rows_b, n_a, n_b, round(ma, 4) AS mean_a, round(mb, 4) AS mean_b,"
-        " round(sa, 4) AS std_a, round(sb, 4) AS std_b, round(ma - mb, 4) AS mean_diff,"
-        " round(CASE WHEN mb <> 0 THEN (ma - mb) / abs(mb) * 100 ELSE 0.0 END, 4) AS mean_diff_pct,"
-        " round(cd, 4) AS cohens_d, CASE WHEN abs(cd) > 0.8 THEN 'large' WHEN abs(cd) > 0.5 THEN 'medium'"
-        " WHEN abs(cd) > 0.2 THEN 'small' ELSE 'negligible' END AS effect_size, round(ts, 4) AS t_stat,"
+        " round(sa, 4) AS std_a, round(sb, 4) AS std_b, round(ma - mb, 4) + 0.0 AS mean_diff,"
+        " round(CASE WHEN mb <> 0 THEN (ma - mb) / abs(mb) * 100 ELSE 0.0 END, 4) + 0.0 AS mean_diff_pct,"
+        " round(cd, 4) + 0.0 AS cohens_d, CASE WHEN abs(cd) > 0.8 THEN 'large' WHEN abs(cd) > 0.5 THEN 'medium'"
+        " WHEN abs(cd) > 0.2 THEN 'small' ELSE 'negligible' END AS effect_size, round(ts, 4) + 0.0 AS t_stat,"
         " round(pa, 4) AS p_approx, pa < 0.05 AS significant,"
         " CASE WHEN ma > mb THEN 'A_higher' WHEN mb > ma THEN 'B_higher' ELSE 'equal' END AS direction FROM p")
 
@@ -222,7 +222,7 @@ TREND_BASE_SQL = (
 
 TREND_FIT_SQL = (
     f"WITH b AS ({TREND_BASE_SQL}) SELECT user_id, \"column\", count(*) AS n,"
-    " round(regr_slope(value, idx), 4) AS slope, round(regr_intercept(value, idx), 4) AS intercept,"
+    " round(regr_slope(value, idx), 4) + 0.0 AS slope, round(regr_intercept(value, idx), 4) AS intercept,"
     " round(regr_r2(value, idx), 4) AS r2,"
     " CASE WHEN coalesce(regr_slope(value, idx), 0) > 0 THEN 'increasing'"
     " WHEN coalesce(regr_slope(value, idx), 0) < 0 THEN 'decreasing' ELSE 'stable' END AS direction,"

@@ -31,7 +31,7 @@ PROFILE_SQL = (
     f" SELECT {_KEYS}, r.\"column\", round(value, 4) AS value, value IS NULL AS is_missing,"
     f" r.\"column\" IN ({', '.join(repr(c) for c in _FEATURES)}) AS is_feature, r.\"column\" = '{_TARGET}' AS is_target,"
     " round(below / n * 100, 4) AS percentile, round(mean, 4) AS mean, round(median, 4) AS median,"
-    " round(std, 4) AS std, round((value - mean) / s1, 4) AS z_score, abs((value - mean) / s1) > 2.5 AS is_outlier,"
+    " round(std, 4) AS std, round((value - mean) / s1, 4) + 0.0 AS z_score, abs((value - mean) / s1) > 2.5 AS is_outlier,"
     " CASE WHEN (value - mean) / s1 > 0.5 THEN 'high' WHEN (value - mean) / s1 < -0.5 THEN 'low'"
     " WHEN value IS NOT NULL THEN 'normal' END AS direction FROM r JOIN s USING (\"column\")")
 
@@ -143,9 +143,9 @@ def _cohort_sql() -> str:
         parts.append(
             f"SELECT query, '{c}' AS feature, round((SELECT avg({c}) FROM lineitem), 4) AS population_mean,"
             f" round(avg(l.{c}), 4) AS cohort_mean, round(any_value(q{i}), 4) AS query_value,"
-            f" round(any_value(q{i}) - (SELECT avg({c}) FROM lineitem), 4) AS diff_from_pop,"
+            f" round(any_value(q{i}) - (SELECT avg({c}) FROM lineitem), 4) + 0.0 AS diff_from_pop,"
             f" round((any_value(q{i}) - (SELECT avg({c}) FROM lineitem)) / greatest(abs((SELECT avg({c}) FROM lineitem)),"
-            f" 0.001) * 100, 4) AS diff_pct FROM top JOIN lineitem l USING ({_KEYS}) JOIN qs USING (query)"
+            f" 0.001) * 100, 4) + 0.0 AS diff_pct FROM top JOIN lineitem l USING ({_KEYS}) JOIN qs USING (query)"
             " WHERE rank <= 5 GROUP BY query")
     return _scalar_knn_sql() + " SELECT CAST(query AS INTEGER) AS query, feature, population_mean, cohort_mean," \
         " query_value, diff_from_pop, diff_pct FROM (" + " UNION ALL ".join(parts) + ")"
