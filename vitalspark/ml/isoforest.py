@@ -88,25 +88,50 @@ def _builder(feature_cols: Sequence[str], sample_size: int, seed: int):
     return build
 
 
-def path_lengths(x: np.ndarray, trees: list[np.ndarray]) -> np.ndarray:
-    """Mean path length of each row of ``x`` over the trees (vectorised per
-    tree: all rows advance one level per step)."""
-    total = np.zeros(len(x))
-    for t in trees:
-        feat, thr, left, right = t[:, 0].astype(int), t[:, 1], t[:, 2].astype(int), t[:, 3].astype(int)
-        leaf_c = np.array([c_factor(s) for s in t[:, 4]])
-        node = np.zeros(len(x), dtype=int)
-        depth = np.zeros(len(x))
-        active = feat[node] >= 0
-        while active.any():
-            rows = np.flatnonzero(active)
-            n = node[rows]
-            go_left = x[rows, feat[n]] < thr[n]
-            node[rows] = np.where(go_left, left[n], right[n])
-            depth[rows] += 1
-            active = feat[node] >= 0
-        total += depth + leaf_c[node]
-    return total / len(trees)
+def stack_forest(trees: list[np.ndarray]) -> dict:
+    """Pad the trees to one node count and stack them: (trees x nodes)
+    arrays of feature, threshold, children and the leaf correction c(size)."""
+    m = max(len(t) for t in trees)
+    n = len(trees)
+    feat = np.full((n, m), -1, dtype=np.int64)
+    thr = np.zeros((n, m))
+    left = np.zeros((n, m), dtype=np.int64)
+    right = np.zeros((n, m), dtype=np.int64)
+    leaf = np.zeros((n, m))
+    for i, t in enumerate(trees):
+        k = len(t)
+        feat[i, :k] = t[:, 0]
+        thr[i, :k] = t[:, 1]
+        left[i, :k] = np.maximum(t[:, 2], 0)
+        right[i, :k] = np.maximum(t[:, 3], 0)
+        leaf[i, :k] = [c_factor(v) for v in t[:, 4]]
+    return {"feat": feat, "thr": thr, "left": left, "right": right, "leaf": leaf}
+
+
+def path_lengths(x: np.ndarray, trees: list[np.ndarray] | dict) -> np.ndarray:
+    """Mean path length of each row of ``x`` over the trees.  All rows walk
+    all trees at once: one flat gather per tree level on a (rows x trees)
+    array of node positions."""
+    f = trees if isinstance(trees, dict) else stack_forest(trees)
+    t, m = f["feat"].shape
+    feat, thr = f["feat"].ravel(), f["thr"].ravel()
+    left, right, leaf = f["left"].ravel(), f["right"].ravel(), f["leaf"].ravel()
+    n, d = x.shape
+    xf = np.ascontiguousarray(x, dtype=float).ravel()
+    base = (np.arange(t) * m)[None, :]                 # flat offset of each tree's root
+    row_base = (np.arange(n) * d)[:, None]
+    pos = np.broadcast_to(base, (n, t)).copy()         # flat node position per (row, tree)
+    depth = np.zeros((n, t))
+    while True:
+        fe = np.take(feat, pos)
+        active = fe >= 0
+        if not active.any():
+            break
+        xv = np.take(xf, row_base + np.maximum(fe, 0))
+        child = np.where(xv < np.take(thr, pos), np.take(left, pos), np.take(right, pos))
+        pos = np.where(active, base + child, pos)
+        depth += active
+    return (depth + np.take(leaf, pos)).mean(axis=1)
 
 
 def fit_forest(work: DataFrame, feature_cols: Sequence[str], key_cols: Sequence[str], n_trees: int = N_TREES,
@@ -139,13 +164,18 @@ def score(work: DataFrame, feature_cols: Sequence[str], trees: list[np.ndarray],
     """Adds ``anomaly_score`` in (0, 1]; higher is more anomalous."""
     norm = c_factor(sample_size)
     spark = work.sparkSession
-    bc = spark.sparkContext.broadcast(trees)
+    bc = spark.sparkContext.broadcast(stack_forest(trees))
 
     @F.pandas_udf("double")
     def _score(*cols: pd.Series) -> pd.Series:
         x = np.column_stack([c.to_numpy(dtype=float) for c in cols])
         return pd.Series(np.power(2.0, -path_lengths(x, bc.value) / norm))
 
+    # Scoring is CPU-bound Python: spread a table that arrives in fewer
+    # partitions than there are cores (a no-op on a large input).
+    parts = spark.sparkContext.defaultParallelism
+    if work.rdd.getNumPartitions() < parts:
+        work = work.repartition(parts)
     return work.withColumn("anomaly_score", _score(*[qcol(c).cast("double") for c in feature_cols]))
 
 
