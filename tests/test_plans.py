@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vitalspark.plans.ordered import exact_quantiles, ordered_prefix
+from vitalspark.plans.ordered import exact_quantiles, exact_quantiles_sorted, ordered_prefix
 
 
 @pytest.mark.parametrize("parts", [1, 7, 64])
@@ -28,15 +28,26 @@ def test_ordered_prefix_matches_global_sort(spark, parts):
             assert idx == pos and c == pytest.approx(cum, abs=1e-9) and p == 1.0
 
 
-def test_exact_quantiles_match_numpy(spark):
+@pytest.mark.parametrize("fn", [exact_quantiles, exact_quantiles_sorted])
+def test_exact_quantiles_match_numpy(spark, fn):
     rng = np.random.default_rng(2)
     vals = np.round(rng.exponential(size=2001), 2)
     df = spark.createDataFrame([("a", float(v)) for v in vals] + [("b", 5.0)], "column string, value double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    got = {(r["column"], r["p"]): r["q"] for r in exact_quantiles(df, ["column"], "value", probs).collect()}
+    got = {(r["column"], r["p"]): r["q"] for r in fn(df, ["column"], "value", probs).collect()}
     for p in probs:
         assert got[("a", p)] == pytest.approx(float(np.quantile(vals, p)))
         assert got[("b", p)] == 5.0
-    flat = {r["p"]: r["q"] for r in exact_quantiles(df.where("column = 'a'"), [], "value", probs).collect()}
+    flat = {r["p"]: r["q"] for r in fn(df.where("column = 'a'"), [], "value", probs).collect()}
     for p in probs:
         assert flat[p] == pytest.approx(float(np.quantile(vals, p)))
+
+
+def test_exact_quantiles_heavy_ties(spark):
+    # One value holds a third of the rows: the bracket collapses onto it.
+    vals = [7.0] * 1000 + [float(i) for i in range(2000)]
+    df = spark.createDataFrame([(v,) for v in vals], "value double")
+    probs = [0.1, 0.33, 0.5, 0.9]
+    got = {r["p"]: r["q"] for r in exact_quantiles(df, [], "value", probs).collect()}
+    for p in probs:
+        assert got[p] == pytest.approx(float(np.quantile(vals, p)))

@@ -92,7 +92,7 @@ def dbscan(df: DataFrame, feature_cols: Sequence[str], key_cols: Sequence[str],
     if min_samples is None:
         min_samples = default_min_samples(pts.count())
     pts = pts.withColumn("cell", F.array(*[F.floor(F.col("z")[j] / side) for j in range(g)]))
-    pts = cut_lineage(pts.withColumn("_key", F.struct(*keys)))
+    pts = pts.withColumn("_key", F.struct(*keys))
 
     counts = pts.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))
     if shortcut:
@@ -100,7 +100,6 @@ def dbscan(df: DataFrame, feature_cols: Sequence[str], key_cols: Sequence[str],
         tagged = pts.join(dense, "cell", "left").withColumn("_dense", F.coalesce("_dense", F.lit(False)))
     else:
         tagged = pts.withColumn("_dense", F.lit(False))
-    tagged = cut_lineage(tagged)
 
     # Candidate pairs for every point outside a dense cell: (p, q) within eps.
     offs = _offsets(g, reach)

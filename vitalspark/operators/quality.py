@@ -54,15 +54,18 @@ class QualityReport:
     score: DataFrame
 
 
-def column_pass(df: DataFrame) -> DataFrame:
-    """DQ-1, 5, 6, 7 from one aggregate: one row per column."""
+def column_pass(df: DataFrame, with_distinct: bool = True) -> DataFrame:
+    """DQ-1, 5, 6, 7 from one aggregate: one row per column.  Distinct
+    counts (the expensive part: one exact distinct set per column) only
+    when asked for."""
     df = nan_to_null(df)
     fields = df.schema.fields
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, f in enumerate(fields):
         c = qcol(f.name)
-        aggs += [F.count_if(c.isNull()).alias(f"n{i}"), F.count_distinct(c).alias(f"d{i}")]
-        if is_text(f.dataType):
+        aggs += [F.count_if(c.isNull()).alias(f"n{i}"),
+                 (F.count_distinct(c) if with_distinct else F.lit(None).cast("long")).alias(f"d{i}")]
+        if with_distinct and is_text(f.dataType):
             aggs += [F.count(c).alias(f"v{i}"), F.count_if(c.rlike(NUMERIC_TEXT)).alias(f"x{i}")]
     wide = df.agg(*aggs)
     rows = []
@@ -72,8 +75,8 @@ def column_pass(df: DataFrame) -> DataFrame:
             "column": F.lit(f.name), "position": F.lit(i), "is_text": F.lit(text),
             "rows": F.col("_rows"), "missing": F.col(f"n{i}").cast("long"),
             "distinct": F.col(f"d{i}").cast("long"),
-            "non_null": (F.col(f"v{i}") if text else F.lit(None)).cast("long"),
-            "numeric_like": (F.col(f"x{i}") if text else F.lit(None)).cast("long"),
+            "non_null": (F.col(f"v{i}") if text and with_distinct else F.lit(None)).cast("long"),
+            "numeric_like": (F.col(f"x{i}") if text and with_distinct else F.lit(None)).cast("long"),
         })
     return wide_to_long(wide, rows)
 

@@ -95,8 +95,97 @@ def ordered_prefix(df: DataFrame, order_cols: Sequence[str | Column], group_cols
     return result.drop(*helper)
 
 
+APPROX_ACCURACY = 10_000      # percentile_approx accuracy used to bracket ranks
+BAND_MARGIN = 3               # bracket half-width, in units of n / accuracy
+MAX_BAND_ROWS = 2_000_000     # distinct (group, p, value) rows brought back per call
+
+
 def exact_quantiles(long_df: DataFrame, group_cols: Sequence[str], value_col: str,
                     probs: Sequence[float], max_groups: int = 100_000) -> DataFrame:
+    """Linear-interpolated quantiles per group, exact.
+
+    Two scans: ``percentile_approx`` (rank error <= n / accuracy) brackets
+    each target rank with a value band; one counting pass then gives, per
+    (group, p), the exact number of values below the band and the distinct
+    values inside it, from which the two order statistics around p * (n - 1)
+    are read.  Only the bands (a few rows per group and p) leave the
+    executors.  If a band ever misses its ranks, or the bands are too big,
+    the fully distributed path (``exact_quantiles_sorted``) answers instead.
+    """
+    from .aggregates import bounded_rows
+    spark = long_df.sparkSession
+    group_cols = list(group_cols)
+    probs = [float(p) for p in probs]
+    v = F.col(value_col).cast("double")
+    clean = long_df.where(F.col(value_col).isNotNull())
+    eps = BAND_MARGIN / APPROX_ACCURACY
+    band_p = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-eps, eps)})
+    approx = clean.groupBy(*group_cols).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.percentile_approx(v, band_p, APPROX_ACCURACY).alias("_b"),
+        F.min(v).alias("_min"), F.max(v).alias("_max"))
+    heads = bounded_rows(approx, max_groups)
+    if not heads:
+        return spark.createDataFrame([], ", ".join([f"`{g}` string" for g in group_cols] + ["p double", "q double"])) \
+            if group_cols else spark.createDataFrame([], "p double, q double")
+    targets = []   # (group values..., p, lo_value, hi_value, k_lo, k_hi, frac)
+    for r in heads:
+        n = r["_n"]
+        bmap = dict(zip(band_p, r["_b"]))
+        for p in probs:
+            h = p * (n - 1)
+            k_lo = int(h // 1)
+            k_hi = min(k_lo + 1, n - 1)
+            lo = r["_min"] if p - eps <= 0 else bmap[min(1.0, max(0.0, p - eps))]
+            hi = r["_max"] if p + eps >= 1 else bmap[min(1.0, max(0.0, p + eps))]
+            targets.append((*[r[g] for g in group_cols], p, float(lo), float(hi), k_lo, k_hi, h - k_lo))
+    tdf = spark.createDataFrame(targets, long_df.select(*group_cols).schema.add("p", "double")
+                                .add("_lo", "double").add("_hi", "double").add("_klo", "long")
+                                .add("_khi", "long").add("_frac", "double")) if group_cols else \
+        spark.createDataFrame([t for t in targets], "p double, _lo double, _hi double, _klo long, _khi long, "
+                                                    "_frac double")
+    joined = clean.select(*group_cols, v.alias("_v")).join(F.broadcast(tdf), group_cols) if group_cols else \
+        _with_targets(clean.select(v.alias("_v")), targets)
+    below = joined.where(F.col("_v") < F.col("_lo")).groupBy(*group_cols, "p").agg(F.count(F.lit(1)).alias("_below"))
+    band = joined.where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))) \
+        .groupBy(*group_cols, "p", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    band_rows = band.limit(MAX_BAND_ROWS + 1).collect()
+    if len(band_rows) > MAX_BAND_ROWS:
+        return exact_quantiles_sorted(long_df, group_cols, value_col, probs, max_groups)
+    below_map = {tuple(r[g] for g in group_cols) + (r["p"],): r["_below"] for r in bounded_rows(below, len(targets))}
+    bands: dict = {}
+    for r in band_rows:
+        bands.setdefault(tuple(r[g] for g in group_cols) + (r["p"],), []).append((r["_v"], r["_c"]))
+    out = []
+    for t in targets:
+        key = tuple(t[:len(group_cols)]) + (t[len(group_cols)],)
+        _, _, _, k_lo, k_hi, frac = t[len(group_cols):]
+        start = below_map.get(key, 0)
+        vals = sorted(bands.get(key, []))
+        pick = {}
+        pos = start
+        for val, c in vals:
+            for k in (k_lo, k_hi):
+                if pos <= k < pos + c:
+                    pick[k] = val
+            pos += c
+        if k_lo not in pick or k_hi not in pick:
+            return exact_quantiles_sorted(long_df, group_cols, value_col, probs, max_groups)
+        out.append((*key, pick[k_lo] + (pick[k_hi] - pick[k_lo]) * frac))
+    schema = long_df.select(*group_cols).schema.add("p", "double").add("q", "double") if group_cols \
+        else "p double, q double"
+    return spark.createDataFrame(out, schema)
+
+
+def _with_targets(df: DataFrame, targets: list[tuple]) -> DataFrame:
+    """Ungrouped case: every row meets the (few) targets as literals."""
+    arr = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(lo).alias("_lo"), F.lit(hi).alias("_hi"))
+                    for p, lo, hi, *_ in targets])
+    return df.select("_v", F.explode(arr).alias("_t")).select("_v", "_t.p", "_t._lo", "_t._hi")
+
+
+def exact_quantiles_sorted(long_df: DataFrame, group_cols: Sequence[str], value_col: str,
+                           probs: Sequence[float], max_groups: int = 100_000) -> DataFrame:
     """Linear-interpolated quantiles per group, exact and distributed.
 
     ``long_df`` is long form (group..., value).  Output: group..., ``p``, ``q``.
