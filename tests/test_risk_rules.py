@@ -58,3 +58,20 @@ def test_compare_golden(patients):
     assert r["mean_a"] == pytest.approx(101.2667, abs=1e-4) and r["mean_b"] == pytest.approx(100.9333, abs=1e-4)
     assert r["cohens_d"] == pytest.approx(0.0180, abs=1e-4) and r["effect_size"] == "negligible"
     assert r["t_stat"] == pytest.approx(0.0493, abs=1e-4) and r["p_approx"] == pytest.approx(1.9677, abs=1e-4)
+
+
+def test_result_grading_branches(spark):
+    from vitalspark.operators import narrative
+    res = spark.createDataFrame(
+        [("regression", "glucose", 3, 30, 0.85, None, None, None),
+         ("classification", "diagnosis", 6, 1234, None, 0.6, None, None),
+         ("clustering", None, 6, 30, None, None, 0.25, 3)],
+        "task string, target string, n_features int, total_rows long, r2 double, accuracy double, "
+        "silhouette double, n_clusters long")
+    g = {r["task"]: r for r in narrative.grade_results(res).collect()}
+    assert g["regression"]["summary"].endswith("achieving an R² score of 85.0%.")
+    assert "strong" in g["regression"]["recommendation"] and g["regression"]["confidence"] == "high"
+    assert "1,234 patients" in g["classification"]["summary"]
+    assert g["classification"]["risk_flag"].startswith("Accuracy 60.0% may be insufficient")
+    assert g["clustering"]["risk_flag"].startswith("Low silhouette")
+    assert g["clustering"]["confidence"] == "medium"

@@ -191,3 +191,15 @@ def isolation_forest(df: DataFrame, feature_cols: Sequence[str], key_cols: Seque
     q = exact_quantiles(scored.select(F.col("anomaly_score").alias("v")), [], "v", [1 - contamination]).first()
     cut = q["q"] if q else float("inf")
     return scored.withColumn("is_anomaly", F.col("anomaly_score") > F.lit(cut))
+
+
+def anomaly_summary(flagged: DataFrame, key_cols: Sequence[str], top: int = 10) -> DataFrame:
+    """The reference's report: number and share of anomalies (one aggregate,
+    two numbers to the driver) with the first ``top`` anomalous rows in key
+    order (a top-k)."""
+    tot = flagged.agg(F.count_if("is_anomaly").alias("a"), F.count(F.lit(1)).alias("n")).first()
+    n_anom, n = int(tot["a"] or 0), int(tot["n"] or 0)
+    first = flagged.where("is_anomaly").orderBy(*[qcol(k) for k in key_cols]).limit(top)
+    return first.select(F.lit(n_anom).cast("long").alias("n_anomalies"),
+                        F.lit(n_anom / max(n, 1) * 100).alias("anomaly_percent"), *[qcol(k) for k in key_cols],
+                        "anomaly_score")

@@ -75,7 +75,12 @@ def detect_phi(df: DataFrame, key_cols: Sequence[str] | None = None, split_under
                      "email_hits": F.col(f"e{i}"), "phone_hits": F.col(f"p{i}"), "date_hits": F.col(f"d{i}"),
                      "is_phi": is_phi,
                      "risk_level": F.when(is_phi, F.lit("HIGH" if high else "MEDIUM"))})
-    return wide_to_long(wide, rows)
+    report = wide_to_long(wide, rows)
+    if key_cols:
+        from .profile import first_values
+        sample = first_values(df, df.columns, key_cols, 1).select("column", F.col("value").alias("sample"))
+        report = report.join(sample, "column", "left").withColumn("sample", F.coalesce("sample", F.lit("")))
+    return report
 
 
 def privacy_check(report: DataFrame) -> DataFrame:

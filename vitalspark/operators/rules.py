@@ -188,3 +188,15 @@ def compare_datasets(df_a: DataFrame, df_b: DataFrame) -> DataFrame:
         (p < 0.05).alias("significant"),
         F.when(ma > mb, "A_higher").when(mb > ma, "B_higher").otherwise("equal").alias("direction"))
 
+
+
+def comparison_summary(comparison: DataFrame) -> DataFrame:
+    """CMP-2 roll-up: columns compared, and the significant differences
+    (significant with a medium or large effect) in column order."""
+    sig = F.col("significant") & F.col("effect_size").isin("medium", "large")
+    return comparison.agg(
+        F.count(F.lit(1)).alias("n_compared"),
+        F.max("rows_a").alias("rows_a"), F.max("rows_b").alias("rows_b"),
+        F.count_if(sig).alias("n_significant"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(sig, F.struct("position", "column")))),
+                                 lambda s: s["column"]), ", ").alias("significant_columns"))

@@ -318,3 +318,15 @@ def rules_stream_windows(spark, sf_dir):
     out = rule_window_counts(table(spark, sf_dir, "events"), EVENT_RULES, "ts")
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                       "rule_id", "name", "severity", "n_triggered")
+
+
+@register("compare_summary", "CMP-2",
+          "WITH c AS (" + _compare_sql() + ") SELECT count(*) AS n_compared, max(rows_a) AS rows_a,"
+          " max(rows_b) AS rows_b, count_if(significant AND effect_size IN ('medium', 'large')) AS n_significant,"
+          " coalesce(string_agg(CASE WHEN significant AND effect_size IN ('medium', 'large') THEN \"column\" END,"
+          " ', ' ORDER BY position), '') AS significant_columns FROM c")
+def compare_summary(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(*_CMP_COLS, "l_linestatus")
+    a = li.where(F.col("l_linestatus") == "O").drop("l_linestatus")
+    b = li.where(F.col("l_linestatus") == "F").drop("l_linestatus")
+    return rules.comparison_summary(rules.compare_datasets(a, b))

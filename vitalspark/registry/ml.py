@@ -157,3 +157,10 @@ def profile_prediction(spark, sf_dir):
     fr = supervised.fit(docs, ["n_chars", "lang", "source"], "quality", ["doc_id"], task="classification",
                         holdout=False)
     return supervised.predict_inputs(fr, docs.select("doc_id", "n_chars", "lang", "source"), ["doc_id"])
+
+
+@register("risk_anomaly_summary", "RSK-3")
+def risk_anomaly_summary(spark, sf_dir):
+    from .base import LINEITEM_NUM
+    out = isoforest.isolation_forest(table(spark, sf_dir, "lineitem"), LINEITEM_NUM, LINEITEM_KEY)
+    return isoforest.anomaly_summary(out, LINEITEM_KEY)

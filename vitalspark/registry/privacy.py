@@ -24,7 +24,8 @@ def _phi_sql() -> str:
             f" count({c}) AS non_null, count_if(regexp_matches({v}, '{privacy.EMAIL_PATTERN}')) AS email_hits,"
             f" count_if(regexp_matches({v}, '{privacy.PHONE_PATTERN}')) AS phone_hits,"
             f" count_if(regexp_matches({v}, '{privacy.DATE_PATTERN}')) AS date_hits, {phi} AS is_phi,"
-            f" CASE WHEN {phi} THEN '{'HIGH' if high else 'MEDIUM'}' END AS risk_level FROM documents")
+            f" CASE WHEN {phi} THEN '{'HIGH' if high else 'MEDIUM'}' END AS risk_level,"
+            f" coalesce(arg_min({v}, doc_id), '') AS sample FROM documents")
     return " UNION ALL ".join(parts)
 
 
@@ -33,7 +34,7 @@ PHI_SQL = _phi_sql()
 
 @register("phi_detect", "PHI-1", PHI_SQL)
 def phi_detect(spark, sf_dir):
-    return privacy.detect_phi(table(spark, sf_dir, "documents").select(*_DOC_COLS))
+    return privacy.detect_phi(table(spark, sf_dir, "documents").select(*_DOC_COLS), key_cols=["doc_id"])
 
 
 @register("privacy_check", "PHI-2",
