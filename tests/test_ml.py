@@ -125,3 +125,15 @@ def test_ward_exact_small(spark):
     lab = {r["k"]: r["cluster"] for r in ward.ward(df, ["a", "b"], ["k"], k=3).collect()}
     groups = [{lab[i] for i in range(s, s + 10)} for s in (0, 10, 20)]
     assert all(len(g) == 1 for g in groups) and len(set().union(*groups)) == 3
+
+
+def test_dbscan_hot_spot_adjacent_dense_cells(spark):
+    # A third of the rows sit on two touching dense blobs plus spread points:
+    # the grid path must agree with brute force without pairing the blobs.
+    rng = np.random.default_rng(11)
+    blob = np.vstack([rng.uniform(0, 0.1, (150, 2)), rng.uniform(0.1, 0.2, (150, 2))])
+    x = np.vstack([blob, rng.normal(0, 1.0, (600, 2))])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "k long, a double, b double")
+    got = {r["k"]: r["cluster"] for r in dbscan.dbscan(df, ["a", "b"], ["k"], eps=0.2, min_samples=8).collect()}
+    z = (x - x.mean(0)) / x.std(0)
+    assert [got[i] for i in range(len(x))] == list(_brute_dbscan(z, 0.2, 8))

@@ -1,22 +1,30 @@
 """DBSCAN (ML-10) as a Spark job: grid blocking, exact distances, connected
 components by label propagation.
 
-Points are standardised, then put on a grid over (at most) 3 dimensions.
-
-* d <= 3: cell side eps/sqrt(d), so any two points of one cell are within
-  eps.  A cell with >= min_samples points is "dense": all its points are core
-  and mutually connected -- no pair inside it is ever formed, which is what
-  keeps a hot region (a third of all rows in one spot) linear.  Neighbours
-  lie at most ceil(sqrt(d)) cells away per axis.
-* d > 3: side eps on the first 3 axes; candidates come from the 27
-  neighbouring cells and every candidate pair is checked exactly.
-
-Degrees (self included) are counted only for points outside dense cells.
-Graph nodes are cells (d <= 3) or core points (d > 3); edges join nodes with
-a core-core pair within eps.  Components come from min-label propagation
-with pointer jumping, checkpointed each round.  A border point takes the
-lowest cluster among its core neighbours; the rest is noise (-1).  Clusters
-are numbered by their smallest core key.
+Points are standardised, then placed on a grid.
+
+Low dimension (d <= 3) -- the hot-spot-safe path
+  * cell side s = eps / sqrt(d): any two points of one cell are within eps.
+    A cell with >= min_samples points is dense: all its points are core and
+    mutually connected, without forming a single pair.
+  * sub-cells of side s / 2 refine the neighbourhood tests.  For a point and
+    a nearby sub-cell box, if the farthest corner is within eps the whole
+    sub-cell counts (its size is added, no pairs); if the nearest point of
+    the box is beyond eps it is skipped; only boxes straddling eps are
+    checked point by point.  Cells are linked the same way: two occupied
+    core sub-cells whose boxes are entirely within eps link their cells
+    directly; point pairs are checked only for straddling sub-cell pairs of
+    cells not already linked.  A crowded region therefore costs its number
+    of occupied sub-cells, not the square of its points.
+Higher dimension (d > 3)
+  * the first 3 axes are gridded with side eps; candidates from the 27
+    neighbouring cells are checked point by point (this path has no
+    hot-spot shortcut).
+
+Graph nodes are cells (d <= 3) or core points (d > 3); components come from
+min-label propagation with pointer jumping, checkpointed every round.  A
+border point takes the lowest cluster among its core neighbours; the rest is
+noise (-1).  Clusters are numbered by their smallest core key.
 """
 
 from __future__ import annotations
@@ -26,7 +34,7 @@ import math
 from collections.abc import Sequence
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import qcol
@@ -38,13 +46,14 @@ MIN_SAMPLES_FLOOR = 3      # fixed: min_samples = max(3, n // 20) by default
 MIN_SAMPLES_DIVISOR = 20
 EPS_FLOOR = 0.3            # fixed: the reference never uses eps below 0.3
 MAX_ROUNDS = 200
+SUB = 2                    # sub-cells per cell side (low-dimension path)
 
 
 def default_min_samples(n: int) -> int:
     return max(MIN_SAMPLES_FLOOR, n // MIN_SAMPLES_DIVISOR)
 
 
-def _dist(a, b):
+def _dist(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
 
 
@@ -52,11 +61,26 @@ def _offsets(g: int, reach: int) -> list[tuple]:
     return list(itertools.product(range(-reach, reach + 1), repeat=g))
 
 
-def _neighbour_cells(cell_col: str, offsets: list[tuple]):
+def _shifted(cell_col: str, offsets: list[tuple]) -> Column:
     arr = F.array(*[F.array(*[F.lit(o) for o in off]) for off in offsets])
     return F.transform(arr, lambda off: F.zip_with(F.col(cell_col), off, lambda c, o: c + o))
 
 
+def _box_dists(z: Column, sub: Column, side: float, g: int) -> tuple[Column, Column]:
+    """Nearest and farthest distance from point z to the box of sub-cell
+    ``sub`` (side ``side``), over the g gridded axes."""
+    near, far = F.lit(0.0), F.lit(0.0)
+    for j in range(g):
+        lo = sub[j] * side
+        hi = (sub[j] + 1) * side
+        x = z[j]
+        gap = F.greatest(F.lit(0.0), lo - x, x - hi)
+        span = F.greatest(F.abs(x - lo), F.abs(x - hi))
+        near = near + gap * gap
+        far = far + span * span
+    return F.sqrt(near), F.sqrt(far)
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(node long) + symmetric edges (u, v) -> (node, comp) where comp is the
     smallest node id of the component."""
@@ -78,71 +102,117 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = M
     raise RuntimeError("connected components did not converge")
 
 
+def _number_clusters(core_comp: DataFrame) -> DataFrame:
+    """(_key, comp) -> (_key, cluster) with clusters numbered by their
+    smallest core key."""
+    order = core_comp.groupBy("comp").agg(F.min("_key").alias("_first"))
+    numbered = ordered_prefix(order, ["_first"], [], index_name="cluster").select("comp", "cluster")
+    return core_comp.join(numbered, "comp").select("_key", "cluster")
+
+
+def _box_gap(off: tuple, fine: float) -> tuple[float, float]:
+    """Nearest and farthest distance between two sub-cell boxes ``off``
+    apart (in sub-cells)."""
+    near = fine * math.sqrt(sum(max(0, abs(x) - 1) ** 2 for x in off))
+    far = fine * math.sqrt(sum((abs(x) + 1) ** 2 for x in off))
+    return near, far
+
+
+def _low_dim(pts: DataFrame, d: int, eps: float, min_samples: int) -> DataFrame:
+    side = eps / math.sqrt(d)
+    fine = side / SUB
+    reach = int(math.ceil(eps / fine))
+    offs = [o for o in _offsets(d, reach) if _box_gap(o, fine)[0] <= eps]
+    pts = pts.withColumn("sub", F.array(*[F.floor(F.col("z")[j] / fine) for j in range(d)])) \
+        .withColumn("cell", F.transform("sub", lambda v: F.floor(v / SUB)))
+    pts = cut_lineage(pts)
+    dense = pts.groupBy("cell").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_samples) \
+        .select("cell", F.lit(True).alias("_dense"))
+    pts = pts.join(dense, "cell", "left").withColumn("_dense", F.coalesce("_dense", F.lit(False)))
+    occupied = pts.groupBy("sub").agg(F.count(F.lit(1)).alias("_cnt"))
+
+    # Neighbourhood of every point outside a dense cell, per nearby sub-cell.
+    probe = pts.where(~F.col("_dense")).select("_key", "z", F.explode(_shifted("sub", offs)).alias("sub"))
+    near, far = _box_dists(F.col("z"), F.col("sub"), fine, d)
+    boxes = probe.join(occupied, "sub").withColumn("_near", near).withColumn("_far", far) \
+        .where(F.col("_near") <= eps)
+    boxes = cut_lineage(boxes)
+    full = boxes.where(F.col("_far") <= eps).select("_key", "sub", "_cnt")
+    partial = boxes.where(F.col("_far") > eps).select("_key", "z", "sub")
+    others = pts.select("sub", F.col("_key").alias("_qkey"), F.col("z").alias("_qz"))
+    close = partial.join(others, "sub").where(_dist(F.col("z"), F.col("_qz")) <= eps).select("_key", "_qkey")
+    close = cut_lineage(close)
+    degree = full.groupBy("_key").agg(F.sum("_cnt").alias("_d1")) \
+        .join(close.groupBy("_key").agg(F.count(F.lit(1)).alias("_d2")), "_key", "full")
+    core = pts.join(degree, "_key", "left").withColumn(
+        "is_core", F.col("_dense") | ((F.coalesce("_d1", F.lit(0)) + F.coalesce("_d2", F.lit(0))) >= min_samples))
+    core = cut_lineage(core.select("_key", "cell", "sub", "z", "is_core"))
+
+    # Nodes = cells holding core points.
+    cores = core.where("is_core")
+    ids = cut_lineage(ordered_prefix(cores.select("cell").distinct(), ["cell"], [], index_name="node"))
+    core_subs = cores.select("sub", "cell").distinct().join(ids, "cell")
+    # Sure links: occupied core sub-cells whose boxes are entirely within eps.
+    sure_offs = [o for o in offs if any(o) and _box_gap(o, fine)[1] <= eps]
+    maybe_offs = [o for o in offs if any(o) and _box_gap(o, fine)[1] > eps]
+    a = core_subs.select(F.col("sub").alias("_asub"), F.col("node").alias("u"))
+    b = core_subs.select(F.col("sub").alias("_bsub"), F.col("node").alias("v"))
+    sure = a.select("u", F.explode(_shifted("_asub", sure_offs)).alias("_bsub")).join(b, "_bsub") \
+        .where(F.col("u") != F.col("v")).select("u", "v").distinct()
+    sure = cut_lineage(sure)
+    maybe = a.select("_asub", "u", F.explode(_shifted("_asub", maybe_offs)).alias("_bsub")).join(b, "_bsub") \
+        .where(F.col("u") != F.col("v")).join(sure, ["u", "v"], "left_anti")
+    pa = cores.select(F.col("sub").alias("_asub"), F.col("z").alias("_az"))
+    pb = cores.select(F.col("sub").alias("_bsub"), F.col("z").alias("_bz"))
+    checked = maybe.join(pa, "_asub").join(pb, "_bsub").where(_dist(F.col("_az"), F.col("_bz")) <= eps) \
+        .select("u", "v").distinct()
+    edges = sure.unionByName(checked).distinct()
+    comps = connected_components(ids.select("node"), edges)
+
+    core_comp = core.where("is_core").join(ids, "cell").join(comps, "node").select("_key", "comp")
+    core_lab = cut_lineage(_number_clusters(core_comp))
+    # Border points: lowest cluster among core points within eps -- from
+    # fully covered sub-cells (their lowest core cluster) and point matches.
+    sub_min = core.where("is_core").join(core_lab, "_key").groupBy("sub").agg(F.min("cluster").alias("_sc"))
+    b1 = full.join(sub_min, "sub").groupBy("_key").agg(F.min("_sc").alias("_b"))
+    b2 = close.join(core_lab.select(F.col("_key").alias("_qkey"), F.col("cluster").alias("_qc")), "_qkey") \
+        .groupBy("_key").agg(F.min("_qc").alias("_b"))
+    border = b1.unionByName(b2).groupBy("_key").agg(F.min("_b").alias("_bc"))
+    return core.join(core_lab, "_key", "left").join(border, "_key", "left")
+
+
+def _high_dim(pts: DataFrame, eps: float, min_samples: int) -> DataFrame:
+    g = 3
+    offs = _offsets(g, 1)
+    pts = cut_lineage(pts.withColumn("cell", F.array(*[F.floor(F.col("z")[j] / eps) for j in range(g)])))
+    probe = pts.select("_key", "z", F.explode(_shifted("cell", offs)).alias("cell"))
+    other = pts.select("cell", F.col("_key").alias("_qkey"), F.col("z").alias("_qz"))
+    pairs = cut_lineage(probe.join(other, "cell").where(_dist(F.col("z"), F.col("_qz")) <= eps)
+                        .select("_key", "_qkey"))
+    degree = pairs.groupBy("_key").agg(F.count(F.lit(1)).alias("_deg"))
+    core = cut_lineage(pts.join(degree, "_key", "left")
+                       .withColumn("is_core", F.coalesce("_deg", F.lit(0)) >= min_samples)
+                       .select("_key", "cell", "z", "is_core"))
+    ids = cut_lineage(ordered_prefix(core.where("is_core").select("_key"), ["_key"], [], index_name="node"))
+    edges = pairs.join(ids, "_key").join(ids.select(F.col("_key").alias("_qkey"), F.col("node").alias("v")), "_qkey") \
+        .select(F.col("node").alias("u"), "v").where(F.col("u") != F.col("v")).distinct()
+    comps = connected_components(ids.select("node"), edges)
+    core_lab = cut_lineage(_number_clusters(ids.join(comps, "node").select("_key", "comp")))
+    border = pairs.join(core_lab.select(F.col("_key").alias("_qkey"), F.col("cluster").alias("_qc")), "_qkey") \
+        .groupBy("_key").agg(F.min("_qc").alias("_bc"))
+    return core.join(core_lab, "_key", "left").join(border, "_key", "left")
+
+
 def dbscan(df: DataFrame, feature_cols: Sequence[str], key_cols: Sequence[str], eps: float = EPS_FLOOR,
            min_samples: int | None = None) -> DataFrame:
     """key..., cluster (-1 = noise), is_core for every complete row."""
     st = standardise_features(df, feature_cols, key_cols)
     d = len(st.feature_cols)
-    g = min(d, 3)
-    shortcut = d <= 3
-    side = eps / math.sqrt(d) if shortcut else eps
-    reach = int(math.ceil(math.sqrt(d))) if shortcut else 1
     keys = [qcol(k) for k in key_cols]
-    pts = st.data.select(*keys, vector_to_array("features").alias("z"))
+    pts = st.data.select(F.struct(*keys).alias("_key"), vector_to_array("features").alias("z"))
     if min_samples is None:
         min_samples = default_min_samples(pts.count())
-    pts = pts.withColumn("cell", F.array(*[F.floor(F.col("z")[j] / side) for j in range(g)]))
-    pts = pts.withColumn("_key", F.struct(*keys))
-
-    counts = pts.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))
-    if shortcut:
-        dense = counts.where(F.col("_n") >= min_samples).select("cell", F.lit(True).alias("_dense"))
-        tagged = pts.join(dense, "cell", "left").withColumn("_dense", F.coalesce("_dense", F.lit(False)))
-    else:
-        tagged = pts.withColumn("_dense", F.lit(False))
-
-    # Candidate pairs for every point outside a dense cell: (p, q) within eps.
-    offs = _offsets(g, reach)
-    probe = tagged.where(~F.col("_dense")).select("_key", "z", F.explode(_neighbour_cells("cell", offs)).alias("cell"))
-    other = tagged.select(F.col("cell"), F.col("_key").alias("_qkey"), F.col("z").alias("_qz"))
-    pairs = probe.join(other, "cell").where(_dist(F.col("z"), F.col("_qz")) <= eps) \
-        .select("_key", "_qkey")
-    pairs = cut_lineage(pairs)
-    degree = pairs.groupBy("_key").agg(F.count(F.lit(1)).alias("_deg"))
-    core = tagged.join(degree, "_key", "left").withColumn(
-        "is_core", F.col("_dense") | (F.coalesce("_deg", F.lit(0)) >= min_samples))
-    core = cut_lineage(core.select("_key", *[F.col("_key")[k].alias(k) for k in key_cols], "cell", "z", "is_core"))
-
-    cores = core.where("is_core")
-    if shortcut:
-        node_of = cores.select("_key", F.col("cell").alias("_node_key"))
-        node_list = cores.select(F.col("cell").alias("_node_key")).distinct()
-    else:
-        node_of = cores.select("_key", F.col("_key").alias("_node_key"))
-        node_list = cores.select(F.col("_key").alias("_node_key"))
-    ids = ordered_prefix(node_list, ["_node_key"], [], index_name="node")
-    node_of = node_of.join(ids, "_node_key").select("_key", "node")
-    node_of = cut_lineage(node_of)
-
-    # Edges between nodes: core-core pairs within eps, found from every core
-    # point (dense ones included) against the core points of nearby cells.
-    # Same-cell cores are one node when d <= 3: probe other cells only.
-    edge_offs = [o for o in offs if any(o)] if shortcut else offs
-    cprobe = core.where("is_core").select("_key", "z", F.explode(_neighbour_cells("cell", edge_offs)).alias("cell"))
-    cother = core.where("is_core").select("cell", F.col("_key").alias("_qkey"), F.col("z").alias("_qz"))
-    cc = cprobe.join(cother, "cell").where(_dist(F.col("z"), F.col("_qz")) <= eps).select("_key", "_qkey")
-    e = cc.join(node_of.withColumnRenamed("node", "u"), "_key") \
-        .join(node_of.select(F.col("_key").alias("_qkey"), F.col("node").alias("v")), "_qkey") \
-        .where(F.col("u") != F.col("v")).select("u", "v").distinct()
-    comps = connected_components(ids.select("node"), e)
-
-    core_comp = node_of.join(comps, "node").select("_key", "comp")
-    # Number clusters by their smallest core key.
-    order = core_comp.groupBy("comp").agg(F.min("_key").alias("_first"))
-    numbered = ordered_prefix(order, ["_first"], [], index_name="cluster").select("comp", "cluster")
-    core_lab = core_comp.join(numbered, "comp").select("_key", "cluster")
-    border = pairs.join(core_lab.select(F.col("_key").alias("_qkey"), F.col("cluster").alias("_qc")), "_qkey") \
-        .groupBy("_key").agg(F.min("_qc").alias("_bc"))
-    out = core.join(core_lab, "_key", "left").join(border, "_key", "left")
+    out = _low_dim(pts, d, eps, min_samples) if d <= 3 else _high_dim(pts, eps, min_samples)
     label = F.when(F.col("is_core"), F.col("cluster")).otherwise(F.coalesce(F.col("_bc"), F.lit(-1)))
-    return out.select(*key_cols, label.cast("long").alias("cluster"), "is_core")
+    return out.select(*[F.col("_key")[k].alias(k) for k in key_cols], label.cast("long").alias("cluster"),
+                      "is_core")
