@@ -137,3 +137,12 @@ def test_dbscan_hot_spot_adjacent_dense_cells(spark):
     got = {r["k"]: r["cluster"] for r in dbscan.dbscan(df, ["a", "b"], ["k"], eps=0.2, min_samples=8).collect()}
     z = (x - x.mean(0)) / x.std(0)
     assert [got[i] for i in range(len(x))] == list(_brute_dbscan(z, 0.2, 8))
+
+
+def test_components_paths_agree(spark):
+    nodes = spark.createDataFrame([(i,) for i in range(12)], "node long")
+    pairs = [(0, 1), (1, 2), (2, 5), (7, 8), (9, 10), (10, 11), (11, 9)]
+    edges = spark.createDataFrame(pairs + [(v, u) for u, v in pairs], "u long, v long")
+    a = {r["node"]: r["comp"] for r in dbscan.connected_components(nodes, edges).collect()}
+    b = {r["node"]: r["comp"] for r in dbscan.propagate_components(nodes, edges).collect()}
+    assert a == b == {0: 0, 1: 0, 2: 0, 5: 0, 3: 3, 4: 4, 6: 6, 7: 7, 8: 7, 9: 9, 10: 9, 11: 9}

@@ -81,9 +81,43 @@ def _box_dists(z: Column, sub: Column, side: float, g: int) -> tuple[Column, Col
     return F.sqrt(near), F.sqrt(far)
 
 
+LOCAL_GRAPH_EDGES = 200_000   # a node graph this small is solved in one step
+
+
+def _union_find(node_ids: list[int], edge_list: list[tuple[int, int]]) -> dict[int, int]:
+    parent = {n: n for n in node_ids}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+    for u, v in edge_list:
+        ru, rv = root(u), root(v)
+        if ru != rv:
+            parent[max(ru, rv)] = min(ru, rv)
+    return {n: root(n) for n in node_ids}
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(node long) + symmetric edges (u, v) -> (node, comp) where comp is the
-    smallest node id of the component."""
+    smallest node id of the component.
+
+    The node graph of a grid DBSCAN is a summary (cells, not rows).  When it
+    is small -- checked by counting, never assumed -- it is solved with
+    union-find in one step; otherwise min-label propagation with pointer
+    jumping runs on the executors, checkpointed every round."""
+    spark = nodes.sparkSession
+    if edges.limit(LOCAL_GRAPH_EDGES + 1).count() <= LOCAL_GRAPH_EDGES and \
+            nodes.limit(2 * LOCAL_GRAPH_EDGES + 1).count() <= 2 * LOCAL_GRAPH_EDGES:
+        node_ids = [r["node"] for r in nodes.collect()]
+        comp = _union_find(node_ids, [(r["u"], r["v"]) for r in edges.collect()])
+        return spark.createDataFrame(list(comp.items()), "node long, comp long")
+    return propagate_components(nodes, edges, max_rounds)
+
+
+def propagate_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """Distributed min-label propagation with pointer jumping."""
     labels = cut_lineage(nodes.select("node", F.col("node").alias("label")))
     for _ in range(max_rounds):
         best = edges.join(labels.select(F.col("node").alias("v"), F.col("label").alias("lv")), "v") \
@@ -125,7 +159,6 @@ def _low_dim(pts: DataFrame, d: int, eps: float, min_samples: int) -> DataFrame:
     offs = [o for o in _offsets(d, reach) if _box_gap(o, fine)[0] <= eps]
     pts = pts.withColumn("sub", F.array(*[F.floor(F.col("z")[j] / fine) for j in range(d)])) \
         .withColumn("cell", F.transform("sub", lambda v: F.floor(v / SUB)))
-    pts = cut_lineage(pts)
     dense = pts.groupBy("cell").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_samples) \
         .select("cell", F.lit(True).alias("_dense"))
     pts = pts.join(dense, "cell", "left").withColumn("_dense", F.coalesce("_dense", F.lit(False)))
@@ -136,7 +169,6 @@ def _low_dim(pts: DataFrame, d: int, eps: float, min_samples: int) -> DataFrame:
     near, far = _box_dists(F.col("z"), F.col("sub"), fine, d)
     boxes = probe.join(occupied, "sub").withColumn("_near", near).withColumn("_far", far) \
         .where(F.col("_near") <= eps)
-    boxes = cut_lineage(boxes)
     full = boxes.where(F.col("_far") <= eps).select("_key", "sub", "_cnt")
     partial = boxes.where(F.col("_far") > eps).select("_key", "z", "sub")
     others = pts.select("sub", F.col("_key").alias("_qkey"), F.col("z").alias("_qz"))
@@ -159,7 +191,6 @@ def _low_dim(pts: DataFrame, d: int, eps: float, min_samples: int) -> DataFrame:
     b = core_subs.select(F.col("sub").alias("_bsub"), F.col("node").alias("v"))
     sure = a.select("u", F.explode(_shifted("_asub", sure_offs)).alias("_bsub")).join(b, "_bsub") \
         .where(F.col("u") != F.col("v")).select("u", "v").distinct()
-    sure = cut_lineage(sure)
     maybe = a.select("_asub", "u", F.explode(_shifted("_asub", maybe_offs)).alias("_bsub")).join(b, "_bsub") \
         .where(F.col("u") != F.col("v")).join(sure, ["u", "v"], "left_anti")
     pa = cores.select(F.col("sub").alias("_asub"), F.col("z").alias("_az"))
