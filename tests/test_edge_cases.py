@@ -32,3 +32,10 @@ def test_single_row_std_is_one(spark):
     df = spark.createDataFrame([(1, 5.0)], "id long, x double")
     th = risk.thresholds(*risk.prepare(df, ["x"]))
     assert th[0].std == 1.0 and not math.isnan(th[0].high)
+
+
+def test_duplicates_nulls_equal_and_hot_row(spark):
+    rows = [(1, None, "x")] * 300 + [(1, None, "y"), (2, 1.0, None), (2, 1.0, None), (3, 2.0, "z")]
+    df = spark.createDataFrame(rows, "k long, v double, s string")
+    rep = quality.duplicate_report(df).first()
+    assert rep["duplicates"] == 299 + 1

@@ -93,15 +93,32 @@ def missing_report(cols: DataFrame) -> DataFrame:
 
 
 def duplicate_report(df: DataFrame) -> DataFrame:
-    """DQ-2: rows minus distinct rows (nulls equal).  Grouping on all columns
-    with partial aggregation: a hot duplicate collapses on the map side."""
-    groups = df.groupBy(*[qcol(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_c"))
-    out = groups.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("rows"),
-                     F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).alias("duplicates"))
-    return out.select(F.col("duplicates").cast("long").alias("duplicates"),
-                      F.when(F.col("rows") > 0, _pct(F.col("duplicates"), F.col("rows")))
-                      .otherwise(F.lit(0.0)).alias("percent"),
-                      F.when(F.col("duplicates") > 0, DUPLICATE_PENALTY).otherwise(0).alias("penalty"))
+    """DQ-2: rows minus distinct rows (nulls equal), exact.
+
+    Rows are first counted by a 128-bit row hash (two independent 64-bit
+    hashes), so the shuffle carries 16 bytes per distinct hash instead of
+    whole rows.  Only rows whose hash occurs more than once are then grouped
+    by their full content, which turns hash equality into row equality; a
+    hot duplicate collapses map-side in both steps."""
+    cols = [qcol(c) for c in df.columns]
+    # Row digest: three hashes (two seeds of xxhash64, one murmur3) of the
+    # same columns; nulls hash consistently, so nulls compare equal.
+    hashed = df.withColumn("_h", F.struct(F.xxhash64(*cols).alias("a"), F.hash(*cols).alias("b"),
+                                          F.xxhash64(F.lit(7), *cols).alias("c")))
+    by_hash = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_c"))
+    totals = by_hash.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("rows"))
+    repeated = by_hash.where(F.col("_c") > 1).select("_h")
+    cand = hashed.join(repeated, "_h", "left_semi")
+    exact = cand.groupBy(*cols).agg(F.count(F.lit(1)).alias("_c")) \
+        .agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).alias("duplicates"))
+    # Two one-row results meet through a union + sum, not a join.
+    both = totals.select("rows", F.lit(0).cast("long").alias("duplicates")) \
+        .unionByName(exact.select(F.lit(0).cast("long").alias("rows"), F.col("duplicates").cast("long"))) \
+        .agg(F.sum("rows").alias("rows"), F.sum("duplicates").alias("duplicates"))
+    return both.select(F.col("duplicates").cast("long").alias("duplicates"),
+                       F.when(F.col("rows") > 0, _pct(F.col("duplicates"), F.col("rows")))
+                       .otherwise(F.lit(0.0)).alias("percent"),
+                       F.when(F.col("duplicates") > 0, DUPLICATE_PENALTY).otherwise(0).alias("penalty"))
 
 
 def outlier_report(df: DataFrame) -> DataFrame:
