@@ -58,6 +58,11 @@ def test_snapshot_and_result_log(spark, patients):
     sinks.save_snapshot(patients, base, "ds1", ["patient_id"])
     back = sinks.load_snapshot(spark, base, "ds1")
     assert back.count() == 30 and dict(back.dtypes)["bmi"] == "double"
+    # A second dataset lands beside the first; overwriting ds2 leaves ds1.
+    sinks.save_snapshot(patients.limit(5), base, "ds2", ["patient_id"])
+    sinks.save_snapshot(patients.limit(7), base, "ds2", ["patient_id"])
+    assert sinks.load_snapshot(spark, base, "ds1").count() == 30
+    assert sinks.load_snapshot(spark, base, "ds2").count() == 7
     log = os.path.join(base, "results")
     import datetime as dt
     sinks.append_result(spark, log, "r1", "ds1", "regression", {"r2": 0.5}, created_at=dt.datetime(2024, 1, 1))

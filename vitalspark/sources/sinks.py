@@ -21,12 +21,10 @@ RESULT_LOG_SCHEMA = ("run_id string, dataset_id string, task string, features st
 def save_snapshot(df: DataFrame, base_path: str, dataset_id: str, key_cols: Sequence[str]) -> None:
     """SNK-1: the table (types kept) and its column profile, each under
     ``dataset_id=<id>``; overwriting only that partition."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     df.withColumn("dataset_id", F.lit(dataset_id)).write.mode("overwrite") \
-        .partitionBy("dataset_id").parquet(f"{base_path}/data")
+        .option("partitionOverwriteMode", "dynamic").partitionBy("dataset_id").parquet(f"{base_path}/data")
     column_info(df, key_cols).withColumn("dataset_id", F.lit(dataset_id)).write.mode("overwrite") \
-        .partitionBy("dataset_id").parquet(f"{base_path}/profile")
+        .option("partitionOverwriteMode", "dynamic").partitionBy("dataset_id").parquet(f"{base_path}/profile")
 
 
 def load_snapshot(spark: SparkSession, base_path: str, dataset_id: str) -> DataFrame:
