@@ -46,3 +46,15 @@ def test_drug_pairs_per_entity(spark):
     got = sorted((r["conv"], r["drug_a"], r["drug_b"]) for r in coding.drug_interactions_by(df, ["conv"], "text")
                  .collect())
     assert got == [(1, "warfarin", "aspirin"), (3, "lithium", "nsaid")]
+
+
+def test_icd_word_boundary_mode(patients):
+    got = {(r["column"], r["icd10_code"]) for r in
+           coding.detect_icd_codes(patients, ["patient_id"], word_boundary=True).collect()}
+    assert got == {("diabetes_risk", "E11")}   # 'mi' no longer matches 'bmi'
+
+
+def test_icd_parity_mode_first_values(spark):
+    df = spark.createDataFrame([(i, "asthma" if i == 25 else f"note {i}") for i in range(30)], "k int, t string")
+    assert coding.detect_icd_codes(df, ["k"], max_values=20).count() == 0
+    assert coding.detect_icd_codes(df, ["k"]).count() == 1

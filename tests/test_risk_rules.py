@@ -75,3 +75,26 @@ def test_result_grading_branches(spark):
     assert g["classification"]["risk_flag"].startswith("Accuracy 60.0% may be insufficient")
     assert g["clustering"]["risk_flag"].startswith("Low silhouette")
     assert g["clustering"]["confidence"] == "medium"
+
+
+def test_rule_table_path_matches_inline(patients):
+    rs = [{"column": c, "operator": op, "value": v}
+          for c in ("glucose", "bmi", "age") for op in (">", "<", ">=", "<=", "==", "!=") for v in (30, 45, 100)]
+    inline = {r["rule_id"]: r["n_triggered"] for r in rules.evaluate_rules(patients, rs).collect()}
+    table = {r["rule_id"]: r["n_triggered"] for r in
+             rules.evaluate_rules_table(patients, rules.rules_frame(patients.sparkSession, rs, patients.columns))
+             .collect()}
+    assert inline == table and len(inline) == len(rs)
+    many = rs * 12   # beyond the inline limit: same answers through the table path
+    big = rules.evaluate_rules(patients, many).collect()
+    assert len(big) == len(many) and {r["rule_id"] % len(rs): r["n_triggered"] for r in big} == inline
+
+
+def test_change_alerts_per_entity(spark):
+    from pyspark.sql import functions as F
+    rows = [(u, i, 10.0 if (u == 1 and i >= 40) else 1.0) for u in (1, 2) for i in range(50)] + [(3, 0, 5.0)]
+    df = spark.createDataFrame(rows, "u long, t long, x double")
+    out = {r["u"]: r for r in risk.change_alerts_by(df, ["x"], ["t"], ["u"]).collect()}
+    assert set(out) == {1, 2}                       # entity 3 has too few rows
+    assert out[1]["is_alert"] and out[1]["recent_avg"] == 10.0 and out[1]["direction"] == "increasing"
+    assert not out[2]["is_alert"] and out[2]["change_percent"] == 0.0

@@ -7,6 +7,7 @@ with the dictionary, no per-value Python.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -55,12 +56,15 @@ def _phrase(keyword: str) -> str:
     return keyword.replace("_", " ")
 
 
-def first_keyword(text: Column, dictionary: Sequence[tuple] = ICD10_COMMON) -> Column:
+def first_keyword(text: Column, dictionary: Sequence[tuple] = ICD10_COMMON, word_boundary: bool = False) -> Column:
     """Index of the first dictionary keyword contained in ``text`` (already
-    lower-cased), NULL when none."""
+    lower-cased), NULL when none.  ``word_boundary`` stops the reference's
+    over-matching ('mi' in 'bmi', 'liver' in 'delivery')."""
     expr = None
     for i, entry in enumerate(dictionary):
-        hit = F.contains(text, F.lit(_phrase(entry[0])))
+        phrase = _phrase(entry[0])
+        hit = text.rlike(r"(^|[^a-z0-9_])" + re.escape(phrase) + r"($|[^a-z0-9_])") if word_boundary \
+            else F.contains(text, F.lit(phrase))
         expr = F.when(hit, F.lit(i)) if expr is None else expr.when(hit, F.lit(i))
     return expr
 
@@ -71,7 +75,7 @@ def _dictionary_df(spark, dictionary):
 
 
 def detect_icd_codes(df: DataFrame, order_cols: Sequence[str], dictionary: Sequence[tuple] = ICD10_COMMON,
-                     max_values: int | None = None) -> DataFrame:
+                     max_values: int | None = None, word_boundary: bool = False) -> DataFrame:
     """ICD-1 + ICD-2: one suggestion per (column, code).  Column-name
     matches come first; then every distinct lower-cased text value (or only
     the first ``max_values`` distinct values per column, for parity with the
@@ -82,7 +86,9 @@ def detect_icd_codes(df: DataFrame, order_cols: Sequence[str], dictionary: Seque
     for pos, col in enumerate(df.columns):
         low = col.lower().replace("_", " ")
         for i, (kw, code, desc) in enumerate(dictionary):
-            if _phrase(kw) in low:
+            found = re.search(r"(^|[^a-z0-9_])" + re.escape(_phrase(kw)) + r"($|[^a-z0-9_])", low) \
+                if word_boundary else _phrase(kw) in low
+            if found:
                 name_rows.append((col, pos, 0, None, i))
                 break
     names = spark.createDataFrame(name_rows, "column string, position int, _stage int, value string, _kw int")
@@ -97,7 +103,7 @@ def detect_icd_codes(df: DataFrame, order_cols: Sequence[str], dictionary: Seque
             # Every value counts: the keyword is a function of the value, so
             # match row by row and keep the first-appearing value per code --
             # no shuffle of distinct texts.
-            hits = long.withColumn("_kw", first_keyword(F.col("value"), dictionary)) \
+            hits = long.withColumn("_kw", first_keyword(F.col("value"), dictionary, word_boundary)) \
                 .where(F.col("_kw").isNotNull())
             per_code = hits.groupBy("column", "position", "_kw").agg(F.min_by("value", first_seen).alias("value"))
         else:
@@ -105,7 +111,7 @@ def detect_icd_codes(df: DataFrame, order_cols: Sequence[str], dictionary: Seque
             distinct = long.groupBy("column", "position", "value").agg(F.min(first_seen).alias("_first"))
             w = Window.partitionBy("column").orderBy("_first")
             distinct = distinct.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_values).drop("_r")
-            hits = distinct.withColumn("_kw", first_keyword(F.col("value"), dictionary)) \
+            hits = distinct.withColumn("_kw", first_keyword(F.col("value"), dictionary, word_boundary)) \
                 .where(F.col("_kw").isNotNull())
             per_code = hits.groupBy("column", "position", "_kw").agg(F.min_by("value", "_first").alias("value"))
         found = names.unionByName(per_code.withColumn("_stage", F.lit(1)))

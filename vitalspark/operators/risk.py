@@ -124,6 +124,31 @@ def top_risk(scores: DataFrame, key_cols: Sequence[str], k: int = TOP_K) -> Data
     return scores.orderBy(F.col("risk_score").desc(), *[qcol(c).asc() for c in key_cols]).limit(k)
 
 
+def change_alerts_by(work: DataFrame, cols: Sequence[str], order_cols: Sequence[str], group_cols: Sequence[str],
+                     recent_rows: int = RECENT_ROWS, n_columns: int = CHANGE_COLUMNS) -> DataFrame:
+    """RSK-4 per entity: each entity's last ``recent_rows`` rows against its
+    own mean.  The per-entity top-k is a WindowGroupLimit (k rows per entity
+    kept in each map task before the shuffle), the means one aggregate."""
+    from pyspark.sql import Window
+    cols = list(cols)[:n_columns]
+    g = list(group_cols)
+    w = Window.partitionBy(*[qcol(c) for c in g]).orderBy(*[qcol(c).desc() for c in order_cols])
+    recent = work.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= recent_rows) \
+        .groupBy(*g).agg(*[F.avg(qcol(c)).alias(f"r{i}") for i, c in enumerate(cols)])
+    overall = work.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"),
+                                   *[F.avg(qcol(c)).alias(f"o{i}") for i, c in enumerate(cols)])
+    j = overall.where(F.col("_n") > recent_rows).join(recent, g)
+    rows = []
+    for i, c in enumerate(cols):
+        r, o = F.col(f"r{i}"), F.col(f"o{i}")
+        pct = F.abs((r - o) / o * 100)
+        rows.append(F.when(o != 0, F.struct(F.lit(c).alias("column"), r.alias("recent_avg"), o.alias("overall_avg"),
+                                            pct.alias("change_percent"),
+                                            F.when(r > o, "increasing").otherwise("decreasing").alias("direction"),
+                                            (pct > CHANGE_ALERT_PCT).alias("is_alert"))))
+    return j.select(*g, F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("x")).select(*g, "x.*")
+
+
 def change_alerts(work: DataFrame, cols: Sequence[str], order_cols: Sequence[str],
                   recent_rows: int = RECENT_ROWS, n_columns: int = CHANGE_COLUMNS) -> DataFrame:
     """RSK-4: mean of the last ``recent_rows`` rows (by ``order_cols``) against

@@ -79,6 +79,8 @@ def evaluate_rules(df: DataFrame, rules: Sequence[Mapping]) -> DataFrame:
     if not rs:
         return spark.createDataFrame([], RULE_SCHEMA + ", n_triggered long, n_total long, percent double, "
                                      "status string, col_mean double, col_max double")
+    if len(rs) > INLINE_RULES:
+        return evaluate_rules_table(df, rules_frame(spark, rules, df.columns))
     cols = sorted({r["column"] for r in rs}, key=df.columns.index)
     num = {c: to_double(c) for c in cols}
     aggs = []
@@ -101,6 +103,58 @@ def evaluate_rules(df: DataFrame, rules: Sequence[Mapping]) -> DataFrame:
     return wide_to_long(wide, rows)
 
 
+# Above this many rules one aggregate with a count_if per rule outgrows code
+# generation; the rules then travel as a table.
+INLINE_RULES = 200
+
+
+def evaluate_rules_table(df: DataFrame, rules_df: DataFrame, max_rules: int = 1_000_000) -> DataFrame:
+    """RUL-1 for rule sets that are data (hundreds to millions of rules):
+    ``rules_df`` has rule_id, name, column, operator, value, severity,
+    action.  Values are unpivoted per referenced column, joined with the
+    rules of that column (broadcast behind a size check) and compared by
+    operator; one aggregation per rule."""
+    from ..plans.aggregates import bounded_rows, broadcast_if_small
+    cols = [r["column"] for r in bounded_rows(rules_df.select("column").distinct(), 100_000)
+            if r["column"] in df.columns]
+    spark = df.sparkSession
+    bad = rules_df.where(~F.col("operator").isin(*OPERATORS)).limit(1).collect()
+    if bad:
+        raise ValueError(f"unknown rule operator {bad[0]['operator']!r}")
+    if not cols:
+        return spark.createDataFrame([], RULE_SCHEMA + ", n_triggered long, n_total long, percent double, "
+                                     "status string, col_mean double, col_max double")
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), to_double(c).alias("v"))
+                                         for c in cols])).alias("_u")).select("_u.*").where(F.col("v").isNotNull())
+    stats = long.groupBy("column").agg(F.count(F.lit(1)).alias("n_total"), F.avg("v").alias("col_mean"),
+                                       F.max("v").alias("col_max"))
+    rules_small = broadcast_if_small(rules_df.where(F.col("column").isin(*cols)), max_rules)
+    v, t, op = F.col("v"), F.col("value"), F.col("operator")
+    hit = (F.when(op == ">", v > t).when(op == "<", v < t).when(op == ">=", v >= t).when(op == "<=", v <= t)
+           .when(op == "==", v == t).otherwise(v != t))
+    counts = long.join(rules_small, "column").groupBy("rule_id").agg(F.count_if(hit).alias("n_triggered"))
+    out = rules_small.join(counts, "rule_id", "left").join(F.broadcast(stats), "column", "left") \
+        .withColumn("n_triggered", F.coalesce("n_triggered", F.lit(0)).cast("long")) \
+        .withColumn("n_total", F.coalesce("n_total", F.lit(0)).cast("long"))
+    n = F.col("n_total")
+    return out.select("rule_id", "name", "column", "operator", F.col("value").cast("double").alias("value"),
+                      "severity", "action", "n_triggered", "n_total",
+                      F.when(n > 0, F.col("n_triggered") / n * 100).otherwise(F.lit(0.0)).alias("percent"),
+                      F.when(F.col("n_triggered") > 0, "TRIGGERED").otherwise("CLEAR").alias("status"),
+                      "col_mean", "col_max")
+
+
+def rules_frame(spark, rules: Sequence[Mapping], columns: Sequence[str]) -> DataFrame:
+    """A rule list as a rules table (defaults filled, unknown columns kept
+    out), for ``evaluate_rules_table``."""
+    class _Cols:
+        def __init__(self, c):
+            self.columns = list(c)
+    rs = normalise_rules(_Cols(columns), rules)  # type: ignore[arg-type]
+    return spark.createDataFrame([(r["rule_id"], r["name"], r["column"], r["operator"], r["value"], r["severity"],
+                                   r["action"]) for r in rs], RULE_SCHEMA)
+
+
 def triggered_rows(df: DataFrame, rules: Sequence[Mapping], key_cols: Sequence[str],
                    k: int = TRIGGERED_ROWS) -> DataFrame:
     """RUL-2: the first ``k`` triggering rows per rule in key order:
