@@ -126,3 +126,21 @@ def risk_change(spark, sf_dir):
     return c.select("column", r4(F.col("recent_avg")).alias("recent_avg"),
                     r4(F.col("overall_avg")).alias("overall_avg"),
                     r4(F.col("change_percent")).alias("change_percent"), "direction", "is_alert")
+
+
+@register("risk_change_by_user", "RSK-4",
+          "WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)"
+          " AS rn FROM events WHERE value IS NOT NULL AND NOT isnan(value)),"
+          " o AS (SELECT user_id, count(*) AS n, avg(value) AS o FROM events WHERE value IS NOT NULL"
+          " AND NOT isnan(value) GROUP BY user_id),"
+          " rc AS (SELECT user_id, avg(value) AS r FROM r WHERE rn <= 10 GROUP BY user_id)"
+          " SELECT user_id, 'value' AS \"column\", round(r, 4) AS recent_avg, round(o, 4) AS overall_avg,"
+          " round(abs((r - o) / o * 100), 4) AS change_percent,"
+          " CASE WHEN r > o THEN 'increasing' ELSE 'decreasing' END AS direction,"
+          " abs((r - o) / o * 100) > 20 AS is_alert FROM o JOIN rc USING (user_id) WHERE n > 10 AND o <> 0")
+def risk_change_by_user(spark, sf_dir):
+    work, cols = risk.prepare(table(spark, sf_dir, "events"), ["value"])
+    c = risk.change_alerts_by(work, cols, ["ts", "event_id"], ["user_id"])
+    return c.select("user_id", "column", r4(F.col("recent_avg")).alias("recent_avg"),
+                    r4(F.col("overall_avg")).alias("overall_avg"),
+                    r4(F.col("change_percent")).alias("change_percent"), "direction", "is_alert")
