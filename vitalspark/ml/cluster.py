@@ -48,12 +48,13 @@ def standardise_features(df: DataFrame, feature_cols: Sequence[str], key_cols: S
 def kmeans(st: Standardised, k: int = 3, n_init: int = N_INIT, seed: int = SEED, max_iter: int = 300):
     """ML-9: best of ``n_init`` seeded K-means fits (lowest cost)."""
     best = None
-    data = st.data.cache()
+    data = P.iteration_input(st.data)
     for i in range(n_init):
         m = KMeans(k=k, seed=seed + i, maxIter=max_iter, initMode="k-means||").fit(data)
         if best is None or m.summary.trainingCost < best.summary.trainingCost:
             best = m
-    labelled = best.transform(data).withColumnRenamed("prediction", "cluster")
+    labelled = best.transform(st.data).withColumnRenamed("prediction", "cluster")
+    data.unpersist()
     return best, labelled
 
 

@@ -77,8 +77,10 @@ def fit(df: DataFrame, feature_cols: Sequence[str], target_col: str, key_cols: S
     data = prep.data
     n_classes = len(P.label_names(prep)) or 2
     train, test = P.split(data, key_cols) if holdout else (data, data)
+    train = P.iteration_input(train)
     n_train = train.count()
     model = make_model(task, model_type, n_train, n_classes, trees=trees, depth=depth).fit(train)
+    train.unpersist()
     preds = model.transform(test)
     keep = [*key_cols, "label", "prediction"] + (["probability"] if "probability" in preds.columns else [])
     return FitResult(task, model_type, prep, model, preds.select(*keep), data.count())

@@ -75,8 +75,11 @@ def ward(df: DataFrame, feature_cols: Sequence[str], key_cols: Sequence[str], k:
         return mapping
     # Micro-clusters only summarise; random init avoids k-means|| rounds
     # that grow with k.
-    micro_k = min(max_micro, max(10 * k, n // 20))
-    km = KMeans(k=micro_k, seed=SEED, maxIter=20, initMode="random").fit(data)
+    micro_k = min(max_micro, max(10 * k, n // 100))
+    from .prep import iteration_input
+    train = iteration_input(data)
+    km = KMeans(k=micro_k, seed=SEED, maxIter=20, initMode="random").fit(train)
+    train.unpersist()
     micro = km.transform(data).withColumnRenamed("prediction", "micro")
     sizes = {r["micro"]: r["n"] for r in bounded_rows(micro.groupBy("micro").agg(F.count(F.lit(1)).alias("n")),
                                                         micro_k)}
