@@ -292,7 +292,6 @@ def quality_imbalance(spark, sf_dir):
 
 
 def _flags_sql() -> str:
-    import re as _re
     parts = []
     for i, (c, t) in enumerate(_CUST_TYPES.items()):
         d = f"count(DISTINCT {c})"
@@ -307,7 +306,6 @@ def _flags_sql() -> str:
             f"SELECT '{c}' AS \"column\", {i} AS position, {d} AS \"distinct\", {d} <= 1 AS is_constant,"
             f" {d} = 2 AND count(*) > 100 AS is_binary, {hc} AS high_cardinality, {mixed} AS mixed_type,"
             f" CASE WHEN {d} <= 1 THEN 5 ELSE 0 END AS penalty FROM d")
-    del _re
     return f"WITH d AS ({CUSTOMER_DQ_SQL}) " + " UNION ALL ".join(parts)
 
 
