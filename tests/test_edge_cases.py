@@ -39,3 +39,12 @@ def test_duplicates_nulls_equal_and_hot_row(spark):
     df = spark.createDataFrame(rows, "k long, v double, s string")
     rep = quality.duplicate_report(df).first()
     assert rep["duplicates"] == 299 + 1
+
+
+def test_mixed_type_sample_parity(spark):
+    rows = [(i, "12" if i < 50 else "abc") for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, s string")
+    whole = {r["column"]: r for r in quality.column_flags(quality.column_pass(df)).collect()}
+    first100 = {r["column"]: r for r in quality.mixed_type_sample(df, ["id"]).collect()}
+    assert whole["s"]["mixed_type"]            # 50 / 300 numeric-looking overall
+    assert first100["s"]["mixed_type"] and first100["s"]["numeric_like"] == 50

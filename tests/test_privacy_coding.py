@@ -58,3 +58,13 @@ def test_icd_parity_mode_first_values(spark):
     df = spark.createDataFrame([(i, "asthma" if i == 25 else f"note {i}") for i in range(30)], "k int, t string")
     assert coding.detect_icd_codes(df, ["k"], max_values=20).count() == 0
     assert coding.detect_icd_codes(df, ["k"]).count() == 1
+
+
+def test_phi_sample_rows_parity(spark):
+    rows = [(i, f"note {i}" if i < 25 else "write to a@b.org") for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, note string")
+    whole = {r["column"]: r for r in privacy.detect_phi(df, ["id"]).collect()}
+    first20 = {r["column"]: r for r in privacy.detect_phi(df, ["id"], sample_rows=20).collect()}
+    assert whole["note"]["is_phi"] and whole["note"]["email_hits"] == 5
+    assert not first20["note"]["is_phi"] and first20["note"]["non_null"] == 20
+    assert first20["note"]["sample"] == "note 0"

@@ -52,9 +52,16 @@ def name_match(column: str, patterns: Sequence[str] = NAME_PATTERNS, split_under
     return any(re.search(p, name) for p in patterns)
 
 
-def detect_phi(df: DataFrame, key_cols: Sequence[str] | None = None, split_underscore: bool = False) -> DataFrame:
+def detect_phi(df: DataFrame, key_cols: Sequence[str] | None = None, split_underscore: bool = False,
+               sample_rows: int | None = None) -> DataFrame:
     """PHI-1: per column the name verdict, value hit counts over the whole
-    column, the PHI flag and its risk level (HIGH only by name)."""
+    column (or, with ``sample_rows`` and ``key_cols``, over the first values
+    in key order as the reference does with 20), the PHI flag and its risk
+    level (HIGH only by name)."""
+    if sample_rows is not None:
+        if not key_cols:
+            raise ValueError("sample_rows needs key_cols to define 'first'")
+        return _detect_phi_sampled(df, key_cols, split_underscore, sample_rows)
     fields = df.schema.fields
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, f in enumerate(fields):
@@ -83,6 +90,31 @@ def detect_phi(df: DataFrame, key_cols: Sequence[str] | None = None, split_under
     return report
 
 
+def _detect_phi_sampled(df: DataFrame, key_cols: Sequence[str], split_underscore: bool,
+                        sample_rows: int) -> DataFrame:
+    from .profile import first_values
+    vals = first_values(df, df.columns, key_cols, sample_rows)
+    v = F.col("value")
+    hits = vals.groupBy("column").agg(F.count(F.lit(1)).alias("non_null"),
+                                      F.count_if(v.rlike(EMAIL_PATTERN)).alias("email_hits"),
+                                      F.count_if(v.rlike(PHONE_PATTERN)).alias("phone_hits"),
+                                      F.count_if(v.rlike(DATE_PATTERN)).alias("date_hits"),
+                                      F.min_by(v, "rank").alias("sample"))
+    spark = df.sparkSession
+    meta = spark.createDataFrame(
+        [(f.name, i, f.dataType.simpleString(), name_match(f.name, NAME_PATTERNS, split_underscore),
+          name_match(f.name, HIGH_RISK_NAME_PATTERNS, split_underscore)) for i, f in enumerate(df.schema.fields)],
+        "column string, position int, dtype string, name_match boolean, _high boolean")
+    j = meta.join(hits, "column", "left").fillna(0, ["non_null", "email_hits", "phone_hits", "date_hits"])
+    is_phi = F.col("name_match") | ((F.col("email_hits") + F.col("phone_hits") + F.col("date_hits")) > 0)
+    return j.select("column", "position", "dtype", "name_match", F.col("non_null").cast("long").alias("non_null"),
+                    F.col("email_hits").cast("long").alias("email_hits"),
+                    F.col("phone_hits").cast("long").alias("phone_hits"),
+                    F.col("date_hits").cast("long").alias("date_hits"), is_phi.alias("is_phi"),
+                    F.when(is_phi, F.when(F.col("_high"), "HIGH").otherwise("MEDIUM")).alias("risk_level"),
+                    F.coalesce("sample", F.lit("")).alias("sample"))
+
+
 def privacy_check(report: DataFrame) -> DataFrame:
     """PHI-2: compliance score 100 - 20/HIGH - 10/MEDIUM (>= 0) and status."""
     out = report.agg(F.count(F.lit(1)).alias("total_columns"),

@@ -8,6 +8,7 @@ DataFrames; the score is summed from them.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -174,6 +175,19 @@ def imbalance_report(df: DataFrame) -> DataFrame:
                 "ratio", F.lit(5).alias("penalty"))
 
 
+def mixed_type_sample(df: DataFrame, key_cols: Sequence[str], sample: int = 100) -> DataFrame:
+    """DQ-7 as the reference computes it: the first ``sample`` non-null values
+    of each text column (in key order), numeric-looking share between 10 and
+    90 %.  Returns (column, non_null, numeric_like, mixed_type)."""
+    from .profile import first_values
+    txt = [f.name for f in df.schema.fields if is_text(f.dataType)]
+    vals = first_values(df, txt, key_cols, sample)
+    agg = vals.groupBy("column").agg(F.count(F.lit(1)).alias("non_null"),
+                                     F.count_if(F.col("value").rlike(NUMERIC_TEXT)).alias("numeric_like"))
+    share = F.col("numeric_like") / F.col("non_null")
+    return agg.withColumn("mixed_type", (F.col("numeric_like") > 0) & (share < MIXED_HIGH) & (share > MIXED_LOW))
+
+
 def column_flags(cols: DataFrame) -> DataFrame:
     """DQ-5 constant (-5) / binary note, DQ-6 high cardinality, DQ-7 mixed
     numeric/text values, one row per column."""
