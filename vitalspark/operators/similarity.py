@@ -157,12 +157,23 @@ def similar_rows(df: DataFrame, feature_cols: Sequence[str], key_cols: Sequence[
     """PAT-5: neighbours of existing rows, self excluded.  Features are
     coerced, mean-imputed (not dropped) and standardised."""
     cols = require_numeric(df, feature_cols, "C")
-    means = df.agg(*[F.avg(qcol(c).cast("double")).alias(c) for c in cols]).first().asDict()
+    # One aggregate gives the imputation means and the population std of the
+    # imputed columns: imputing the mean keeps the mean and scales the
+    # variance by (non-null count / row count).
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    for i, c in enumerate(cols):
+        v = qcol(c).cast("double")
+        aggs += [F.count(v).alias(f"k{i}"), F.avg(v).alias(f"m{i}"), F.var_pop(v).alias(f"v{i}")]
+    row = df.agg(*aggs).first()
+    n = row["_n"] or 0
+    means = {c: (row[f"m{i}"] if row[f"m{i}"] is not None else 0.0) for i, c in enumerate(cols)}
+    m = [means[c] for c in cols]
+    s = []
+    for i, _ in enumerate(cols):
+        var = (row[f"v{i}"] or 0.0) * (row[f"k{i}"] or 0) / n if n else 0.0
+        s.append(var ** 0.5 if var > 0 else 1.0)
     filled = df.select(*[qcol(c) for c in key_cols],
-                       *[F.coalesce(qcol(c).cast("double"), F.lit(means[c] if means[c] is not None else 0.0)).alias(c)
-                         for c in cols])
-    vec = _as_vector(cols)
-    m, s = scale_stats(filled, vec, len(cols))
+                       *[F.coalesce(qcol(c).cast("double"), F.lit(means[c])).alias(c) for c in cols])
     cond = F.lit(False)
     for key in query_keys:
         one = F.lit(True)
