@@ -47,12 +47,18 @@ def standardise_features(df: DataFrame, feature_cols: Sequence[str], key_cols: S
 
 def kmeans(st: Standardised, k: int = 3, n_init: int = N_INIT, seed: int = SEED, max_iter: int = 300):
     """ML-9: best of ``n_init`` seeded K-means fits (lowest cost)."""
-    best = None
+    from concurrent.futures import ThreadPoolExecutor
     data = P.iteration_input(st.data)
-    for i in range(n_init):
-        m = KMeans(k=k, seed=seed + i, maxIter=max_iter, initMode="k-means||").fit(data)
-        if best is None or m.summary.trainingCost < best.summary.trainingCost:
-            best = m
+    data.count()
+
+    def one(i):
+        return KMeans(k=k, seed=seed + i, maxIter=max_iter, initMode="k-means||").fit(data)
+    # The restarts are independent jobs: submit a few at once so small fits
+    # overlap instead of leaving cores idle; the lowest cost wins (ties: the
+    # earliest seed).
+    with ThreadPoolExecutor(max_workers=min(n_init, 4)) as pool:
+        models = list(pool.map(one, range(n_init)))
+    best = min(enumerate(models), key=lambda im: (im[1].summary.trainingCost, im[0]))[1]
     labelled = best.transform(st.data).withColumnRenamed("prediction", "cluster")
     data.unpersist()
     return best, labelled

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import complete_rows, qcol, require_numeric
-from ..plans.aggregates import bounded_rows
+from ..plans.aggregates import bounded_rows, spread_for_cpu
 from ..plans.ordered import exact_quantiles
 from ..session import cut_lineage
 
@@ -171,11 +171,8 @@ def score(work: DataFrame, feature_cols: Sequence[str], trees: list[np.ndarray],
         x = np.column_stack([c.to_numpy(dtype=float) for c in cols])
         return pd.Series(np.power(2.0, -path_lengths(x, bc.value) / norm))
 
-    # Scoring is CPU-bound Python: spread a table that arrives in fewer
-    # partitions than there are cores (a no-op on a large input).
-    parts = spark.sparkContext.defaultParallelism
-    if work.rdd.getNumPartitions() < parts:
-        work = work.repartition(parts)
+    # Scoring is CPU-bound Python: use every core.
+    work = spread_for_cpu(work)
     return work.withColumn("anomaly_score", _score(*[qcol(c).cast("double") for c in feature_cols]))
 
 

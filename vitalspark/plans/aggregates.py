@@ -64,3 +64,12 @@ def unpivot_values(df: DataFrame, cols: Sequence[str], value_type: str = "double
              for c in cols]
     return df.select(*[F.col(f"`{k}`") for k in keep], F.explode(F.array(*items)).alias("_u")) \
         .select(*[F.col(f"`{k}`") for k in keep], "_u.column", "_u.value")
+
+
+def spread_for_cpu(df: DataFrame) -> DataFrame:
+    """CPU-heavy per-row work (regular expressions over long texts, Python
+    scoring) should use every core.  An input stored as one Parquet row
+    group arrives as one partition; spread it round-robin when it has fewer
+    partitions than the cluster has cores.  A large input is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
