@@ -9,34 +9,40 @@ from ..operators import risk
 from .base import LINEITEM_KEY, LINEITEM_NUM, register, table
 
 _KEYS = ", ".join(LINEITEM_KEY)
-_COMPLETE = " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in LINEITEM_NUM)
 
 
-def _stats_cte() -> str:
+def _complete(cols) -> str:
+    return " AND ".join(f"{c} IS NOT NULL AND NOT isnan(CAST({c} AS DOUBLE))" for c in cols)
+
+
+_COMPLETE = _complete(LINEITEM_NUM)
+
+
+def _stats_cte(tbl: str = "lineitem", cols=LINEITEM_NUM) -> str:
     parts = []
-    for i, c in enumerate(LINEITEM_NUM):
+    for i, c in enumerate(cols):
         parts.append(f"avg({c}) AS m{i}, coalesce(nullif(stddev_samp({c}), 0), 1) AS s{i}")
-    return (f"w AS (SELECT * FROM lineitem WHERE {_COMPLETE}), "
+    return (f"w AS (SELECT * FROM {tbl} WHERE {_complete(cols)}), "
             f"s AS (SELECT {', '.join(parts)} FROM w)")
 
 
-def _thresholds_sql() -> str:
+def _thresholds_sql(tbl: str = "lineitem", cols=LINEITEM_NUM) -> str:
     rows = []
-    for i, c in enumerate(LINEITEM_NUM):
+    for i, c in enumerate(cols):
         rows.append(f"SELECT '{c}' AS \"column\", round(m{i}, 3) AS mean, round(s{i}, 3) AS std, "
                     f"round(m{i} + 2 * s{i}, 3) AS high, round(m{i} + 3 * s{i}, 3) AS critical_high, "
                     f"round(m{i} - 2 * s{i}, 3) AS low FROM s")
-    return f"WITH {_stats_cte()}, t AS ({' UNION ALL '.join(rows)}) SELECT * FROM t"
+    return f"WITH {_stats_cte(tbl, cols)}, t AS ({' UNION ALL '.join(rows)}) SELECT * FROM t"
 
 
-def _score_sql() -> str:
+def _score_sql(tbl: str = "lineitem", cols=LINEITEM_NUM, keys=LINEITEM_KEY) -> str:
     terms = []
-    for i, c in enumerate(LINEITEM_NUM):
+    for i, c in enumerate(cols):
         terms.append(f"least(abs(({c} - t{i}m) / coalesce(nullif(t{i}s, 0), 1)), 3)")
-    rnd = ", ".join(f"round(m{i}, 3) AS t{i}m, round(s{i}, 3) AS t{i}s" for i in range(len(LINEITEM_NUM)))
-    n = float(len(LINEITEM_NUM))
-    return (f"WITH {_stats_cte()}, r AS (SELECT {rnd} FROM s), "
-            f"sc AS (SELECT {_KEYS}, least(round(({' + '.join(terms)}) / {n} / 3.0 * 100.0, 1), 100.0) "
+    rnd = ", ".join(f"round(m{i}, 3) AS t{i}m, round(s{i}, 3) AS t{i}s" for i in range(len(cols)))
+    n = float(len(cols))
+    return (f"WITH {_stats_cte(tbl, cols)}, r AS (SELECT {rnd} FROM s), "
+            f"sc AS (SELECT {', '.join(keys)}, least(round(({' + '.join(terms)}) / {n} / 3.0 * 100.0, 1), 100.0) "
             f"AS risk_score FROM w CROSS JOIN r)")
 
 
@@ -49,10 +55,10 @@ RISK_DISTRIBUTION_SQL = _score_sql() + (
     " round(count_if(risk_score > 60) / greatest(count(*), 1) * 100, 4) AS high_risk_percent FROM sc")
 
 
-def _alerts_sql() -> str:
-    th = _thresholds_sql().rsplit(" SELECT * FROM t", 1)[0]
+def _alerts_sql(tbl: str = "lineitem", cols=LINEITEM_NUM) -> str:
+    th = _thresholds_sql(tbl, cols).rsplit(" SELECT * FROM t", 1)[0]
     per_col = []
-    for c in LINEITEM_NUM:
+    for c in cols:
         per_col.append(
             f"SELECT '{c}' AS \"column\", (SELECT count(*) FROM w) AS n,"
             f" count_if({c} > (SELECT critical_high FROM t WHERE \"column\" = '{c}')) AS crit,"
@@ -144,3 +150,22 @@ def risk_change_by_user(spark, sf_dir):
     return c.select("user_id", "column", r4(F.col("recent_avg")).alias("recent_avg"),
                     r4(F.col("overall_avg")).alias("overall_avg"),
                     r4(F.col("change_percent")).alias("change_percent"), "direction", "is_alert")
+
+
+
+# The same engine on a heavy-tailed column, so the alert levels fire.
+_DOC_NUM = ("n_chars",)
+
+
+@register("risk_alerts_docs", "RSK-1 RSK-2", _alerts_sql("documents", _DOC_NUM))
+def risk_alerts_docs(spark, sf_dir):
+    work, cols = risk.prepare(table(spark, sf_dir, "documents"), _DOC_NUM)
+    a = risk.threshold_alerts(work, risk.thresholds(work, cols))
+    return a.select("column", "level", "count", r4(F.col("percent")).alias("percent"))
+
+
+@register("risk_top_docs", "RSK-5 RSK-6 SRT-1",
+          _score_sql("documents", _DOC_NUM, ("doc_id",)) + " SELECT * FROM sc ORDER BY risk_score DESC, doc_id LIMIT 10")
+def risk_top_docs(spark, sf_dir):
+    work, cols = risk.prepare(table(spark, sf_dir, "documents"), _DOC_NUM)
+    return risk.top_risk(risk.risk_scores(work, risk.thresholds(work, cols), ["doc_id"]), ["doc_id"])
