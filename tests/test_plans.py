@@ -51,3 +51,24 @@ def test_exact_quantiles_heavy_ties(spark):
     got = {r["p"]: r["q"] for r in exact_quantiles(df, [], "value", probs).collect()}
     for p in probs:
         assert got[p] == pytest.approx(float(np.quantile(vals, p)))
+
+
+def test_exact_quantiles_narrowing_rounds(spark, monkeypatch):
+    # A tiny band limit forces the narrowing rounds that huge inputs need;
+    # the sorted fallback must not be needed.
+    import vitalspark.plans.ordered as O
+
+    def no_fallback(*a, **k):
+        raise AssertionError("fell back to the sorted path")
+    monkeypatch.setattr(O, "exact_quantiles_sorted", no_fallback)
+    rng = np.random.default_rng(5)
+    vals = np.round(rng.normal(size=20000), 6)
+    df = spark.createDataFrame([("a" if i % 3 else "b", float(v)) for i, v in enumerate(vals)],
+                               "column string, value double")
+    probs = [0.01, 0.25, 0.5, 0.999]
+    got = {(r["column"], r["p"]): r["q"] for r in
+           exact_quantiles(df, ["column"], "value", probs, max_band_rows=20).collect()}
+    for name, sel in (("a", [i % 3 != 0 for i in range(len(vals))]), ("b", [i % 3 == 0 for i in range(len(vals))])):
+        sub = vals[np.array(sel)]
+        for p in probs:
+            assert got[(name, p)] == pytest.approx(float(np.quantile(sub, p)))

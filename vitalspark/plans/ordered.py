@@ -101,34 +101,40 @@ MAX_BAND_ROWS = 2_000_000     # distinct (group, p, value) rows brought back per
 
 
 def exact_quantiles(long_df: DataFrame, group_cols: Sequence[str], value_col: str,
-                    probs: Sequence[float], max_groups: int = 100_000) -> DataFrame:
+                    probs: Sequence[float], max_groups: int = 100_000,
+                    max_band_rows: int | None = None) -> DataFrame:
     """Linear-interpolated quantiles per group, exact.
 
-    Two scans: ``percentile_approx`` (rank error <= n / accuracy) brackets
-    each target rank with a value band; one counting pass then gives, per
-    (group, p), the exact number of values below the band and the distinct
-    values inside it, from which the two order statistics around p * (n - 1)
-    are read.  Only the bands (a few rows per group and p) leave the
-    executors.  If a band ever misses its ranks, or the bands are too big,
-    the fully distributed path (``exact_quantiles_sorted``) answers instead.
+    ``percentile_approx`` (rank error <= n / accuracy) brackets each target
+    rank with a value band.  A counting pass gives, per (group, p), the exact
+    number of values below the band and the distinct values inside it.  When
+    the bands are small they are read and the two order statistics around
+    p * (n - 1) are picked; when they are not (huge n), approximate quantiles
+    on a fine grid *inside* each band narrow it and the count repeats -- every
+    round shrinks a band by about three orders of magnitude, so even 10^12
+    rows need only a few scans.  Nothing but bands (bounded) leaves the
+    executors.  Should a band ever miss its ranks the fully sorted path
+    (``exact_quantiles_sorted``) answers instead.
     """
     from .aggregates import bounded_rows
     spark = long_df.sparkSession
+    limit = max_band_rows or MAX_BAND_ROWS
     group_cols = list(group_cols)
     probs = [float(p) for p in probs]
     v = F.col(value_col).cast("double")
-    clean = long_df.where(F.col(value_col).isNotNull())
+    clean = long_df.where(F.col(value_col).isNotNull()).select(*group_cols, v.alias("_v"))
     eps = BAND_MARGIN / APPROX_ACCURACY
     band_p = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-eps, eps)})
     approx = clean.groupBy(*group_cols).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx(v, band_p, APPROX_ACCURACY).alias("_b"),
-        F.min(v).alias("_min"), F.max(v).alias("_max"))
+        F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", band_p, APPROX_ACCURACY).alias("_b"),
+        F.min("_v").alias("_min"), F.max("_v").alias("_max"))
     heads = bounded_rows(approx, max_groups)
+    out_schema = (long_df.select(*group_cols).schema.add("p", "double").add("q", "double") if group_cols
+                  else "p double, q double")
     if not heads:
-        return spark.createDataFrame([], ", ".join([f"`{g}` string" for g in group_cols] + ["p double", "q double"])) \
-            if group_cols else spark.createDataFrame([], "p double, q double")
-    targets = []   # (group values..., p, lo_value, hi_value, k_lo, k_hi, frac)
+        return spark.createDataFrame([], out_schema)
+    # target: group key + p -> [lo, hi, k_lo, k_hi, frac]
+    targets: dict[tuple, list] = {}
     for r in heads:
         n = r["_n"]
         bmap = dict(zip(band_p, r["_b"]))
@@ -138,50 +144,78 @@ def exact_quantiles(long_df: DataFrame, group_cols: Sequence[str], value_col: st
             k_hi = min(k_lo + 1, n - 1)
             lo = r["_min"] if p - eps <= 0 else bmap[min(1.0, max(0.0, p - eps))]
             hi = r["_max"] if p + eps >= 1 else bmap[min(1.0, max(0.0, p + eps))]
-            targets.append((*[r[g] for g in group_cols], p, float(lo), float(hi), k_lo, k_hi, h - k_lo))
-    tdf = spark.createDataFrame(targets, long_df.select(*group_cols).schema.add("p", "double")
-                                .add("_lo", "double").add("_hi", "double").add("_klo", "long")
-                                .add("_khi", "long").add("_frac", "double")) if group_cols else \
-        spark.createDataFrame([t for t in targets], "p double, _lo double, _hi double, _klo long, _khi long, "
-                                                    "_frac double")
-    joined = clean.select(*group_cols, v.alias("_v")).join(F.broadcast(tdf), group_cols) if group_cols else \
-        _with_targets(clean.select(v.alias("_v")), targets)
-    below = joined.where(F.col("_v") < F.col("_lo")).groupBy(*group_cols, "p").agg(F.count(F.lit(1)).alias("_below"))
-    band = joined.where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))) \
-        .groupBy(*group_cols, "p", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    band_rows = band.limit(MAX_BAND_ROWS + 1).collect()
-    if len(band_rows) > MAX_BAND_ROWS:
-        return exact_quantiles_sorted(long_df, group_cols, value_col, probs, max_groups)
-    below_map = {tuple(r[g] for g in group_cols) + (r["p"],): r["_below"] for r in bounded_rows(below, len(targets))}
+            targets[tuple(r[g] for g in group_cols) + (p,)] = [float(lo), float(hi), k_lo, k_hi, h - k_lo]
+    for _ in range(MAX_NARROWING_ROUNDS):
+        joined = _attach_targets(clean, group_cols, targets)
+        in_band = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
+        below = {tuple(r[g] for g in group_cols) + (r["p"],): r["_below"] for r in bounded_rows(
+            joined.groupBy(*group_cols, "p").agg(F.count_if(F.col("_v") < F.col("_lo")).alias("_below")),
+            len(targets))}
+        band = joined.where(in_band).groupBy(*group_cols, "p", "_v").agg(F.count(F.lit(1)).alias("_c"))
+        band_rows = band.limit(limit + 1).collect()
+        if len(band_rows) <= limit:
+            picked = _pick(targets, below, band_rows, group_cols)
+            if picked is None:
+                return exact_quantiles_sorted(long_df, group_cols, value_col, probs, max_groups)
+            return spark.createDataFrame(picked, out_schema)
+        # Too many distinct values in the bands: narrow each band with
+        # approximate quantiles computed on its own rows.
+        grid = [i / NARROW_GRID for i in range(NARROW_GRID + 1)]
+        stats = bounded_rows(joined.where(in_band).groupBy(*group_cols, "p").agg(
+            F.count(F.lit(1)).alias("_m"), F.percentile_approx("_v", grid, APPROX_ACCURACY).alias("_g")),
+            len(targets))
+        for r in stats:
+            key = tuple(r[g] for g in group_cols) + (r["p"],)
+            lo, hi, k_lo, k_hi, frac = targets[key]
+            m, g = r["_m"], r["_g"]
+            start = below.get(key, 0)
+            if m <= 1:
+                continue
+            slack = eps + 1.0 / NARROW_GRID
+            f_lo = max(0.0, (k_lo - start) / (m - 1) - slack)
+            f_hi = min(1.0, (k_hi - start) / (m - 1) + slack)
+            i_lo = int(f_lo * NARROW_GRID)
+            i_hi = min(NARROW_GRID, int(-(-f_hi * NARROW_GRID // 1)))
+            targets[key] = [float(g[i_lo]) if i_lo > 0 else lo, float(g[i_hi]) if i_hi < NARROW_GRID else hi,
+                            k_lo, k_hi, frac]
+    return exact_quantiles_sorted(long_df, group_cols, value_col, probs, max_groups)
+
+
+MAX_NARROWING_ROUNDS = 6
+NARROW_GRID = 1000
+
+
+def _attach_targets(clean: DataFrame, group_cols: list, targets: dict) -> DataFrame:
+    """Every value row next to the (few) targets of its group: a broadcast
+    equi-join on the group, or literals when there is no group."""
+    rows = [(*key, lo, hi) for key, (lo, hi, *_rest) in targets.items()]
+    if not group_cols:
+        arr = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(lo).alias("_lo"), F.lit(hi).alias("_hi"))
+                        for p, lo, hi in rows])
+        return clean.select("_v", F.explode(arr).alias("_t")).select("_v", "_t.p", "_t._lo", "_t._hi")
+    schema = clean.select(*group_cols).schema.add("p", "double").add("_lo", "double").add("_hi", "double")
+    tdf = clean.sparkSession.createDataFrame(rows, schema)
+    return clean.join(F.broadcast(tdf), group_cols)
+
+
+def _pick(targets: dict, below: dict, band_rows: list, group_cols: list) -> list | None:
+    """Order statistics from the bands; None when a band misses its rank."""
     bands: dict = {}
     for r in band_rows:
         bands.setdefault(tuple(r[g] for g in group_cols) + (r["p"],), []).append((r["_v"], r["_c"]))
     out = []
-    for t in targets:
-        key = tuple(t[:len(group_cols)]) + (t[len(group_cols)],)
-        _, _, _, k_lo, k_hi, frac = t[len(group_cols):]
-        start = below_map.get(key, 0)
-        vals = sorted(bands.get(key, []))
+    for key, (_, _, k_lo, k_hi, frac) in targets.items():
+        pos = below.get(key, 0)
         pick = {}
-        pos = start
-        for val, c in vals:
+        for val, c in sorted(bands.get(key, [])):
             for k in (k_lo, k_hi):
                 if pos <= k < pos + c:
                     pick[k] = val
             pos += c
         if k_lo not in pick or k_hi not in pick:
-            return exact_quantiles_sorted(long_df, group_cols, value_col, probs, max_groups)
+            return None
         out.append((*key, pick[k_lo] + (pick[k_hi] - pick[k_lo]) * frac))
-    schema = long_df.select(*group_cols).schema.add("p", "double").add("q", "double") if group_cols \
-        else "p double, q double"
-    return spark.createDataFrame(out, schema)
-
-
-def _with_targets(df: DataFrame, targets: list[tuple]) -> DataFrame:
-    """Ungrouped case: every row meets the (few) targets as literals."""
-    arr = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(lo).alias("_lo"), F.lit(hi).alias("_hi"))
-                    for p, lo, hi, *_ in targets])
-    return df.select("_v", F.explode(arr).alias("_t")).select("_v", "_t.p", "_t._lo", "_t._hi")
+    return out
 
 
 def exact_quantiles_sorted(long_df: DataFrame, group_cols: Sequence[str], value_col: str,
