@@ -98,7 +98,10 @@ def regression_metrics(preds: DataFrame) -> DataFrame:
 def classification_report(preds: DataFrame, classes: Sequence[str] = ()) -> DataFrame:
     """ML-6: per class precision / recall / f1 / support, then accuracy,
     macro and weighted averages; a zero denominator gives 0."""
-    pairs = preds.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
+    # The (label, prediction) counts are tiny and feed four report parts:
+    # materialise them once instead of re-scoring the test rows per part.
+    from ..session import cut_lineage
+    pairs = cut_lineage(preds.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n")))
     per_label = pairs.groupBy(F.col("label").alias("cls")).agg(
         F.sum("n").alias("support"), F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n"))).alias("tp"))
     per_pred = pairs.groupBy(F.col("prediction").alias("cls")).agg(F.sum("n").alias("predicted"))

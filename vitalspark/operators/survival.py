@@ -76,10 +76,9 @@ def km_curve(rows: DataFrame) -> DataFrame:
 def median_survival(curve: DataFrame) -> DataFrame:
     """SRV-3: first time whose survival rounded to 4 decimals is <= 0.5,
     NULL when the curve never gets there."""
-    ev = curve.where(~F.col("is_start"))
-    groups = curve.select("group").distinct()
-    med = ev.groupBy("group").agg(F.min(F.when(F.round("survival", 4) <= 0.5, F.col("t"))).alias("median_survival"))
-    return groups.join(med, "group", "left")
+    # Every group has its start row, so one aggregation covers all groups.
+    hit = (~F.col("is_start")) & (F.round("survival", 4) <= 0.5)
+    return curve.groupBy("group").agg(F.min(F.when(hit, F.col("t"))).alias("median_survival"))
 
 
 def event_summary(rows: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import complete_rows, qcol, require_numeric
 from ..plans.ordered import ordered_prefix
+from ..session import cut_lineage
 
 MAX_COLUMNS = 6          # fixed: the first 6 numeric columns
 MIN_WINDOW = 3           # fixed: moving-average window is max(3, n // 10)
@@ -48,7 +49,8 @@ def trend_input(df: DataFrame, value_cols: Sequence[str], order_cols: Sequence[s
     ])).alias("_u")).select(*group_cols, *order_cols, "_u.column", "_u.value")
     ranked = ordered_prefix(long, list(order_cols), [*group_cols, "column"], sums=[("cum", F.col("value").cast(PREFIX_TYPE))],
                             index_name="idx")
-    return TrendInput(ranked, group_cols, list(order_cols))
+    # Positions and running sums feed the fit and two lookups: materialise once.
+    return TrendInput(cut_lineage(ranked), group_cols, list(order_cols))
 
 
 def linear_trend(ti: TrendInput) -> DataFrame:
