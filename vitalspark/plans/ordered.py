@@ -14,9 +14,12 @@ every group across range partitions instead:
    the small segment table -> joined back.
 
 Positions, running sums and running products come out exactly as a global
-ordered window would give them.  ``exact_quantiles`` builds linear-interpolated
-quantiles (pandas/NumPy "linear", DuckDB ``quantile_cont``) on top of it,
-from distinct values, so no aggregation buffer ever holds a whole column.
+ordered window would give them.
+
+``exact_quantiles`` gives linear-interpolated quantiles (pandas/NumPy
+"linear", DuckDB ``quantile_cont``) exactly, from approximate brackets and
+exact counts; ``exact_quantiles_sorted`` is the fully sorted variant built
+on ``ordered_prefix``.  Neither holds a whole column in one buffer.
 """
 
 from __future__ import annotations
