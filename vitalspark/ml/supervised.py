@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import qcol
-from ..operators.profile import detect_tasks
+from ..functions.columns import is_numeric
+from ..operators.profile import MULTI_REGRESSION_DISTINCT, detect_tasks
 from . import prep as P
 
 # Fixed values of the reference's models (trees / stages per fit).
@@ -188,18 +189,21 @@ def compare_targets(df: DataFrame, feature_cols: Sequence[str], target_cols: Seq
     rows, top 6 features, ranked by performance.  The loop is over a bounded
     list of targets; every fit is a distributed job."""
     spark = df.sparkSession
-    tasks = {r["column"]: r["task_multi"] for r in detect_tasks(df.select(*[qcol(t) for t in target_cols
-                                                                            if t in df.columns])).collect()}
     rows = []
     for t in target_cols:
         if t not in df.columns:
             continue
         used = list(feature_cols) + [t]
-        n = df.dropna("any", subset=used).count()
+        complete = df.dropna("any", subset=used)
+        # Row count and the multi-target task rule, on the complete rows, in
+        # one aggregate.
+        head = complete.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(qcol(t)).alias("d")).first()
+        n = head["n"]
         if n < MULTI_TARGET_MIN_ROWS:
             rows.append((t, None, "error", n, None, None, "Too few rows after dropping nulls"))
             continue
-        task = tasks[t]
+        numeric = is_numeric(df.schema[t].dataType, "C")
+        task = "regression" if numeric and head["d"] > MULTI_REGRESSION_DISTINCT else "classification"
         fr = fit(df, feature_cols, t, key_cols, task=task, model_type="random_forest", trees=trees, depth=depth)
         if task == "regression":
             perf = regression_metrics(fr.predictions).first()["r2"]
