@@ -146,3 +146,14 @@ def test_components_paths_agree(spark):
     a = {r["node"]: r["comp"] for r in dbscan.connected_components(nodes, edges).collect()}
     b = {r["node"]: r["comp"] for r in dbscan.propagate_components(nodes, edges).collect()}
     assert a == b == {0: 0, 1: 0, 2: 0, 5: 0, 3: 3, 4: 4, 6: 6, 7: 7, 8: 7, 9: 9, 10: 9, 11: 9}
+
+
+def test_isolation_forest_large_input_sampling(spark):
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(size=(6000, 2)), rng.normal(loc=9, size=(10, 2))])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "k long, a double, b double")
+    trees = isoforest.fit_forest(df, ["a", "b"], ["k"], n_trees=20, sample_size=64)   # 6010 >= 4*64*20
+    assert len(trees) == 20 and all(t[0, 4] == 64 for t in trees)
+    out = isoforest.isolation_forest(df, ["a", "b"], ["k"], n_trees=20, sample_size=64)
+    flagged = {r["k"] for r in out.where("is_anomaly").collect()}
+    assert set(range(6000, 6010)) <= flagged

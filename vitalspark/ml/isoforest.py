@@ -1,8 +1,9 @@
 """Isolation forest (RSK-3) as a Spark job.
 
-1. Samples: tree t takes the 256 rows with the smallest hash u(key, t).  A
-   map-side pre-filter (u below ~4 x 256 / n) keeps the candidate set small,
-   then ``row_number() <= 256`` per tree (WindowGroupLimit) picks them.
+1. Samples: uniform per tree, chosen by row-key hashes (one hash per row on
+   large inputs, one per row and tree on small ones, see ``fit_forest``); a
+   map-side pre-filter keeps ~4 x 256 candidates per tree and
+   ``row_number() <= 256`` per tree (WindowGroupLimit) picks them.
 2. Trees: ``groupBy(tree).applyInPandas`` grows each tree from its 256 rows
    (NumPy, random feature and split between the node's min and max, depth
    limit ceil(log2 256) = 8).  A tree is at most 511 nodes, so the forest
@@ -136,14 +137,36 @@ def path_lengths(x: np.ndarray, trees: list[np.ndarray] | dict) -> np.ndarray:
 
 def fit_forest(work: DataFrame, feature_cols: Sequence[str], key_cols: Sequence[str], n_trees: int = N_TREES,
                sample_size: int = SAMPLE_SIZE, seed: int = SEED) -> list[np.ndarray]:
-    n = work.count()
-    keep = min(1.0, 4.0 * sample_size / max(n, 1))
-    trees = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree")
-    cand = work.select(*[qcol(k) for k in key_cols], *[qcol(c).cast("double").alias(c) for c in feature_cols], trees)
-    u = (F.abs(F.xxhash64(*[qcol(k) for k in key_cols], F.col("tree"), F.lit(seed))) % 1_000_000_007) / 1_000_000_007.0
-    cand = cand.withColumn("_u", u).where(F.col("_u") < keep)
+    """Grow the trees.  Each tree's sample is a uniform sample of the rows:
+
+    * large input (n >= 4 * sample_size * n_trees): ONE hash per row picks at
+      most one tree -- the hash range is cut into n_trees slices and the
+      lowest hashes of each slice form that tree's sample (samples do not
+      overlap, which changes nothing when n is this much larger than the
+      forest's total sample);
+    * small input: every tree hashes every row with its own seed (an
+      explode by tree, cheap at this size), so samples overlap as
+      independent draws do.
+    A map-side pre-filter keeps about 4 x sample_size candidates per tree and
+    ``row_number() <= sample_size`` (WindowGroupLimit) picks them."""
     from pyspark.sql import Window
-    w = Window.partitionBy("tree").orderBy("_u", *[qcol(k) for k in key_cols])
+    n = work.count()
+    keys = [qcol(k) for k in key_cols]
+    feats = [qcol(c).cast("double").alias(c) for c in feature_cols]
+    scale = 1_000_000_007
+    if n >= 4 * sample_size * n_trees:
+        u = (F.abs(F.xxhash64(*keys, F.lit(seed))) % scale) / float(scale)
+        slot = u * n_trees
+        keep = min(1.0, 4.0 * sample_size * n_trees / n)
+        cand = work.select(*keys, *feats, F.floor(slot).cast("int").alias("tree"), (slot - F.floor(slot)).alias("_u")) \
+            .where(F.col("_u") < keep)
+    else:
+        keep = min(1.0, 4.0 * sample_size / max(n, 1))
+        trees = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree")
+        cand = work.select(*keys, *feats, trees)
+        u = (F.abs(F.xxhash64(*keys, F.col("tree"), F.lit(seed))) % scale) / float(scale)
+        cand = cand.withColumn("_u", u).where(F.col("_u") < keep)
+    w = Window.partitionBy("tree").orderBy("_u", *keys)
     sample = cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample_size)
     built = sample.select("tree", "_u", *feature_cols).groupBy("tree").applyInPandas(
         _builder(feature_cols, sample_size, seed), TREE_SCHEMA)
