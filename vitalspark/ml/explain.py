@@ -1,9 +1,10 @@
 """Local explanations (ML-15) for any number of rows in one job.
 
 Contribution of feature i for a row = f(x) - f(x with x_i := mean_i), with
-the model fitted on all rows.  Each row is exploded into d+1 variants (the
-original and one per feature), the whole batch is scored with ONE
-``transform``, and each variant is compared with its row's original score.
+the model fitted on all rows.  The d+1 variants of a row (the original and
+one per feature) are scored by d+1 chained model projections on the same
+row, so the whole job is map-only: no explode before scoring, no shuffle,
+no join back.
 """
 
 from __future__ import annotations
@@ -31,23 +32,25 @@ def explain(df: DataFrame, feature_cols: Sequence[str], target_col: str, key_col
     enc = fr.prep.encoded_cols
     means = data.agg(*[F.avg(qcol(c)).alias(c) for c in enc]).first().asDict()
     d = len(enc)
-    variants = data.select(*[qcol(k) for k in key_cols], *[qcol(c) for c in enc],
-                           F.explode(F.sequence(F.lit(-1), F.lit(d - 1))).alias("_v"))
-    variants = variants.withColumns({c: F.when(F.col("_v") == i, F.lit(float(means[c]))).otherwise(qcol(c))
-                                     for i, c in enumerate(enc)})
-    vec = VectorAssembler(inputCols=enc, outputCol="features", handleInvalid="keep").transform(variants)
-    scored = fr.model.transform(vec).select(*key_cols, "_v", *enc, "prediction")
-    orig = scored.where(F.col("_v") == -1).select(*key_cols, *[qcol(c).alias(f"_x{i}") for i, c in enumerate(enc)],
-                                                  F.col("prediction").alias("_f"))
-    pert = scored.where(F.col("_v") >= 0).select(*key_cols, "_v", F.col("prediction").alias("_fp"))
-    j = pert.join(orig, list(key_cols))
-    value = F.element_at(F.array(*[F.col(f"_x{i}") for i in range(d)]), F.col("_v") + 1)
-    name = F.element_at(F.array(*[F.lit(c) for c in fr.prep.feature_cols]), F.col("_v") + 1)
-    contrib = F.col("_f") - F.col("_fp")
-    out = j.select(*key_cols, name.alias("feature"), value.alias("value"), F.col("_f").alias("prediction"),
-                   contrib.alias("contribution"),
-                   F.when(contrib > 0, "increases").otherwise("decreases").alias("direction"),
-                   F.abs(contrib).alias("magnitude"))
+    cur = data.select(*[qcol(k) for k in key_cols], *[qcol(c) for c in enc],
+                      *[F.lit(float(means[c])).alias(f"_m{i}") for i, c in enumerate(enc)])
+    # Variant -1 is the row itself; variant i has feature i set to its mean.
+    # Each variant is one more projection: assemble, score, keep the
+    # prediction -- all map-side, no explode, no join back.
+    for v in range(-1, d):
+        inputs = [f"_m{i}" if i == v else c for i, c in enumerate(enc)]
+        cur = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep").transform(cur)
+        cur = fr.model.transform(cur)
+        cur = cur.withColumnRenamed("prediction", f"_p{v + 1}") \
+            .drop(*[c for c in ("features", "rawPrediction", "probability") if c in cur.columns])
+    rows = [F.struct(F.lit(name).alias("feature"), qcol(c).cast("double").alias("value"),
+                     (F.col("_p0") - F.col(f"_p{i + 1}")).alias("contribution"))
+            for i, (name, c) in enumerate(zip(fr.prep.feature_cols, enc))]
+    exploded = cur.select(*key_cols, F.col("_p0").alias("prediction"), F.explode(F.array(*rows)).alias("_c"))
+    contrib = F.col("_c.contribution")
+    out = exploded.select(*key_cols, "_c.feature", "_c.value", "prediction", contrib.alias("contribution"),
+                          F.when(contrib > 0, "increases").otherwise("decreases").alias("direction"),
+                          F.abs(contrib).alias("magnitude"))
     base_vec = data.sparkSession.createDataFrame([tuple(float(means[c]) for c in enc)], enc)
     baseline = fr.model.transform(VectorAssembler(inputCols=enc, outputCol="features").transform(base_vec)) \
         .first()["prediction"]
