@@ -69,6 +69,10 @@ def test_snapshot_and_result_log(spark, patients):
     sinks.append_result(spark, log, "r2", "ds1", "regression", {"r2": 0.7}, created_at=dt.datetime(2024, 1, 2))
     latest = sinks.latest_per_key(spark.read.parquet(log), ["dataset_id"], ["created_at", "run_id"]).first()
     assert latest["run_id"] == "r2"
+    table_result = patients.groupBy("gender").agg(F.count("*").alias("n"))
+    sinks.append_results(table_result, log, "r3", "ds1", "group_sizes")
+    logged = spark.read.parquet(log).where("run_id = 'r3'").collect()
+    assert len(logged) == 2 and all('"n":15' in r["result_json"] for r in logged)
 
 
 def test_stream_equals_batch(spark):

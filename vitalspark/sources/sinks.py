@@ -42,6 +42,18 @@ def append_result(spark: SparkSession, path: str, run_id: str, dataset_id: str,
     spark.createDataFrame(row, RESULT_LOG_SCHEMA).write.mode("append").parquet(path)
 
 
+def append_results(results: DataFrame, path: str, run_id: str, dataset_id: str, task: str,
+                   target: str | None = None, model: str | None = None) -> None:
+    """SNK-2 for results that are DataFrames (one log row per result row):
+    each row is serialised with ``to_json(struct(*))`` on the executors."""
+    cols = [F.col(f"`{c}`") for c in results.columns]
+    results.select(F.lit(run_id).alias("run_id"), F.lit(dataset_id).alias("dataset_id"), F.lit(task).alias("task"),
+                   F.lit(None).cast("string").alias("features"), F.lit(target).cast("string").alias("target"),
+                   F.lit(model).cast("string").alias("model"), F.to_json(F.struct(*cols)).alias("result_json"),
+                   F.current_timestamp().cast("timestamp").alias("created_at")) \
+        .write.mode("append").parquet(path)
+
+
 def latest_per_key(df: DataFrame, key_cols: Sequence[str], order_cols: Sequence[str]) -> DataFrame:
     """SNK-3: the row with the greatest ``order_cols`` per key, one
     aggregation (``max_by`` with partial aggregation: a hot key collapses
