@@ -157,3 +157,24 @@ def test_isolation_forest_large_input_sampling(spark):
     out = isoforest.isolation_forest(df, ["a", "b"], ["k"], n_trees=20, sample_size=64)
     flagged = {r["k"] for r in out.where("is_anomaly").collect()}
     assert set(range(6000, 6010)) <= flagged
+
+
+def _brute_auto_eps(z):
+    d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(-1))
+    k5 = np.sort(d, axis=1)[:, min(4, len(z) - 1)]
+    return max(0.3, float(np.quantile(k5, 0.9)))
+
+
+@pytest.mark.parametrize("n_spread", [15, 400])
+def test_dbscan_auto_eps_against_brute_force(spark, n_spread):
+    rng = np.random.default_rng(n_spread)
+    x = np.vstack([rng.normal(0, 0.05, (300, 2)), rng.uniform(-3, 3, (n_spread, 2))])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "k long, a double, b double")
+    st = cluster.standardise_features(df, ["a", "b"], ["k"])
+    from pyspark.ml.functions import vector_to_array
+    pts = st.data.select(F.struct("k").alias("_key"), vector_to_array("features").alias("z"))
+    z = (x - x.mean(0)) / x.std(0)
+    assert dbscan.auto_eps(pts, 2, len(x)) == pytest.approx(_brute_auto_eps(z))
+    got = {r["k"]: r["cluster"] for r in dbscan.dbscan(df, ["a", "b"], ["k"]).collect()}
+    want = _brute_dbscan(z, _brute_auto_eps(z), max(3, len(x) // 20))
+    assert [got[i] for i in range(len(x))] == list(want)

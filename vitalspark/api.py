@@ -161,7 +161,7 @@ def run_classification(df: DataFrame, feature_cols: Sequence[str], target_col: s
 
 
 def run_clustering(df: DataFrame, feature_cols: Sequence[str], key_cols: Sequence[str], n_clusters: int = 3,
-                   model_type: str = "kmeans", eps: float = _dbscan.EPS_FLOOR,
+                   model_type: str = "kmeans", eps: float | None = None,
                    min_samples: int | None = None) -> dict:
     st = _cluster.standardise_features(df, feature_cols, key_cols)
     if model_type == "dbscan":

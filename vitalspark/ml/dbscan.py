@@ -152,7 +152,10 @@ def _box_gap(off: tuple, fine: float) -> tuple[float, float]:
     return near, far
 
 
-def _low_dim(pts: DataFrame, d: int, eps: float, min_samples: int) -> DataFrame:
+def _low_dim_core(pts: DataFrame, d: int, eps: float, min_samples: int):
+    """Core flags (>= min_samples points within eps, self included) for
+    d <= 3, without pairs inside dense cells or fully covered sub-cells.
+    Returns (full, close, core, offs, fine)."""
     side = eps / math.sqrt(d)
     fine = side / SUB
     reach = int(math.ceil(eps / fine))
@@ -179,6 +182,11 @@ def _low_dim(pts: DataFrame, d: int, eps: float, min_samples: int) -> DataFrame:
     core = pts.join(degree, "_key", "left").withColumn(
         "is_core", F.col("_dense") | ((F.coalesce("_d1", F.lit(0)) + F.coalesce("_d2", F.lit(0))) >= min_samples))
     core = cut_lineage(core.select("_key", "cell", "sub", "z", "is_core"))
+    return full, close, core, offs, fine
+
+
+def _low_dim(pts: DataFrame, d: int, eps: float, min_samples: int) -> DataFrame:
+    full, close, core, offs, fine = _low_dim_core(pts, d, eps, min_samples)
 
     # Nodes = cells holding core points.
     cores = core.where("is_core")
@@ -212,7 +220,8 @@ def _low_dim(pts: DataFrame, d: int, eps: float, min_samples: int) -> DataFrame:
     return core.join(core_lab, "_key", "left").join(border, "_key", "left")
 
 
-def _high_dim(pts: DataFrame, eps: float, min_samples: int) -> DataFrame:
+def _high_dim_core(pts: DataFrame, eps: float, min_samples: int):
+    """Core flags for d > 3 from exact pairs within eps; (pairs, core)."""
     g = 3
     offs = _offsets(g, 1)
     pts = cut_lineage(pts.withColumn("cell", F.array(*[F.floor(F.col("z")[j] / eps) for j in range(g)])))
@@ -224,6 +233,11 @@ def _high_dim(pts: DataFrame, eps: float, min_samples: int) -> DataFrame:
     core = cut_lineage(pts.join(degree, "_key", "left")
                        .withColumn("is_core", F.coalesce("_deg", F.lit(0)) >= min_samples)
                        .select("_key", "cell", "z", "is_core"))
+    return pairs, core
+
+
+def _high_dim(pts: DataFrame, eps: float, min_samples: int) -> DataFrame:
+    pairs, core = _high_dim_core(pts, eps, min_samples)
     ids = cut_lineage(ordered_prefix(core.where("is_core").select("_key"), ["_key"], [], index_name="node"))
     edges = pairs.join(ids, "_key").join(ids.select(F.col("_key").alias("_qkey"), F.col("node").alias("v")), "_qkey") \
         .select(F.col("node").alias("u"), "v").where(F.col("u") != F.col("v")).distinct()
@@ -234,15 +248,83 @@ def _high_dim(pts: DataFrame, eps: float, min_samples: int) -> DataFrame:
     return core.join(core_lab, "_key", "left").join(border, "_key", "left")
 
 
-def dbscan(df: DataFrame, feature_cols: Sequence[str], key_cols: Sequence[str], eps: float = EPS_FLOOR,
+KNN = 5               # fixed: automatic eps looks at the 5th nearest point, self included
+EPS_QUANTILE = 0.9    # fixed: ... at its 90th percentile
+
+
+def _kth_distance(query: DataFrame, pts: DataFrame, d: int, k: int, start: float) -> DataFrame:
+    """Exact distance from each query point to its k-th nearest point of
+    ``pts`` (self included): grid search with a radius that doubles only for
+    the points not yet resolved.  Points outside the 3^g cells of side R
+    around p are at least R away, so a k-th distance <= R is final."""
+    from pyspark.sql import Window
+    g = min(d, 3)
+    offs = _offsets(g, 1)
+    radius = start
+    unresolved = cut_lineage(query.select("_key", "z"))
+    found = []
+    for _ in range(64):
+        cell = F.array(*[F.floor(F.col("z")[j] / radius) for j in range(g)])
+        probe = unresolved.withColumn("cell", cell).select("_key", "z", F.explode(_shifted("cell", offs)).alias("cell"))
+        cand = pts.select(cell.alias("cell"), F.col("z").alias("_qz"))
+        dist = probe.join(cand, "cell").select("_key", _dist(F.col("z"), F.col("_qz")).alias("_d"))
+        w = Window.partitionBy("_key").orderBy("_d")
+        top = dist.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k) \
+            .groupBy("_key").agg(F.count(F.lit(1)).alias("_c"), F.max("_d").alias("_kd"))
+        done = cut_lineage(top.where((F.col("_c") >= k) & (F.col("_kd") <= radius)).select("_key", "_kd"))
+        found.append(done)
+        unresolved = cut_lineage(unresolved.join(done, "_key", "left_anti"))
+        if unresolved.limit(1).count() == 0:
+            break
+        radius *= 2
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def auto_eps(pts: DataFrame, d: int, n: int) -> float:
+    """eps = max(0.3, linear 90th percentile of the distance to the 5th
+    nearest point, self included), exactly.  One hot-spot-safe degree count
+    at radius 0.3 settles the usual case (that percentile is below 0.3);
+    otherwise exact k-th distances are computed for the points beyond 0.3
+    only (all points in the rare case where the percentile straddles 0.3)."""
+    if n < 2:
+        return EPS_FLOOR
+    k = min(KNN, n)
+    core = _low_dim_core(pts, d, EPS_FLOOR, k)[2] if d <= 3 else _high_dim_core(pts, EPS_FLOOR, k)[1]
+    within = core.where("is_core").count()          # points with k-th distance <= 0.3
+    h = EPS_QUANTILE * (n - 1)
+    k_lo = int(h // 1)
+    k_hi = min(k_lo + 1, n - 1)
+    frac = h - k_lo
+    if within >= k_hi + 1:
+        return EPS_FLOOR
+    if within <= k_lo:
+        query, base = core.where(~F.col("is_core")).select("_key", "z"), within
+    else:
+        query, base = pts, 0
+    kd = _kth_distance(query, pts, d, k, 2 * EPS_FLOOR)
+    ranked = ordered_prefix(kd, ["_kd", "_key"], [], index_name="_i")
+    picks = {r["_i"]: r["_kd"] for r in ranked.where(F.col("_i").isin(k_lo - base, k_hi - base)).collect()}
+    v_lo, v_hi = picks[k_lo - base], picks[k_hi - base]
+    return max(EPS_FLOOR, v_lo + frac * (v_hi - v_lo))
+
+
+def dbscan(df: DataFrame, feature_cols: Sequence[str], key_cols: Sequence[str], eps: float | None = None,
            min_samples: int | None = None) -> DataFrame:
-    """key..., cluster (-1 = noise), is_core for every complete row."""
+    """key..., cluster (-1 = noise), is_core for every complete row.  With
+    ``eps=None`` eps is chosen as the reference does (``auto_eps``); with
+    ``min_samples=None`` it is max(3, n // 20)."""
     st = standardise_features(df, feature_cols, key_cols)
     d = len(st.feature_cols)
     keys = [qcol(k) for k in key_cols]
     pts = st.data.select(F.struct(*keys).alias("_key"), vector_to_array("features").alias("z"))
+    n = pts.count() if (min_samples is None or eps is None) else None
     if min_samples is None:
-        min_samples = default_min_samples(pts.count())
+        min_samples = default_min_samples(n)
+    if eps is None:
+        eps = auto_eps(pts, d, n)
     out = _low_dim(pts, d, eps, min_samples) if d <= 3 else _high_dim(pts, eps, min_samples)
     label = F.when(F.col("is_core"), F.col("cluster")).otherwise(F.coalesce(F.col("_bc"), F.lit(-1)))
     return out.select(*[F.col("_key")[k].alias(k) for k in key_cols], label.cast("long").alias("cluster"),
