@@ -48,3 +48,9 @@ def test_mixed_type_sample_parity(spark):
     first100 = {r["column"]: r for r in quality.mixed_type_sample(df, ["id"]).collect()}
     assert whole["s"]["mixed_type"]            # 50 / 300 numeric-looking overall
     assert first100["s"]["mixed_type"] and first100["s"]["numeric_like"] == 50
+
+
+def test_quality_approx_distinct_option(patients):
+    exact = {r["column"]: r["distinct"] for r in quality.column_pass(patients).collect()}
+    approx = {r["column"]: r["distinct"] for r in quality.column_pass(patients, approx_distinct=True).collect()}
+    assert exact == approx   # HyperLogLog++ is exact at this cardinality

@@ -55,17 +55,20 @@ class QualityReport:
     score: DataFrame
 
 
-def column_pass(df: DataFrame, with_distinct: bool = True) -> DataFrame:
+def column_pass(df: DataFrame, with_distinct: bool = True, approx_distinct: bool = False) -> DataFrame:
     """DQ-1, 5, 6, 7 from one aggregate: one row per column.  Distinct
-    counts (the expensive part: one exact distinct set per column) only
-    when asked for."""
+    counts (the expensive part: one exact distinct set per column, i.e. an
+    Expand of the rows per column) only when asked for; ``approx_distinct``
+    swaps them for HyperLogLog sketches (no Expand, a few KB per column) on
+    very wide tables."""
     df = nan_to_null(df)
     fields = df.schema.fields
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, f in enumerate(fields):
         c = qcol(f.name)
+        distinct = F.approx_count_distinct(c) if approx_distinct else F.count_distinct(c)
         aggs += [F.count_if(c.isNull()).alias(f"n{i}"),
-                 (F.count_distinct(c) if with_distinct else F.lit(None).cast("long")).alias(f"d{i}")]
+                 (distinct if with_distinct else F.lit(None).cast("long")).alias(f"d{i}")]
         if with_distinct and is_text(f.dataType):
             aggs += [F.count(c).alias(f"v{i}"), F.count_if(c.rlike(NUMERIC_TEXT)).alias(f"x{i}")]
     wide = df.agg(*aggs)
@@ -217,9 +220,9 @@ def quality_score(missing: DataFrame, duplicates: DataFrame, outliers: DataFrame
     return total.select(score.alias("overall_score"), grade.alias("grade"), advice.alias("recommendation"))
 
 
-def run_quality_check(df: DataFrame) -> QualityReport:
+def run_quality_check(df: DataFrame, approx_distinct: bool = False) -> QualityReport:
     df = nan_to_null(df)
-    cols = column_pass(df)
+    cols = column_pass(df, approx_distinct=approx_distinct)
     missing = missing_report(cols)
     dup = duplicate_report(df)
     out = outlier_report(df)
