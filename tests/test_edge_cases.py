@@ -53,4 +53,6 @@ def test_mixed_type_sample_parity(spark):
 def test_quality_approx_distinct_option(patients):
     exact = {r["column"]: r["distinct"] for r in quality.column_pass(patients).collect()}
     approx = {r["column"]: r["distinct"] for r in quality.column_pass(patients, approx_distinct=True).collect()}
-    assert exact == approx   # HyperLogLog++ is exact at this cardinality
+    assert exact.keys() == approx.keys()
+    for c in exact:   # default relative standard deviation 5 %
+        assert abs(approx[c] - exact[c]) <= max(1, 0.15 * exact[c])
