@@ -97,11 +97,6 @@ _VITAL_COLS = ("l_orderkey", "age", "bmi", "heart_rate", "Total-Cholesterol", "o
 
 def _suggest_sql() -> str:
     sug = rules.suggest_rules(_VITAL_COLS)
-    fixed = []
-    for r in sug:
-        q = dict(r)
-        q["column"] = f'"{r["column"]}"'
-        fixed.append(q)
     parts = []
     for i, r in enumerate(sug):
         s = _rule_sql({**r, "column": f'"{r["column"]}"'}, i)
