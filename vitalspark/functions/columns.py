@@ -44,12 +44,6 @@ def numeric_columns(df: DataFrame, cols: Iterable[str] | None = None, rule: str
     return [c for c in names if c in types and is_numeric(types[c], rule)]
 
 
-def text_columns(df: DataFrame, cols: Iterable[str] | None = None) -> list[str]:
-    types = {f.name: f.dataType for f in df.schema.fields}
-    names = list(cols) if cols is not None else df.columns
-    return [c for c in names if is_text(types[c])]
-
-
 def require_numeric(df: DataFrame, cols: Sequence[str], rule: str = "A") -> list[str]:
     kept = numeric_columns(df, cols, rule)
     if not kept:

@@ -26,7 +26,6 @@ DIRECTION_Z = 0.5              # fixed: high / low beyond +-0.5
 Z_CAP = 3
 HIGH_RISK, MEDIUM_RISK = 65, 35
 REASON_COLUMNS = 4             # fixed: the reason names at most 4 columns
-POPULATION_COLUMNS = 8         # fixed: population comparison covers 8 features
 
 
 def column_moments(df: DataFrame, cols: Sequence[str]) -> dict:

@@ -24,7 +24,6 @@ MISSING_WARNING_PCT = 5        # -3 each
 DUPLICATE_PENALTY = 5
 IQR_FACTOR = 3
 OUTLIER_WARNING_PCT = 5        # -3 each
-OUTLIER_REPORT_COLUMNS = 10
 IMBALANCE_RATIO = 10           # -5 each
 CONSTANT_PENALTY = 5
 BINARY_MIN_ROWS = 100
@@ -128,7 +127,7 @@ def duplicate_report(df: DataFrame) -> DataFrame:
 def outlier_report(df: DataFrame) -> DataFrame:
     """DQ-3: 3xIQR outliers of every numeric column (exact linear quartiles,
     computed distributed); iqr = 0 columns skipped; penalty when > 5 %.
-    ``report_rank`` <= 10 is the reference's displayed cut."""
+    ``report_rank`` <= 10 is the reference's displayed cut (first 10 columns)."""
     num = [f.name for f in df.schema.fields if is_numeric(f.dataType, "D")]
     spark = df.sparkSession
     schema = ("column string, position int, outliers long, percent double, min double, max double, "
@@ -214,7 +213,10 @@ def quality_score(missing: DataFrame, duplicates: DataFrame, outliers: DataFrame
             .unionByName(flags.select("penalty")))
     total = pens.agg(F.coalesce(F.sum("penalty"), F.lit(0)).alias("_p"))
     score = F.greatest(F.lit(0), F.least(F.lit(100), F.lit(100) - F.col("_p"))).cast("long")
-    grade = F.when(score >= 90, "A").when(score >= 75, "B").when(score >= 60, "C").otherwise("D")
+    grade = None
+    for cut, letter in GRADES:
+        grade = F.when(score >= cut, letter) if grade is None else grade.when(score >= cut, letter)
+    grade = grade.otherwise("D")
     advice = F.when(score >= 90, RECOMMENDATIONS[0][1]).when(score >= 75, RECOMMENDATIONS[1][1]) \
         .when(score >= 60, RECOMMENDATIONS[2][1]).otherwise(RECOMMENDATIONS[3][1])
     return total.select(score.alias("overall_score"), grade.alias("grade"), advice.alias("recommendation"))

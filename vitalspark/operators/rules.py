@@ -232,8 +232,10 @@ def compare_datasets(df_a: DataFrame, df_b: DataFrame) -> DataFrame:
     se = F.sqrt(sa * sa / F.col("n_a") + sb * sb / F.col("n_b"))
     t = F.when(se > 0, (ma - mb) / se).otherwise(F.lit(0.0))
     p = 2 * (1 - F.least(F.abs(t) / (F.abs(t) + 3), F.lit(0.999)))
-    effect = F.when(F.abs(d) > 0.8, "large").when(F.abs(d) > 0.5, "medium") \
-        .when(F.abs(d) > 0.2, "small").otherwise("negligible")
+    effect = None
+    for cut, band in EFFECT_BANDS:
+        effect = F.when(F.abs(d) > cut, band) if effect is None else effect.when(F.abs(d) > cut, band)
+    effect = effect.otherwise("negligible")
     return j.select(
         "column", "position", "rows_a", "rows_b", "n_a", "n_b", "mean_a", "mean_b", "std_a", "std_b",
         (ma - mb).alias("mean_diff"),

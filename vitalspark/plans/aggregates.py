@@ -41,13 +41,6 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     return F.broadcast(df) if n <= max_rows else df
 
 
-def null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & left[c].eqNullSafe(right[c])
-    return cond
-
-
 def wide_to_long(wide: DataFrame, rows: Sequence[dict]) -> DataFrame:
     """Turn a one-row (or few-row) wide aggregate into long form: one output
     row per dict, fields in dict order.  Keeps the report lazy and inside
@@ -56,16 +49,6 @@ def wide_to_long(wide: DataFrame, rows: Sequence[dict]) -> DataFrame:
     return wide.select(F.explode(F.array(*structs)).alias("_r")).select("_r.*")
 
 
-def unpivot_values(df: DataFrame, cols: Sequence[str], value_type: str = "double",
-                   keep: Sequence[str] = ()) -> DataFrame:
-    """Long form (keep..., column, value) of the given columns, values cast
-    to one type.  A map-side explode; nothing is shuffled here."""
-    items = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast(value_type).alias("value"))
-             for c in cols]
-    return df.select(*[F.col(f"`{k}`") for k in keep], F.explode(F.array(*items)).alias("_u")) \
-        .select(*[F.col(f"`{k}`") for k in keep], "_u.column", "_u.value")
-
-
 def spread_for_cpu(df: DataFrame) -> DataFrame:
     """CPU-heavy per-row work (regular expressions over long texts, Python
     scoring) should use every core.  An input stored as one Parquet row
