@@ -53,3 +53,19 @@ def test_kaplan_meier_hot_group(spark):
             at_risk = (sub.t >= time).sum()
             s *= 1 - d / at_risk
             assert curve[(g, time)] == pytest.approx(s, rel=1e-9)
+
+
+def test_hot_key_sinks_and_anonymisation(spark):
+    from vitalspark.operators import coding, privacy
+    from vitalspark.sources import sinks
+    rows = [(i, "hot" if i % 3 else f"v{i % 50}", i % 7, f"msg {i}" + (" warfarin" if i == 5 else "")
+             + (" aspirin" if i == 9000 else "")) for i in range(9001)]
+    df = spark.createDataFrame(rows, "k long, v string, g long, text string").repartition(6)
+    latest = {r["v"]: r["k"] for r in sinks.latest_per_key(df, ["v"], ["k"]).collect()}
+    assert latest["hot"] == 9000
+    res = privacy.anonymise(df, ["v"], "pseudonymise", order_cols=["k"])
+    got = {r["k"]: r["v"] for r in res.data.where("k < 4").collect()}
+    assert got == {0: "PATIENT_00001", 1: "PATIENT_00002", 2: "PATIENT_00002", 3: "PATIENT_00003"}
+    one_conv = df.withColumn("conv", F.lit(1))
+    pairs = coding.drug_interactions_by(one_conv, ["conv"], "text").collect()
+    assert [(r["drug_a"], r["drug_b"]) for r in pairs] == [("warfarin", "aspirin")]
