@@ -36,3 +36,16 @@ def test_cohort_comparison(patients):
     assert comp["glucose"]["query_value"] == 140.0
     assert comp["glucose"]["diff_from_pop"] == pytest.approx(140.0 - 101.1)
     assert comp["age"]["query_value"] == pytest.approx(46.6)
+
+
+def test_profile_keys_matches_all_rows_profile(patients):
+    df = patients.drop("row_index")
+    some = entity.profile_keys(df, ["patient_id"], [("P001",), ("P013",)], ["glucose"], "age")
+    full = entity.profile_cells(df, ["patient_id"], ["glucose"], "age").where("patient_id IN ('P001', 'P013')")
+    a = {(r["patient_id"], r["column"]): r for r in some.collect()}
+    b = {(r["patient_id"], r["column"]): r for r in full.collect()}
+    assert a.keys() == b.keys() and len(a) == 12
+    for k in a:
+        for f in ("value", "percentile", "mean", "median", "std", "z_score"):
+            assert a[k][f] == pytest.approx(b[k][f])
+        assert (a[k]["is_outlier"], a[k]["direction"]) == (b[k]["is_outlier"], b[k]["direction"])

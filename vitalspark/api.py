@@ -80,6 +80,7 @@ def get_patient_profile(df: DataFrame, key_cols: Sequence[str], feature_cols: Se
     out = {"cells": entity.profile_cells(df, key_cols, feature_cols, target_col),
            "risk": entity.risk_profile(df, key_cols, feature_cols)}
     if keys:
+        out["selected"] = entity.profile_keys(df, key_cols, keys, feature_cols, target_col)
         out["similar"] = similarity.similar_rows(df, feature_cols, key_cols, keys)
     return out
 

@@ -99,3 +99,54 @@ def risk_profile(df: DataFrame, key_cols: Sequence[str], feature_cols: Sequence[
                                           F.array_join(F.slice("_o", 1, REASON_COLUMNS), ", ")))
         .otherwise(F.lit("")).alias("anomaly_reason"),
         F.array_join("_o", ", ").alias("outlier_columns"), "missing_count")
+
+
+def profile_keys(df: DataFrame, key_cols: Sequence[str], keys: Sequence[tuple], feature_cols: Sequence[str] = (),
+                 target_col: str | None = None, max_keys: int = 1000) -> DataFrame:
+    """PAT-1 / PAT-6 for a bounded set of rows (the reference's one-patient
+    profile): the chosen rows' values come back (at most ``max_keys``), and
+    ONE aggregate over the table yields, for every (row, column), the count
+    of values strictly below it -- no ranking of the whole table.  Output
+    columns as ``profile_cells``."""
+    from ..plans.aggregates import bounded_rows
+    df = nan_to_null(df)
+    if len(keys) > max_keys:
+        raise ValueError(f"profile_keys takes at most {max_keys} rows; use profile_cells for all rows")
+    num = [f.name for f in df.schema.fields if is_numeric(f.dataType, "C") and f.name not in key_cols]
+    cond = F.lit(False)
+    for key in keys:
+        one = F.lit(True)
+        for c, v in zip(key_cols, key):
+            one = one & (qcol(c) == F.lit(v))
+        cond = cond | one
+    picked = bounded_rows(df.where(cond).select(*[qcol(k) for k in key_cols],
+                                                *[qcol(c).cast("double").alias(c) for c in num]), 4 * max_keys)
+    mom = column_moments(df, num)
+    aggs = []
+    for i, r in enumerate(picked):
+        for j, c in enumerate(num):
+            v = r[c]
+            aggs.append((F.count_if(qcol(c).cast("double") < F.lit(v)) if v is not None else F.lit(None))
+                        .alias(f"b{i}_{j}"))
+    below = df.agg(*aggs).first() if aggs else None
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), qcol(c).cast("double").alias("value"))
+                                         for c in num])).alias("_u")).select("_u.*")
+    med = {r["column"]: r["q"] for r in exact_quantiles(long, ["column"], "value", [0.5]).collect()}
+    out = []
+    for i, r in enumerate(picked):
+        for j, c in enumerate(num):
+            n, m, s, std = mom[c]
+            v = r[c]
+            z = (v - m) / s if v is not None and m is not None else None
+            out.append((*[r[k] for k in key_cols], c, v, v is None, c in feature_cols, c == (target_col or ""),
+                        (below[f"b{i}_{j}"] / n * 100) if v is not None and n else None, m, med.get(c), std, z,
+                        abs(z) > OUTLIER_Z if z is not None else None,
+                        None if z is None else ("high" if z > DIRECTION_Z else "low" if z < -DIRECTION_Z
+                                                else "normal")))
+    schema = df.select(*key_cols).schema
+    for name, typ in (("column", "string"), ("value", "double"), ("is_missing", "boolean"),
+                      ("is_feature", "boolean"), ("is_target", "boolean"), ("percentile", "double"),
+                      ("mean", "double"), ("median", "double"), ("std", "double"), ("z_score", "double"),
+                      ("is_outlier", "boolean"), ("direction", "string")):
+        schema = schema.add(name, typ)
+    return df.sparkSession.createDataFrame(out, schema)
