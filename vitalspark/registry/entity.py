@@ -190,3 +190,32 @@ def similar_self(spark, sf_dir):
     out = similarity.similar_rows(lineitem_nulls(spark, sf_dir), LINEITEM_NUM, LINEITEM_KEY, keys)
     return out.select("query", "rank", *LINEITEM_KEY, r4(F.col("distance")).alias("distance"),
                       r4(F.col("similarity_pct")).alias("similarity_pct"))
+
+
+def _selected_sql() -> str:
+    top_keys = RISK_TOP_SQL.replace("LIMIT 10", "LIMIT 5").replace(
+        " SELECT * FROM sc ORDER BY", " , tk AS (SELECT * FROM sc ORDER BY")
+    return (top_keys + f"), d AS ({LINEITEM_NULLS_SQL}), l AS ({_unpivot_sql('d', LINEITEM_NUM)}),"
+            " cs AS (SELECT \"column\", count(value) AS n, avg(value) AS mean, stddev_samp(value) AS std,"
+            " coalesce(nullif(stddev_samp(value), 0), 1) AS s1, quantile_cont(value, 0.5) AS median FROM l GROUP BY 1),"
+            f" q AS (SELECT l.* FROM l JOIN tk USING ({_KEYS}))"
+            f" SELECT {', '.join('q.' + k for k in LINEITEM_KEY)}, q.\"column\", round(q.value, 4) AS value,"
+            " q.value IS NULL AS is_missing,"
+            f" q.\"column\" IN ({', '.join(repr(c) for c in _FEATURES)}) AS is_feature,"
+            f" q.\"column\" = '{_TARGET}' AS is_target,"
+            " round(CASE WHEN q.value IS NOT NULL THEN (SELECT count(*) FROM l x WHERE x.\"column\" = q.\"column\""
+            " AND x.value < q.value) / cs.n * 100 END, 4) AS percentile,"
+            " round(mean, 4) AS mean, round(median, 4) AS median, round(std, 4) AS std,"
+            " round((q.value - mean) / s1, 4) + 0.0 AS z_score, abs((q.value - mean) / s1) > 2.5 AS is_outlier,"
+            " CASE WHEN (q.value - mean) / s1 > 0.5 THEN 'high' WHEN (q.value - mean) / s1 < -0.5 THEN 'low'"
+            " WHEN q.value IS NOT NULL THEN 'normal' END AS direction FROM q JOIN cs USING (\"column\")")
+
+
+@register("profile_selected", "PAT-1 PAT-6", _selected_sql())
+def profile_selected(spark, sf_dir):
+    work, cols = risk.prepare(table(spark, sf_dir, "lineitem"), LINEITEM_NUM)
+    top = risk.top_risk(risk.risk_scores(work, risk.thresholds(work, cols), LINEITEM_KEY), LINEITEM_KEY, 5)
+    keys = [tuple(r[k] for k in LINEITEM_KEY) for r in top.collect()]
+    cells = entity.profile_keys(lineitem_nulls(spark, sf_dir), LINEITEM_KEY, keys, _FEATURES, _TARGET)
+    dbl = ("value", "percentile", "mean", "median", "std", "z_score")
+    return cells.select(*[r4(F.col(c)).alias(c) if c in dbl else F.col(c) for c in cells.columns])
