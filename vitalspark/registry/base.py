@@ -24,6 +24,29 @@ class Query:
 QUERIES: dict[str, Query] = {}
 
 
+def bigint_counts(sql: str) -> str:
+    """DuckDB types ``count_if`` as HUGEINT; Spark's is BIGINT.  Wrap every
+    ``count_if(...)`` in a BIGINT cast so oracle and query share a schema."""
+    out, i, key = [], 0, "count_if("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len(key) - 1
+        while k < len(sql):
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        inner = bigint_counts(sql[j + len(key):k])
+        out.append(sql[i:j] + "CAST(count_if(" + inner + ") AS BIGINT)")
+        i = k + 1
+
+
 def register(name: str, covers: tuple[str, ...] | str, oracle: str | None = None):
     """Decorator: ``@register("risk_top", "RSK-5 RSK-6", sql)``."""
     ids = tuple(covers.split()) if isinstance(covers, str) else tuple(covers)
@@ -31,7 +54,7 @@ def register(name: str, covers: tuple[str, ...] | str, oracle: str | None = None
     def deco(fn):
         if name in QUERIES:
             raise ValueError(f"query {name!r} registered twice")
-        QUERIES[name] = Query(name, fn, oracle, ids)
+        QUERIES[name] = Query(name, fn, bigint_counts(oracle) if oracle else None, ids)
         return fn
     return deco
 
