@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF
-from scripts.check_oracle import TABLES, rows_of
+from scripts.check_oracle import SPARK_TO_DUCKDB, TABLES, rows_of
 
 SQLS = E.oracle_sql()
 
@@ -27,5 +27,8 @@ def test_query_matches_oracle(spark, con, name):
     res = con.execute(SQLS[name])
     o_cols, o_rows = [d[0] for d in res.description], res.fetchall()
     assert sorted(s_cols) == sorted(o_cols)
+    rel = con.sql(SQLS[name])
+    o_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    assert {c: SPARK_TO_DUCKDB.get(t, t) for c, t in df.dtypes} == o_types
     assert len(s_rows) == len(o_rows)
     assert rows_of(s_cols, s_rows) == rows_of(o_cols, o_rows)
