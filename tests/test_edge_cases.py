@@ -56,3 +56,29 @@ def test_quality_approx_distinct_option(patients):
     assert exact.keys() == approx.keys()
     for c in exact:   # default relative standard deviation 5 %
         assert abs(approx[c] - exact[c]) <= max(1, 0.15 * exact[c])
+
+
+def test_filter_semantics(spark):
+    from vitalspark.operators import filters
+    df = spark.createDataFrame([(1, "a", 1.5), (2, None, 2.0), (3, "b", None)], "id long, s string, x double")
+    # '!=' keeps nulls (pandas renders them as text first); '==' on ints is typed.
+    assert {r["id"] for r in filters.filter_chain(df, [{"col": "s", "op": "!=", "value": "a"}]).collect()} == {2, 3}
+    assert [r["id"] for r in filters.filter_chain(df, [{"col": "id", "op": "==", "value": "2"}]).collect()] == [2]
+    # 'contains' is a case-sensitive regular expression; nulls never match.
+    assert [r["id"] for r in filters.filter_chain(df, [{"col": "s", "op": "contains", "value": "^[ab]$"}])
+            .orderBy("id").collect()] == [1, 3]
+    # Unknown columns and operators are skipped; a comparison on text raises.
+    assert filters.filter_chain(df, [{"col": "nope", "op": ">", "value": 1},
+                                     {"col": "x", "op": "~", "value": 1}]).count() == 3
+    import pytest
+    with pytest.raises(TypeError):
+        filters.filter_chain(df, [{"col": "s", "op": ">", "value": 1}])
+
+
+def test_coercion_like_to_numeric(spark):
+    from vitalspark.operators import filters
+    df = spark.createDataFrame([(" 12 ",), ("1e3",), ("abc",), ("0x1F",), (None,)], "v string")
+    got = [r["v"] for r in filters.coerce_numeric(df, ["v"]).collect()]
+    assert got == [12.0, 1000.0, None, None, None]
+    trimmed = df.select(filters.trim_text("v", 2).alias("t")).collect()
+    assert trimmed[2]["t"] == "ab\n...[trimmed]" and trimmed[4]["t"] is None
