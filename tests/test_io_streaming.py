@@ -101,3 +101,16 @@ def test_stream_equals_batch(spark):
     batch = sorted(tuple(r) for r in rules_stream.rule_window_counts(ev, rules, "ts")
                    .select(F.col("window_start").cast("string"), "rule_id", "n_triggered").collect())
     assert streamed == batch and len(batch) > 0
+
+
+def test_read_table_dispatch_and_ordered_log(spark):
+    d = tempfile.mkdtemp(prefix="vs-read-")
+    df = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (2, 0, "user", "x")],
+                               "conv long, turn long, role string, text string")
+    df.write.mode("overwrite").option("header", True).csv(os.path.join(d, "log.csv"))
+    df.write.mode("overwrite").parquet(os.path.join(d, "log.parquet"))
+    a = files.read_table(spark, os.path.join(d, "log.csv"))
+    b = files.read_table(spark, os.path.join(d, "log.parquet"))
+    assert a.count() == b.count() == 3 and dict(a.dtypes)["turn"] == "int"
+    pos = {(r["conv"], r["turn"]): r["position"] for r in sinks.ordered_log(b, ["conv"], ["turn"]).collect()}
+    assert pos == {(1, 0): 0, (1, 1): 1, (2, 0): 0}
