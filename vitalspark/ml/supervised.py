@@ -35,22 +35,46 @@ MULTI_TARGET_TOP_FEATURES = 6
 FOREST_DEPTH = 12
 
 
+def _memory_mb(text: str | None) -> int:
+    units = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}
+    t = (text or "1g").strip().lower().rstrip("b")
+    return int(float(t[:-1]) * units[t[-1]]) if t and t[-1] in units else int(float(t) / (1024 * 1024))
+
+
+def tree_memory_mb(spark) -> int:
+    """Histogram budget per tree-training task (Spark's default is 256 MB).
+    Every task of an executor holds one, so the budget is a quarter of the
+    executor heap divided by its task slots, within [16, 256] MB -- a small
+    local heap with many cores then trains in more passes instead of
+    running out of memory."""
+    conf = spark.sparkContext.getConf()
+    local = spark.sparkContext.master.startswith("local")
+    heap = _memory_mb(conf.get("spark.driver.memory" if local else "spark.executor.memory", "1g"))
+    slots = spark.sparkContext.defaultParallelism if local else int(conf.get("spark.executor.cores", "1"))
+    return int(min(256, max(16, heap * 0.25 / max(slots, 1))))
+
+
 def make_model(task: str, model_type: str = "random_forest", n_rows: int | None = None,
-               n_classes: int = 2, seed: int = P.SEED, trees: int = FOREST_TREES, depth: int = FOREST_DEPTH):
+               n_classes: int = 2, seed: int = P.SEED, trees: int = FOREST_TREES, depth: int = FOREST_DEPTH,
+               memory_mb: int = 256):
     """ML-3 / ML-4 estimators, configured like the reference's defaults."""
     if task == "regression":
         if model_type == "linear":
             return LinearRegression(regParam=0.0, elasticNetParam=0.0)
         if model_type == "gradient_boost":
-            return GBTRegressor(maxIter=BOOSTING_STAGES, maxDepth=BOOSTING_DEPTH, stepSize=BOOSTING_STEP, seed=seed)
-        return RandomForestRegressor(numTrees=trees, featureSubsetStrategy="all", maxDepth=depth, seed=seed)
+            return GBTRegressor(maxIter=BOOSTING_STAGES, maxDepth=BOOSTING_DEPTH, stepSize=BOOSTING_STEP, seed=seed,
+                                maxMemoryInMB=memory_mb)
+        return RandomForestRegressor(numTrees=trees, featureSubsetStrategy="all", maxDepth=depth, seed=seed,
+                                     maxMemoryInMB=memory_mb)
     if model_type == "linear":
         reg = 1.0 / max(n_rows or 1, 1)   # C = 1 in a sum-of-losses objective
         return LogisticRegression(maxIter=LOGISTIC_ITERATIONS, regParam=reg, standardization=False)
     if model_type == "gradient_boost":
-        gbt = GBTClassifier(maxIter=BOOSTING_STAGES, maxDepth=BOOSTING_DEPTH, stepSize=BOOSTING_STEP, seed=seed)
+        gbt = GBTClassifier(maxIter=BOOSTING_STAGES, maxDepth=BOOSTING_DEPTH, stepSize=BOOSTING_STEP, seed=seed,
+                            maxMemoryInMB=memory_mb)
         return gbt if n_classes <= 2 else OneVsRest(classifier=gbt)
-    return RandomForestClassifier(numTrees=trees, featureSubsetStrategy="sqrt", maxDepth=depth, seed=seed)
+    return RandomForestClassifier(numTrees=trees, featureSubsetStrategy="sqrt", maxDepth=depth, seed=seed,
+                                  maxMemoryInMB=memory_mb)
 
 
 def detect_task(df: DataFrame, target_col: str) -> str:
@@ -80,7 +104,8 @@ def fit(df: DataFrame, feature_cols: Sequence[str], target_col: str, key_cols: S
     train, test = P.split(data, key_cols) if holdout else (data, data)
     train = P.iteration_input(train)
     n_train = train.count()
-    model = make_model(task, model_type, n_train, n_classes, trees=trees, depth=depth).fit(train)
+    model = make_model(task, model_type, n_train, n_classes, trees=trees, depth=depth,
+                       memory_mb=tree_memory_mb(df.sparkSession)).fit(train)
     train.unpersist()
     preds = model.transform(test)
     keep = [*key_cols, "label", "prediction"] + (["probability"] if "probability" in preds.columns else [])
