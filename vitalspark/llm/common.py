@@ -94,9 +94,9 @@ def in_bitmap(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
 
 
-def bits_for(rows: int) -> int:
-    """Bitmap size: about 64 bits a key, within the 16 MB bound."""
-    return min(27, max(16, int(max(rows, 1) * 64).bit_length()))
+def bits_for(rows: int, per_key: int = 64) -> int:
+    """Bitmap size: about ``per_key`` bits a key, within the 16 MB bound."""
+    return min(27, max(16, int(max(rows, 1) * per_key).bit_length()))
 
 
 def slices_by_bytes(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:

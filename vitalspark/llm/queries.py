@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_events, warc_bundles
+from . import chat_events, superminhash, template_leaks, warc_bundles
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,16 @@ FROM k
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, index = warc_bundles.write_archive(table(spark, sf_dir, "pages"))
     return warc_bundles.read_archive(index, folder)
+
+
+# ---------------------------------------------------------------- op4
+@query("op4_template_leaks")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_leaks.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "item_id", "kind", "windows", "item_windows")
+
+
+# ---------------------------------------------------------------- op8
+@query("op8_superminhash")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.groups(table(spark, sf_dir, "documents"))
