@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_events, superminhash, template_leaks, warc_bundles
+from . import chat_events, edit_tokens, order_minhash, sp_viterbi, superminhash, template_leaks, warc_bundles
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,33 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_superminhash")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.groups(table(spark, sf_dir, "documents"))
+
+
+# ---------------------------------------------------------------- op3
+@query("op3_order_minhash")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edited_pairs(table(spark, sf_dir, "documents"))
+
+
+# ---------------------------------------------------------------- op2, op7
+def vocabulary(name: str) -> str:
+    """Where this installation keeps the public tokenizer files."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query("op2_edit_tokens")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+    return edit_tokens.count_edits(table(spark, sf_dir, "documents"), edit_tokens.revision(),
+                                   vocabulary("byte_bpe_50k.tiktoken"), PATTERN).select("doc_id", "counts.*")
+
+
+@query("op7_sp_viterbi")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("piece_bpe_32k.model")
+    rows = sp_viterbi.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    back = sp_viterbi.decoded(rows, path)
+    return back.select("doc_id", "n_tokens", F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+                       (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
