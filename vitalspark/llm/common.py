@@ -112,3 +112,56 @@ def slices_by_bytes(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]
 def batch(schema: pa.Schema, **cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if not isinstance(cols[f.name], pa.Array)
                                        else cols[f.name] for f in schema], schema=schema)
+
+
+class TokenTable(dict):
+    """Memo of tokens: token -> row of columns computed once per spelling.
+
+    ``describe(token)`` gives the row; ``columns()`` the rows as arrays, of
+    which only new ones are converted.  ``fresh()`` empties a table that has
+    outgrown its memory; call it between slices only."""
+
+    def __init__(self, describe, dtypes: Sequence, most: int = 400_000):
+        super().__init__()
+        self.describe, self.dtypes, self.most = describe, dtypes, most
+        self._reset()
+
+    def _reset(self) -> None:
+        self.clear()
+        self.new: list[tuple] = []
+        self.done, self.arrays = 0, [np.zeros(1 << 12, t) for t in self.dtypes]
+
+    def __missing__(self, token):
+        self[token] = at = self.done + len(self.new)
+        self.new.append(self.describe(token))
+        return at
+
+    def columns(self) -> list[np.ndarray]:
+        n = self.done + len(self.new)
+        if n > len(self.arrays[0]):
+            self.arrays = [np.concatenate([a, np.zeros(max(n, len(a)), a.dtype)]) for a in self.arrays]
+        if self.new:
+            for a, values in zip(self.arrays, zip(*self.new)):
+                a[self.done:n] = values
+        self.done, self.new = n, []
+        return self.arrays
+
+    def fresh(self) -> None:
+        if len(self) > self.most:
+            self._reset()
+
+    def rows_of(self, token_lists: Sequence[Sequence]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of every token, list index of every token, list lengths)."""
+        lens = np.fromiter(map(len, token_lists), np.int64, len(token_lists))
+        rows = np.fromiter((self[t] for ts in token_lists for t in ts), np.int64, int(lens.sum()))
+        return rows, np.repeat(np.arange(len(token_lists)), lens), lens
+
+
+def labelled_sample(labels: DataFrame, column: str, most: int, folds: int = 4, held: int = 2) -> DataFrame:
+    """(doc_id, label) of at most ``most`` rows of each class, those with the
+    smallest hash of their id, and only ids whose crc32 modulo ``folds`` is not
+    ``held``.  A doc labelled twice counts once, with its larger label."""
+    rows = (labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod("doc_id", folds) != held))
+            .groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(column).cast("int").alias("label")))
+    parts = [rows.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for v in (0, 1)]
+    return parts[0].unionByName(parts[1])

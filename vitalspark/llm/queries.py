@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_events, ctw, edit_tokens, order_minhash, sp_viterbi, superminhash, template_leaks, warc_bundles
-from .common import table
+from . import (chat_events, ctw, edit_tokens, order_minhash, pu_quality, sp_viterbi, string_kernel, superminhash,
+               template_leaks, warc_bundles)
+from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +118,26 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_context_tree_weighting")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.scores(table(spark, sf_dir, "documents"))
+
+
+# ---------------------------------------------------------------- op6, op10
+GOOD, TOXIC = 0.7, 0.3  # decision thresholds of the two classifiers
+
+
+def _decided(docs: DataFrame, score: str, threshold: float) -> DataFrame:
+    return docs.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), F.col(score).alias("score"),
+                       (F.col(score) >= threshold).cast("int").alias("predicted"))
+
+
+@query("op6_pu_quality")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = pu_quality.fit(docs, table(spark, sf_dir, "labels"))
+    return _decided(pu_quality.scored(docs, model), "quality_score", GOOD)
+
+
+@query("op10_string_kernel_svm")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = string_kernel.fit(docs, table(spark, sf_dir, "labels"))
+    return _decided(string_kernel.scored(docs, model), "toxicity", TOXIC)
