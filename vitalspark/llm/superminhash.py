@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import (batch, bitmap_words, bits_for, in_bitmap, materialise, mix, salted_join, shared_path,
@@ -369,3 +369,13 @@ def _named(sigs: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
     named = salted_join(rows, by_key, ["key"], F.xxhash64("doc_id"), "left")
     return named.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """docs, all columns, with one document of each group: the one with the
+    group's smallest doc_id.  Of rows repeated in doc_id and text one stays;
+    groups without any id lose their exact copies only."""
+    kept = groups(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    rows = docs.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_kept_id")), "left_semi")
+    again = Window.partitionBy("doc_id", F.sha1(utf8("text"))).orderBy(F.lit(0))
+    return rows.withColumn("_again", F.row_number().over(again)).where("_again = 1").drop("_again")
