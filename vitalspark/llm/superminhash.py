@@ -13,8 +13,10 @@
    with probability 5e-6.  Within a bucket no pairs are formed at first: each
    class meets the bucket's pivot only (round 1: smallest name; round 2, among
    classes not yet connected: the member closest to the bucket's consensus).
-   Round 3 compares, block by block inside tasks, only the members of
-   different components, so that no link between components is lost.
+   Round 3 looks, block by block inside tasks, at all pairs of different
+   components that remain, each in the first bucket they share, and puts out a
+   spanning forest of the links it finds, so that no link between components
+   is lost and no list of pairs is ever written.
 4. Every candidate whose signatures agree in at least ``SIGNATURE_FLOOR`` of
    the entries is verified on the full sets (intersection and union counted).
 5. Connected components by alternating large-star and small-star steps.
@@ -44,7 +46,7 @@ BANDS = M // ROWS
 MIN_PERCENT = 75
 SIGNATURE_FLOOR = 64  # of 128; a pair at the threshold agrees in 96 +- 5
 SLICE_BYTES = 2 << 20
-MEMO = 400_000
+MEMO = 200_000
 BLOCK = 1024
 _COEF = mix(np.arange(1, SHINGLE + 2, dtype=np.uint64)) | np.uint64(1)
 
@@ -53,6 +55,9 @@ SIGNATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("ke
 SETS = pa.schema([("key", pa.int64()), ("elements", pa.binary())])
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 PAIRS_DDL = "a bigint, b bigint"
+OPEN = pa.schema([("band", pa.int32()), ("val", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()),
+                  ("key", pa.int64()), ("label", pa.int64()), ("side", pa.int64())])
+OPEN_DDL = "band int, val bigint, lo int, hi int, key bigint, label bigint, side bigint"
 
 
 class WordHashes(dict):
@@ -271,67 +276,143 @@ def components(links: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ rounds
-def _bucket_pairs(pivots_only: bool):
-    """Candidate pairs inside sorted bucket blocks.  Rows come sorted by
-    (band, val, lo, hi); a block is at most about 2 * BLOCK rows."""
-    def pairs_of(rows):
-        keys = np.array([r[0] for r in rows], np.int64)
-        label = np.array([r[1] for r in rows], np.int64)
-        side = np.array([r[2] for r in rows], np.int64)
-        sig = np.array([r[3] for r in rows], "<i8").view("<u2").reshape(-1, M)
-        if len(rows) < 2 or (label == label[0]).all():
-            return []
-        if pivots_only:
-            consensus = np.array([np.bincount(c).argmax() for c in sig.T], np.uint16)
-            closest = (sig == consensus).sum(axis=1)
-            at = max(range(len(rows)), key=lambda i: (closest[i], -keys[i]))
-            ok = ((sig == sig[at]).sum(axis=1) >= SIGNATURE_FLOOR) & (label != label[at])
-            return [(int(k), int(keys[at])) for k in keys[ok]]
-        out = []
-        for i in range(len(rows)):
-            ok = ((sig == sig[i]).sum(axis=1) >= SIGNATURE_FLOOR) & (label != label[i]) & (keys < keys[i])
-            if side.any():
-                ok &= side != side[i]
-            out += [(int(keys[i]), int(k)) for k in keys[ok]]
-        return out
+GROUP = ["band", "val", "lo", "hi"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows = None, []
-        for b in batches:
-            found = []
-            for band, val, lo, hi, *row in zip(*(b.column(c).to_pylist() for c in (
-                    "band", "val", "lo", "hi", "key", "label", "side", "sig"))):
-                if group != (band, val, lo, hi):
-                    found += pairs_of(rows)
-                    group, rows = (band, val, lo, hi), []
-                rows.append(row)
-            if found:
-                yield batch(PAIRS, a=[p[0] for p in found], b=[p[1] for p in found])
-        found = pairs_of(rows)
-        yield batch(PAIRS, a=[p[0] for p in found], b=[p[1] for p in found])
-    return run
 
+def _blocks(batches: Iterator[pa.RecordBatch], columns: list[str]):
+    """(group, rows) of input sorted by GROUP; a group is at most about
+    2 * BLOCK rows, whatever the size of its bucket."""
+    group, rows = None, []
+    for b in batches:
+        for band, val, lo, hi, *row in zip(*(b.column(c).to_pylist() for c in GROUP + columns)):
+            if group != (band, val, lo, hi):
+                if len(rows) > 1:
+                    yield group, rows
+                group, rows = (band, val, lo, hi), []
+            rows.append(row)
+    if len(rows) > 1:
+        yield group, rows
 
-def open_bucket_pairs(buckets: DataFrame, classes: DataFrame, comp: DataFrame, pivots_only: bool) -> DataFrame:
-    """Candidates between different components that share a bucket."""
+
+def _unpacked(rows: list, at: int) -> np.ndarray:
+    return np.array([r[at] for r in rows], "<i8").view("<u2").reshape(-1, M)
+
+
+def _medoid_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every member of a block with the one closest to the block's consensus."""
+    for _, rows in _blocks(batches, ["key", "label", "sig"]):
+        keys, label, sig = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), _unpacked(rows, 2)
+        if (label == label[0]).all():
+            continue
+        consensus = np.array([np.bincount(c).argmax() for c in sig.T], np.uint16)
+        closest = (sig == consensus).sum(axis=1)
+        at = max(range(len(rows)), key=lambda i: (closest[i], -int(keys[i])))
+        ok = ((sig == sig[at]).sum(axis=1) >= SIGNATURE_FLOOR) & (label != label[at])
+        if ok.any():
+            yield batch(PAIRS, a=keys[ok], b=np.full(int(ok.sum()), keys[at]))
+
+
+def _open_partners(i: int, band: int, label, side, sig) -> np.ndarray:
+    """Earlier rows of another component that row i may be linked with and
+    whose first band in common with i is this one, so that of the buckets a
+    pair shares only one looks at it."""
+    ok = label[:i] != label[i]
+    if side.any():  # two blocks: pairs inside one are looked at elsewhere
+        ok &= side[:i] != side[i]
+    at = np.flatnonzero(ok)
+    same = sig[at] == sig[i]
+    enough = same.sum(axis=1) >= SIGNATURE_FLOOR
+    at, same = at[enough], same[enough]
+    first = same.reshape(len(at), BANDS, ROWS).all(axis=2).argmax(axis=1)
+    return at[first == band]
+
+
+def _open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of a block that have a partner to be verified."""
+    for (band, val, lo, hi), rows in _blocks(batches, ["key", "label", "side", "sig"]):
+        label, side, sig = np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), _unpacked(rows, 3)
+        open_ = np.zeros(len(rows), bool)
+        for i in range(1, len(rows)):
+            at = _open_partners(i, band, label, side, sig)
+            open_[at] = True
+            open_[i] |= len(at) > 0
+        at = np.flatnonzero(open_)
+        if len(at):
+            n = len(at)
+            yield batch(OPEN, band=[band] * n, val=[val] * n, lo=[lo] * n, hi=[hi] * n, key=[rows[i][0] for i in at],
+                        label=label[at], side=side[at])
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verify a block's open pairs on their full sets and give a spanning
+    forest of the links: fewer rows than the block has, never all pairs."""
+    for (band, *_), rows in _blocks(batches, ["key", "label", "side", "sig", "elements"]):
+        label, side, sig = np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), _unpacked(rows, 3)
+        sets = [np.frombuffer(r[4], "<u8") for r in rows]
+        size = np.fromiter(map(len, sets), np.int64, len(sets))
+        element, df = np.unique(np.concatenate(sets), return_counts=True)
+        element = element[df > 1]  # the others are in no intersection
+        bits = np.zeros((len(rows), (len(element) + 63) // 64), np.uint64)
+        for i, s in enumerate(sets):
+            at = np.searchsorted(element, s)
+            at = at[(at < len(element)) & (element[np.minimum(at, max(len(element) - 1, 0))] == s)] if len(element) else at[:0]
+            np.bitwise_or.at(bits[i], at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+        parent = {int(x): int(x) for x in label}
+
+        def root(x):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+        out = []
+        for i in range(1, len(rows)):
+            at = _open_partners(i, band, label, side, sig)
+            at = at[100 * np.minimum(size[at], size[i]) >= MIN_PERCENT * np.maximum(size[at], size[i])]
+            common = np.bitwise_count(bits[at] & bits[i]).sum(axis=1, dtype=np.int64)
+            for j in at[100 * common >= MIN_PERCENT * (size[at] + size[i] - common)]:
+                x, y = root(int(label[i])), root(int(label[j]))
+                if x != y:
+                    parent[x] = y
+                    out.append((rows[i][0], rows[j][0]))
+        if out:
+            yield batch(PAIRS, a=[p[0] for p in out], b=[p[1] for p in out])
+
+
+def unsettled_rows(buckets: DataFrame, comp: DataFrame) -> DataFrame:
+    """(band, val, key, label, blocks) of the buckets that still hold different
+    components; ``blocks`` is the bucket's size over BLOCK."""
     labelled = buckets.join(comp, "key", "left").select(
         "band", "val", "key", F.coalesce("comp", "key").alias("label"))
     unsettled = (labelled.groupBy("band", "val")
                  .agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("n"))
                  .where("l <> h").select("band", "val", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    rows = salted_join(labelled, unsettled, ["band", "val"], F.col("key"))
+    return salted_join(labelled, unsettled, ["band", "val"], F.col("key"))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "key")
+
+
+def medoid_candidates(buckets: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
+    mine = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    rows = unsettled_rows(buckets, comp).withColumn("lo", mine).withColumn("hi", mine)
+    return _dealt(rows.select(*GROUP, "key", "label").join(classes.select("key", "sig"), "key")).mapInArrow(
+        _medoid_pairs, PAIRS_DDL)
+
+
+def remaining_links(buckets: DataFrame, docs: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
+    """Links between different components, all pairs of a bucket considered
+    (every pair of blocks meets once: size / BLOCK copies of a row), of which
+    only spanning links are put out."""
     mine = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    if pivots_only:
-        rows = rows.withColumn("lo", mine).withColumn("hi", mine).withColumn("side", F.lit(0))
-    else:  # every pair of blocks meets once; n / BLOCK copies of a row
-        rows = (rows.withColumn("_m", mine).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-                .withColumn("lo", F.least("_m", "_o")).withColumn("hi", F.greatest("_m", "_o"))
-                .withColumn("side", F.when(F.col("_m") > F.col("_o"), 1).otherwise(0)))
-    group = ["band", "val", "lo", "hi"]
-    return (rows.select(*group, "key", "label", F.col("side").cast("bigint"))
-            .join(classes.select("key", "sig"), "key")
-            .repartition(*group).sortWithinPartitions(*group, "key")
-            .mapInArrow(_bucket_pairs(pivots_only), PAIRS_DDL).distinct())
+    rows = (unsettled_rows(buckets, comp).withColumn("_m", mine)
+            .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .withColumn("lo", F.least("_m", "_o")).withColumn("hi", F.greatest("_m", "_o"))
+            .withColumn("side", F.when(F.col("_m") > F.col("_o"), 1).otherwise(0).cast("bigint")))
+    rows = rows.select(*GROUP, "key", "label", "side").join(classes.select("key", "sig"), "key")
+    open_ = stored(_dealt(rows).mapInArrow(_open_rows, OPEN_DDL), "open")
+    sets = stored(element_sets(docs, classes, open_.select("key").distinct()), "sets")
+    return _dealt(open_.join(classes.select("key", "sig"), "key").join(sets, "key")).mapInArrow(
+        _block_links, PAIRS_DDL)
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -347,13 +428,15 @@ def groups(docs: DataFrame) -> DataFrame:
     tried = stored(star, "pairs")
     links = stored(verified(tried, docs, classes), "links")
     comp = stored(components(links), "components")
-    for pivots_only in (True, False):
-        more = open_bucket_pairs(buckets.drop("pivot"), classes, comp, pivots_only)
-        more = stored(more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-                      .join(tried, ["a", "b"], "left_anti"), "pairs")
+    buckets = buckets.drop("pivot")
+    more = medoid_candidates(buckets, classes, comp).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    more = stored(more.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    if not more.isEmpty():
         links = stored(links.unionByName(verified(more, docs, classes)), "links")
-        tried = tried.unionByName(more)
         comp = stored(components(links), "components")
+    more = stored(remaining_links(buckets, docs, classes, comp), "links")
+    if not more.isEmpty():
+        comp = stored(components(links.unionByName(more)), "components")
     return _named(sigs, classes, comp)
 
 
