@@ -34,7 +34,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold."""
-    model = pu_quality.fit(docs, table(spark, sf_dir, "labels"))
+    model = pu_quality.fit(pu_quality.featured(docs), table(spark, sf_dir, "labels"))
     score = _free(docs, "quality_score")
     return pu_quality.scored(docs, model, into=score).where(F.col(score) >= GOOD).drop(score)
 

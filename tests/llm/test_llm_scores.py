@@ -155,7 +155,8 @@ def test_common_length():
                 d[i + 1][j + 1] = d[i][j] + 1 if x == y else max(d[i][j + 1], d[i + 1][j])
         return d[-1][-1]
     words = ["idiot", "idxiot", "toidi", "", "stupid", "diot", "iiddiioott", "zzz"]
-    got = string_kernel.common_length(string_kernel.codes(words, 24), string_kernel.codes(["idiot"], 6)[0])
+    marks = string_kernel.Landmarks(["stupid", "idiot"])
+    got = string_kernel.common_length(marks._numbers(string_kernel.codes(words, 24)), marks.tables[1], 5)
     assert got.tolist() == [lcs(w, "idiot") for w in words]
 
 
@@ -231,9 +232,11 @@ def test_non_negative_risk(spark):
 def test_quality_edges(spark, docs_of):
     labels = spark.createDataFrame([(2, 1, 0), (2, 0, 0), (None, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int")
     docs = docs_of(EDGE, {"f": F.lit(1), "positive": F.lit("p"), "id": F.lit(2)})
-    model = pu_quality.fit(docs, labels)
+    model = pu_quality.fit(pu_quality.featured(docs), labels)
     got = pu_quality.scored(docs, model).collect()
+    again = pu_quality.scored_rows(pu_quality.featured(docs), model).collect()
+    assert sorted(r.quality_score for r in again) == pytest.approx(sorted(r.quality_score for r in got))
     assert len(got) == len(EDGE) and all(0 <= r.quality_score <= 1 for r in got)
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert pu_quality.scored(docs, pu_quality.fit(docs, empty)).first().quality_score < 1e-6
+    assert pu_quality.scored(docs, pu_quality.fit(pu_quality.featured(docs), empty)).first().quality_score < 1e-6
     assert pu_quality.scored(docs_of([]), model).collect() == []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -153,7 +154,7 @@ class TokenTable(dict):
     def rows_of(self, token_lists: Sequence[Sequence]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row of every token, list index of every token, list lengths)."""
         lens = np.fromiter(map(len, token_lists), np.int64, len(token_lists))
-        rows = np.fromiter((self[t] for ts in token_lists for t in ts), np.int64, int(lens.sum()))
+        rows = np.fromiter(map(self.__getitem__, chain.from_iterable(token_lists)), np.int64, int(lens.sum()))
         return rows, np.repeat(np.arange(len(token_lists)), lens), lens
 
 

@@ -28,6 +28,7 @@ labels); ``scored`` keeps all columns.
 from __future__ import annotations
 
 import math
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TokenTable, crc_mod, slices_by_bytes, text_of
+from .common import TokenTable, crc_mod, mix, slices_by_bytes, text_of
 from .superminhash import stored
 
 STEPS, RIDGE, STEP_UP = 12, 1e-3, 0.1
@@ -44,14 +45,23 @@ SLICE_CHARS = 2 << 20
 _SENTENCE_END = ".!?"
 
 
+_MARKS = string.punctuation + "“”‘’…«»"
+_PLAIN_TAILS = frozenset(".,;:!?)\"'”’")
+
+
 def _describe(w: str):
-    letters = sum(map(str.isalpha, w))
-    digits = sum(map(str.isdigit, w))
-    upper = sum(map(str.isupper, w))
-    tail = w[-1]
-    odd_tail = letters > 0 and not tail.isalnum() and tail not in ".,;:!?)\"'”’"
-    return (len(w), letters, digits, upper, not (letters or digits), odd_tail, letters > 1 and upper == letters,
-            tail in _SENTENCE_END, tail == "!", not w.isascii(), w.count("!") > 1 or w.count("?") > 1)
+    """Lengths and letter classes of one spelling, in the order of NAMES."""
+    core = w if w.isalpha() else w.strip(_MARKS)
+    if core.isalpha():
+        letters, digits = len(core), 0
+        upper = 0 if core.islower() else letters if core.isupper() else sum(map(str.isupper, core))
+    else:
+        letters, digits, upper = (sum(map(f, w)) for f in (str.isalpha, str.isdigit, str.isupper))
+    tail, n = w[-1], len(w)
+    odd_tail = letters > 0 and n > letters and not tail.isalnum() and tail not in _PLAIN_TAILS
+    return (n, letters, digits, upper, not (letters or digits), odd_tail, letters > 1 and upper == letters,
+            tail in _SENTENCE_END, tail == "!", not w.isascii(),
+            n > letters and (w.count("!") > 1 or w.count("?") > 1))
 
 
 N_COUNTS = 11
@@ -82,8 +92,9 @@ def features(texts: list[str], table: TokenTable) -> np.ndarray:
     same = np.zeros(len(rows), bool)
     same[1:] = inside[1:] & (rows[1:] == rows[:-1])
     follow = np.flatnonzero(inside)
-    bigram = np.unique(np.stack([owner[follow], rows[follow - 1] * np.int64(1 << 31) + rows[follow]]), axis=1)[0] if len(
-        follow) else np.zeros(0, np.int64)
+    # Distinct neighbours of each text, by a 64-bit hash of (text, word, word).
+    pair = mix(mix(owner[follow].astype(np.uint64)) ^ (rows[follow - 1] << 32 | rows[follow]).astype(np.uint64))
+    bigram = owner[follow][np.unique(pair, return_index=True)[1]]
     f = np.stack([
         np.log1p(lens) / 10, chars / one / 10, letters / many, digits / many, upper / np.maximum(letters, 1),
         *(s / one for s in sums[4:N_COUNTS]), n_distinct / one, top / one,
@@ -200,16 +211,15 @@ def minimise(rows: DataFrame, prior: float, steps: int = STEPS, ridge: float = R
     return Model(mean, scale, w, prior, up)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
-    """(f, positive) of every text.  Positive: labelled good in a row whose
+def training_rows(rows: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
+    """(f, positive) of rows(doc_id, f).  Positive: labelled good in a row whose
     crc32(doc_id) modulo ``folds`` is not ``held``.  Only ids and features
     move; rows without an id stay where they are."""
     good = (labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull() & (crc_mod("doc_id", folds) != held))
-            .select(F.col("doc_id").cast("bigint").alias("id")).distinct().withColumn("positive", F.lit(True)))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), feature_column(text_of("text")).alias("f"))
-    rows = stored(rows, "features")
-    known = rows.where("id is not null").join(good, "id", "left").select("f", F.coalesce("positive", F.lit(False)).alias("positive"))
-    return known.unionByName(rows.where("id is null").select("f", F.lit(False).alias("positive")))
+            .select(F.col("doc_id").cast("bigint")).distinct().withColumn("positive", F.lit(True)))
+    known = rows.where("doc_id is not null").join(good, "doc_id", "left").select(
+        "f", F.coalesce("positive", F.lit(False)).alias("positive"))
+    return known.unionByName(rows.where("doc_id is null").select("f", F.lit(False).alias("positive")))
 
 
 def class_prior(labels: DataFrame, folds: int = 4, held: int = 2) -> float:
@@ -217,9 +227,28 @@ def class_prior(labels: DataFrame, folds: int = 4, held: int = 2) -> float:
     return float(rows.agg(F.avg("quality").alias("p")).first()["p"] or 0.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, folds: int = 4, held: int = 2) -> Model:
+def featured(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, f) of every row, written to the shared folder."""
+    return stored(docs.select(F.col("doc_id").cast("bigint"), feature_column(text_of(text)).alias("f")), "features")
+
+
+def fit(rows: DataFrame, labels: DataFrame, prior: float | None = None, folds: int = 4, held: int = 2) -> Model:
+    """Learn from the ``featured`` rows of all texts."""
     prior = class_prior(labels, folds, held) if prior is None else prior
-    return minimise(stored(training_rows(docs, labels, folds, held), "training"), prior)
+    return minimise(stored(training_rows(rows, labels, folds, held), "training"), prior)
+
+
+def probability(value: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(value, -500, 500)))
+
+
+def scored_rows(rows: DataFrame, model: Model, into: str = "quality_score") -> DataFrame:
+    """``featured`` rows with their score instead of their features."""
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for f in batches:
+            yield pa.array(probability(model.value(np.asarray(f.flatten()).reshape(len(f), D))))
+    return rows.withColumn(into, run("f")).drop("f")
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", into: str = "quality_score") -> DataFrame:
@@ -232,5 +261,5 @@ def scored(docs: DataFrame, model: Model, text: str = "text", into: str = "quali
             out = [model.value(features(texts[lo:hi], table)) for lo, hi in slices_by_bytes(
                 np.fromiter(map(len, texts), np.int64, len(texts)), SLICE_CHARS)]
             value = np.concatenate(out) if out else np.zeros(0)
-            yield pa.array(1 / (1 + np.exp(-np.clip(value, -500, 500))))
+            yield pa.array(probability(value))
     return docs.withColumn(into, run(text_of(text)))

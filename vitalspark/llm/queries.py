@@ -131,9 +131,9 @@ def _decided(docs: DataFrame, score: str, threshold: float) -> DataFrame:
 
 @query("op6_pu_quality")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = pu_quality.fit(docs, table(spark, sf_dir, "labels"))
-    return _decided(pu_quality.scored(docs, model), "quality_score", GOOD)
+    rows = pu_quality.featured(table(spark, sf_dir, "documents"))
+    model = pu_quality.fit(rows, table(spark, sf_dir, "labels"))
+    return _decided(pu_quality.scored_rows(rows, model), "quality_score", GOOD)
 
 
 @query("op10_string_kernel_svm")

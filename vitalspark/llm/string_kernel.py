@@ -58,8 +58,15 @@ def codes(words: list[str], width: int) -> np.ndarray:
         (0, width), np.uint32)
 
 
+def used(matrix: np.ndarray) -> int:
+    """Columns up to the longest word."""
+    filled = np.flatnonzero(matrix.any(axis=0)) if matrix.size else []
+    return int(filled[-1]) + 1 if len(filled) else 0
+
+
 def subsequence_kernel(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
     """Kernel of every row pair of two code matrices (0: padding)."""
+    s, t = s[:, :used(s)], t[:, :used(t)]
     n, width = s.shape
     other = t.shape[1]
     prefix = [np.ones((n, other + 1))] + [np.zeros((n, other + 1)) for _ in range(order - 1)]
@@ -88,65 +95,106 @@ def normalised(s: np.ndarray, t: np.ndarray) -> np.ndarray:
 class Landmarks:
     def __init__(self, words: list[str]):
         self.words = words
-        self.width = max([1, *map(len, words)])
-        self.codes = codes(words, self.width)
+        self.codes = codes(words, max([1, *map(len, words)]))
         self.own = subsequence_kernel(self.codes, self.codes)
-        self.need = np.array([max(ORDER, math.ceil(SUPPORT * len(w))) for w in words])
-        self.masks = [self._mask(np.array([c], np.uint32).view(np.uint32).reshape(1, -1))[0]
-                      for c in self.codes] if words else []
-
-    @staticmethod
-    def _mask(matrix: np.ndarray) -> np.ndarray:
-        bits = np.where(matrix != 0, np.uint64(1) << (matrix.astype(np.uint64) & np.uint64(63)), np.uint64(0))
-        return np.bitwise_or.reduce(bits, axis=1)
-
-    def kernel(self, words: list[str]) -> np.ndarray:
-        """(words, landmarks) kernel values, zero without support."""
-        out = np.zeros((len(words), len(self.words)), np.float32)
-        pieces, owner = [], []
-        for i, w in enumerate(words):
-            w = "".join(filter(str.isalnum, w))
-            for at in range(0, max(1, len(w) - WIDTH // 2) if len(w) > WIDTH else 1, WIDTH // 2):
-                pieces.append(w[at:at + WIDTH])
-                owner.append(i)
-        matrix, owner = codes(pieces, WIDTH), np.array(owner, np.int64)
-        if not len(matrix) or not self.words:
-            return out
-        letters = self._mask(matrix)
+        self.need = [max(ORDER, math.ceil(SUPPORT * len(w))) for w in words]
+        self.least = min(self.need, default=ORDER)
+        # Letters by small numbers, 0 for letters of no landmark; a bit per letter (64 and more share one).
+        letters = sorted({c for w in words for c in w})
+        self.known = np.array([ord(c) for c in letters], np.uint32)
+        number = {c: i + 1 for i, c in enumerate(letters)}
+        self.bit = np.array([0] + [1 << (i & 63) for i in range(len(letters))], np.uint64)
+        self.tables = []
+        for w in words:
+            table = np.zeros(len(letters) + 1, np.uint64)
+            for i, c in enumerate(w):
+                table[number[c]] |= np.uint64(1 << i)
+            self.tables.append(table)
+        self.masks = [np.bitwise_or.reduce(self.bit[[number[c] for c in w]]) for w in words]
+
+    def _numbers(self, matrix: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.known, matrix), len(self.known) - 1)
+        return np.where(self.known[at] == matrix, at + 1, 0).astype(np.uint16)
+
+    def forms(self, forms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(form, landmark, kernel) of the supported pairs of some distinct
+        words of at most WIDTH letters."""
+        matrix = codes(forms, WIDTH)
+        numbers = self._numbers(matrix)
+        letters = np.bitwise_or.reduce(self.bit[numbers], axis=1)
         rows, cols = [], []
-        for m, mark in enumerate(self.codes):
-            distinct = len(set(self.words[m]))
-            spare = len(self.words[m]) - self.need[m]
-            at = np.flatnonzero(np.bitwise_count(letters & self.masks[m]) >= max(1, distinct - spare))
+        for m, word in enumerate(self.words):
+            spare = len(word) - self.need[m]
+            at = np.flatnonzero(np.bitwise_count(letters & self.masks[m]) >= max(
+                1, int(np.bitwise_count(self.masks[m])) - spare))
             if len(at):
-                at = at[common_length(matrix[at], mark) >= self.need[m]]
+                at = at[common_length(numbers[at], self.tables[m], len(word)) >= self.need[m]]
                 rows.append(at)
                 cols.append(np.full(len(at), m))
-        if rows:
-            r, c = np.concatenate(rows), np.concatenate(cols)
-            for lo in range(0, len(r), 20_000):
-                x, y = r[lo:lo + 20_000], c[lo:lo + 20_000]
-                one, back = np.unique(x, return_inverse=True)
-                norm = np.sqrt(subsequence_kernel(matrix[one], matrix[one])[back] * self.own[y])
-                k = np.divide(subsequence_kernel(matrix[x], self.codes[y]), norm, out=np.zeros(len(x)), where=norm > 0)
-                np.maximum.at(out, (owner[x], y), k.astype(np.float32))
+        if not rows:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        r, c = np.concatenate(rows), np.concatenate(cols)
+        order = np.argsort((matrix[r] != 0).sum(axis=1), kind="stable")  # short words together
+        r, c = r[order], c[order]
+        out = np.zeros(len(r))
+        for lo in range(0, len(r), 20_000):
+            x, y = r[lo:lo + 20_000], c[lo:lo + 20_000]
+            one, back = np.unique(x, return_inverse=True)
+            norm = np.sqrt(subsequence_kernel(matrix[one], matrix[one])[back] * self.own[y])
+            out[lo:lo + 20_000] = np.divide(subsequence_kernel(matrix[x], self.codes[y]), norm, out=np.zeros(len(x)),
+                                            where=norm > 0)
+        return r, c, out
+
+    def supported(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(index, kernel row) of the words that any landmark supports."""
+        forms: dict[str, int] = {}
+        owner, form = [], []
+        for i, w in enumerate(words):
+            if not w.isalnum():
+                w = "".join(filter(str.isalnum, w))
+            if len(w) < self.least:
+                continue
+            for piece in (w,) if len(w) <= WIDTH else [w[j:j + WIDTH] for j in range(0, len(w) - WIDTH // 2, WIDTH // 2)]:
+                owner.append(i)
+                form.append(forms.setdefault(piece, len(forms)))
+        none = np.zeros(0, np.int64), np.zeros((0, len(self.words)), np.float32)
+        if not forms or not self.words:
+            return none
+        r, c, k = self.forms(list(forms))
+        if not len(r):
+            return none
+        place = np.full(len(forms), -1)
+        hit = np.unique(r)
+        place[hit] = np.arange(len(hit))
+        rows = np.zeros((len(hit), len(self.words)), np.float32)
+        rows[place[r], c] = k
+        owner, at = np.array(owner), place[np.array(form)]
+        owner, at = owner[at >= 0], at[at >= 0]
+        found, back = np.unique(owner, return_inverse=True)
+        out = np.zeros((len(found), len(self.words)), np.float32)
+        np.maximum.at(out, back, rows[at])
+        return found, out
+
+    def kernel(self, words: list[str]) -> np.ndarray:
+        """(words, landmarks) kernel values, zero without support."""
+        out = np.zeros((len(words), len(self.words)), np.float32)
+        at, rows = self.supported(words)
+        out[at] = rows
         return out
 
 
-def common_length(matrix: np.ndarray, mark: np.ndarray) -> np.ndarray:
-    """Longest common subsequence with one word of at most 64 letters."""
-    mark = mark[mark != 0]
-    full = np.uint64((1 << len(mark)) - 1)
-    state = np.full(len(matrix), full)
-    where = {int(c): np.uint64(sum(1 << i for i, x in enumerate(mark) if x == c)) for c in set(mark.tolist())}
+def common_length(numbers: np.ndarray, table: np.ndarray, length: int) -> np.ndarray:
+    """Longest common subsequence of rows of letter numbers (0 counts for
+    nothing) with one word of at most 64 letters, whose ``table`` has the bits
+    of every letter's places."""
+    full = np.uint64((1 << length) - 1)
+    state = np.full(len(numbers), full)
     with np.errstate(over="ignore"):
-        for p in range(matrix.shape[1]):
-            hit = np.zeros(len(matrix), np.uint64)
-            for c, bits in where.items():
-                hit[matrix[:, p] == c] = bits
+        for p in range(used(numbers)):
+            hit = table[numbers[:, p]]
             both = state & hit
             state = ((state + both) | (state & ~hit)) & full
-    return len(mark) - np.bitwise_count(state).astype(np.int64)
+    return length - np.bitwise_count(state).astype(np.int64)
 
 
 # ------------------------------------------------------------------ sentences
@@ -176,9 +224,8 @@ class Reader:
         ends, single = self.table.columns()
         if len(self.table) > self.checked:  # dicts keep their order: the new spellings are the last ones
             new = list(islice(self.table, self.checked, None))
-            k = self.marks.kernel(new)
-            for i in np.flatnonzero(k.any(axis=1)):
-                self.known[self.checked + int(i)] = k[i]
+            for i, k in zip(*self.marks.supported(new)):
+                self.known[self.checked + int(i)] = k
             self.checked = len(self.table)
         first = np.zeros(len(rows), bool)
         first[np.concatenate([[0], np.cumsum(lens)[:-1]])[lens > 0].astype(np.int64)] = True

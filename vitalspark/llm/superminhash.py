@@ -31,6 +31,7 @@ id; rows repeated in doc_id stay one by one.  Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -70,7 +71,7 @@ def shingle_sets(texts: list[bytes], memo: WordHashes, k: int = SHINGLE) -> list
     """Sorted distinct shingle hashes of each (already lower-cased) text."""
     words = [t.split() for t in texts]
     lens = np.fromiter(map(len, words), np.int64, len(words))
-    flat = np.fromiter((memo[w] for ws in words for w in ws), np.uint64, int(lens.sum()))
+    flat = np.fromiter(map(memo.__getitem__, chain.from_iterable(words)), np.uint64, int(lens.sum()))
     n = len(flat)
     with np.errstate(over="ignore"):
         rolled = np.zeros(max(n - k + 1, 0), np.uint64)

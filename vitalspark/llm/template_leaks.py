@@ -28,6 +28,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,7 @@ UNITS = ("mm cm m km in inch inches ft foot feet yd yard yards mile miles mi mg
          "dollar dollars euro euros cent cents pound pounds percent degree degrees % $ € £ °").split()
 _UNITS = frozenset(UNITS)
 _PIECE = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[%$€£°]")
+_MARKS = ".,;:!?\"'()[]{}*#&|”’“‘"
 _END = re.compile(r"[.!?:][\"'”’)\]]*\Z")
 LITERAL, NUMBER, UNIT, TITLE, NAME = range(5)
 PLACEHOLDER = {NUMBER: "<num>", UNIT: "<unit>", NAME: "<name>"}
@@ -59,51 +61,59 @@ WINDOWS_DDL = "key string, id bigint, h bigint, n int, pos int, template string,
 
 
 class Spellings(dict):
-    """Memo: white-space token -> indices of its pieces in the columns below."""
+    """Memo: white-space token -> row; a row is a range of pieces."""
 
     def __init__(self):
         super().__init__()
-        self.text, self.hash, self.kind, self.ends = [], [], [], []
-        self.done, self.arrays = 0, [np.zeros(1 << 12, t) for t in (np.uint64, np.int8, bool, bool)]
+        self.text, self.pieces, self.ranges = [], [], []
+        self.done = [0, 0]
+        self.tables = [[np.zeros(1 << 12, t) for t in types] for types in (
+            (np.uint64, np.int8, bool, bool), (np.int64, np.int64))]
 
-    def __missing__(self, token: bytes):
+    def __missing__(self, token: bytes) -> int:
         spelled = token.decode("utf-8", "replace")
-        pieces = _PIECE.findall(spelled)
+        core = spelled.strip(_MARKS)
+        found = [core] if core.isalpha() else _PIECE.findall(spelled)  # the pattern finds one piece in letters
+        ends = len(core) < len(spelled) and bool(found) and _END.search(spelled) is not None
         at = len(self.text)
-        for p in pieces:
+        for p in found:
             low = p.lower()
             kind = (NUMBER if p[0].isdigit() else UNIT if p in "%$€£°" else
                     TITLE if p[0].isupper() and p[1:].islower() else LITERAL)
             self.text.append(low)
-            self.hash.append(xxhash.xxh64_intdigest(low))
-            self.kind.append(kind)
-            self.ends.append(False)
-        if pieces and _END.search(spelled):
-            self.ends[-1] = True
-        self[token] = found = tuple(range(at, at + len(pieces)))
-        return found
+            self.pieces.append((xxhash.xxh64_intdigest(low), kind, False, low in _UNITS))
+        if ends:
+            self.pieces[-1] = (*self.pieces[-1][:2], True, self.pieces[-1][3])
+        self.ranges.append((at, len(found)))
+        self[token] = row = len(self.ranges) - 1
+        return row
 
     def columns(self) -> list[np.ndarray]:
-        """hash, kind, ends and unit-word flag of all pieces; only the pieces
-        that are new since the last call are converted."""
-        n, at = len(self.text), self.done
-        if n > len(self.arrays[0]):
-            self.arrays = [np.concatenate([a, np.zeros(max(n, len(a)), a.dtype)]) for a in self.arrays]
-        new = self.text[at:], self.hash[at:], self.kind[at:], self.ends[at:]
-        for a, values in zip(self.arrays, (new[1], new[2], new[3], [t in _UNITS for t in new[0]])):
-            a[at:n] = values
-        self.done = n
-        return self.arrays
+        """hash, kind, ends and unit-word flag of all pieces, first piece and
+        number of pieces of all rows; only what is new since the last call is
+        converted."""
+        for k, source in enumerate((self.pieces, self.ranges)):
+            at, n = self.done[k], len(source)
+            if n > len(self.tables[k][0]):
+                self.tables[k] = [np.concatenate([a, np.zeros(max(n, len(a)), a.dtype)]) for a in self.tables[k]]
+            if n > at:
+                for a, values in zip(self.tables[k], zip(*source[at:])):
+                    a[at:n] = values
+            self.done[k] = n
+        return self.tables[0] + self.tables[1]
 
 
 def templates(texts: list[bytes], memo: Spellings):
     """Template tokens of some texts, end to end: document index, hash, kind,
     and for each the range [start, end) of its pieces; plus the pieces."""
-    pieces = [[i for t in text.split() for i in memo[t]] for text in texts]
-    lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    idx = np.fromiter((i for p in pieces for i in p), np.int64, int(lens.sum()))
-    doc = np.repeat(np.arange(len(texts)), lens)
-    hashed, kind, ends, unit_words = (c[idx] for c in memo.columns())
+    words = [text.split() for text in texts]
+    lens = np.fromiter(map(len, words), np.int64, len(words))
+    rows = np.fromiter(map(memo.__getitem__, chain.from_iterable(words)), np.int64, int(lens.sum()))
+    *columns, begin, count = memo.columns()
+    count = count[rows]
+    idx = np.repeat(begin[rows] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+    doc = np.repeat(np.repeat(np.arange(len(texts)), lens), count)
+    hashed, kind, ends, unit_words = (c[idx] for c in columns)
     first = np.ones(len(idx), bool)
     first[1:] = (doc[1:] != doc[:-1]) | ends[:-1]
     kind = np.where(kind == TITLE, np.where(first, LITERAL, NAME), kind)
