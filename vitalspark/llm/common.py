@@ -53,6 +53,23 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """Write to the shared folder and read again: cuts the lineage of tables
+    that are read more than once.  The written table replaces the shuffle files
+    that made it, so Spark is told to drop those with the query."""
+    spark = df.sparkSession
+    path, before = shared_path(spark, what), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.parquet(path)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64 finaliser on a uint64 array."""
     with np.errstate(over="ignore"):

@@ -42,11 +42,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, crc_mod, slices_by_bytes, utf8
-from .superminhash import stored
+from .common import batch, crc_mod, mix, slices_by_bytes, stored, utf8
 
 DEPTH = 5
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 24 << 20
 CHUNK_BYTES = 2 << 20
 GROUP_ROWS = 150_000
 ALPHA = 0.1
@@ -259,6 +258,32 @@ def gram_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 # -------------------------------------------------------------------- scoring
+class Lookup:
+    """Values by 64-bit key: open addressing in arrays, at most half full."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.mask = np.uint64((1 << max(4, int(2 * len(keys)).bit_length())) - 1)
+        self.keys = np.full(int(self.mask) + 1, np.uint64(0xFFFFFFFFFFFFFFFF))  # no gram has eight bytes
+        self.values = np.zeros(int(self.mask) + 1)
+        slot, left = mix(keys) & self.mask, np.arange(len(keys))
+        while len(left):
+            free = self.keys[slot[left]] == np.uint64(0xFFFFFFFFFFFFFFFF)
+            at, one = np.unique(slot[left[free]], return_index=True)
+            put = left[free][one]
+            self.keys[at], self.values[at] = keys[put], values[put]
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + np.uint64(1)) & self.mask
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        slot = mix(keys) & self.mask
+        out, left = self.values[slot], np.flatnonzero(self.keys[slot] != keys)
+        while len(left):
+            slot[left] = (slot[left] + np.uint64(1)) & self.mask
+            out[left] = self.values[slot[left]]
+            left = left[self.keys[slot[left]] != keys[left]]
+        return out
+
+
 def _score(depth: int, tokens: int, distinct: int, ends: int):
     denominator = tokens + ALPHA * (distinct + 1)
 
@@ -269,9 +294,7 @@ def _score(depth: int, tokens: int, distinct: int, ends: int):
             words = model.filter(is_word)
             count = dict(zip(words["word"].to_pylist(), words["value"].to_pylist()))
             grams = model.filter(pa.compute.invert(is_word))
-            gram, value = grams["gram"].to_numpy().view(np.uint64), grams["value"].to_numpy()
-            order = np.argsort(gram)
-            gram, value = gram[order], value[order]
+            value = Lookup(grams["gram"].to_numpy().view(np.uint64), grams["value"].to_numpy())
             bodies = [t.lower() for t in rows["body"].to_pylist()]
             for t in bodies:
                 c = np.array([count[w] for w in t.split()] + [ends], np.float64)
@@ -281,9 +304,7 @@ def _score(depth: int, tokens: int, distinct: int, ends: int):
             score = []
             for lo, hi in _chunks(bodies):
                 g, owner = grams_of(bodies[lo:hi], depth)
-                known, at = np.unique(g, return_inverse=True)
-                found = value[np.searchsorted(gram, known)]
-                score.append(np.bincount(owner, weights=found[at], minlength=hi - lo))
+                score.append(np.bincount(owner, weights=value(g), minlength=hi - lo))
             out["score"] = np.concatenate(score)
             size = np.fromiter((len(t) + 1 for t in bodies), np.int64, len(bodies))
             out["bits_per_byte"] = -out["score"] / math.log10(2) / size
@@ -306,12 +327,14 @@ def scores(docs: DataFrame, depth: int = DEPTH, folds: int = 10, block_bytes: in
     words = features.where("word is not null").select("block", "word", "n")
     grams = features.where("gram is not null").select("block", "gram", "n")
     ends = rows.where("train").count()
-    known = words.groupBy("word").agg(F.sum("n").alias("n"))
+    known = stored(words.groupBy("word").agg(F.sum("n").alias("n")), "words")
     found = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
-    lengths = gram_scores(grams.groupBy("gram").agg(F.sum("n").alias("n")), depth)
-    model = (words.select("block", "word").join(known, "word")
-             .select("block", "word", F.lit(None).cast("bigint").alias("gram"), F.col("n").cast("double").alias("value"))
-             .unionByName(grams.select("block", "gram").join(lengths, "gram")
-                          .select("block", F.lit(None).cast("binary").alias("word"), "gram", "value")))
+    counts = stored(grams.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    lengths = gram_scores(counts, depth)
+    model = stored(words.select("block", "word").join(known, "word")
+                   .select("block", "word", F.lit(None).cast("bigint").alias("gram"),
+                           F.col("n").cast("double").alias("value"))
+                   .unionByName(grams.select("block", "gram").join(lengths, "gram")
+                                .select("block", F.lit(None).cast("binary").alias("word"), "gram", "value")), "model")
     return (rows.groupBy("block").cogroup(model.groupBy("block"))
             .applyInArrow(_score(depth, found["n"] + ends, found["v"] + (ends > 0), ends), SCORES_DDL))

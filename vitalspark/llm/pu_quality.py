@@ -37,8 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TokenTable, crc_mod, mix, slices_by_bytes, text_of
-from .superminhash import stored
+from .common import TokenTable, crc_mod, mix, slices_by_bytes, stored, text_of
 
 STEPS, RIDGE, STEP_UP = 12, 1e-3, 0.1
 SLICE_CHARS = 2 << 20

@@ -39,8 +39,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import (batch, bitmap_words, bits_for, in_bitmap, materialise, mix, salted_join, shared_path,
-                     slices_by_bytes, utf8)
+from .common import (batch, bitmap_words, bits_for, in_bitmap, materialise, mix, salted_join, slices_by_bytes,
+                     stored, utf8)
 
 SHINGLE, M, ROWS = 5, 128, 4
 BANDS = M // ROWS
@@ -157,15 +157,6 @@ def signatures(docs: DataFrame) -> DataFrame:
         _signatures, "doc_id bigint, n_shingles bigint, key bigint, sig array<bigint>")
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage of tables
-    that are read more than once."""
-    spark = df.sparkSession
-    path = shared_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 # ------------------------------------------------------------ verification
 def attach(pairs: DataFrame, payload: DataFrame, value: str) -> DataFrame:
     """pairs(a, b) with payload(key, value) of both sides as ``va``, ``vb``.
