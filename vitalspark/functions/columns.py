@@ -67,9 +67,10 @@ def nan_to_null(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
 
 
 def to_double(c: Column | str) -> Column:
-    """``pd.to_numeric(errors='coerce')``: unparsable -> NULL (ANSI-safe)."""
+    """``pd.to_numeric(errors='coerce')``: unparsable -> NULL (ANSI-safe), and
+    NaN -> NULL: Spark holds NaN equal to itself, so NULLIF removes it."""
     col = qcol(c) if isinstance(c, str) else c
-    return col.try_cast("double")
+    return F.nullif(col.try_cast("double"), F.lit(float("nan")))
 
 
 def complete_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:

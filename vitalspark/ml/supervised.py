@@ -164,8 +164,11 @@ def importances(fr: FitResult) -> DataFrame:
         raw = [abs(float(v)) for v in m.coefficientMatrix.toArray()[0]]
     elif hasattr(m, "coefficients"):
         raw = [abs(float(v)) for v in m.coefficients.toArray()]
+    elif hasattr(m, "models"):  # one model a class: the mean of their importances
+        each = [x.featureImportances.toArray() for x in m.models]
+        raw = [float(sum(v) / len(each)) for v in zip(*each)]
     else:
-        raw = [0.0] * len(names)
+        raise ValueError(f"{type(m).__name__} has no importances")
     total = sum(raw) or 1.0
     spark = fr.predictions.sparkSession
     rows = [(n, v / total if not hasattr(m, "featureImportances") else v, v / total * 100)

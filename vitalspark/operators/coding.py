@@ -56,19 +56,30 @@ def _phrase(keyword: str) -> str:
     return keyword.replace("_", " ")
 
 
+def _contains(text: Column, keyword: str, word_boundary: bool) -> Column:
+    phrase = _phrase(keyword)
+    return text.rlike(r"(^|[^a-z0-9_])" + re.escape(phrase) + r"($|[^a-z0-9_])") if word_boundary \
+        else F.contains(text, F.lit(phrase))
+
+
 def first_keyword(text: Column, dictionary: Sequence[tuple] = ICD10_COMMON, word_boundary: bool = False) -> Column:
     """Index of the first dictionary keyword contained in ``text`` (already
     lower-cased), NULL when none.  ``word_boundary`` stops the reference's
     over-matching ('mi' in 'bmi', 'liver' in 'delivery')."""
     expr = None
     for i, entry in enumerate(dictionary):
-        phrase = _phrase(entry[0])
-        hit = text.rlike(r"(^|[^a-z0-9_])" + re.escape(phrase) + r"($|[^a-z0-9_])") if word_boundary \
-            else F.contains(text, F.lit(phrase))
+        hit = _contains(text, entry[0], word_boundary)
         expr = F.when(hit, F.lit(i)) if expr is None else expr.when(hit, F.lit(i))
     return expr
 
 
+def all_keywords(text: Column, dictionary: Sequence[tuple] = ICD10_COMMON, word_boundary: bool = False) -> Column:
+    """Indices of all dictionary keywords contained in ``text`` (already
+    lower-cased), for texts that name several conditions."""
+    return F.filter(F.array(*[F.when(_contains(text, entry[0], word_boundary), F.lit(i))
+                              for i, entry in enumerate(dictionary)]), lambda x: x.isNotNull())
+
+
 def _dictionary_df(spark, dictionary):
     return spark.createDataFrame([(i, k, c, d) for i, (k, c, d) in enumerate(dictionary)],
                                  "_kw int, keyword string, icd10_code string, description string")

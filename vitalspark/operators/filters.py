@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import is_numeric, is_text, qcol, to_double
+from ..functions.columns import is_float, is_numeric, is_text, nan_to_null, qcol, to_double
 
 COMPARISONS = (">", "<", ">=", "<=")
 PREVIEW_ROWS = 500        # fixed: preview length
@@ -48,7 +48,9 @@ def predicate(df: DataFrame, col: str, op: str, value) -> Column | None:
         if not is_numeric(dtype, "D"):
             raise TypeError(f"filter {col} {op} {value!r}: column is not numeric")
         v = F.lit(float(value))
-        return {">": c > v, "<": c < v, ">=": c >= v, "<=": c <= v}[op]
+        hit = {">": c > v, "<": c < v, ">=": c >= v, "<=": c <= v}[op]
+        # Spark sorts NaN above every number; here it is a missing value.
+        return hit & ~F.isnan(c) if is_float(dtype) and op in (">", ">=") else hit
     if op == "contains":
         # Regular-expression search, case-sensitive, nulls never match.
         return F.coalesce(c.cast("string").rlike(str(value)), F.lit(False))
@@ -86,6 +88,7 @@ def impute_mean(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     map-only projection with the means as literals)."""
     if not cols:
         return df
+    df = nan_to_null(df, [c for c in cols if c in df.columns])
     means = df.agg(*[F.avg(qcol(c)).alias(c) for c in cols]).first().asDict()
     return df.withColumns({c: F.coalesce(qcol(c), F.lit(means[c])) for c in cols})
 

@@ -23,7 +23,9 @@ def grade_results(results: DataFrame) -> DataFrame:
     | other), target, n_features, total_rows, r2, accuracy, silhouette,
     n_clusters (nulls allowed).  Output: summary, observation, risk_flag,
     recommendation, confidence."""
-    task, r2, acc, sil = F.col("task"), F.col("r2"), F.col("accuracy"), F.col("silhouette")
+    # A missing figure reads as 0 in texts and tests, but not as confidence.
+    task, zero = F.col("task"), F.lit(0.0)
+    r2, acc, sil = (F.coalesce(F.col(c), zero) for c in ("r2", "accuracy", "silhouette"))
     rows = F.format_number(F.coalesce(F.col("total_rows"), F.lit(0)), 0)
     nfeat = F.coalesce(F.col("n_features"), F.lit(0)).cast("string")
     target = F.coalesce(F.col("target"), F.lit(""))
@@ -54,7 +56,7 @@ def grade_results(results: DataFrame) -> DataFrame:
            .when(task == "clustering",
                  F.lit("Review each cluster's characteristics to identify high-risk patient groups."))
            .otherwise(F.lit("Review results with a clinical expert before deployment.")))
-    conf_metric = F.coalesce(r2, acc, F.lit(0.5))
+    conf_metric = F.coalesce(F.col("r2"), F.col("accuracy"), F.lit(0.5))
     confidence = F.when(conf_metric > HIGH_CONFIDENCE, "high").otherwise("medium")
     return results.select("*", summary.alias("summary"), risk.alias("risk_flag"), rec.alias("recommendation"),
                           confidence.alias("confidence"))

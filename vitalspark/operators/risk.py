@@ -23,7 +23,6 @@ HIGH_SIGMAS = 2          # high = mean + 2 std, low = mean - 2 std
 CRITICAL_SIGMAS = 3      # critical_high = mean + 3 std
 Z_CAP = 3                # each |z| counts at most 3
 HIGH_RISK_SCORE = 60     # score > 60 is high risk
-CHANGE_COLUMNS = 4       # change alerts look at the first 4 columns
 RECENT_ROWS = 10         # ... comparing the last 10 rows
 CHANGE_ALERT_PCT = 20    # ... with the overall mean; > 20 % is an alert
 TOP_K = 10
@@ -125,7 +124,7 @@ def top_risk(scores: DataFrame, key_cols: Sequence[str], k: int = TOP_K) -> Data
 
 
 def change_alerts_by(work: DataFrame, cols: Sequence[str], order_cols: Sequence[str], group_cols: Sequence[str],
-                     recent_rows: int = RECENT_ROWS, n_columns: int = CHANGE_COLUMNS) -> DataFrame:
+                     recent_rows: int = RECENT_ROWS, n_columns: int | None = None) -> DataFrame:
     """RSK-4 per entity: each entity's last ``recent_rows`` rows against its
     own mean.  The per-entity top-k is a WindowGroupLimit (k rows per entity
     kept in each map task before the shuffle), the means one aggregate."""
@@ -150,9 +149,10 @@ def change_alerts_by(work: DataFrame, cols: Sequence[str], order_cols: Sequence[
 
 
 def change_alerts(work: DataFrame, cols: Sequence[str], order_cols: Sequence[str],
-                  recent_rows: int = RECENT_ROWS, n_columns: int = CHANGE_COLUMNS) -> DataFrame:
+                  recent_rows: int = RECENT_ROWS, n_columns: int | None = None) -> DataFrame:
     """RSK-4: mean of the last ``recent_rows`` rows (by ``order_cols``) against
-    the overall mean, for the first ``n_columns`` columns.  Every column is
+    the overall mean, for all columns (the reference showed the first 4:
+    ``n_columns=4``).  Every column is
     reported, with ``is_alert`` for a change above 20 %; nothing is reported
     for tables of 10 rows or fewer, or a zero overall mean."""
     cols = list(cols)[:n_columns]
@@ -193,16 +193,17 @@ class RiskReport:
 
 
 def run_risk_engine(df: DataFrame, feature_cols: Sequence[str], key_cols: Sequence[str],
-                    order_cols: Sequence[str] | None = None) -> RiskReport:
+                    order_cols: Sequence[str] | None = None, change_columns: int | None = None) -> RiskReport:
     """All sections of the risk engine; ``order_cols`` (default the key)
-    define "recent" for change alerts."""
+    define "recent" for change alerts, ``change_columns`` limits them to the
+    first columns."""
     work, cols = prepare(df, feature_cols)
     th = thresholds(work, cols)
     scores = risk_scores(work, th, key_cols)
     return RiskReport(
         thresholds=threshold_table(work, cols),
         alerts=threshold_alerts(work, th),
-        change_alerts=change_alerts(work, cols, order_cols or key_cols),
+        change_alerts=change_alerts(work, cols, order_cols or key_cols, n_columns=change_columns),
         scores=scores,
         distribution=risk_distribution(scores),
         top=top_risk(scores, key_cols))

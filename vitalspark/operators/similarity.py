@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import complete_rows, qcol, require_numeric
+from ..functions.columns import complete_rows, nan_to_null, qcol, require_numeric
 from ..plans.aggregates import bounded_rows
 
 SIMILARITY_SCALE = 15        # fixed: similarity % = max(0, 100 - 15 * distance)
@@ -157,6 +157,7 @@ def similar_rows(df: DataFrame, feature_cols: Sequence[str], key_cols: Sequence[
     """PAT-5: neighbours of existing rows, self excluded.  Features are
     coerced, mean-imputed (not dropped) and standardised."""
     cols = require_numeric(df, feature_cols, "C")
+    df = nan_to_null(df, cols)
     # One aggregate gives the imputation means and the population std of the
     # imputed columns: imputing the mean keeps the mean and scales the
     # variance by (non-null count / row count).

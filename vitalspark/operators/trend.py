@@ -10,6 +10,7 @@ a frame is a difference of two prefix sums, looked up by equi-joins on
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -17,38 +18,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import complete_rows, qcol, require_numeric
+from ..plans.aggregates import one_row
 from ..plans.ordered import ordered_prefix
 from ..session import cut_lineage
 
-MAX_COLUMNS = 6          # fixed: the first 6 numeric columns
 MIN_WINDOW = 3           # fixed: moving-average window is max(3, n // 10)
 WINDOW_DIVISOR = 10
 FORECAST_STEPS = 10
 FIRST_ABS_FLOOR = 0.001  # change % is 0 when |first| <= 0.001
 # Running sums are exact decimals: a frame sum is the difference of two
-# running sums, which in doubles would lose digits as the sums grow.
-PREFIX_TYPE = "decimal(38,10)"
+# running sums, which in doubles would lose digits as the sums grow.  22 whole
+# digits hold 10^15 rows of up to PLAIN[1]; a column whose largest magnitude
+# lies outside PLAIN is summed in units of its own power of ten.
+PREFIX_TYPE = "decimal(38,16)"
+PLAIN = (1e-2, 1e7)
 
 
 @dataclass
 class TrendInput:
-    long: DataFrame        # group..., column, idx, value, cum
+    long: DataFrame        # group..., column, unit, idx, value, cum (in units)
     group_cols: list[str]
     key_cols: list[str]
 
 
+def _unit(largest: float | None) -> float:
+    """1 for ordinary magnitudes, else the power of ten above the largest."""
+    if not largest or not math.isfinite(largest) or PLAIN[0] <= largest <= PLAIN[1]:
+        return 1.0
+    return 10.0 ** math.ceil(math.log10(largest))
+
+
 def trend_input(df: DataFrame, value_cols: Sequence[str], order_cols: Sequence[str],
-                group_cols: Sequence[str] = ()) -> TrendInput:
+                group_cols: Sequence[str] = (), max_columns: int | None = None) -> TrendInput:
     """Complete rows over the numeric value columns, one long row per
-    (entity, column, position) with the running sum of the values."""
-    cols = require_numeric(df, value_cols, "A")[:MAX_COLUMNS]
+    (entity, column, position) with the running sum of the values.  All
+    columns take part (the reference showed the first 6: ``max_columns=6``)."""
+    cols = require_numeric(df, value_cols, "A")[:max_columns]
     group_cols = list(group_cols)
     work = complete_rows(df, cols)
+    largest = one_row(work, [F.max(F.abs(qcol(c).cast("double"))).alias(c) for c in cols])
     long = work.select(*[qcol(g) for g in group_cols], *[qcol(o) for o in order_cols], F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), qcol(c).cast("double").alias("value")) for c in cols
-    ])).alias("_u")).select(*group_cols, *order_cols, "_u.column", "_u.value")
-    ranked = ordered_prefix(long, list(order_cols), [*group_cols, "column"], sums=[("cum", F.col("value").cast(PREFIX_TYPE))],
-                            index_name="idx")
+        F.struct(F.lit(c).alias("column"), F.lit(_unit(largest.get(c))).alias("unit"),
+                 qcol(c).cast("double").alias("value")) for c in cols
+    ])).alias("_u")).select(*group_cols, *order_cols, "_u.column", "_u.unit", "_u.value")
+    ranked = ordered_prefix(long, list(order_cols), [*group_cols, "column"],
+                            sums=[("cum", (F.col("value") / F.col("unit")).cast(PREFIX_TYPE))], index_name="idx")
     # Positions and running sums feed the fit and two lookups: materialise once.
     return TrendInput(cut_lineage(ranked), group_cols, list(order_cols))
 
@@ -73,7 +87,8 @@ def linear_trend(ti: TrendInput) -> DataFrame:
 def trend_lines(ti: TrendInput, fit: DataFrame) -> DataFrame:
     """TRD-2 + TRD-3 per row: fitted value and the centred moving average of
     width w = max(3, n // 10) over [i-(w-1-o), i+o], o = (w-1)//2; edge rows
-    take the first / last full window (pandas bfill + ffill)."""
+    take the first / last full window (pandas bfill + ffill).  ``moving_sum``
+    is the exact frame sum in multiples of ``unit`` (1 for ordinary columns)."""
     g = [*ti.group_cols, "column"]
     coef = fit.select(*g, "n", "slope", "intercept")
     rows = ti.long.join(coef, g)
@@ -87,10 +102,10 @@ def trend_lines(ti: TrendInput, fit: DataFrame) -> DataFrame:
     lo = pref.withColumnRenamed("_pi", "_lo").withColumnRenamed("_pc", "_sum_lo")
     rows = rows.join(hi, [*g, "_hi"], "left").join(lo, [*g, "_lo"], "left")
     frame_sum = F.when(F.col("n") >= F.col("_w"), F.col("_sum_hi") - F.coalesce(F.col("_sum_lo"), F.lit(0)))
-    ma = frame_sum.cast("double") / F.col("_w")
+    ma = frame_sum.cast("double") / F.col("_w") * F.col("unit")
     fitted = F.col("slope") * F.col("idx") + F.col("intercept")
     return rows.select(*ti.group_cols, *ti.key_cols, "column", "idx", "value",
-                       fitted.alias("fitted"), ma.alias("moving_avg"), frame_sum.alias("moving_sum"),
+                       fitted.alias("fitted"), ma.alias("moving_avg"), frame_sum.alias("moving_sum"), "unit",
                        F.col("_w").alias("window"))
 
 

@@ -153,9 +153,9 @@ def compare_datasets(spark, sf_dir):
 # ---------------------------------------------------------------- survival
 
 SURV_BASE_SQL = (
-    "SELECT l_linestatus AS grp, CAST(date_diff('day', o_orderdate, l_shipdate) AS DOUBLE) AS t,"
+    "SELECT l_linestatus AS grp, CAST(abs(date_diff('day', o_orderdate, l_shipdate)) AS DOUBLE) AS t,"
     " CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS e"
-    " FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE date_diff('day', o_orderdate, l_shipdate) >= 0")
+    " FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 
 SURV_CURVE_SQL = (
     f"WITH base AS ({SURV_BASE_SQL}),"
@@ -176,10 +176,11 @@ SURV_CURVE_SQL = (
 def _surv_rows(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     o = table(spark, sf_dir, "orders")
-    days = F.datediff(F.to_date("l_shipdate"), F.to_date("o_orderdate"))
-    j = li.join(o, li.l_orderkey == o.o_orderkey).select(
+    # Order and shipping dates are drawn independently: the distance between
+    # them is a duration for every row.
+    days = F.abs(F.datediff(F.to_date("l_shipdate"), F.to_date("o_orderdate")))
+    return li.join(o, li.l_orderkey == o.o_orderkey).select(
         "l_linestatus", days.alias("duration"), (F.col("l_returnflag") == "R").cast("int").alias("event"))
-    return j.where(F.col("duration") >= 0)
 
 
 @register("survival_curve", "SRV-1 SRV-2", SURV_CURVE_SQL)

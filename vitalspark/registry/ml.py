@@ -102,7 +102,7 @@ def ml_pca(spark, sf_dir):
 
 def _grading_sql() -> str:
     from .analytics import TREND_BASE_SQL
-    r2p = "CAST(round(r2 * 100, 1) AS VARCHAR)"
+    r2p = "CAST(round(coalesce(r2, 0) * 100, 1) AS VARCHAR)"
     rows = "format('{:,}', total_rows)"
     return (
         f"WITH b AS ({TREND_BASE_SQL}), f AS (SELECT user_id, 'regression' AS task, 'value' AS target,"
@@ -110,9 +110,9 @@ def _grading_sql() -> str:
         " SELECT user_id, task, target, n_features, total_rows, round(r2, 4) AS r2,"
         f" 'A regression model was trained to predict ''' || target || ''' using ' || n_features || ' features across '"
         f" || {rows} || ' patients, achieving an R² score of ' || {r2p} || '%.' AS summary,"
-        f" CASE WHEN r2 < 0.5 THEN 'Low R² (' || {r2p} || '%) — model may need more features or data cleaning.'"
+        f" CASE WHEN coalesce(r2, 0) < 0.5 THEN 'Low R² (' || {r2p} || '%) — model may need more features or data cleaning.'"
         " ELSE 'No critical issues detected.' END AS risk_flag,"
-        " CASE WHEN r2 < 0.5 THEN 'Consider adding more clinically relevant features.'"
+        " CASE WHEN coalesce(r2, 0) < 0.5 THEN 'Consider adding more clinically relevant features.'"
         " ELSE 'Model performance is ' || CASE WHEN r2 > 0.8 THEN 'strong' ELSE 'moderate' END"
         " || ' — suitable for clinical decision support.' END AS recommendation,"
         " CASE WHEN coalesce(r2, 0.5) > 0.75 THEN 'high' ELSE 'medium' END AS confidence FROM f")
@@ -151,12 +151,12 @@ def ml_ward(spark, sf_dir):
 
 @register("profile_prediction", "PAT-4 ML-16")
 def profile_prediction(spark, sf_dir):
-    """The model fitted on all labelled rows, applied to each row's own
+    """The model fitted on all labelled rows, applied to every document's own
     feature values (the prediction panel of an entity profile)."""
-    docs = _docs_labelled(spark, sf_dir)
-    fr = supervised.fit(docs, ["n_chars", "lang", "source"], "quality", ["doc_id"], task="classification",
-                        holdout=False)
-    return supervised.predict_inputs(fr, docs.select("doc_id", "n_chars", "lang", "source"), ["doc_id"])
+    fr = supervised.fit(_docs_labelled(spark, sf_dir), ["n_chars", "lang", "source"], "quality", ["doc_id"],
+                        task="classification", holdout=False)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", "source")
+    return supervised.predict_inputs(fr, docs, ["doc_id"])
 
 
 @register("risk_anomaly_summary", "RSK-3")

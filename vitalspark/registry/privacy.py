@@ -134,15 +134,15 @@ def icd_codes(spark, sf_dir):
 
 
 @register("icd_documents", "ICD-1",
-          f"WITH h AS (SELECT doc_id, {_kw_case('lower(text)')} AS kw FROM documents),"
-          f" dic(kw, keyword, icd10_code, description) AS (VALUES {_dict_values()})"
-          " SELECT doc_id, keyword, icd10_code FROM h JOIN dic USING (kw)")
+          f"WITH dic(kw, keyword, icd10_code, description) AS (VALUES {_dict_values()})"
+          " SELECT doc_id, keyword, icd10_code FROM documents JOIN dic"
+          " ON contains(lower(text), replace(keyword, '_', ' '))")
 def icd_documents(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    kw = coding.first_keyword(F.lower("text"))
+    kw = F.explode(coding.all_keywords(F.lower("text")))
     dic = F.broadcast(spark.createDataFrame([(i, k, c) for i, (k, c, _) in enumerate(coding.ICD10_COMMON)],
                                             "_kw int, keyword string, icd10_code string"))
-    return d.select("doc_id", kw.alias("_kw")).where(F.col("_kw").isNotNull()).join(dic, "_kw") \
+    return d.select("doc_id", kw.alias("_kw")).join(dic, "_kw") \
         .select("doc_id", "keyword", "icd10_code")
 
 

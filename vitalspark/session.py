@@ -37,6 +37,7 @@ def build_session(master: str | None = None, app: str = "vitalspark",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ensure_worker_path(spark)
     return spark
 
 
@@ -49,11 +50,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="vitalspark-ckpt-")
     sc.setCheckpointDir(configured)
     return configured
 
 
+def ensure_worker_path(spark: SparkSession) -> None:
+    """Let Python workers import this package when it is not installed but
+    imported from a folder (tests, notebooks); an own setting is kept."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder.
 

@@ -90,10 +90,14 @@ def read_workbook(spark: SparkSession, path: str, max_columns: int = 10_000) ->
     as a number become doubles.  The header (bounded by ``max_columns``) is
     the only thing collected."""
     cells = read_workbook_cells(spark, path)
-    header = cells.where(F.col("row") == 0).groupBy("col").agg(F.min("value").alias("name")) \
+    header = cells.where(F.col("row") == 0).groupBy("col").agg(
+        F.min("value").alias("name"), F.max("value").alias("other"), F.count("value").alias("n")) \
         .orderBy("col").limit(max_columns + 1).collect()
     if len(header) > max_columns:
         raise ValueError("too many workbook columns")
+    files = cells.agg(F.count_distinct("path").alias("n")).first()["n"]
+    if any(r["name"] != r["other"] or r["n"] not in (0, files) for r in header):
+        raise ValueError("the workbooks have different headers")
     names = {r["col"]: (r["name"] or f"column_{r['col']}") for r in header}
     body = cells.where(F.col("row") > 0)
     wide = body.groupBy("path", "row").pivot("col", list(names)).agg(F.first("value"))
