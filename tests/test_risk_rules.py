@@ -1,22 +1,67 @@
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import NUM6
 from vitalspark.operators import risk, rules
 
 
-def test_risk_engine_golden(patients):
+def expected_risk(sample):
+    """Rounded mean and std; sum of min(|z|, 3) as a share of the largest sum."""
+    mean, std = sample[NUM6].mean().round(3), sample[NUM6].std().round(3)
+    z = ((sample[NUM6] - mean) / std).abs().clip(upper=3)
+    return (z.sum(axis=1) / len(NUM6) / 3 * 100).round(1)
+
+
+def test_risk_engine_golden(patients, sample):
     rep = risk.run_risk_engine(patients, NUM6, ["patient_id"], order_cols=["row_index"])
-    alerts = rep.alerts.collect()
-    assert [(a["column"], a["level"], a["count"]) for a in alerts] == [("glucose", "WARNING", 1)]
-    assert round(alerts[0]["percent"], 1) == 3.3
-    assert all(not r["is_alert"] for r in rep.change_alerts.collect())
-    top = [(r["patient_id"], r["risk_score"]) for r in rep.top.collect()][:4]
-    assert top == [("P013", 62.6), ("P023", 56.3), ("P010", 50.7), ("P030", 48.4)]
+    mean, std = sample[NUM6].mean(), sample[NUM6].std()
+    want = []
+    for c in NUM6:
+        critical, high = (sample[c] > round(mean[c] + 3 * std[c], 3)).sum(), (sample[c] > round(mean[c] + 2 * std[c], 3)).sum()
+        low = (sample[c] < round(mean[c] - 2 * std[c], 3)).sum()
+        if critical or high:
+            want.append((c, "CRITICAL" if critical else "WARNING", critical or high))
+        if low:
+            want.append((c, "LOW", low))
+    assert [(a["column"], a["level"], a["count"]) for a in rep.alerts.collect()] == want
+    changes = {r["column"]: r for r in rep.change_alerts.collect()}
+    assert set(changes) == set(NUM6)  # all columns, not the first few
+    for c, r in changes.items():
+        pct = abs(sample[c].tail(10).mean() - mean[c]) / mean[c] * 100
+        assert r["change_percent"] == pytest.approx(pct) and r["is_alert"] == (pct > 20)
+    score = expected_risk(sample)
+    best = score.sort_values(ascending=False, kind="stable").head(10)
+    top = [(r["patient_id"], r["risk_score"]) for r in rep.top.collect()]
+    assert [s for _, s in top] == pytest.approx(best.tolist(), abs=0.11)
+    assert top[0][0] == sample.patient_id[best.index[0]]
     dist = rep.distribution.first()
-    assert (dist["high_risk_count"], dist["total"]) == (1, 30)
+    assert (dist["high_risk_count"], dist["total"]) == ((score > 60).sum(), 30)
+
+
+def test_every_alert_level(spark):
+    rows = [(float(i % 7), 50.0, 10.0) for i in range(97)] + [(500.0, 0.0, 10.0)] + [(3.0, 50.0, 14.0)] * 2
+    df = spark.createDataFrame(rows, "a double, b double, c double").withColumn("d", F.when(F.col("c") > 13, 9.0).otherwise(F.col("a")))
+    levels = {(r["column"], r["level"]) for r in risk.run_risk_engine(df, ["a", "b", "c"], ["a"]).alerts.collect()}
+    assert {("a", "CRITICAL"), ("b", "LOW"), ("c", "CRITICAL")} <= levels
+
+
+def test_nan_is_missing_in_rules_and_filters(spark):
+    from vitalspark.operators import filters, quality, similarity
+    rows = [(1, 150.0), (2, float("nan")), (3, 100.0), (4, None), (5, 200.0)]
+    df = spark.createDataFrame(rows, "k long, g double")
+    r = rules.evaluate_rules(df, [{"column": "g", "operator": ">", "value": 140}]).first()
+    assert (r["n_triggered"], r["n_total"], r["col_mean"], r["col_max"]) == (2, 3, 150.0, 200.0)
+    assert sorted(x["k"] for x in rules.triggered_rows(df, [{"column": "g", "operator": ">", "value": 140}], ["k"]).collect()) == [1, 5]
+    assert [x["k"] for x in filters.filter_chain(df, [{"col": "g", "op": ">", "value": 140}]).orderBy("k").collect()] == [1, 5]
+    assert [x["g"] for x in filters.impute_mean(df, ["g"]).orderBy("k").collect()] == [150.0, 150.0, 100.0, 150.0, 200.0]
+    c = rules.compare_datasets(df, df).where("column = 'g'").first()
+    assert (c["n_a"], c["mean_a"]) == (3, 150.0)
+    near = similarity.similar_rows(df, ["g"], ["k"], [(1,)]).collect()
+    assert all(x["distance"] == x["distance"] for x in near) and len(near) == 4
+    assert all(x["max"] == x["max"] for x in quality.outlier_report(df).collect())
 
 
-def test_rules_golden(patients):
+def test_rules_golden(patients, sample):
     rs = [{"column": "glucose", "operator": ">", "value": 125},
           {"column": "blood_pressure_systolic", "operator": ">", "value": 140},
           {"column": "bmi", "operator": ">", "value": 30},
@@ -26,12 +71,13 @@ def test_rules_golden(patients):
           {"column": "glucose", "operator": ">", "value": 140, "severity": "critical"},
           {"column": "missing", "operator": ">", "value": 1}]
     ev = rules.evaluate_rules(patients, rs).orderBy("rule_id").collect()
-    assert [r["n_triggered"] for r in ev] == [5, 10, 10, 3, 8, 17, 0]
-    assert ev[-1]["status"] == "CLEAR"
+    want = [int((sample[r["column"]] > r["value"]).sum()) for r in rs[:-1]]
+    assert [r["n_triggered"] for r in ev] == want
+    assert [r["status"] for r in ev] == ["TRIGGERED" if n else "CLEAR" for n in want] and want[0] > 0
     status = rules.rollup_status(rules.evaluate_rules(patients, rs)).first()
-    assert status["overall_status"] == "WARNING"
-    rows = rules.triggered_rows(patients, rs[:1], ["patient_id"]).collect()
-    assert len(rows) == 5
+    assert status["overall_status"] == ("CRITICAL" if want[-1] else "WARNING")
+    rows = rules.triggered_rows(patients, rs[:1], ["patient_id"]).orderBy("rank").collect()
+    assert [r["patient_id"] for r in rows] == sample.patient_id[sample.glucose > 125].head(10).tolist()
 
 
 def test_unknown_operator_raises(patients):
@@ -49,15 +95,19 @@ def test_rule_suggestions_golden(patients):
                    "glucose": 3, "bmi": 2}
 
 
-def test_compare_golden(patients):
+def test_compare_golden(patients, sample):
     from pyspark.sql import functions as F
     a = patients.where(F.col("gender") == "Male")
     b = patients.where(F.col("gender") == "Female")
     r = {x["column"]: x for x in rules.compare_datasets(a, b).collect()}["glucose"]
+    x, y = (sample.glucose[sample.gender == g] for g in ("Male", "Female"))
+    d = (x.mean() - y.mean()) / ((x.var() + y.var()) / 2) ** 0.5
+    t = (x.mean() - y.mean()) / (x.var() / 15 + y.var() / 15) ** 0.5
     assert (r["n_a"], r["n_b"]) == (15, 15)
-    assert r["mean_a"] == pytest.approx(101.2667, abs=1e-4) and r["mean_b"] == pytest.approx(100.9333, abs=1e-4)
-    assert r["cohens_d"] == pytest.approx(0.0180, abs=1e-4) and r["effect_size"] == "negligible"
-    assert r["t_stat"] == pytest.approx(0.0493, abs=1e-4) and r["p_approx"] == pytest.approx(1.9677, abs=1e-4)
+    assert (r["mean_a"], r["mean_b"]) == pytest.approx((x.mean(), y.mean()))
+    assert r["cohens_d"] == pytest.approx(d) and r["t_stat"] == pytest.approx(t)
+    assert r["effect_size"] == next((b for cut, b in ((.8, "large"), (.5, "medium"), (.2, "small")) if abs(d) > cut), "negligible")
+    assert r["p_approx"] == pytest.approx(2 * (1 - min(abs(t) / (abs(t) + 3), .999)))
 
 
 def test_result_grading_branches(spark):

@@ -5,17 +5,23 @@ from conftest import NUM6
 from vitalspark.operators import entity, similarity
 
 
-def test_similar_patients_golden(patients):
+def neighbours(sample, who):
+    """(patient_id, distance) of all rows by standardised Euclidean distance."""
+    z = (sample[NUM6] - sample[NUM6].mean()) / sample[NUM6].std(ddof=0)
+    d = ((z - z.loc[who]) ** 2).sum(axis=1) ** 0.5
+    return sorted(zip(d.round(9), sample.patient_id, d))
+
+
+def test_similar_patients_golden(patients, sample):
     q = patients.where("patient_id = 'P001'").first().asDict()
     nn, _ = similarity.find_similar(patients, NUM6, ["patient_id"], [{c: q[c] for c in NUM6}], n_similar=6)
     got = [(r["patient_id"], round(r["distance"], 4)) for r in nn.orderBy("rank").collect()]
-    assert got == [("P001", 0.0), ("P015", .2265), ("P024", .2404), ("P009", .5471), ("P006", .6671),
-                   ("P029", .6715)]
+    assert got == [(p, round(d, 4)) for _, p, d in neighbours(sample, 0)[:6]]
 
 
-def test_similar_rows_excludes_self(patients):
+def test_similar_rows_excludes_self(patients, sample):
     out = similarity.similar_rows(patients, NUM6, ["patient_id"], [("P001",)]).orderBy("rank").collect()
-    assert [r["patient_id"] for r in out] == ["P015", "P024", "P009", "P006"]
+    assert [r["patient_id"] for r in out] == [p for _, p, _ in neighbours(sample, 0)[1:5]]
 
 
 def test_profile_cells_percentiles(patients):
@@ -29,13 +35,13 @@ def test_profile_cells_percentiles(patients):
     assert all(r["risk_level"] in ("LOW", "MEDIUM", "HIGH") for r in risk)
 
 
-def test_cohort_comparison(patients):
+def test_cohort_comparison(patients, sample):
     qv = [{"glucose": 140.0}]
     nn, cols = similarity.find_similar(patients, NUM6, ["patient_id"], qv)
     comp = {r["feature"]: r for r in similarity.cohort_comparison(patients, cols, ["patient_id"], nn, qv).collect()}
     assert comp["glucose"]["query_value"] == 140.0
-    assert comp["glucose"]["diff_from_pop"] == pytest.approx(140.0 - 101.1)
-    assert comp["age"]["query_value"] == pytest.approx(46.6)
+    assert comp["glucose"]["diff_from_pop"] == pytest.approx(140.0 - sample.glucose.mean())
+    assert comp["age"]["query_value"] == pytest.approx(sample.age.mean())
 
 
 def test_profile_keys_matches_all_rows_profile(patients):

@@ -1,15 +1,16 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from vitalspark.operators import survival, trend
 
 
-def test_trend_golden(patients):
+def test_trend_golden(patients, sample):
     ti = trend.trend_input(patients, ["glucose"], ["row_index"])
     fit = trend.linear_trend(ti).first()
-    assert fit["slope"] == pytest.approx(0.0407119, abs=1e-6)
-    assert fit["intercept"] == pytest.approx(100.509677, abs=1e-5)
-    assert fit["r2"] == pytest.approx(0.000387442, abs=1e-8)
+    slope, intercept = np.polyfit(range(30), sample.glucose, 1)
+    assert (fit["slope"], fit["intercept"]) == pytest.approx((slope, intercept))
+    assert fit["r2"] == pytest.approx(np.corrcoef(range(30), sample.glucose)[0, 1] ** 2)
     lines = trend.trend_lines(ti, trend.linear_trend(ti)).orderBy("idx").collect()
     assert lines[0]["window"] == 3
     vals = [r["value"] for r in lines]
@@ -18,6 +19,18 @@ def test_trend_golden(patients):
     assert [r["moving_avg"] for r in lines] == pytest.approx(expect)
 
 
+def test_all_columns_and_any_magnitude(spark):
+    rows = [(i, *[float(i * (c + 1) % 7) for c in range(6)], i * 3e-11, i * 5e20) for i in range(1, 41)]
+    names = [f"c{j}" for j in range(8)]
+    ti = trend.trend_input(spark.createDataFrame(rows, ["i", *names]), names, ["i"])
+    fit = trend.linear_trend(ti)
+    assert fit.count() == 8
+    lines = trend.trend_lines(ti, fit).where("idx = 20").collect()
+    got = {r["column"]: r["moving_avg"] for r in lines}
+    for j, c in enumerate(names):
+        assert got[c] == pytest.approx(np.mean([rows[k][j + 1] for k in range(18, 22)]), rel=1e-9), c
+
+
 def test_moving_average_matches_pandas_even_window(spark):
     import pandas as pd
     vals = [float((i * 37) % 11) for i in range(43)]
@@ -37,16 +50,26 @@ def test_forecast_and_corr(patients):
     assert len(corr) == 3 and all(-1 <= r["corr"] <= 1 for r in corr)
 
 
-def test_kaplan_meier_golden(patients):
+def expected_curve(sample):
+    s, out = 1.0, []
+    for t in sorted(set(sample.age[sample.diagnosis == "Diabetic"])):
+        at_risk, deaths = (sample.age >= t).sum(), ((sample.age == t) & (sample.diagnosis == "Diabetic")).sum()
+        s *= 1 - deaths / at_risk
+        out.append((t, at_risk, round(s, 4)))
+    return out
+
+
+def test_kaplan_meier_golden(patients, sample):
     df = patients.withColumn("event", (F.col("diagnosis") == "Diabetic").cast("int"))
     rep = survival.run_kaplan_meier(df, "age", "event")
     curve = [(r["t"], r["at_risk"], round(r["survival"], 4))
              for r in rep.curve.where(~F.col("is_start")).orderBy("t").collect()]
-    assert curve == [(53, 11, .9091), (57, 9, .8081), (58, 8, .7071), (59, 7, .6061), (61, 6, .5051),
-                     (63, 5, .404), (64, 4, .303), (66, 3, .202), (67, 2, .101), (70, 1, 0.0)]
-    assert rep.median.first()["median_survival"] == 63
-    s = rep.summary.first()
-    assert (s["n_events"], s["n_censored"], s["n_total"]) == (10, 20, 30)
+    want = expected_curve(sample)
+    assert [(t, n) for t, n, _ in curve] == [(t, n) for t, n, _ in want]
+    assert [x for *_, x in curve] == pytest.approx([x for *_, x in want], abs=1e-4)
+    assert rep.median.first()["median_survival"] == next((t for t, _, x in want if x <= 0.5), None)
+    s, events = rep.summary.first(), int((sample.diagnosis == "Diabetic").sum())
+    assert (s["n_events"], s["n_censored"], s["n_total"]) == (events, 30 - events, 30)
     surv = [r["survival"] for r in rep.curve.orderBy("t", F.col("is_start").desc()).collect()]
     assert all(a >= b for a, b in zip(surv, surv[1:])) and all(0 <= x <= 1 for x in surv)
 
