@@ -136,7 +136,7 @@ def path_lengths(x: np.ndarray, trees: list[np.ndarray] | dict) -> np.ndarray:
 
 
 def fit_forest(work: DataFrame, feature_cols: Sequence[str], key_cols: Sequence[str], n_trees: int = N_TREES,
-               sample_size: int = SAMPLE_SIZE, seed: int = SEED) -> list[np.ndarray]:
+               sample_size: int = SAMPLE_SIZE, seed: int = SEED, n_rows: int | None = None) -> list[np.ndarray]:
     """Grow the trees.  Each tree's sample is a uniform sample of the rows:
 
     * large input (n >= 4 * sample_size * n_trees): ONE hash per row picks at
@@ -150,12 +150,12 @@ def fit_forest(work: DataFrame, feature_cols: Sequence[str], key_cols: Sequence[
     A map-side pre-filter keeps about 4 x sample_size candidates per tree and
     ``row_number() <= sample_size`` (WindowGroupLimit) picks them."""
     from pyspark.sql import Window
-    n = work.count()
+    n = work.count() if n_rows is None else n_rows
     keys = [qcol(k) for k in key_cols]
     feats = [qcol(c).cast("double").alias(c) for c in feature_cols]
-    scale = 1_000_000_007
+    unit = lambda h: F.shiftrightunsigned(h, 11) / float(1 << 53)  # noqa: E731  all 64 bits of the hash count
     if n >= 4 * sample_size * n_trees:
-        u = (F.abs(F.xxhash64(*keys, F.lit(seed))) % scale) / float(scale)
+        u = unit(F.xxhash64(*keys, F.lit(seed)))
         slot = u * n_trees
         keep = min(1.0, 4.0 * sample_size * n_trees / n)
         cand = work.select(*keys, *feats, F.floor(slot).cast("int").alias("tree"), (slot - F.floor(slot)).alias("_u")) \
@@ -164,7 +164,7 @@ def fit_forest(work: DataFrame, feature_cols: Sequence[str], key_cols: Sequence[
         keep = min(1.0, 4.0 * sample_size / max(n, 1))
         trees = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree")
         cand = work.select(*keys, *feats, trees)
-        u = (F.abs(F.xxhash64(*keys, F.col("tree"), F.lit(seed))) % scale) / float(scale)
+        u = unit(F.xxhash64(*keys, F.col("tree"), F.lit(seed)))
         cand = cand.withColumn("_u", u).where(F.col("_u") < keep)
     w = Window.partitionBy("tree").orderBy("_u", *keys)
     sample = cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample_size)
@@ -175,6 +175,8 @@ def fit_forest(work: DataFrame, feature_cols: Sequence[str], key_cols: Sequence[
     for r in rows:
         by_tree.setdefault(r["tree"], []).append((r["node"], r["feature"], r["threshold"], r["left"], r["right"],
                                                  r["size"]))
+    if len(by_tree) < n_trees and n >= n_trees:
+        raise RuntimeError(f"only {len(by_tree)} of {n_trees} trees got rows")
     out = []
     for t in sorted(by_tree):
         nodes = sorted(by_tree[t])
@@ -206,8 +208,10 @@ def isolation_forest(df: DataFrame, feature_cols: Sequence[str], key_cols: Seque
     is_anomaly."""
     cols = require_numeric(df, feature_cols, "A")
     work = complete_rows(df.select(*[qcol(k) for k in key_cols], *[qcol(c) for c in cols]), cols)
-    trees = fit_forest(work, cols, key_cols, n_trees, min(sample_size, max(work.count(), 1)), seed)
-    scored = cut_lineage(score(work, cols, trees, min(sample_size, max(work.count(), 1))))
+    n = work.count()
+    size = min(sample_size, max(n, 1))
+    trees = fit_forest(work, cols, key_cols, n_trees, size, seed, n_rows=n)
+    scored = cut_lineage(score(work, cols, trees, size))
     q = exact_quantiles(scored.select(F.col("anomaly_score").alias("v")), [], "v", [1 - contamination]).first()
     cut = q["q"] if q else float("inf")
     return scored.withColumn("is_anomaly", F.col("anomaly_score") > F.lit(cut))

@@ -12,12 +12,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_text, nan_to_null, qcol
+from ..plans.aggregates import bounded_rows
 
+MAX_CLASSES = 10_000
 SEED = 42
 TRAIN_PERCENT = 80
 
@@ -49,11 +51,14 @@ def prepare(df: DataFrame, feature_cols: Sequence[str], target_col: str | None =
     if target_col:
         if index_label or is_text(types[target_col]):
             label_indexed = True
-            src = target_col
-            if not is_text(types[target_col]):
+            if is_text(types[target_col]):
+                stages.append(StringIndexer(inputCol=target_col, outputCol="label", stringOrderType="alphabetAsc"))
+            else:  # numeric classes in numeric order: 2 before 10
+                classes = bounded_rows(work.select(qcol(target_col).alias("c")).distinct().orderBy("c"), MAX_CLASSES)
                 work = work.withColumn("__target_str", qcol(target_col).cast("string"))
-                src = "__target_str"
-            stages.append(StringIndexer(inputCol=src, outputCol="label", stringOrderType="alphabetAsc"))
+                names = work.sparkSession.createDataFrame([(r["c"],) for r in classes] or [(None,)], work.select(
+                    qcol(target_col).alias("c")).schema).select(F.col("c").cast("string").alias("s")).collect()
+                stages.append(StringIndexerModel.from_labels([r["s"] for r in names], "__target_str", "label"))
     cast = work.withColumns({c: qcol(c).cast("double") for c in feature_cols if c not in text})
     stages.append(VectorAssembler(inputCols=encoded, outputCol="features", handleInvalid="keep"))
     model = Pipeline(stages=stages).fit(cast)

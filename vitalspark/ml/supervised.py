@@ -228,23 +228,26 @@ def compare_targets(df: DataFrame, feature_cols: Sequence[str], target_cols: Seq
         head = complete.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(qcol(t)).alias("d")).first()
         n = head["n"]
         if n < MULTI_TARGET_MIN_ROWS:
-            rows.append((t, None, "error", n, None, None, "Too few rows after dropping nulls"))
+            rows.append((t, None, "error", n, None, None, None, "Too few rows after dropping nulls", []))
             continue
         numeric = is_numeric(df.schema[t].dataType, "C")
         task = "regression" if numeric and head["d"] > MULTI_REGRESSION_DISTINCT else "classification"
         fr = fit(df, feature_cols, t, key_cols, task=task, model_type="random_forest", trees=trees, depth=depth)
+        rmse = None
         if task == "regression":
-            perf = regression_metrics(fr.predictions).first()["r2"]
-            metric = "r2"
+            m = regression_metrics(fr.predictions).first()
+            perf, rmse, metric = m["r2"], m["rmse"], "r2"
         else:
             p = fr.predictions
             perf = p.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
             metric = "accuracy"
         imp = sorted(zip(fr.prep.feature_cols, fr.model.featureImportances.toArray()), key=lambda x: -x[1])
         top = ", ".join(f for f, _ in imp[:MULTI_TARGET_TOP_FEATURES])
-        rows.append((t, task, "success", n, metric, float(perf) if perf is not None else None, top))
+        rows.append((t, task, "success", n, metric, float(perf) if perf is not None else None, rmse, top,
+                     [(f, float(v)) for f, v in imp[:MULTI_TARGET_TOP_FEATURES]]))
     out = spark.createDataFrame(rows, "target string, task string, status string, n_rows long, metric string, "
-                                      "performance double, top_features string")
+                                      "performance double, rmse double, top_features string, "
+                                      "importances array<struct<feature: string, importance: double>>")
     from pyspark.sql import Window
     w = Window.partitionBy(F.col("status")).orderBy(F.col("performance").desc(), F.col("target"))
     return out.withColumn("rank", F.when(F.col("status") == "success", F.rank().over(w)))

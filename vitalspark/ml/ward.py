@@ -65,7 +65,7 @@ def ward(df: DataFrame, feature_cols: Sequence[str], key_cols: Sequence[str], k:
     data = st.data
     n = data.count()
     spark = df.sparkSession
-    if n <= max_micro:
+    if n <= max_micro:  # every row is its own micro-cluster
         rows = bounded_rows(data.select(*[qcol(c) for c in key_cols], vector_to_array("features").alias("z")),
                             max_micro)
         cents = np.array([r["z"] for r in rows], dtype=float)
@@ -73,9 +73,10 @@ def ward(df: DataFrame, feature_cols: Sequence[str], key_cols: Sequence[str], k:
         mapping = spark.createDataFrame([(*[r[c] for c in key_cols], int(lab)) for r, lab in zip(rows, labels)],
                                         data.select(*key_cols).schema.add("cluster", "long"))
         return mapping
-    # Micro-clusters only summarise; random init avoids k-means|| rounds
-    # that grow with k.
-    micro_k = min(max_micro, max(10 * k, n // 100))
+    # As many micro-clusters as the driver may merge, whatever the size: one
+    # row more than max_micro loses one merge.  Random init avoids k-means||
+    # rounds that grow with k.
+    micro_k = max_micro
     from .prep import iteration_input
     train = iteration_input(data)
     km = KMeans(k=micro_k, seed=SEED, maxIter=20, initMode="random").fit(train)

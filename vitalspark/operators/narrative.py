@@ -21,8 +21,9 @@ def _pct1(c: Column) -> Column:
 def grade_results(results: DataFrame) -> DataFrame:
     """Input columns: task ('regression' | 'classification' | 'clustering'
     | other), target, n_features, total_rows, r2, accuracy, silhouette,
-    n_clusters (nulls allowed).  Output: summary, observation, risk_flag,
-    recommendation, confidence."""
+    n_clusters (nulls allowed), and optionally top_features (array of names,
+    strongest first).  Output: summary, observation, risk_flag,
+    recommendation, confidence.  The texts are fixed values."""
     # A missing figure reads as 0 in texts and tests, but not as confidence.
     task, zero = F.col("task"), F.lit(0.0)
     r2, acc, sil = (F.coalesce(F.col(c), zero) for c in ("r2", "accuracy", "silhouette"))
@@ -40,6 +41,20 @@ def grade_results(results: DataFrame) -> DataFrame:
             F.lit(" distinct patient groups from "), rows, F.lit(" records with a silhouette score of "),
             F.round(sil, 4).cast("string"), F.lit(".")))
         .otherwise(F.concat(F.lit("Analysis completed on "), rows, F.lit(" patient records."))))
+    top = F.col("top_features") if "top_features" in results.columns else F.array().cast("array<string>")
+    ranked = F.coalesce(F.size(top), F.lit(0)) > 0
+    groups = F.coalesce(F.col("n_clusters"), F.lit(0)).cast("string")
+    observation = F.concat_ws(
+        " ",
+        F.when(task == "regression", F.concat(F.lit("Model explains "), _pct1(r2), F.lit("% of variance in "), target,
+                                              F.lit(".")))
+        .when(task == "classification", F.concat(F.lit("Model correctly classifies "), _pct1(acc), F.lit("% of patients.")))
+        .when(task == "clustering", F.concat(groups, F.lit(
+            " patient subgroups identified — each may require different care pathways."))),
+        F.when(ranked & (task == "regression"), F.concat(
+            F.lit("'"), F.get(top, F.lit(0)), F.lit("' is the strongest predictor of "), target, F.lit(".")))
+        .when(ranked & (task == "classification"), F.concat(
+            F.lit("Top predictors: "), F.array_join(F.slice(top, 1, 3), ", "), F.lit("."))))
     risk = (F.when((task == "regression") & (r2 < LOW_R2), F.concat(
         F.lit("Low R² ("), _pct1(r2), F.lit("%) — model may need more features or data cleaning.")))
         .when((task == "classification") & (acc < LOW_ACCURACY), F.concat(
@@ -58,5 +73,5 @@ def grade_results(results: DataFrame) -> DataFrame:
            .otherwise(F.lit("Review results with a clinical expert before deployment.")))
     conf_metric = F.coalesce(F.col("r2"), F.col("accuracy"), F.lit(0.5))
     confidence = F.when(conf_metric > HIGH_CONFIDENCE, "high").otherwise("medium")
-    return results.select("*", summary.alias("summary"), risk.alias("risk_flag"), rec.alias("recommendation"),
+    return results.select("*", summary.alias("summary"), observation.alias("observation"), risk.alias("risk_flag"), rec.alias("recommendation"),
                           confidence.alias("confidence"))

@@ -40,6 +40,7 @@ EMAIL_PATTERN = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[a-z]{2,}"
 PHONE_PATTERN = _B_START + r"[0-9]{10,11}" + _B_END + r"|\+[0-9]{1,3}\s?[0-9]{6,}"
 DATE_PATTERN = _B_START + r"[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}" + _B_END
 
+REVIEW_SCORE = 60
 HIGH_PENALTY, MEDIUM_PENALTY = 20, 10
 PSEUDONYM_FORMAT = "PATIENT_%05d"
 HASH_CHARS = 12
@@ -115,15 +116,43 @@ def _detect_phi_sampled(df: DataFrame, key_cols: Sequence[str], split_underscore
                     F.coalesce("sample", F.lit("")).alias("sample"))
 
 
+# The advice texts of the reference.
+ADVICE_URGENT = "⛔ URGENT: High-risk PHI columns detected. Anonymise before sharing or analysing."
+ADVICE_HIGH, ADVICE_MEDIUM = "Mask or hash columns: ", "Review medium-risk columns: "
+ADVICE_ALWAYS = ("Use pseudonymisation for patient ID columns to allow re-linkage if needed.",
+                 "Never export raw PHI data — always anonymise before sharing with third parties.")
+ADVICE_NONE = " No PHI columns detected. Dataset appears safe for analysis."
+
+
+def privacy_advice(report: DataFrame) -> DataFrame:
+    """PHI-2: what to do about a detection report, in order: (position,
+    recommendation).  One aggregate over a row per column."""
+    def named(level):
+        hit = F.when(F.col("risk_level") == level, F.struct("position", "column"))
+        return F.array_join(F.transform(F.array_sort(F.collect_list(hit)), lambda s: s["column"]), ", ")
+    one = report.agg(named("HIGH").alias("high"), named("MEDIUM").alias("medium"),
+                     F.count_if(F.col("is_phi")).alias("flagged"),
+                     F.count_if(F.col("risk_level") == "HIGH").alias("h"),
+                     F.count_if(F.col("risk_level") == "MEDIUM").alias("m"))
+    status = F.when(_score(F.col("h"), F.col("m")) < REVIEW_SCORE, F.lit(ADVICE_URGENT))
+    texts = [status, F.when(F.col("h") > 0, F.concat(F.lit(ADVICE_HIGH), "high")),
+             F.when(F.col("m") > 0, F.concat(F.lit(ADVICE_MEDIUM), "medium")),
+             *[F.lit(t) for t in ADVICE_ALWAYS], F.when(F.col("flagged") == 0, F.lit(ADVICE_NONE))]
+    return one.select(F.posexplode(F.filter(F.array(*texts), lambda t: t.isNotNull())).alias("position", "recommendation"))
+
+
+def _score(high: Column, medium: Column) -> Column:
+    return F.greatest(F.lit(0), 100 - HIGH_PENALTY * high - MEDIUM_PENALTY * medium).cast("long")
+
+
 def privacy_check(report: DataFrame) -> DataFrame:
     """PHI-2: compliance score 100 - 20/HIGH - 10/MEDIUM (>= 0) and status."""
     out = report.agg(F.count(F.lit(1)).alias("total_columns"),
                      F.count_if(F.col("is_phi")).alias("flagged_columns"),
                      F.count_if(F.col("risk_level") == "HIGH").alias("high_risk_count"),
                      F.count_if(F.col("risk_level") == "MEDIUM").alias("medium_risk_count"))
-    score = F.greatest(F.lit(0), 100 - HIGH_PENALTY * F.col("high_risk_count")
-                       - MEDIUM_PENALTY * F.col("medium_risk_count")).cast("long")
-    status = F.when(score >= 90, "COMPLIANT").when(score >= 60, "REVIEW_NEEDED").otherwise("NON_COMPLIANT")
+    score = _score(F.col("high_risk_count"), F.col("medium_risk_count"))
+    status = F.when(score >= 90, "COMPLIANT").when(score >= REVIEW_SCORE, "REVIEW_NEEDED").otherwise("NON_COMPLIANT")
     return out.select("total_columns", "flagged_columns", "high_risk_count", "medium_risk_count",
                       score.alias("compliance_score"), status.alias("status"))
 

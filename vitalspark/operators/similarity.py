@@ -75,12 +75,12 @@ def standardised_dims(values: Sequence[Column], means: Sequence[float], stds: Se
 
 
 def nearest(df: DataFrame, z: Column | Sequence[Column], queries: Sequence[Sequence[float]], key_cols: Sequence[str],
-            k: int, exclude_keys: Sequence[tuple] | None = None) -> DataFrame:
+            k: int, exclude_keys: Sequence[tuple] | None = None, value_cols: Sequence[str] = ()) -> DataFrame:
     """k nearest rows to each query point: (query, rank, key..., distance,
-    similarity_pct).  Ties break on the key."""
+    similarity_pct, value_cols...).  Ties break on the key."""
     if len(queries) * max(len(queries[0]) if queries else 1, 1) > MAX_QUERY_CELLS:
         raise ValueError("too many query points for a literal broadcast; split the query set")
-    dist = df.select(*[qcol(c) for c in key_cols], F.posexplode(_distances(z, queries)).alias("query", "distance"))
+    dist = df.select(*[qcol(c) for c in dict.fromkeys([*key_cols, *value_cols])], F.posexplode(_distances(z, queries)).alias("query", "distance"))
     if exclude_keys is not None:
         own = F.lit(False)
         for qi, key in enumerate(exclude_keys):
@@ -92,13 +92,16 @@ def nearest(df: DataFrame, z: Column | Sequence[Column], queries: Sequence[Seque
     w = Window.partitionBy("query").orderBy("distance", *[qcol(c) for c in key_cols])
     top = dist.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return top.select("query", "rank", *key_cols, "distance",
-                      F.greatest(F.lit(0.0), 100 - F.col("distance") * SIMILARITY_SCALE).alias("similarity_pct"))
+                      F.greatest(F.lit(0.0), 100 - F.col("distance") * SIMILARITY_SCALE).alias("similarity_pct"),
+                      *[F.round(qcol(c).cast("double"), 3).alias(c) for c in value_cols if c not in key_cols])
 
 
 def find_similar(df: DataFrame, feature_cols: Sequence[str], key_cols: Sequence[str],
-                 query_values: Sequence[dict], n_similar: int = DEFAULT_K) -> tuple[DataFrame, list[str]]:
+                 query_values: Sequence[dict], n_similar: int = DEFAULT_K,
+                 with_values: bool = False) -> tuple[DataFrame, list[str]]:
     """SIM-1 + SIM-2 over scalar columns: complete rows, standardised; a
-    missing query value means the column mean."""
+    missing query value means the column mean.  ``with_values`` puts each
+    neighbour's own feature values (3 decimals) beside its distance."""
     cols = require_numeric(df, feature_cols, "A")
     work = complete_rows(df, cols)
     vec = _as_vector(cols)
@@ -106,7 +109,7 @@ def find_similar(df: DataFrame, feature_cols: Sequence[str], key_cols: Sequence[
     queries = [[(float(qv.get(c, means[i])) - means[i]) / stds[i] for i, c in enumerate(cols)]
                for qv in query_values]
     dims = standardised_dims([qcol(c).cast("double") for c in cols], means, stds)
-    return nearest(work, dims, queries, key_cols, n_similar), cols
+    return nearest(work, dims, queries, key_cols, n_similar, value_cols=cols if with_values else ()), cols
 
 
 def cohort_comparison(df: DataFrame, feature_cols: Sequence[str], key_cols: Sequence[str],

@@ -316,6 +316,19 @@ def rules_stream_windows(spark, sf_dir):
                       "rule_id", "name", "severity", "n_triggered")
 
 
+@register("rules_stream_run", "RUL-5", _event_rules_sql())
+def rules_stream_run(spark, sf_dir):
+    """The stream itself, drained once over the events."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..streaming.rules_stream import run_rules_stream
+    out = run_rules_stream(spark, f"{sf_dir.rstrip('/')}/events.parquet", EVENT_RULES, "ts",
+                           f"{ensure_checkpoint_dir(spark).rstrip('/')}/rules-{uuid.uuid4().hex}")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+                      "rule_id", "name", "severity", "n_triggered")
+
+
 @register("compare_summary", "CMP-2",
           "WITH c AS (" + _compare_sql() + ") SELECT count(*) AS n_compared, max(rows_a) AS rows_a,"
           " max(rows_b) AS rows_b, count_if(significant AND effect_size IN ('medium', 'large')) AS n_significant,"

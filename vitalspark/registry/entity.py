@@ -118,23 +118,24 @@ def _scalar_knn_sql() -> str:
     return (f"WITH st AS (SELECT {mom} FROM lineitem),"
             f" qs AS (SELECT row_number() OVER (ORDER BY l_returnflag) - 1 AS query, * FROM"
             f" (SELECT l_returnflag, {qv} FROM lineitem GROUP BY l_returnflag)),"
-            f" dd AS (SELECT query, {_KEYS}, sqrt({dist}) AS distance FROM lineitem, st, qs),"
+            f" dd AS (SELECT query, {_KEYS}, {', '.join('lineitem.' + c for c in LINEITEM_NUM)},"
+            f" sqrt({dist}) AS distance FROM lineitem, st, qs),"
             " top AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, "
             f"{_KEYS}) AS rank FROM dd)")
 
 
 SIM_SCALAR_SQL = (_scalar_knn_sql() +
                   f" SELECT CAST(query AS INTEGER) AS query, CAST(rank AS INTEGER) AS rank, {_KEYS},"
-                  " round(distance, 4) AS distance, round(greatest(0.0, 100 - distance * 15), 4) AS similarity_pct"
-                  " FROM top WHERE rank <= 5")
+                  " round(distance, 4) AS distance, round(greatest(0.0, 100 - distance * 15), 4) AS similarity_pct, "
+                  + ", ".join(f"round({c}, 3) AS {c}" for c in LINEITEM_NUM) + " FROM top WHERE rank <= 5")
 
 
 @register("similar_rows", "SIM-1 SIM-2", SIM_SCALAR_SQL)
 def similar_rows(spark, sf_dir):
     li, qs = _flag_queries(spark, sf_dir)
-    out, _ = similarity.find_similar(li, LINEITEM_NUM, LINEITEM_KEY, qs, n_similar=5)
+    out, _ = similarity.find_similar(li, LINEITEM_NUM, LINEITEM_KEY, qs, n_similar=5, with_values=True)
     return out.select("query", "rank", *LINEITEM_KEY, r4(F.col("distance")).alias("distance"),
-                      r4(F.col("similarity_pct")).alias("similarity_pct"))
+                      r4(F.col("similarity_pct")).alias("similarity_pct"), *LINEITEM_NUM)
 
 
 def _cohort_sql() -> str:

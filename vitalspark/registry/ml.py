@@ -110,6 +110,8 @@ def _grading_sql() -> str:
         " SELECT user_id, task, target, n_features, total_rows, round(r2, 4) AS r2,"
         f" 'A regression model was trained to predict ''' || target || ''' using ' || n_features || ' features across '"
         f" || {rows} || ' patients, achieving an R² score of ' || {r2p} || '%.' AS summary,"
+        f" 'Model explains ' || {r2p} || '% of variance in ' || target || '.' || ' ''position'' is the strongest predictor of '"
+        " || target || '.' AS observation,"
         f" CASE WHEN coalesce(r2, 0) < 0.5 THEN 'Low R² (' || {r2p} || '%) — model may need more features or data cleaning.'"
         " ELSE 'No critical issues detected.' END AS risk_flag,"
         " CASE WHEN coalesce(r2, 0) < 0.5 THEN 'Consider adding more clinically relevant features.'"
@@ -125,10 +127,10 @@ def result_grading(spark, sf_dir):
     res = fit.select("user_id", F.lit("regression").alias("task"), F.lit("value").alias("target"),
                      F.lit(1).alias("n_features"), F.col("n").alias("total_rows"), "r2",
                      F.lit(None).cast("double").alias("accuracy"), F.lit(None).cast("double").alias("silhouette"),
-                     F.lit(None).cast("long").alias("n_clusters"))
+                     F.lit(None).cast("long").alias("n_clusters"), F.array(F.lit("position")).alias("top_features"))
     g = narrative.grade_results(res)
     return g.select("user_id", "task", "target", "n_features", "total_rows", r4(F.col("r2")).alias("r2"),
-                    "summary", "risk_flag", "recommendation", "confidence")
+                    "summary", "observation", "risk_flag", "recommendation", "confidence")
 
 
 @register("risk_anomalies", "RSK-3")

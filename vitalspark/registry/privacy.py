@@ -48,6 +48,27 @@ def privacy_check_q(spark, sf_dir):
     return privacy.privacy_check(privacy.detect_phi(table(spark, sf_dir, "documents").select(*_DOC_COLS)))
 
 
+def _advice_sql() -> str:
+    q = lambda t: "'" + t.replace("'", "''") + "'"
+    part = lambda n, text, when: f"SELECT {n} AS n, {text} AS recommendation FROM a WHERE {when}"
+    return (f"WITH r AS ({PHI_SQL}), a AS (SELECT count_if(is_phi) AS flagged, count_if(risk_level = 'HIGH') AS h,"
+            " count_if(risk_level = 'MEDIUM') AS m,"
+            " string_agg(CASE WHEN risk_level = 'HIGH' THEN \"column\" END, ', ' ORDER BY position) AS high,"
+            " string_agg(CASE WHEN risk_level = 'MEDIUM' THEN \"column\" END, ', ' ORDER BY position) AS medium FROM r),"
+            " t AS (" + " UNION ALL ".join([
+                part(0, q(privacy.ADVICE_URGENT), "greatest(0, 100 - 20 * h - 10 * m) < 60"),
+                part(1, q(privacy.ADVICE_HIGH) + " || high", "h > 0"),
+                part(2, q(privacy.ADVICE_MEDIUM) + " || medium", "m > 0"),
+                part(3, q(privacy.ADVICE_ALWAYS[0]), "true"), part(4, q(privacy.ADVICE_ALWAYS[1]), "true"),
+                part(5, q(privacy.ADVICE_NONE), "flagged = 0")]) + ")"
+            " SELECT CAST(row_number() OVER (ORDER BY n) - 1 AS INTEGER) AS position, recommendation FROM t")
+
+
+@register("privacy_advice", "PHI-2", _advice_sql())
+def privacy_advice(spark, sf_dir):
+    return privacy.privacy_advice(privacy.detect_phi(table(spark, sf_dir, "documents").select(*_DOC_COLS)))
+
+
 CUSTOMER_MASK_SQL = ("SELECT c_custkey, c_name, c_acctbal,"
                      " CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 5 = 0 THEN substring(c_mktsegment, 1, 2)"
                      " ELSE c_mktsegment END AS c_mktsegment FROM customer")
