@@ -321,6 +321,13 @@ def test_signature_equals_the_plain_loop():
     assert (got[-1] == np.uint64(0xFFFFFFFFFFFFFFFF)).all()
 
 
+def test_agreement_counts_both_ways():
+    sig = np.random.default_rng(4).integers(0, 3, (40, 128)).astype(np.uint16)
+    want = [sum((a == b).sum() for b in sig) for a in sig]
+    assert superminhash.agreement(sig).tolist() == want
+    assert superminhash.agreement(sig[:9]).tolist() == [sum((a == b).sum() for b in sig[:9]) for a in sig[:9]]
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(3)
     both, a, b = (rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (600, 200, 200))

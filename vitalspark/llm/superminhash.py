@@ -12,7 +12,8 @@
 3. Banding: 4 entries a band, 32 bands; a pair at the threshold shares no band
    with probability 5e-6.  Within a bucket no pairs are formed at first: each
    class meets the bucket's pivot only (round 1: smallest name; round 2, among
-   classes not yet connected: the member closest to the bucket's consensus).
+   classes not yet connected: the member whose signature agrees most with the
+   others').
    Round 3 looks, block by block inside tasks, at all pairs of different
    components that remain, each in the first bucket they share, and puts out a
    spanning forest of the links it finds, so that no link between components
@@ -290,14 +291,24 @@ def _unpacked(rows: list, at: int) -> np.ndarray:
     return np.array([r[at] for r in rows], "<i8").view("<u2").reshape(-1, M)
 
 
+def agreement(sig: np.ndarray) -> np.ndarray:
+    """Per row, the entries that agree with the same entry of any row."""
+    if len(sig) <= 32:
+        return (sig[:, None, :] == sig[None, :, :]).sum(axis=(1, 2))
+    total = np.zeros(len(sig), np.int64)
+    for column in sig.T:
+        _, at, count = np.unique(column, return_inverse=True, return_counts=True)
+        total += count[at]
+    return total
+
+
 def _medoid_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every member of a block with the one closest to the block's consensus."""
+    """Every member of a block with the one that agrees most with all."""
     for _, rows in _blocks(batches, ["key", "label", "sig"]):
         keys, label, sig = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), _unpacked(rows, 2)
         if (label == label[0]).all():
             continue
-        consensus = np.array([np.bincount(c).argmax() for c in sig.T], np.uint16)
-        closest = (sig == consensus).sum(axis=1)
+        closest = agreement(sig)
         at = max(range(len(rows)), key=lambda i: (closest[i], -int(keys[i])))
         ok = ((sig == sig[at]).sum(axis=1) >= SIGNATURE_FLOOR) & (label != label[at])
         if ok.any():
