@@ -45,7 +45,6 @@ from .cluster import standardise_features
 MIN_SAMPLES_FLOOR = 3      # fixed: min_samples = max(3, n // 20) by default
 MIN_SAMPLES_DIVISOR = 20
 EPS_FLOOR = 0.3            # fixed: the reference never uses eps below 0.3
-MAX_ROUNDS = 200
 SUB = 2                    # sub-cells per cell side (low-dimension path)
 
 
@@ -81,45 +80,20 @@ def _box_dists(z: Column, sub: Column, side: float, g: int) -> tuple[Column, Col
     return F.sqrt(near), F.sqrt(far)
 
 
-LOCAL_GRAPH_EDGES = 200_000   # a node graph this small is solved in one step
-
-
-def _union_find(node_ids: list[int], edge_list: list[tuple[int, int]]) -> dict[int, int]:
-    parent = {n: n for n in node_ids}
-
-    def root(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-    for u, v in edge_list:
-        ru, rv = root(u), root(v)
-        if ru != rv:
-            parent[max(ru, rv)] = min(ru, rv)
-    return {n: root(n) for n in node_ids}
-
-
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node long) + symmetric edges (u, v) -> (node, comp) where comp is the
     smallest node id of the component.
 
-    The node graph of a grid DBSCAN is a summary (cells, not rows).  When it
-    is small -- checked by counting, never assumed -- it is solved with
-    union-find in one step; otherwise min-label propagation with pointer
-    jumping runs on the executors, checkpointed every round."""
-    spark = nodes.sparkSession
-    if edges.limit(LOCAL_GRAPH_EDGES + 1).count() <= LOCAL_GRAPH_EDGES and \
-            nodes.limit(2 * LOCAL_GRAPH_EDGES + 1).count() <= 2 * LOCAL_GRAPH_EDGES:
-        node_ids = [r["node"] for r in nodes.collect()]
-        comp = _union_find(node_ids, [(r["u"], r["v"]) for r in edges.collect()])
-        return spark.createDataFrame(list(comp.items()), "node long, comp long")
-    return propagate_components(nodes, edges, max_rounds)
-
-
-def propagate_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """Distributed min-label propagation with pointer jumping."""
+    Min-label propagation with pointer jumping on the executors, one path for
+    every size, checkpointed every round."""
+    return propagate_components(nodes, edges)
+
+
+def propagate_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Distributed min-label propagation with pointer jumping; every round
+    lowers a label or ends, so it converges."""
     labels = cut_lineage(nodes.select("node", F.col("node").alias("label")))
-    for _ in range(max_rounds):
+    while True:
         best = edges.join(labels.select(F.col("node").alias("v"), F.col("label").alias("lv")), "v") \
             .groupBy(F.col("u").alias("node")).agg(F.min("lv").alias("m"))
         step = labels.join(best, "node", "left") \
@@ -133,7 +107,6 @@ def propagate_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = M
         labels = jump
         if changed == 0:
             return labels.withColumnRenamed("label", "comp")
-    raise RuntimeError("connected components did not converge")
 
 
 def _number_clusters(core_comp: DataFrame) -> DataFrame:
