@@ -9,7 +9,8 @@ sum of its words' kernel values with every landmark (a convolution kernel),
 mapped by the Nystroem factor K^(-1/2) of the landmark kernel, and judged by a
 linear SVM (squared hinge).
 
-Training sentences come from at most ``FIT_ROWS`` labelled texts of each class.
+Training sentences come from at most ``FIT_ROWS`` labelled texts of each class,
+from each the ``SENTENCES`` with the most support and one for all without.
 A toxic text is known to hold a toxic sentence, not which one: in each round
 its best sentence so far is its positive example; sentences of clean texts are
 negatives.  The values of a text's ``TOP`` best sentences are turned into a
@@ -45,7 +46,7 @@ from .common import TokenTable, labelled_sample, slices_by_bytes, text_of
 
 ORDER, DECAY, SUPPORT = 3, 0.7, 0.75
 FIT_ROWS, CANDIDATES, LANDMARKS, ALIKE = 4000, 1000, 128, 0.97
-STRENGTH, TOP = 5.0, 3
+STRENGTH, TOP, SENTENCES = 5.0, 3, 8
 WIDTH = 24
 SLICE_CHARS = 2 << 20
 ROUNDS = 3
@@ -299,7 +300,7 @@ def best_values(value: np.ndarray, owner: np.ndarray, n: int, bias: float) -> np
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, steps: int = 30) -> np.ndarray:
     """Linear SVM in the primal by Newton steps; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w = np.zeros(x.shape[1])
     ridge = np.full(x.shape[1], 1.0)
     ridge[-1] = 1e-3
@@ -371,10 +372,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, folds: int
     marks = choose_landmarks([(r["word"], r["t"], r["c"]) for r in best], n_toxic, n_clean)
     if not marks:
         return Model((), np.zeros(0), 0.0, np.zeros(TOP), math.log(max(share, 1e-9) / (1 - min(share, 1 - 1e-9))))
-    found = rows.mapInArrow(_training_rows(tuple(marks)), "doc_id bigint, label int, kernel array<float>").collect()
-    doc = np.array([r["doc_id"] for r in found])
-    label = np.array([r["label"] for r in found])
-    kernel = np.array([r["kernel"] for r in found], np.float64)
+    # At most 2 * fit_rows * (SENTENCES + 1) rows of LANDMARKS four-byte numbers: 37 MB.
+    found = rows.mapInArrow(_training_rows(tuple(marks)), "doc_id bigint, label int, kernel binary").toArrow()
+    doc, label = found["doc_id"].to_numpy(), found["label"].to_numpy()
+    kernel = np.frombuffer(b"".join(found["kernel"].to_pylist()), np.float32).reshape(len(doc), -1)
+    del found
     return _learn(marks, doc, label, kernel, share, n_toxic, n_clean)
 
 
@@ -386,14 +388,15 @@ def _training_rows(marks: tuple[str, ...]):
             ids, label = b.column("doc_id").to_pylist(), b.column("label").to_pylist()
             for lo, hi in slices_by_bytes(np.fromiter(map(len, texts), np.int64, len(texts)), SLICE_CHARS):
                 owner, kernel = reader.sentences(texts[lo:hi])
+                order = np.lexsort((-kernel.sum(axis=1), owner))
+                owner, kernel = owner[order], kernel[order]
+                few = np.arange(len(owner)) - np.searchsorted(owner, owner, "left") < SENTENCES
                 # Every text has one row without support, standing for its other sentences.
-                kernel = np.vstack([kernel, np.zeros((hi - lo, len(marks)), np.float32)])
-                owner = np.concatenate([owner, np.arange(hi - lo)])
-                distinct = np.unique(np.hstack([owner[:, None], kernel]), axis=0)
-                at, kernel = distinct[:, 0].astype(int), distinct[:, 1:]
+                kernel = np.vstack([kernel[few], np.zeros((hi - lo, len(marks)), np.float32)])
+                at = np.concatenate([owner[few], np.arange(hi - lo)])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([ids[lo + i] for i in at], pa.int64()), pa.array([label[lo + i] for i in at], pa.int32()),
-                     pa.array(list(kernel.astype(np.float32)), pa.list_(pa.float32()))],
+                     pa.array([k.tobytes() for k in kernel.astype(np.float32)], pa.binary())],
                     names=["doc_id", "label", "kernel"])
     return run
 
@@ -409,7 +412,7 @@ def _learn(marks, doc, label, kernel, share, n_toxic, n_clean) -> Model:
     gram = normalised(c[pair[:, 0]], c[pair[:, 1]]).reshape(len(marks), -1)
     value, vector = np.linalg.eigh(gram)
     factor = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
-    x = kernel @ factor
+    x = kernel @ factor.astype(np.float32)
     score = kernel.sum(axis=1)
     pos_weight, neg_weight = share / n_toxic, (1 - share) / n_clean
     for _ in range(ROUNDS):
