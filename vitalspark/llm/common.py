@@ -99,10 +99,9 @@ def bitmap_words(df: DataFrame, key: str, bits: int) -> np.ndarray:
     rows = (df.where(F.col(key).isNotNull())
             .groupBy(F.shiftright(slot, 6).alias("w"))
             .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(({key} & {(1 << bits) - 1}L) & 63 as int))")).alias("v"))
-            .collect())
+            .toArrow())
     out = np.zeros(1 << max(bits - 6, 0), np.uint64)
-    for r in rows:
-        out[r["w"]] = np.uint64(r["v"] & 0xFFFFFFFFFFFFFFFF)
+    out[rows["w"].to_numpy()] = rows["v"].to_numpy().view(np.uint64)
     return out
 
 
