@@ -29,3 +29,10 @@ def test_group_limit_before_shuffle(spark):
 def test_single_scan_aggregate_for_rules(spark):
     plan = _plan(E.queries()["rules_eval"](spark, SF))
     assert plan.count("FileScan parquet") == 1
+
+
+def test_first_values_keep_a_heap_not_a_sort(spark):
+    from vitalspark.operators.profile import first_values
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = _plan(first_values(docs, docs.columns, ["doc_id"], 3))
+    assert plan.count("TakeOrderedAndProject") == len(docs.columns) and "WindowGroupLimit" not in plan

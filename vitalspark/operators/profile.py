@@ -9,6 +9,7 @@ those work on distinct values, never on a collected column.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,16 +35,17 @@ def _distinct(c: Column, approx: bool) -> Column:
 
 def first_values(df: DataFrame, cols: Sequence[str], key_cols: Sequence[str], k: int) -> DataFrame:
     """First ``k`` non-null values per column in key order, as strings:
-    (column, rank, value).  ``row_number() <= k`` is planned as a
-    WindowGroupLimit, so each map task keeps only k rows per column before
-    the shuffle."""
-    long = df.select(*[qcol(c) for c in key_cols], F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), qcol(c).cast("string").alias("value")) for c in cols
-    ])).alias("_u")).select(*[qcol(c) for c in key_cols], "_u.column", "_u.value") \
-        .where(F.col("value").isNotNull())
-    w = Window.partitionBy("column").orderBy(*[qcol(c) for c in key_cols])
-    return long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
-        .select("column", "rank", "value")
+    (column, rank, value).  Each column is a top-k of its own over the key and
+    that column only (TakeOrderedAndProject: a bounded heap per task, no sort
+    of the table); the window ranks at most k rows a column."""
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, rank int, value string")
+    keys = [f"_k{i}" for i in range(len(key_cols))]
+    parts = [df.where(qcol(c).isNotNull()).select(*[qcol(x).alias(n) for x, n in zip(key_cols, keys)],
+                                                  F.lit(c).alias("column"), qcol(c).cast("string").alias("value"))
+             .orderBy(*keys).limit(k) for c in cols]
+    w = Window.partitionBy("column").orderBy(*keys)
+    return reduce(DataFrame.unionAll, parts).withColumn("rank", F.row_number().over(w)).select("column", "rank", "value")
 
 
 def column_info(df: DataFrame, key_cols: Sequence[str], approx: bool = False) -> DataFrame:
