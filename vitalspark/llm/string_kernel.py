@@ -26,8 +26,9 @@ than ``WIDTH`` are read in overlapping windows, so no text is cut.
 
 Defined results: null and empty texts have no sentences and get the score of
 the bias alone; without labelled rows of both classes every score is the
-labels' toxic share (0 if there are none); all columns are kept, ties among
-landmark candidates go to the smaller word.
+labels' toxic share (0 if there are none); of a labelled id's several texts the
+smallest is learnt from; all columns are kept, ties among landmark candidates
+go to the smaller word.
 """
 
 from __future__ import annotations
@@ -353,7 +354,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, folds: int
     share = share.agg(F.avg("toxic").alias("s")).first()["s"] or 0.0
     rows = (docs.select(F.col("doc_id").cast("bigint"), text_of("text").alias("text"))
             .join(F.broadcast(sample), "doc_id")  # at most 2 * fit_rows ids
-            .dropDuplicates(["doc_id"]))
+            .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")))
     words = F.array_distinct(F.split(F.lower("text"), _SPLIT))
     counted = (rows.select("label", F.explode(words).alias("word"))
                .where(F.char_length("word").between(ORDER, WIDTH))
