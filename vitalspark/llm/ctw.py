@@ -36,6 +36,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +46,8 @@ from pyspark.sql import functions as F
 from .common import batch, crc_mod, mix, slices_by_bytes, stored, utf8
 
 DEPTH = 5
-BLOCK_BYTES = 24 << 20
-CHUNK_BYTES = 2 << 20
+BLOCK_BYTES = 16 << 20
+CHUNK_BYTES = 1 << 20
 GROUP_ROWS = 150_000
 ALPHA = 0.1
 
@@ -284,8 +285,8 @@ class Lookup:
         return out
 
 
-def _score(depth: int, tokens: int, distinct: int, ends: int):
-    denominator = tokens + ALPHA * (distinct + 1)
+def _score(depth: int, n_train: int, distinct: int, ends: int):
+    denominator = n_train + ALPHA * (distinct + 1)
 
     def run(key, rows, model):
         out = {f.name: [] for f in SCORES}
@@ -296,19 +297,25 @@ def _score(depth: int, tokens: int, distinct: int, ends: int):
             grams = model.filter(pa.compute.invert(is_word))
             value = Lookup(grams["gram"].to_numpy().view(np.uint64), grams["value"].to_numpy())
             bodies = [t.lower() for t in rows["body"].to_pylist()]
-            for t in bodies:
-                c = np.array([count[w] for w in t.split()] + [ends], np.float64)
-                out["n_tokens"].append(len(c))
-                out["n_known"].append(int((c > 0).sum()))
-                out["base_score"].append(float(np.log10((c + ALPHA) / denominator).sum()))
             score = []
             for lo, hi in _chunks(bodies):
+                tokens = [t.split() for t in bodies[lo:hi]]
+                lens = np.fromiter(map(len, tokens), np.int64, hi - lo)
+                c = np.fromiter(map(count.__getitem__, chain.from_iterable(tokens)), np.float64, int(lens.sum()))
+                owner = np.repeat(np.arange(hi - lo), lens)
+                end = math.log10((ends + ALPHA) / denominator)
+                out["n_tokens"].append(lens + 1)
+                out["n_known"].append(np.bincount(owner, weights=c > 0, minlength=hi - lo).astype(np.int64) + (ends > 0))
+                out["base_score"].append(end + np.bincount(owner, weights=np.log10((c + ALPHA) / denominator),
+                                                           minlength=hi - lo))
                 g, owner = grams_of(bodies[lo:hi], depth)
                 score.append(np.bincount(owner, weights=value(g), minlength=hi - lo))
             out["score"] = np.concatenate(score)
+            for name in ("n_tokens", "n_known", "base_score"):
+                out[name] = np.concatenate(out[name])
             size = np.fromiter((len(t) + 1 for t in bodies), np.int64, len(bodies))
             out["bits_per_byte"] = -out["score"] / math.log10(2) / size
-            out["doc_id"], out["train_tokens"] = rows["doc_id"].combine_chunks(), [tokens] * rows.num_rows
+            out["doc_id"], out["train_tokens"] = rows["doc_id"].combine_chunks(), [n_train] * rows.num_rows
             out["held_out"] = pa.compute.invert(rows["train"].combine_chunks())
         return pa.Table.from_batches([batch(SCORES, **out)])
     return run
