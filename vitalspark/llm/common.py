@@ -56,10 +56,10 @@ def materialise(df: DataFrame) -> DataFrame:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage of tables
-    that are read more than once.  The written table replaces the shuffle files
-    that made it, so Spark is told to drop those with the query."""
+def store(df: DataFrame, what: str) -> str:
+    """Write to a new folder below the shared one; returns its path.  The
+    written table replaces the shuffle files that made it, so Spark is told to
+    drop those with the query."""
     spark = df.sparkSession
     path, before = shared_path(spark, what), spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
@@ -67,7 +67,18 @@ def stored(df: DataFrame, what: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.parquet(path)
+    return path
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """``store`` and read again: cuts the lineage of tables read more than once."""
+    return df.sparkSession.read.parquet(store(df, what))
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``store`` made and that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -43,10 +43,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, crc_mod, mix, slices_by_bytes, stored, utf8
+from .common import batch, crc_mod, discard, mix, slices_by_bytes, store, stored, utf8
 
 DEPTH = 5
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 CHUNK_BYTES = 1 << 20
 GROUP_ROWS = 150_000
 ALPHA = 0.1
@@ -108,18 +108,18 @@ def _add(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
 
 def _features(depth: int):
     def run(key, rows):
-        bodies, train = [t.lower() for t in rows["body"].to_pylist()], rows["train"].to_pylist()
+        bodies, train = rows["body"].to_pylist(), rows["train"].to_pylist()
         words = Counter()
         for t, on in zip(bodies, train):
             if on:
-                words.update(t.split())
+                words.update(t.lower().split())
         for t, on in zip(bodies, train):
             if not on:
-                for w in t.split():
+                for w in t.lower().split():
                     words.setdefault(w, 0)
         keys, counts = [], []
         for lo, hi in _chunks(bodies):
-            gram, owner = grams_of(bodies[lo:hi], depth)
+            gram, owner = grams_of([t.lower() for t in bodies[lo:hi]], depth)
             on = np.array(train[lo:hi], bool)[owner]
             for part, weight in ((gram[on], 1), (gram[~on], 0)):
                 k, n = np.unique(part, return_counts=True)
@@ -291,15 +291,15 @@ def _score(depth: int, n_train: int, distinct: int, ends: int):
     def run(key, rows, model):
         out = {f.name: [] for f in SCORES}
         if rows.num_rows:
-            is_word = model["word"].is_valid()
-            words = model.filter(is_word)
-            count = dict(zip(words["word"].to_pylist(), words["value"].to_pylist()))
-            grams = model.filter(pa.compute.invert(is_word))
-            value = Lookup(grams["gram"].to_numpy().view(np.uint64), grams["value"].to_numpy())
-            bodies = [t.lower() for t in rows["body"].to_pylist()]
+            is_gram = model["gram"].is_valid()
+            value = Lookup(model["gram"].drop_null().to_numpy().view(np.uint64), model["value"].filter(is_gram).to_numpy())
+            count = dict(zip(model["word"].drop_null().to_pylist(),
+                             model["value"].filter(pa.compute.invert(is_gram)).to_pylist()))
+            bodies = rows["body"].to_pylist()
             score = []
             for lo, hi in _chunks(bodies):
-                tokens = [t.split() for t in bodies[lo:hi]]
+                texts = [t.lower() for t in bodies[lo:hi]]
+                tokens = [t.split() for t in texts]
                 lens = np.fromiter(map(len, tokens), np.int64, hi - lo)
                 c = np.fromiter(map(count.__getitem__, chain.from_iterable(tokens)), np.float64, int(lens.sum()))
                 owner = np.repeat(np.arange(hi - lo), lens)
@@ -308,7 +308,7 @@ def _score(depth: int, n_train: int, distinct: int, ends: int):
                 out["n_known"].append(np.bincount(owner, weights=c > 0, minlength=hi - lo).astype(np.int64) + (ends > 0))
                 out["base_score"].append(end + np.bincount(owner, weights=np.log10((c + ALPHA) / denominator),
                                                            minlength=hi - lo))
-                g, owner = grams_of(bodies[lo:hi], depth)
+                g, owner = grams_of(texts, depth)
                 score.append(np.bincount(owner, weights=value(g), minlength=hi - lo))
             out["score"] = np.concatenate(score)
             for name in ("n_tokens", "n_known", "base_score"):
@@ -329,7 +329,9 @@ def scores(docs: DataFrame, depth: int = DEPTH, folds: int = 10, block_bytes: in
     rows = docs.select(
         F.col("doc_id").cast("bigint"), utf8().alias("body"), (crc_mod("doc_id", folds) != 0).alias("train"),
         F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(blocks)).cast("int").alias("block"))
-    features = stored(rows.groupBy("block").applyInArrow(_features(depth), FEATURES_DDL), "features")
+    spark = docs.sparkSession
+    written = store(rows.groupBy("block").applyInArrow(_features(depth), FEATURES_DDL), "features")
+    features = spark.read.parquet(written)
     # A word's or gram's rows: one a block.
     words = features.where("word is not null").select("block", "word", "n")
     grams = features.where("gram is not null").select("block", "gram", "n")
@@ -343,5 +345,6 @@ def scores(docs: DataFrame, depth: int = DEPTH, folds: int = 10, block_bytes: in
                            F.col("n").cast("double").alias("value"))
                    .unionByName(grams.select("block", "gram").join(lengths, "gram")
                                 .select("block", F.lit(None).cast("binary").alias("word"), "gram", "value")), "model")
+    discard(spark, written)  # the model's rows replace them
     return (rows.groupBy("block").cogroup(model.groupBy("block"))
             .applyInArrow(_score(depth, found["n"] + ends, found["v"] + (ends > 0), ends), SCORES_DDL))
