@@ -46,9 +46,9 @@ from pyspark.sql import functions as F
 from .common import batch, crc_mod, discard, mix, slices_by_bytes, store, stored, utf8
 
 DEPTH = 5
-BLOCK_BYTES = 8 << 20
-CHUNK_BYTES = 1 << 20
-GROUP_ROWS = 150_000
+BLOCK_BYTES = 10 << 20
+CHUNK_BYTES = 512 << 10
+GROUP_ROWS = 50_000
 ALPHA = 0.1
 
 FEATURES = pa.schema([("block", pa.int32()), ("word", pa.binary()), ("gram", pa.int64()), ("n", pa.int64())])
@@ -336,15 +336,17 @@ def scores(docs: DataFrame, depth: int = DEPTH, folds: int = 10, block_bytes: in
     words = features.where("word is not null").select("block", "word", "n")
     grams = features.where("gram is not null").select("block", "gram", "n")
     ends = rows.where("train").count()
-    known = stored(words.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    known_at = store(words.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    known = spark.read.parquet(known_at)
     found = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
-    counts = stored(grams.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    lengths = gram_scores(counts, depth)
+    counts_at = store(grams.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    lengths = gram_scores(spark.read.parquet(counts_at), depth)
     model = stored(words.select("block", "word").join(known, "word")
                    .select("block", "word", F.lit(None).cast("bigint").alias("gram"),
                            F.col("n").cast("double").alias("value"))
                    .unionByName(grams.select("block", "gram").join(lengths, "gram")
                                 .select("block", F.lit(None).cast("binary").alias("word"), "gram", "value")), "model")
-    discard(spark, written)  # the model's rows replace them
+    for path in (written, known_at, counts_at):  # the model's rows replace them
+        discard(spark, path)
     return (rows.groupBy("block").cogroup(model.groupBy("block"))
             .applyInArrow(_score(depth, found["n"] + ends, found["v"] + (ends > 0), ends), SCORES_DDL))
