@@ -24,6 +24,7 @@ kept.  Memory per task: one batch, the automaton and the memo.
 from __future__ import annotations
 
 import math
+import struct
 from collections import deque
 from collections.abc import Iterator
 
@@ -112,11 +113,16 @@ class Automaton:
         best, back = [0.0] + [-math.inf] * n, [None] * (n + 1)
         nexts, fail, chains, state = self.next, self.fail, self.chains, 0
         for i, ch in enumerate(chunk, 1):
-            while ch not in nexts[state] and state:
-                state = fail[state]
-            state = nexts[state].get(ch, 0)
+            to = nexts[state].get(ch)
+            if to is None:  # follow failure links once, then remember where they led
+                at = state
+                while at and ch not in nexts[at]:
+                    at = fail[at]
+                to = nexts[state][ch] = nexts[at].get(ch, 0)
+            state = to
             top = -math.inf
-            for found in (chains[state] if chains[state] is not None else self.chain(state)):
+            ends = chains[state]
+            for found in (ends if ends is not None else self.chain(state)):
                 score = best[i - found[0]] + found[1]
                 if score > top:
                     top, back[i] = score, found
@@ -152,7 +158,7 @@ class Automaton:
             if ids is None:
                 if len(memo) >= MEMO:
                     memo.clear()
-                ids = memo[chunk] = np.array(self.best_path(chunk), "<i4").tobytes()
+                ids = memo[chunk] = struct.pack(f"<{len(path := self.best_path(chunk))}i", *path)
             out.append(ids)
         return b"".join(out)
 
