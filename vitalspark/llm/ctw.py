@@ -129,6 +129,8 @@ def _features(depth: int):
                 k, n = _add(keys, counts)
                 keys, counts = [k], [n]
         gram, n = _add(keys, counts)
+        del bodies, keys, counts
+        pa.default_memory_pool().release_unused()  # of earlier blocks of this worker
         m = len(words) + len(gram)
         return pa.table({
             "block": pa.array(np.full(m, key[0].as_py(), np.int32)),
@@ -290,6 +292,7 @@ def _score(depth: int, n_train: int, distinct: int, ends: int):
 
     def run(key, rows, model):
         out = {f.name: [] for f in SCORES}
+        pa.default_memory_pool().release_unused()  # of earlier blocks of this worker
         if rows.num_rows:
             is_gram = model["gram"].is_valid()
             value = Lookup(model["gram"].drop_null().to_numpy().view(np.uint64), model["value"].filter(is_gram).to_numpy())
