@@ -149,6 +149,19 @@ def test_templates_edges(docs_of, bench):
     assert template_leaks.clean(docs, found).collect() == []
 
 
+def test_items_are_found_whatever_stands_around_them(spark, docs_of):
+    items = ["What is the boiling point of water at sea level?", "A train leaves the old station before the rain stops",
+             "Marie Curie was born in the old town near the river by the hills",
+             "Which of the old towns near the river was home to Paris Hilton",
+             "If the rope breaks then the boat drifts over to Norway"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    around = [("", ""), ("some words ", ""), ("A Heading\n", " Then"), ("Question 7) ", ""), ("7. ", ""), ("so, ", " or not"),
+              ("asked by John Smith ", " Jones said"), ("(John) ", "\nAnna Berg came"), ("Dr. ", "")]
+    texts = [before + x + after for before, after in around for x in items]
+    found = {(r.doc_id, r.item_id): r.kind for r in leaks(docs_of, bench, texts + [FILL])[1].collect()}
+    assert found == {(i, i % len(items)): "exact" for i in range(len(texts))}
+
+
 def test_planted_items_are_found_and_the_rest_left_alone(spark, sf_texts):
     """Brute force: texts that hold a whole benchmark item."""
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]

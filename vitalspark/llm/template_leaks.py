@@ -7,6 +7,12 @@ alignment) the slot values must map consistently: an item value that turns
 into one document value everywhere is a re-parameterised copy, one that turns
 into several is a coincidence and those windows do not count.
 
+A Title-case word that begins a text or sentence is a literal, elsewhere a
+name.  What stands around a passage does not hide an item in it: the corpus
+windows that begin with a name (also within a run of names) or a unit word are
+looked up with that word as a literal too, and a run of names that goes on
+beyond the item's ends counts with the item's own words only.
+
 A document leaks an item when at least ``MIN_WINDOWS`` consistent windows (or
 all of a shorter item's) are aligned in it.  Items shorter than a window are
 matched as a whole.  A window needs ``MIN_LITERALS`` literal tokens (or the
@@ -56,8 +62,9 @@ HASH_OF = {k: xxhash.xxh64_intdigest(v) for k, v in PLACEHOLDER.items()}
 FOLD = np.uint64(0x9E3779B97F4A7C15)
 
 WINDOWS = pa.schema([("key", pa.string()), ("id", pa.int64()), ("h", pa.int64()), ("n", pa.int32()),
-                     ("pos", pa.int32()), ("template", pa.string()), ("slots", pa.list_(pa.string()))])
-WINDOWS_DDL = "key string, id bigint, h bigint, n int, pos int, template string, slots array<string>"
+                     ("pos", pa.int32()), ("template", pa.string()), ("slots", pa.list_(pa.string())),
+                     ("last", pa.bool_())])
+WINDOWS_DDL = "key string, id bigint, h bigint, n int, pos int, template string, slots array<string>, last boolean"
 
 
 class Spellings(dict):
@@ -105,7 +112,9 @@ class Spellings(dict):
 
 def templates(texts: list[bytes], memo: Spellings):
     """Template tokens of some texts, end to end: document index, hash, kind,
-    and for each the range [start, end) of its pieces; plus the pieces."""
+    and for each the range [start, end) of its pieces; plus the pieces, and
+    those that are literals only if a text begins with them: piece, its hash,
+    and the first token of what follows it."""
     words = [text.split() for text in texts]
     lens = np.fromiter(map(len, words), np.int64, len(words))
     rows = np.fromiter(map(memo.__getitem__, chain.from_iterable(words)), np.int64, int(lens.sum()))
@@ -114,6 +123,7 @@ def templates(texts: list[bytes], memo: Spellings):
     idx = np.repeat(begin[rows] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
     doc = np.repeat(np.repeat(np.arange(len(texts)), lens), count)
     hashed, kind, ends, unit_words = (c[idx] for c in columns)
+    sign = kind == UNIT
     first = np.ones(len(idx), bool)
     first[1:] = (doc[1:] != doc[:-1]) | ends[:-1]
     kind = np.where(kind == TITLE, np.where(first, LITERAL, NAME), kind)
@@ -121,13 +131,16 @@ def templates(texts: list[bytes], memo: Spellings):
     after = np.zeros(len(idx), bool)
     after[1:] = (kind[:-1] == NUMBER) & (doc[1:] == doc[:-1])
     kind = np.where(unit_words & after & (kind != NUMBER), UNIT, kind)
+    lead = np.flatnonzero((kind == NAME) | ((kind == UNIT) & ~sign))
+    spelled = hashed[lead]
     for k, h in HASH_OF.items():
         hashed[kind == k] = h
     same = np.zeros(len(idx), bool)  # continues a run of names
     same[1:] = (kind[1:] == NAME) & (kind[:-1] == NAME) & (doc[1:] == doc[:-1])
     start = np.flatnonzero(~same)
     end = np.append(start[1:], len(idx))
-    return doc[start], hashed[start], kind[start], start, end, idx
+    return (doc[start], hashed[start], kind[start], start, end, idx,
+            (lead, spelled, np.searchsorted(end, lead + 1, "right")))
 
 
 def _windows(lengths: tuple[int, ...], whole: bool, bitmap, window: int, min_literals: int):
@@ -144,7 +157,7 @@ def _windows(lengths: tuple[int, ...], whole: bool, bitmap, window: int, min_lit
                 if len(memo.text) > VOCABULARY:
                     memo = Spellings()
                 out = {f.name: [] for f in WINDOWS}
-                doc, hashed, kind, start, end, idx = templates(texts[lo:hi], memo)
+                doc, hashed, kind, start, end, idx, (lead, spelled, rest) = templates(texts[lo:hi], memo)
                 literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
                 size = np.bincount(doc, minlength=hi - lo) if len(doc) else np.zeros(hi - lo, int)
                 offset = np.concatenate([[0], np.cumsum(size)])
@@ -152,34 +165,46 @@ def _windows(lengths: tuple[int, ...], whole: bool, bitmap, window: int, min_lit
                     count = len(doc) - n + 1
                     if count <= 0:
                         continue
-                    h = np.full(count, n, np.uint64)
+                    tail = np.zeros(count + 1, np.uint64)  # the n - 1 tokens from each token on
+                    with np.errstate(over="ignore"):
+                        for j in range(n - 1):
+                            tail = tail * FOLD + hashed[j:j + count + 1]
+                    # Windows of tokens, then those whose first word is taken as a literal.
+                    fits = np.flatnonzero(rest <= count) if not whole else np.zeros(0, np.int64)
+                    begin = np.concatenate([np.arange(count), rest[fits] - 1])
+                    word = np.concatenate([np.full(count, -1), lead[fits]])
+                    h = np.concatenate([hashed[:count], spelled[fits]])
                     with np.errstate(over="ignore"):
-                        for j in range(n):
-                            h = h * FOLD + hashed[j:j + count]
-                    h = mix(h)
-                    ok = (doc[:count] == doc[n - 1:]) & (
-                        (literal[n:n + count] - literal[:count]) * window >= min_literals * n)
+                        h = h * np.uint64(pow(int(FOLD), n - 1, 1 << 64)) + tail[begin + 1]
+                        h = mix(h + np.uint64(n * pow(int(FOLD), n, 1 << 64) % (1 << 64)))
+                    literals = literal[begin + n] - np.where(word < 0, literal[begin], literal[begin + 1] - 1)
+                    ok = (doc[begin] == doc[begin + n - 1]) & (literals * window >= min_literals * n)
                     if whole and n < window:
-                        ok &= size[doc[:count]] == n
+                        ok &= size[doc[begin]] == n
                     if seen is not None:
                         ok &= in_bitmap(seen, h)
-                    for at in np.flatnonzero(ok):
+                    for i in np.flatnonzero(ok):
+                        at, own = int(begin[i]), int(word[i])
                         d = int(doc[at])
+                        kinds, starts = kind[at:at + n], start[at:at + n]
+                        if own >= 0:
+                            kinds, starts = kinds.copy(), np.maximum(starts, own + 1)
+                            kinds[0], starts[0] = LITERAL, own
                         template, slots = [], []
-                        for k, s, e in zip(kind[at:at + n], start[at:at + n], end[at:at + n]):
-                            spelled = " ".join(memo.text[i] for i in idx[s:e])
+                        for k, s, e in zip(kinds, starts, end[at:at + n]):
                             if k == LITERAL:
-                                template.append(spelled)
+                                template.append(memo.text[idx[s]])
                             else:
                                 template.append(PLACEHOLDER[k])
-                                slots.append(f"{PLACEHOLDER[k]}{spelled}")
+                                slots.append(PLACEHOLDER[k] + " ".join(memo.text[j] for j in idx[s:e]))
                         out["id"].append(ids[lo + d])
                         out["key"].append(row_key(ids[lo + d], texts[lo + d]))
-                        out["h"].append(int(h[at].view(np.int64)))
+                        out["h"].append(int(h[i].view(np.int64)))
                         out["n"].append(n)
                         out["pos"].append(int(at - offset[d]))
                         out["template"].append(" ".join(template))
                         out["slots"].append(slots)
+                        out["last"].append(at + n == int(offset[d + 1]))
                 if out["h"]:
                     yield batch(WINDOWS, **out)
     return run
@@ -214,6 +239,19 @@ def _consistent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["key", "doc_id", "item_id", "item_windows", "windows", "exact"])
 
 
+def _own_names(joined: DataFrame) -> DataFrame:
+    """doc_slots without the names that stand before or after the item in the
+    same run: only an item's second token (its first is never a name) and its
+    last one can be such a run."""
+    name, doc, item = PLACEHOLDER[NAME], F.col("doc_slots"), F.col("item_slots")
+    before = F.col("template").startswith(name) & (F.col("item_pos") == 1) & F.get(doc, F.lit(0)).endswith(
+        F.concat(F.lit(" "), F.substring(F.get(item, F.lit(0)), len(name) + 1, 1 << 30)))
+    after = F.col("template").endswith(name) & F.col("last") & F.get(doc, F.size(doc) - 1).startswith(
+        F.concat(F.get(item, F.size(item) - 1), F.lit(" ")))
+    return joined.withColumn("doc_slots", F.transform("doc_slots", lambda v, i: F.when(
+        (before & (i == 0)) | (after & (i == F.size(doc) - 1)), F.get(item, i)).otherwise(v)))
+
+
 def benchmark_windows(benchmark: DataFrame, window: int, min_literals: int) -> DataFrame:
     items = (benchmark.select(F.col("item_id").cast("bigint").alias("id"), text_of("text").alias("t"))
              .groupBy("t").agg(F.min("id").alias("id")).select("id", F.col("t").cast("binary").alias("body")))
@@ -227,18 +265,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_lit
     spark = docs.sparkSession
     items = benchmark_windows(benchmark, window, min_literals).select(
         F.col("key").alias("item_key"), F.col("id").alias("item_id"), "h", "n", F.col("pos").alias("item_pos"),
-        "template", F.col("slots").alias("item_slots")).persist()
+        "template", F.col("slots").alias("item_slots"), "last").persist()
     try:
         lengths = tuple(sorted(r["n"] for r in items.select("n").distinct().collect()))  # at most ``window`` values
         seen = spark.sparkContext.broadcast(bitmap_words(items, "h", bits_for(items.count(), 4096)))
     finally:
         items.unpersist()
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), utf8("text").alias("body"))
-    found = rows.mapInArrow(_windows(lengths, False, seen, window, min_literals), WINDOWS_DDL).withColumnRenamed(
+    found = rows.mapInArrow(_windows(lengths, False, seen, window, min_literals), WINDOWS_DDL).drop("last").withColumnRenamed(
         "slots", "doc_slots")
     totals = items.groupBy("item_key").agg(F.countDistinct("item_pos").alias("item_windows"))
     joined = salted_join(found, items.join(totals, "item_key"), ["h", "n", "template"], F.xxhash64("key", "pos"))
-    aligned = (joined.groupBy("key", F.col("id").alias("doc_id"), "item_key", "item_id", "item_windows",
+    aligned = (_own_names(joined).groupBy("key", F.col("id").alias("doc_id"), "item_key", "item_id", "item_windows",
                               (F.col("pos") - F.col("item_pos")).alias("shift"))
                # one row per window of the item: bounded by the item's length
                .agg(F.collect_set(F.struct(F.col("item_pos").alias("pos"), "item_slots", "doc_slots")).alias("windows")))
