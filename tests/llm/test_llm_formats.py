@@ -162,6 +162,26 @@ def test_items_are_found_whatever_stands_around_them(spark, docs_of):
     assert found == {(i, i % len(items)): "exact" for i in range(len(texts))}
 
 
+def test_items_with_few_literals_are_found_as_spelled(spark, docs_of):
+    items = ["Compute 12 + 7 * 3 - 4 / 2 and then subtract 15 from 88", "Solve 3 x + 4 = 19, 5 y - 2 = 13, 7 z = 49",
+             "Anna Berg, Carl Dietz, Emil Frank and Greta Hahn met Ida Jung, Karl Lang", "What is 12 + 7", "12 13 14",
+             "Der Hund und die Katze im Haus der Frau am Markt in Bern sahen den Mann mit Hut und Stock am Tor", "7"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    around = [("", ""), ("some words ", " and more"), ("Question 5) ", ""), ("he said to John ", " Then all went")]
+    texts = [before + x + after for before, after in around for x in items]
+    other = [items[0].replace("88", "87").replace("12", "13"), items[1].replace("19", "20").replace("13", "14"),
+             "11 12 13 14 15 16 17 8 9 10 11 12 13 14 15", "What is 12 + 8", "Compute 12 + 7 * 3 - 4 / 2 and then stop"]
+    docs, found = leaks(docs_of, bench, texts + other)
+    rows = {(r.doc_id, r.item_id): r for r in found.collect()}
+    assert len(rows) == found.count()
+    want = {(i, i % len(items)) for i in range(len(texts))}
+    assert want <= set(rows) and all(rows[k].kind == "exact" for k in want)
+    assert all(rows[k].windows >= min(3, rows[k].item_windows) for k in want)
+    assert {d for d, _ in rows} == set(range(len(texts)))
+    assert {r.doc_id for r in template_leaks.clean(docs, found).collect()} == {
+        len(texts) + i for i in range(len(other))}
+
+
 def test_planted_items_are_found_and_the_rest_left_alone(spark, sf_texts):
     """Brute force: texts that hold a whole benchmark item."""
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]

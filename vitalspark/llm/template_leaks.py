@@ -15,8 +15,17 @@ beyond the item's ends counts with the item's own words only.
 
 A document leaks an item when at least ``MIN_WINDOWS`` consistent windows (or
 all of a shorter item's) are aligned in it.  Items shorter than a window are
-matched as a whole.  A window needs ``MIN_LITERALS`` literal tokens (or the
-same share of a shorter one).
+matched as a whole.  A template window needs ``MIN_LITERALS`` literal tokens
+(or the same share of a shorter one).
+
+Windows with fewer literals (arithmetic, lists of names) are matched as they
+are spelled: windows of ``WINDOW`` words and numbers with that few literals,
+numbers and names as written, case apart.  ``MIN_WINDOWS`` of them must be
+aligned; an item without any template window needs all if it has fewer.  An
+item shorter than a window and without any literal (``12 13 14``) is found
+only where no further number adjoins it without a closing mark between, so not
+within a longer list.  Text without a letter, digit or unit sign has nothing
+to match.
 
 The corpus is read once: a fixed-size bitmap of the benchmark's window hashes
 (16 MB at most, whatever the benchmark) drops windows on the map side, then a
@@ -55,6 +64,7 @@ UNITS = ("mm cm m km in inch inches ft foot feet yd yard yards mile miles mi mg
 _UNITS = frozenset(UNITS)
 _PIECE = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[%$€£°]")
 _MARKS = ".,;:!?\"'()[]{}*#&|”’“‘"
+_CLOSED = re.compile(r"[.!?:;)\]}][\"'”’)\]]*\Z")
 _END = re.compile(r"[.!?:][\"'”’)\]]*\Z")
 LITERAL, NUMBER, UNIT, TITLE, NAME = range(5)
 PLACEHOLDER = {NUMBER: "<num>", UNIT: "<unit>", NAME: "<name>"}
@@ -68,11 +78,12 @@ WINDOWS_DDL = "key string, id bigint, h bigint, n int, pos int, template string,
 
 
 class Spellings(dict):
-    """Memo: white-space token -> row; a row is a range of pieces."""
+    """Memo: white-space token -> row; a row is a range of pieces.
+    ``closed``: the pieces that a closing mark follows."""
 
     def __init__(self):
         super().__init__()
-        self.text, self.pieces, self.ranges = [], [], []
+        self.text, self.pieces, self.ranges, self.closed = [], [], [], set()
         self.done = [0, 0]
         self.tables = [[np.zeros(1 << 12, t) for t in types] for types in (
             (np.uint64, np.int8, bool, bool), (np.int64, np.int64))]
@@ -81,7 +92,8 @@ class Spellings(dict):
         spelled = token.decode("utf-8", "replace")
         core = spelled.strip(_MARKS)
         found = [core] if core.isalpha() else _PIECE.findall(spelled)  # the pattern finds one piece in letters
-        ends = len(core) < len(spelled) and bool(found) and _END.search(spelled) is not None
+        closed = len(core) < len(spelled) and bool(found) and _CLOSED.search(spelled) is not None
+        ends = closed and _END.search(spelled) is not None
         at = len(self.text)
         for p in found:
             low = p.lower()
@@ -91,6 +103,8 @@ class Spellings(dict):
             self.pieces.append((xxhash.xxh64_intdigest(low), kind, False, low in _UNITS))
         if ends:
             self.pieces[-1] = (*self.pieces[-1][:2], True, self.pieces[-1][3])
+        if closed:
+            self.closed.add(len(self.text) - 1)
         self.ranges.append((at, len(found)))
         self[token] = row = len(self.ranges) - 1
         return row
@@ -114,7 +128,8 @@ def templates(texts: list[bytes], memo: Spellings):
     """Template tokens of some texts, end to end: document index, hash, kind,
     and for each the range [start, end) of its pieces; plus the pieces, and
     those that are literals only if a text begins with them: piece, its hash,
-    and the first token of what follows it."""
+    and the first token of what follows it; and the pieces' own document
+    index, hash and kind."""
     words = [text.split() for text in texts]
     lens = np.fromiter(map(len, words), np.int64, len(words))
     rows = np.fromiter(map(memo.__getitem__, chain.from_iterable(words)), np.int64, int(lens.sum()))
@@ -126,13 +141,14 @@ def templates(texts: list[bytes], memo: Spellings):
     sign = kind == UNIT
     first = np.ones(len(idx), bool)
     first[1:] = (doc[1:] != doc[:-1]) | ends[:-1]
-    kind = np.where(kind == TITLE, np.where(first, LITERAL, NAME), kind)
+    title = kind == TITLE
+    kind[title & first], kind[title & ~first] = LITERAL, NAME
     # A unit word is a unit only after a number, with none between.
     after = np.zeros(len(idx), bool)
     after[1:] = (kind[:-1] == NUMBER) & (doc[1:] == doc[:-1])
-    kind = np.where(unit_words & after & (kind != NUMBER), UNIT, kind)
+    kind[unit_words & after & (kind != NUMBER)] = UNIT
     lead = np.flatnonzero((kind == NAME) | ((kind == UNIT) & ~sign))
-    spelled = hashed[lead]
+    plain, hashed = hashed, hashed.copy()
     for k, h in HASH_OF.items():
         hashed[kind == k] = h
     same = np.zeros(len(idx), bool)  # continues a run of names
@@ -140,12 +156,13 @@ def templates(texts: list[bytes], memo: Spellings):
     start = np.flatnonzero(~same)
     end = np.append(start[1:], len(idx))
     return (doc[start], hashed[start], kind[start], start, end, idx,
-            (lead, spelled, np.searchsorted(end, lead + 1, "right")))
+            (lead, plain[lead], np.searchsorted(end, lead + 1, "right")), (doc, plain, kind))
 
 
 def _windows(lengths: tuple[int, ...], whole: bool, bitmap, window: int, min_literals: int):
-    """lengths: the window lengths wanted; whole: a text shorter than
-    ``window`` is one window (the benchmark side)."""
+    """lengths: the window lengths wanted, in template tokens, or negative in
+    pieces as spelled; whole: a text shorter than ``window`` is one window (the
+    benchmark side)."""
     words = None if bitmap is None else bitmap
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,11 +174,27 @@ def _windows(lengths: tuple[int, ...], whole: bool, bitmap, window: int, min_lit
                 if len(memo.text) > VOCABULARY:
                     memo = Spellings()
                 out = {f.name: [] for f in WINDOWS}
-                doc, hashed, kind, start, end, idx, (lead, spelled, rest) = templates(texts[lo:hi], memo)
+                doc, hashed, kind, start, end, idx, (lead, spelled, rest), pieces = templates(
+                    texts[lo:hi], memo)
                 literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
                 size = np.bincount(doc, minlength=hi - lo) if len(doc) else np.zeros(hi - lo, int)
                 offset = np.concatenate([[0], np.cumsum(size)])
+
+                def put(d, h, n, pos, template, slots, last):
+                    out["id"].append(ids[lo + d])
+                    out["key"].append(row_key(ids[lo + d], texts[lo + d]))
+                    out["h"].append(int(h.view(np.int64)))
+                    out["n"].append(n)
+                    out["pos"].append(int(pos))
+                    out["template"].append(template)
+                    out["slots"].append(slots)
+                    out["last"].append(bool(last))
+
                 for n in lengths:
+                    if n < 0:
+                        for d, h, pos, i in _spelled(pieces, idx, memo, -n, whole, seen, window, min_literals):
+                            put(d, h, n, pos, " ".join(memo.text[j] for j in idx[i:i - n]), [], False)
+                        continue
                     count = len(doc) - n + 1
                     if count <= 0:
                         continue
@@ -171,18 +204,22 @@ def _windows(lengths: tuple[int, ...], whole: bool, bitmap, window: int, min_lit
                             tail = tail * FOLD + hashed[j:j + count + 1]
                     # Windows of tokens, then those whose first word is taken as a literal.
                     fits = np.flatnonzero(rest <= count) if not whole else np.zeros(0, np.int64)
-                    begin = np.concatenate([np.arange(count), rest[fits] - 1])
-                    word = np.concatenate([np.full(count, -1), lead[fits]])
-                    h = np.concatenate([hashed[:count], spelled[fits]])
                     with np.errstate(over="ignore"):
-                        h = h * np.uint64(pow(int(FOLD), n - 1, 1 << 64)) + tail[begin + 1]
-                        h = mix(h + np.uint64(n * pow(int(FOLD), n, 1 << 64) % (1 << 64)))
+                        power, base = (np.uint64(x * pow(int(FOLD), e, 1 << 64) % (1 << 64)) for x, e in (
+                            (1, n - 1), (n, n)))
+                        h = mix(hashed[:count] * power + tail[1:] + base)
+                        first = mix(spelled[fits] * power + tail[rest[fits]] + base)
+                    begin = np.arange(count)
+                    if seen is not None:
+                        begin = np.flatnonzero(in_bitmap(seen, h))
+                        hit = in_bitmap(seen, first)
+                        h, first, fits = h[begin], first[hit], fits[hit]
+                    begin, word = np.append(begin, rest[fits] - 1), np.append(np.full(len(begin), -1), lead[fits])
+                    h = np.append(h, first)
                     literals = literal[begin + n] - np.where(word < 0, literal[begin], literal[begin + 1] - 1)
                     ok = (doc[begin] == doc[begin + n - 1]) & (literals * window >= min_literals * n)
                     if whole and n < window:
                         ok &= size[doc[begin]] == n
-                    if seen is not None:
-                        ok &= in_bitmap(seen, h)
                     for i in np.flatnonzero(ok):
                         at, own = int(begin[i]), int(word[i])
                         d = int(doc[at])
@@ -197,19 +234,44 @@ def _windows(lengths: tuple[int, ...], whole: bool, bitmap, window: int, min_lit
                             else:
                                 template.append(PLACEHOLDER[k])
                                 slots.append(PLACEHOLDER[k] + " ".join(memo.text[j] for j in idx[s:e]))
-                        out["id"].append(ids[lo + d])
-                        out["key"].append(row_key(ids[lo + d], texts[lo + d]))
-                        out["h"].append(int(h[i].view(np.int64)))
-                        out["n"].append(n)
-                        out["pos"].append(int(at - offset[d]))
-                        out["template"].append(" ".join(template))
-                        out["slots"].append(slots)
-                        out["last"].append(at + n == int(offset[d + 1]))
+                        put(d, h[i], n, at - offset[d], " ".join(template), slots, at + n == offset[d + 1])
                 if out["h"]:
                     yield batch(WINDOWS, **out)
     return run
 
 
+def _spelled(pieces, idx, memo: Spellings, n: int, whole: bool, seen, window: int, min_literals: int):
+    """(document index, hash, position, piece) of the windows of n pieces with
+    too few literals for a template.  What stands before a passage can make a
+    literal of it a name or unit, never the reverse, so none is missed."""
+    doc, plain, kind = pieces
+    count = len(doc) - n + 1
+    if count <= 0:
+        return
+    literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
+    size = np.bincount(doc)
+    offset = np.concatenate([[0], np.cumsum(size)])
+    literals = literal[n:] - literal[:count]
+    at = np.flatnonzero((literals * window < min_literals * n) & (doc[:count] == doc[n - 1:]))
+    if whole and n < window:
+        at = at[size[doc[at]] == n]
+    h = np.full(len(at), -n % (1 << 64), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(n):
+            h = h * FOLD + plain[at + j]
+    h = mix(h)
+    if seen is not None:
+        hit = in_bitmap(seen, h)
+        at, h = at[hit], h[hit]
+    for i, x in zip(at.tolist(), h):
+        d = int(doc[i])
+        if n < window and not literals[i] and any(
+                offset[d] <= j < offset[d + 1] and kind[j] == NUMBER and idx[min(i + n - 1, j)] not in memo.closed
+                for j in (i - 1, i + n)):
+            continue
+        yield d, x, i - offset[d], i
+
+
 def row_key(doc_id, body: bytes) -> str:
     return hashlib.md5(f"{'' if doc_id is None else doc_id}|".encode() + body).hexdigest()
 
@@ -234,9 +296,9 @@ def _consistent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             good.append(len({w["pos"] for w in kept}))
             same.append(all(w["item_slots"] == w["doc_slots"] for w in kept))
         yield pa.RecordBatch.from_arrays(
-            [b.column(c) for c in ("key", "doc_id", "item_id", "item_windows")]
+            [b.column(c) for c in b.schema.names if c != "windows"]
             + [pa.array(good, pa.int64()), pa.array(same, pa.bool_())],
-            names=["key", "doc_id", "item_id", "item_windows", "windows", "exact"])
+            names=[c for c in b.schema.names if c != "windows"] + ["windows", "exact"])
 
 
 def _own_names(joined: DataFrame) -> DataFrame:
@@ -255,8 +317,9 @@ def _own_names(joined: DataFrame) -> DataFrame:
 def benchmark_windows(benchmark: DataFrame, window: int, min_literals: int) -> DataFrame:
     items = (benchmark.select(F.col("item_id").cast("bigint").alias("id"), text_of("text").alias("t"))
              .groupBy("t").agg(F.min("id").alias("id")).select("id", F.col("t").cast("binary").alias("body")))
-    found = items.mapInArrow(_windows(tuple(range(1, window + 1)), True, None, window, min_literals), WINDOWS_DDL)
-    return found.where((F.col("n") == window) | (F.col("pos") == 0))
+    lengths = (*range(1, window + 1), *range(-window, 0))
+    found = items.mapInArrow(_windows(lengths, True, None, window, min_literals), WINDOWS_DDL)
+    return found.where((F.abs("n") == window) | (F.col("pos") == 0))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_literals: int = MIN_LITERALS,
@@ -267,28 +330,39 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_lit
         F.col("key").alias("item_key"), F.col("id").alias("item_id"), "h", "n", F.col("pos").alias("item_pos"),
         "template", F.col("slots").alias("item_slots"), "last").persist()
     try:
-        lengths = tuple(sorted(r["n"] for r in items.select("n").distinct().collect()))  # at most ``window`` values
+        lengths = tuple(sorted(r["n"] for r in items.select("n").distinct().collect()))  # at most 2 * ``window``
         seen = spark.sparkContext.broadcast(bitmap_words(items, "h", bits_for(items.count(), 4096)))
     finally:
         items.unpersist()
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), utf8("text").alias("body"))
     found = rows.mapInArrow(_windows(lengths, False, seen, window, min_literals), WINDOWS_DDL).drop("last").withColumnRenamed(
         "slots", "doc_slots")
-    totals = items.groupBy("item_key").agg(F.countDistinct("item_pos").alias("item_windows"))
+    template = F.col("n") > 0
+    totals = items.groupBy("item_key").agg(F.countDistinct(F.when(template, F.col("item_pos"))).alias("item_windows"),
+                                           F.countDistinct(F.when(~template, F.col("item_pos"))).alias("item_spelled"))
     joined = salted_join(found, items.join(totals, "item_key"), ["h", "n", "template"], F.xxhash64("key", "pos"))
-    aligned = (_own_names(joined).groupBy("key", F.col("id").alias("doc_id"), "item_key", "item_id", "item_windows",
-                              (F.col("pos") - F.col("item_pos")).alias("shift"))
+    aligned = (_own_names(joined).groupBy(
+        "key", F.col("id").alias("doc_id"), "item_key", "item_id", "item_windows", "item_spelled", "n",
+        (F.col("pos") - F.col("item_pos")).alias("shift"))
                # one row per window of the item: bounded by the item's length
                .agg(F.collect_set(F.struct(F.col("item_pos").alias("pos"), "item_slots", "doc_slots")).alias("windows")))
-    checked = aligned.select("key", "doc_id", "item_id", "item_windows", "windows").mapInArrow(
-        _consistent, "key string, doc_id bigint, item_id bigint, item_windows bigint, windows bigint, exact boolean")
-    need = F.least(F.lit(min_windows).cast("bigint"), F.col("item_windows"))
+    checked = aligned.select("key", "doc_id", "item_id", "item_windows", "item_spelled", "n", "windows").mapInArrow(
+        _consistent, "key string, doc_id bigint, item_id bigint, item_windows bigint, item_spelled bigint, n int, "
+                     "windows bigint, exact boolean")
+    most = F.lit(min_windows).cast("bigint")
+    need = (F.when(template, F.least(most, F.col("item_windows")))
+            .when(F.col("item_windows") == 0, F.least(most, F.col("item_spelled"))).otherwise(most))
+    # Of an item found both ways, the templates' result.
     return (checked.where(F.col("windows") >= need)
-            .groupBy("key", "doc_id", "item_id", "item_windows")
-            .agg(F.max("windows").alias("windows"), F.max("exact").alias("exact"))
+            .groupBy("key", "doc_id", "item_id", "item_windows", "item_spelled")
+            .agg(F.max(F.struct(template.alias("template"), "exact")).alias("best"),
+                 F.max(F.when(template, F.col("windows"))).alias("windows"),
+                 F.max(F.when(~template, F.col("windows"))).alias("spelled"))
             .select("key", "doc_id", "item_id",
-                    F.when(F.col("exact"), "exact").otherwise("reparameterised").alias("kind"),
-                    "windows", "item_windows"))
+                    F.when(F.col("best.exact"), "exact").otherwise("reparameterised").alias("kind"),
+                    F.coalesce("windows", "spelled").alias("windows"),
+                    F.when(F.col("best.template"), F.col("item_windows")).otherwise(F.col("item_spelled"))
+                    .alias("item_windows")))
 
 
 def clean(docs: DataFrame, found: DataFrame) -> DataFrame:
