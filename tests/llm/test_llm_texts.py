@@ -295,6 +295,25 @@ def test_groups_edges(docs_of):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
 
 
+def test_one_row_of_a_group_stays_whatever_its_ids(docs_of):
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join([*base[:-1], "other"])
+    other = [f"v{i}" for i in range(60)]
+    near_other = " ".join([*other[:-1], "end"])
+    unnamed = [f"u{i}" for i in range(60)]
+    rows = [(5, " ".join(base)), (5, near),                          # one group, one id
+            (3, " ".join(other)), (5, near_other),                   # 5 is kept elsewhere
+            (None, near + " more"), (None, near_other + " more"),    # near copies of documents with ids
+            (None, " ".join(unnamed)), (None, " ".join([*unnamed[:-1], "x"])),  # a group without any id
+            (None, "all alone"), (None, "all alone"), (None, None), (8, "")]
+    assert len({c for _, _, c in brute_groups([(i, t) for i, (_, t) in enumerate(rows)])}) == 6
+    docs = docs_of(rows)
+    got = [(r.doc_id, r.text) for r in superminhash.deduplicated(docs).collect()]
+    assert sorted(str(d) for d, _ in got) == ["3", "5", "8", "None", "None", "None"]
+    assert {t for d, t in got if d is None} > {"all alone", None} and [t for d, t in got if d == 5][0] in (rows[0][1], near)
+    assert (3, rows[2][1]) in got
+
+
 def superminhash_by_element(elements, m):
     """The published loop, one element after the other, without early stop."""
     sig = [None] * m

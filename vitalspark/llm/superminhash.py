@@ -148,14 +148,17 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands = packed(superminhash(sets))
             sig = pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo + 1) * BANDS, BANDS), pa.int32()),
                                            pa.array(bands.ravel(), pa.int64()))
-            yield batch(SIGNATURES, doc_id=ids.slice(lo, hi - lo), n_shingles=[len(s) for s in sets],
+            out = batch(SIGNATURES, doc_id=ids.slice(lo, hi - lo), n_shingles=[len(s) for s in sets],
                         key=[set_key(s) for s in sets], sig=sig)
+            yield out.append_column("digest", b.column("digest").slice(lo, hi - lo)) if "digest" in b.schema.names else out
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, key, sig) of every row, map-only."""
-    return docs.select(F.col("doc_id").cast("bigint"), utf8("text").alias("body")).mapInArrow(
-        _signatures, "doc_id bigint, n_shingles bigint, key bigint, sig array<bigint>")
+def signatures(docs: DataFrame, digest: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, key, sig) of every row, map-only; with ``digest``
+    also the text's SHA-1."""
+    more = [F.sha1(utf8("text")).alias("digest")] if digest else []
+    return docs.select(F.col("doc_id").cast("bigint"), utf8("text").alias("body"), *more).mapInArrow(
+        _signatures, "doc_id bigint, n_shingles bigint, key bigint, sig array<bigint>" + ", digest string" * digest)
 
 
 # ------------------------------------------------------------ verification
@@ -420,7 +423,12 @@ def remaining_links(buckets: DataFrame, docs: DataFrame, classes: DataFrame, com
 
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs."""
-    sigs = stored(signatures(docs), "signatures")
+    return _named(*_connected(docs))
+
+
+def _connected(docs: DataFrame, digest: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signatures, classes and the components of linked classes."""
+    sigs = stored(signatures(docs, digest), "signatures")
     classes = stored(sigs.where("n_shingles > 0").groupBy("key").agg(
         F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"),
         F.count(F.lit(1)).alias("copies")), "classes")
@@ -440,15 +448,20 @@ def groups(docs: DataFrame) -> DataFrame:
     more = stored(remaining_links(buckets, docs, classes, comp), "links")
     if not more.isEmpty():
         comp = stored(components(links.unionByName(more)), "components")
-    return _named(sigs, classes, comp)
+    return sigs, classes, comp
+
+
+def _placed(classes: DataFrame, comp: DataFrame) -> DataFrame:
+    """The classes with several rows or links, with their component's label."""
+    return (classes.select("key", "rep", "copies").join(comp, "key", "left")
+            .where((F.col("copies") > 1) | F.col("comp").isNotNull())
+            .withColumn("label", F.coalesce("comp", "key")))
 
 
 def _named(sigs: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
     """Component names for the rows.  Only classes with several rows or links
     are joined, and rows are dealt over salts: a group may hold a third of all."""
-    placed = (classes.select("key", "rep", "copies").join(comp, "key", "left")
-              .where((F.col("copies") > 1) | F.col("comp").isNotNull())
-              .withColumn("label", F.coalesce("comp", "key")))
+    placed = _placed(classes, comp)
     names = placed.groupBy("label").agg(F.min("rep").alias("component_id"))
     by_key = salted_join(placed.select("key", "label"), names, ["label"], F.col("key")).select("key", "component_id")
     rows = sigs.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("key")).alias("key"))
@@ -458,10 +471,17 @@ def _named(sigs: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs, all columns, with one document of each group: the one with the
-    group's smallest doc_id.  Of rows repeated in doc_id and text one stays;
-    groups without any id lose their exact copies only."""
-    kept = groups(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """docs, all columns, with one row of each group: the one with the smallest
+    doc_id (null ids last), and of equal ids the smallest SHA-1 of the text.
+    Of rows repeated in doc_id and text one stays."""
+    sigs, classes, comp = _connected(docs, digest=True)
+    rows = salted_join(sigs.where("n_shingles > 0").select("doc_id", "digest", "key"),
+                       _placed(classes, comp).select("key", "label"), ["key"], F.xxhash64("doc_id", "digest"))
+    rows = rows.select("label", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest").alias("row"))
+    first = rows.groupBy("label").agg(F.min("row").alias("first"))
+    gone = (salted_join(rows, first, ["label"], F.xxhash64("row")).where("row <> first")
+            .select(F.col("row.doc_id").alias("_gone_id"), F.col("row.digest").alias("_gone_digest")).distinct())
+    left = docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_gone_id"))
+                     & (F.sha1(utf8("text")) == F.col("_gone_digest")), "left_anti")
     again = Window.partitionBy("doc_id", F.sha1(utf8("text"))).orderBy(F.lit(0))
-    return rows.withColumn("_again", F.row_number().over(again)).where("_again = 1").drop("_again")
+    return left.withColumn("_again", F.row_number().over(again)).where("_again = 1").drop("_again")
