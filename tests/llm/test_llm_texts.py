@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -122,16 +123,33 @@ def test_viterbi_equals_brute_force(automaton, sf_texts):
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=60) | st.text(alphabet=LETTERS, max_size=60))
 def test_pieces_spell_every_text(text):
-    auto = _shared()
-    assert auto.decode(np.frombuffer(auto.encode(text), "<i4").tolist()) == text
+    auto, spell = _shared()
+    ids = pa.array([np.frombuffer(auto.encode(t), "<i4") for t in (text, "", "x")], pa.list_(pa.int32()))
+    assert pa.chunked_array(spell.decode(ids)).to_pylist() == [text, "", "x"]
 
 
 def _shared(memo={}):
     if not memo:
-        memo[0] = sp_viterbi.Automaton(sp_viterbi.load_pieces(PIECES))
+        pieces = sp_viterbi.load_pieces(PIECES)
+        memo[0] = sp_viterbi.Automaton(pieces), sp_viterbi.Spellings(pieces)
     return memo[0]
 
 
+def test_side_by_side_equals_one_by_one(automaton, sf_texts):
+    chunks = sorted({c for _, t in sf_texts for c in automaton.chunks(t) if len(c) <= sp_viterbi.LONGEST})
+    usual = [c for c in chunks if (automaton.column[[ord(x) for x in c]] < 255).all()]
+    assert len(usual) > sp_viterbi.SIDE_BY_SIDE  # more than one round
+    for chunk, ids in zip(usual, automaton.best_paths(usual)):
+        assert np.frombuffer(ids, "<i4").tolist() == automaton.best_path(chunk)
+
+
+def test_ids_that_spell_no_text(automaton):
+    spell = _shared()[1]
+    rows = pa.array([[automaton.bytes[0x20], automaton.bytes[0xC3]], [], [automaton.bytes[0x20], automaton.bytes[0x41]]],
+                    pa.list_(pa.int32()))
+    assert pa.chunked_array(spell.decode(rows)).to_pylist() == ["\ufffd", "", "A"]
+
+
 def test_chunks_do_not_change_the_best_path(automaton, sf_texts):
     for _, text in sf_texts[:10]:
         text = text[:500]
@@ -146,6 +164,9 @@ def test_encode_decode_query_and_edges(spark, docs_of):
     out = sp_viterbi.decoded(sp_viterbi.encoded(docs, PIECES), PIECES).orderBy(F.col("doc_id").asc_nulls_first()).collect()
     assert [len(r.ids) for r in out][:3] == [0, 0, 1] and [r.decoded for r in out] == ["", "", " ", "a" * 60_000, "a" * 60_000]
     assert sp_viterbi.encoded(docs_of([]), PIECES).collect() == []
+    same = sp_viterbi.round_trip(docs.withColumn("_both", F.lit(1)), PIECES).orderBy(F.col("doc_id").asc_nulls_first())
+    assert [(r.ids, r.decoded, r.n_tokens, r["_both"]) for r in same.collect()] == [
+        (r.ids, r.decoded, r.n_tokens, 1) for r in out]
 
 
 # ------------------------------------------------------------ Order MinHash

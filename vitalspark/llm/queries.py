@@ -106,9 +106,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_sp_viterbi")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary("piece_bpe_32k.model")
-    rows = sp_viterbi.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    back = sp_viterbi.decoded(rows, path)
+    back = sp_viterbi.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                 vocabulary("piece_bpe_32k.model"))
     return back.select("doc_id", "n_tokens", F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
