@@ -52,9 +52,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, the piece ids, their number, and whether they
     spell the text again."""
-    path = vocabulary("piece_bpe_32k.model")
-    rows = sp_viterbi.encoded(docs.select("doc_id", "lang", "source", "text"), path)
-    return sp_viterbi.decoded(rows, path).select(
+    rows = sp_viterbi.round_trip(docs.select("doc_id", "lang", "source", "text"), vocabulary("piece_bpe_32k.model"))
+    return rows.select(
         "doc_id", "lang", "source", "n_tokens", "ids",
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
