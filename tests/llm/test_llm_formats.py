@@ -216,6 +216,34 @@ def test_stages_with_odd_rows(docs_of, spark):
             assert out.count() <= len(make) and (name == "encode" or out.columns == docs.columns)
 
 
+CLASHES = ("_again", "_gone_id", "_gone_digest", "_row_key", "_leak_key", "row", "row_key", "key", "kept", "label",
+           "toxicity", "quality_score", "ids", "decoded", "n_tokens", "digest", "a.b")
+
+
+def test_stages_keep_columns_of_any_name(docs_of, spark):
+    """Helper columns never take the place of a column of the input."""
+    plain = [(i, f"a plain text of its own, number {i * 7919}, with words " + " ".join(f"w{i}x{j}" for j in range(40)))
+             for i in range(5)]
+    rows = [*plain, plain[1], (9, plain[2][1] + " more"), (None, None), (None, None)]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = docs_of(rows).selectExpr("*", *[f"concat('{c}', coalesce(doc_id, -1)) AS `{c}`" for c in CLASHES])
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got or name in ("toxicity", "quality")
+        for r in got:
+            assert [r[c] for c in CLASHES] == [f"{c}{-1 if r.doc_id is None else r.doc_id}" for c in CLASHES]
+
+
+def test_which_repeated_row_stays(docs_of):
+    from vitalspark.llm import superminhash
+    docs = docs_of([(1, "same text")] * 3 + [(None, None)] * 2).withColumn("source", F.concat(
+        F.lit("s"), F.monotonically_increasing_id() % 7)).withColumn("row", F.create_map(F.lit(1), F.lit("x")))
+    got = {r.doc_id: r for r in superminhash.deduplicated(docs).collect()}
+    assert len(got) == 2 and got[1].source == min(r.source for r in docs.collect() if r.doc_id == 1)
+    assert got[None].row == {1: "x"}
+
+
 @pytest.mark.parametrize("name", [n for n in E.oracle_sql() if n.startswith("op")])
 def test_sql_agrees(spark, name):
     con = duckdb.connect()

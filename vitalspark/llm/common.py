@@ -41,6 +41,19 @@ def crc_mod(name: str, m: int) -> Column:
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % m
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def quoted(name: str) -> str:
+    """A column name as one part of a reference, dots and back quotes included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def shared_path(spark: SparkSession, what: str) -> str:
     """A new folder name below the cluster's shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"

@@ -37,11 +37,11 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import (batch, bitmap_words, bits_for, in_bitmap, materialise, mix, salted_join, slices_by_bytes,
-                     stored, utf8)
+from .common import (batch, bitmap_words, bits_for, free_name, in_bitmap, materialise, mix, quoted, salted_join,
+                     slices_by_bytes, stored, utf8)
 
 SHINGLE, M, ROWS = 5, 128, 4
 BANDS = M // ROWS
@@ -470,18 +470,33 @@ def _named(sigs: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
+def _row_name(doc_id: str = "doc_id", digest: Column | None = None) -> Column:
+    """A row's id and text as one value without nulls."""
+    number = F.col(doc_id).cast("bigint")
+    return F.struct(number.isNull().alias("no_id"), F.coalesce(number, F.lit(0)).alias("id"),
+                    (F.sha1(utf8("text")) if digest is None else digest).alias("digest"))
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs, all columns, with one row of each group: the one with the smallest
     doc_id (null ids last), and of equal ids the smallest SHA-1 of the text.
-    Of rows repeated in doc_id and text one stays."""
+    Of rows repeated in doc_id and text the one stays whose columns, written as
+    text, come first; the columns may have any names."""
     sigs, classes, comp = _connected(docs, digest=True)
-    rows = salted_join(sigs.where("n_shingles > 0").select("doc_id", "digest", "key"),
-                       _placed(classes, comp).select("key", "label"), ["key"], F.xxhash64("doc_id", "digest"))
-    rows = rows.select("label", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest").alias("row"))
-    first = rows.groupBy("label").agg(F.min("row").alias("first"))
-    gone = (salted_join(rows, first, ["label"], F.xxhash64("row")).where("row <> first")
-            .select(F.col("row.doc_id").alias("_gone_id"), F.col("row.digest").alias("_gone_digest")).distinct())
-    left = docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_gone_id"))
-                     & (F.sha1(utf8("text")) == F.col("_gone_digest")), "left_anti")
-    again = Window.partitionBy("doc_id", F.sha1(utf8("text"))).orderBy(F.lit(0))
-    return left.withColumn("_again", F.row_number().over(again)).where("_again = 1").drop("_again")
+    rows = sigs.select("n_shingles", "key", _row_name(digest=F.col("digest")).alias("row"))
+    grouped = salted_join(rows.where("n_shingles > 0").select("row", "key"),
+                          _placed(classes, comp).select("key", "label"), ["key"], F.xxhash64("row"))
+    first = grouped.groupBy("label").agg(F.min("row").alias("first"))
+    gone = salted_join(grouped, first, ["label"], F.xxhash64("row")).where("row <> first").select("row").distinct()
+    again = rows.groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row")
+    gone, again = stored(gone, "gone"), stored(again, "again")
+    name, columns = free_name(docs, "row"), docs.columns
+    left = docs.withColumn(name, _row_name()).join(gone.withColumnRenamed("row", name), name, "left_anti")
+    if again.isEmpty():
+        return left.drop(name)
+    again = again.withColumnRenamed("row", name)
+    # Partial aggregation: a row repeated a million times is one row a task.
+    whole = F.struct(*[F.col(quoted(c)) for c in columns])
+    kept = (left.join(again, name, "left_semi").groupBy(name).agg(F.min_by(whole, whole.cast("string")).alias("kept"))
+            .select("kept.*"))
+    return left.join(again, name, "left_anti").drop(name).unionByName(kept)

@@ -51,7 +51,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, bitmap_words, bits_for, in_bitmap, mix, salted_join, slices_by_bytes, text_of, utf8
+from .common import (batch, bitmap_words, bits_for, free_name, in_bitmap, mix, salted_join, slices_by_bytes, text_of,
+                     utf8)
 
 WINDOW, MIN_LITERALS, MIN_WINDOWS = 10, 6, 3
 SLICE_BYTES = 2 << 20
@@ -179,10 +180,13 @@ def _windows(lengths: tuple[int, ...], whole: bool, bitmap, window: int, min_lit
                 literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
                 size = np.bincount(doc, minlength=hi - lo) if len(doc) else np.zeros(hi - lo, int)
                 offset = np.concatenate([[0], np.cumsum(size)])
+                keys = {}  # of the rows with a window
 
                 def put(d, h, n, pos, template, slots, last):
+                    if d not in keys:
+                        keys[d] = row_key(ids[lo + d], texts[lo + d])
                     out["id"].append(ids[lo + d])
-                    out["key"].append(row_key(ids[lo + d], texts[lo + d]))
+                    out["key"].append(keys[d])
                     out["h"].append(int(h.view(np.int64)))
                     out["n"].append(n)
                     out["pos"].append(int(pos))
@@ -366,8 +370,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_lit
 
 
 def clean(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs, all columns, without the rows that leak."""
-    names = docs.columns
-    bad = found.select(F.col("key").alias("_leak_key")).distinct()
-    return (docs.withColumn("_row_key", key_column()).join(bad, F.col("_row_key") == F.col("_leak_key"), "left_anti")
-            .select(*names))
+    """docs, all columns, without the rows that leak; the columns may have any
+    names."""
+    key = free_name(docs, "row_key")
+    bad = found.select(F.col("key").alias(key)).distinct()
+    return docs.withColumn(key, key_column()).join(bad, key, "left_anti").drop(key)
