@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat_events, ctw, edit_tokens, order_minhash, pu_quality, sp_viterbi, string_kernel, superminhash,
-               template_leaks, warc_bundles)
+from . import (alignment, chat_events, ctw, edit_tokens, order_minhash, packing, periodic_runs, pu_quality, sp_viterbi,
+               string_kernel, superminhash, template_leaks, warc_bundles)
 from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,25 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = string_kernel.fit(docs, table(spark, sf_dir, "labels"))
     return _decided(string_kernel.scored(docs, model), "toxicity", TOXIC)
+
+
+# ---------------------------------------------------------------- op11
+@query("op11_recompression_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periodic_runs.run_digests(docs)
+
+
+# ---------------------------------------------------------------- op12
+@query("op12_token_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_sums(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"),
+                               vocabulary("piece_bpe_32k.model"))
+
+
+# ---------------------------------------------------------------- op13
+@query("op13_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packing.packed(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+                       "offset")
