@@ -189,6 +189,21 @@ def test_lockstep_equals_sets(docs, window):
     assert flat[0][left].tolist() == flat[1][right].tolist() == [v for x, y in docs for v in sorted(x & y)]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(max_size=40) | st.text(alphabet="aB'sé \n\t \x1c\x85\u2003▁1!<|>", max_size=40))
+def test_pair_encodes_like_whole_texts(text):
+    if not _PAIR:
+        _PAIR.append(alignment.Pair(open(A, encoding="utf-8").read(), open(B, "rb").read()))
+    a, b = brute_sides(_PAIR[0], text)
+    (got_a, _), (got_b, _) = _PAIR[0].encode([text])
+    if [e for _, e in a[-1:]] != [e for _, e in b[-1:]]:
+        a = b = []
+    assert (got_a.tolist(), got_b.tolist()) == ([i for i, _ in a], [i for i, _ in b])
+
+
+_PAIR: list = []
+
+
 # ------------------------------------------------------------------ packing
 def plain_first_fit(lengths, capacity):
     rooms, out = [], []

@@ -2,8 +2,9 @@
 at the same byte of a text.
 
 Documents are encoded by a byte-level model (A, with a space put in front) and
-a SentencePiece model (B, which adds that space itself), and both sequences
-are turned into byte end offsets.  All documents of a batch are merged in
+a SentencePiece model (B, which adds that space itself); chunks between places
+where both start anew are encoded once a worker and remembered.  Both
+sequences are turned into byte end offsets.  All documents of a batch are merged in
 lockstep: one NumPy state vector holds every document's A and B pointers, a
 step compares the two ends of all documents at once, advances the pointer
 that lies behind (both where the ends agree, which emits a link and a cut) and
@@ -27,7 +28,9 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +43,12 @@ from .common import batch, salted_join, slices_by_bytes, stored, utf8
 
 WINDOW = 4096
 BLOCK_BYTES = 8 << 20
+MEMO_CHUNKS = 150_000  # remembered chunks a worker; emptied, not capped, when full
 SPACE = "▁"
+BORDER = "\udc00"  # in no UTF-8 text
+# A border behind a character that Unicode calls white space.
+AFTER_WHITE = re.compile("([\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000])" + BORDER)
+NONE = (b"", b"")
 ALIGNED = pa.schema([("doc_id", pa.int64()), ("a_ids", pa.list_(pa.int32())), ("b_ids", pa.list_(pa.int32())),
                      ("a_cuts", pa.list_(pa.int32())), ("b_cuts", pa.list_(pa.int32())),
                      ("byte_cuts", pa.list_(pa.int32()))])
@@ -99,13 +107,62 @@ class Pair:
             b"" if self.b.is_control(i) else self.b.id_to_piece(i).replace(SPACE, " ").encode()
             for i in range(self.b.get_piece_size())])
 
-    def encode(self, texts: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-        """(flat ids, number of ids per text) of A and of B."""
-        found = [e.ids for e in self.a.encode_batch_fast([f" {t}" if t else "" for t in texts],
-                                                         add_special_tokens=False)]
-        pieces = self.b.encode(texts, num_threads=1)
-        return tuple((np.fromiter((i for x in side for i in x), np.int32),
-                      np.fromiter(map(len, side), np.int64, len(side))) for side in (found, pieces))
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        # Whether no piece goes on over a space or a line end.
+        self.cuts = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in pieces)
+        self.space = self.b.encode("\n")[:1]
+        self.memo: dict[str, tuple[bytes, bytes]] = {}
+
+    def chunks(self, text: str) -> list[str]:
+        """A space and the text, cut before each space or line end that follows
+        no white space: there both tokenizers always start anew."""
+        if not self.cuts:
+            return [f" {text}"]
+        s = f" {text}".replace(" ", BORDER + " ").replace("\n", BORDER + "\n")
+        return [c for c in AFTER_WHITE.sub(r"\1", s).split(BORDER) if c]
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of chunks as little-endian 32-bit integers; none of either side
+        where they do not spell the chunk."""
+        for at in range(0, len(new), 8192):
+            some = new[at:at + 8192]
+            found = [e.ids for e in self.a.encode_batch_fast(some, add_special_tokens=False)]
+            # B puts its own space in front, of a text that is not empty.
+            pieces = self.b.encode([c[1:] if c[0] == " " else c for c in some], num_threads=1)
+            pieces = [self.space if c == " " else x if c[0] == " " else x[1:] for c, x in zip(some, pieces)]
+            raw = [c.encode() for c in some]
+            size = np.fromiter(map(len, raw), np.int64, len(raw))
+            want, right, sides = np.frombuffer(b"".join(raw), np.uint8), np.ones(len(raw), bool), []
+            for side, ids in ((self.a_side, found), (self.b_side, pieces)):
+                n = np.fromiter(map(len, ids), np.int64, len(ids))
+                flat = np.fromiter(chain.from_iterable(ids), "<i4", int(n.sum()))
+                owner = np.repeat(np.arange(len(n)), n)
+                fits = np.bincount(owner, side.lens[flat], len(n)).astype(np.int64) == size
+                same = side.bytes_of(flat[fits[owner]]) == want[np.repeat(fits, size)]
+                right &= fits
+                right[np.repeat(np.flatnonzero(fits), size[fits])[~same]] = False
+                buffer, ends = flat.tobytes(), (4 * np.cumsum(n)).tolist()
+                sides.append([buffer[x:y] for x, y in zip([0, *ends], ends)])
+            self.memo.update((c, (x, y) if r else NONE) for c, x, y, r in zip(some, *sides, right.tolist()))
+
+    def encode(self, texts: list[str | None]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """(flat ids, number of ids per text) of A and of B; texts that their
+        ids do not spell have none."""
+        sides, memo = ([], []), self.memo
+        lens = np.fromiter((len(t or "") for t in texts), np.int64, len(texts))
+        for lo, hi in slices_by_bytes(lens, 1 << 20):
+            if len(memo) > MEMO_CHUNKS:
+                memo.clear()
+            parts = [self.chunks(t) if t else [] for t in texts[lo:hi]]
+            self._learn([c for c in set(chain.from_iterable(parts)) if c not in memo])
+            for row in parts:
+                found = [memo[c] for c in row]
+                if NONE in found:
+                    found = []
+                for k, side in enumerate(sides):
+                    side.append(b"".join([x[k] for x in found]))
+        return tuple((np.frombuffer(b"".join(side), "<i4"),
+                      np.fromiter(map(len, side), np.int64, len(side)) // 4) for side in sides)
 
 
 _PAIR: dict = {}
@@ -161,9 +218,7 @@ class Slice:
     """Aligned texts: flat ids, ids per text, links as indices into them."""
 
     def __init__(self, pair: Pair, texts: list[str | None]):
-        texts = [t or "" for t in texts]
         (self.a, self.a_n), (self.b, self.b_n) = pair.encode(texts)
-        self._drop_unequal(pair, texts)
         self.a_end, self.b_end = (self._ends(s.lens[ids], n) for s, ids, n in (
             (pair.a_side, self.a, self.a_n), (pair.b_side, self.b, self.b_n)))
         self.link_a, self.link_b = common_ends(self.a_end, self.a_n, self.b_end, self.b_n)
@@ -178,24 +233,6 @@ class Slice:
         before = np.concatenate([[0], run])[np.cumsum(n) - n]
         return run - np.repeat(before, n)
 
-    def _drop_unequal(self, pair: Pair, texts: list[str]) -> None:
-        """Texts whose tokens do not spell a space and the text lose them."""
-        raw = [f" {t}".encode() if t else b"" for t in texts]
-        want_n = np.fromiter(map(len, raw), np.int64, len(raw))
-        good = want_n > 0
-        sides = ((pair.a_side, self.a, self.a_n), (pair.b_side, self.b, self.b_n))
-        for side, ids, n in sides:
-            good &= np.bincount(np.repeat(np.arange(len(n)), n), side.lens[ids], len(n)).astype(np.int64) == want_n
-        doc = np.arange(len(raw))
-        want = np.frombuffer(b"".join([r for r, g in zip(raw, good) if g]), np.uint8)
-        owner = np.repeat(doc[good], want_n[good])
-        bad = np.zeros(len(raw), bool)
-        for side, ids, n in sides:
-            bad[owner[side.bytes_of(ids[np.repeat(good, n)]) != want]] = True
-        good &= ~bad
-        self.a, self.b = self.a[np.repeat(good, self.a_n)], self.b[np.repeat(good, self.b_n)]
-        self.a_n, self.b_n = np.where(good, self.a_n, 0), np.where(good, self.b_n, 0)
-
     def lists(self, values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()),
                                         pa.array(values.astype(np.int32)))
