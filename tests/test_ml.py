@@ -127,6 +127,73 @@ def test_ward_exact_small(spark):
     assert all(len(g) == 1 for g in groups) and len(set().union(*groups)) == 3
 
 
+def _brute_ward(x, k):
+    """Merge the pair of clusters that raises the squared error least, until k are left."""
+    groups = [[i] for i in range(len(x))]
+    while len(groups) > k:
+        cost = {(i, j): len(a) * len(b) / (len(a) + len(b)) * ((x[a].mean(0) - x[b].mean(0)) ** 2).sum()
+                for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j}
+        i, j = min(cost, key=cost.get)
+        groups[i] += groups.pop(j)
+    return {frozenset(g) for g in groups}
+
+
+def _groups_of(labels):
+    out = {}
+    for i, c in labels.items():
+        out.setdefault(c, set()).add(i)
+    return {frozenset(g) for g in out.values()}
+
+
+def test_ward_equals_brute_force(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (40, 3)) + rng.integers(0, 3, (40, 1))
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "k long, a double, b double, c double")
+    z = (x - x.mean(0)) / x.std(0)
+    for k in (2, 5):
+        got = {r["k"]: r["cluster"] for r in ward.ward(df, ["a", "b", "c"], ["k"], k=k).collect()}
+        assert _groups_of(got) == _brute_ward(z, k)
+        sizes = [sum(c == n for c in got.values()) for n in range(k)]
+        assert sizes == sorted(sizes, reverse=True)
+
+
+def _rand_index(a, b):
+    a, b = np.asarray(a), np.asarray(b)
+    same_a, same_b = a[:, None] == a[None], b[:, None] == b[None]
+    return (same_a == same_b)[np.triu_indices(len(a), 1)].mean()
+
+
+def test_ward_is_one_path_for_all_sizes(spark, monkeypatch):
+    """One row more, fewer entries, or several levels of blocks: nearly the
+    same clusters, and equal rows always share one."""
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(m, 0.6, (250, 2)) for m in ((0, 0), (4, 0), (0, 4), (5, 5))] + [np.full((1, 2), 2.0)])
+    x[300:700] = np.where(rng.random((400, 1)) < 0.7, x[300], x[300:700])  # a hot value
+
+    def run(n, **more):
+        df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x[:n])], "k long, a double, b double")
+        got = {r["k"]: r["cluster"] for r in ward.ward(df.repartition(5), ["a", "b"], ["k"], k=4, **more).collect()}
+        assert sorted(got) == list(range(n))
+        equal = {}
+        for i in range(n):
+            equal.setdefault(tuple(x[i]), set()).add(got[i])
+        assert all(len(c) == 1 for c in equal.values())
+        return [got[i] for i in range(n)]
+    exact = run(1000)
+    assert _rand_index(exact, run(1001)[:1000]) >= 0.95
+    assert _rand_index(exact, run(1000, entries=120)) >= 0.95
+    monkeypatch.setattr(ward, "FAN", 2)
+    assert _rand_index(exact, run(1000, entries=120)) >= 0.95
+
+
+def test_ward_edges(spark):
+    schema = "k long, a double, b double"
+    assert ward.ward(spark.createDataFrame([], schema), ["a", "b"], ["k"]).collect() == []
+    rows = [(1, 1.0, 2.0), (2, 1.0, 2.0), (3, None, 1.0), (4, float("nan"), 0.0), (5, 7.0, 2.0), (5, 7.0, 2.0)]
+    got = sorted((r["k"], r["cluster"]) for r in ward.ward(spark.createDataFrame(rows, schema), ["a", "b"], ["k"]).collect())
+    assert [k for k, _ in got] == [1, 2, 5, 5] and got[0][1] == got[1][1] != got[2][1] == got[3][1]
+
+
 def test_dbscan_hot_spot_adjacent_dense_cells(spark):
     # A third of the rows sit on two touching dense blobs plus spread points:
     # the grid path must agree with brute force without pairing the blobs.

@@ -37,7 +37,7 @@ def scale_stats(df: DataFrame, vec: Column, dims: int) -> tuple[list[float], lis
         x = vec[d]
         aggs += [F.avg(x).alias(f"m{d}"), F.stddev_pop(x).alias(f"s{d}")]
     row = df.agg(*aggs).first()
-    means = [row[f"m{d}"] for d in range(dims)]
+    means = [0.0 if row[f"m{d}"] is None else row[f"m{d}"] for d in range(dims)]
     stds = [row[f"s{d}"] or 1.0 for d in range(dims)]
     stds = [s if s != 0 else 1.0 for s in stds]
     return means, stds
