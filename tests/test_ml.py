@@ -206,6 +206,33 @@ def test_dbscan_hot_spot_adjacent_dense_cells(spark):
     assert [got[i] for i in range(len(x))] == list(_brute_dbscan(z, 0.2, 8))
 
 
+@pytest.mark.parametrize("dims", [2, 5])
+def test_dbscan_dense_clump_against_brute_force(spark, dims):
+    """A clump of near and equal points beside spread ones, with sparse cores,
+    border points and noise; blocks and units are cut many times."""
+    rng = np.random.default_rng(dims)
+    clump = rng.normal(0, 0.02, (400, dims))
+    clump[:200] = clump[0]
+    x = np.vstack([clump, rng.normal(0.8, 0.15, (80, dims)), rng.uniform(-2, 2, (150, dims)), clump[:1] + 0.3])
+    cols = [f"c{j}" for j in range(dims)]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], ["k", *cols])
+    z = (x - x.mean(0)) / x.std(0)
+    for eps, few in ((0.35, 6), (0.9, 150)):
+        out = {r["k"]: r for r in dbscan.dbscan(df, cols, ["k"], eps=eps, min_samples=few).collect()}
+        want = _brute_dbscan(z, eps, few)
+        assert [out[i]["cluster"] for i in range(len(x))] == list(want)
+        near = (np.sqrt(((z[:, None] - z[None]) ** 2).sum(-1)) <= eps).sum(1)
+        assert [out[i]["is_core"] for i in range(len(x))] == list(near >= few)
+
+
+def test_dbscan_edges(spark):
+    schema = "k long, a double, b double"
+    assert dbscan.dbscan(spark.createDataFrame([], schema), ["a", "b"], ["k"], 0.5, 3).collect() == []
+    rows = [(1, 1.0, 2.0)] * 4 + [(2, None, 1.0), (3, 9.0, 2.0)]
+    got = sorted((r["k"], r["cluster"]) for r in dbscan.dbscan(spark.createDataFrame(rows, schema), ["a", "b"], ["k"], 0.3, 3).collect())
+    assert got == [(1, 0)] * 4 + [(3, -1)]
+
+
 def test_components_paths_agree(spark):
     nodes = spark.createDataFrame([(i,) for i in range(12)], "node long")
     pairs = [(0, 1), (1, 2), (2, 5), (7, 8), (9, 10), (10, 11), (11, 9)]

@@ -146,6 +146,28 @@ def ml_dbscan(spark, sf_dir):
                          eps=0.3, min_samples=10)
 
 
+# Core and noise flags with the automatic parameters: every pair of rows, as SQL.
+DBSCAN_AUTO_SQL = (
+    "WITH s AS (SELECT avg(c_acctbal) AS m1, stddev_pop(c_acctbal) AS s1, avg(c_nationkey) AS m2,"
+    " stddev_pop(c_nationkey) AS s2, count(*) AS n FROM customer),"
+    " z AS (SELECT c_custkey AS k, (c_acctbal - m1) / s1 AS x, (c_nationkey - m2) / s2 AS y FROM customer, s),"
+    " p AS (SELECT a.k AS a, b.k AS b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM z a, z b),"
+    " kth AS (SELECT a, sqrt(d2) AS d FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY d2) = 5),"
+    " e AS (SELECT greatest(0.3, quantile_cont(d, 0.9)) AS eps FROM kth),"
+    " near AS (SELECT a, b FROM p, e WHERE d2 <= eps * eps),"
+    " c AS (SELECT a FROM near GROUP BY a HAVING count(*) >= (SELECT greatest(3, n // 20) FROM s)),"
+    " reached AS (SELECT DISTINCT b AS k FROM near JOIN c USING (a))"
+    " SELECT c_custkey, c_custkey IN (SELECT a FROM c) AS is_core, c_custkey NOT IN (SELECT k FROM reached) AS is_noise"
+    " FROM customer")
+
+
+@register("ml_dbscan_auto", "ML-10", DBSCAN_AUTO_SQL)
+def ml_dbscan_auto(spark, sf_dir):
+    """eps and min_samples chosen from the data, as the reference does."""
+    out = dbscan.dbscan(table(spark, sf_dir, "customer"), ["c_acctbal", "c_nationkey"], ["c_custkey"])
+    return out.select("c_custkey", "is_core", (F.col("cluster") == -1).alias("is_noise"))
+
+
 @register("ml_ward", "ML-11")
 def ml_ward(spark, sf_dir):
     return ward.ward(table(spark, sf_dir, "customer"), ["c_acctbal", "c_nationkey"], ["c_custkey"], k=3)
