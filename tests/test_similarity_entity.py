@@ -55,3 +55,54 @@ def test_profile_keys_matches_all_rows_profile(patients):
         for f in ("value", "percentile", "mean", "median", "std", "z_score"):
             assert a[k][f] == pytest.approx(b[k][f])
         assert (a[k]["is_outlier"], a[k]["direction"]) == (b[k]["is_outlier"], b[k]["direction"])
+
+
+def _brute_nearest(data, queries, k):
+    """[(query, rank, key, distance)], ties by key."""
+    z = {i: v for i, v in data if v is not None and not any(x is None for x in v)}
+    out = []
+    for q, point in enumerate(queries):
+        order = sorted((sum((a - b) ** 2 for a, b in zip(v, point)) ** 0.5, i) for i, v in z.items())
+        out += [(q, r + 1, i, round(d, 9)) for r, (d, i) in enumerate(order[:k])]
+    return out
+
+
+def test_nearest_equals_brute_force_whatever_the_blocks(spark, monkeypatch):
+    """Equal rows, ties at the last place, missing coordinates; one plan and one
+    result for one block of queries or many, and for merges over several levels."""
+    import random
+    rng = random.Random(2)
+    data = [(i, [float(rng.randint(0, 3)), float(rng.randint(0, 3))]) for i in range(300)]
+    data += [(300 + i, [1.0, 1.0]) for i in range(150)] + [(900, None), (901, [None, 1.0])]
+    queries = [[float(rng.randint(0, 3)), rng.random()] for _ in range(23)]
+    df = spark.createDataFrame(data, "k long, z array<double>").repartition(7)
+    want = _brute_nearest(data, queries, 4)
+
+    def run():
+        out = similarity.nearest(df, F.col("z"), queries, ["k"], 4)
+        return sorted((r["query"], r["rank"], r["k"], round(r["distance"], 9)) for r in out.collect())
+    assert run() == want
+    for name, value in (("QUERY_CELLS", 10), ("DISTANCES", 50), ("FAN", 2)):
+        monkeypatch.setattr(similarity, name, value)
+        assert run() == want
+    table = spark.createDataFrame([(f"q{i:02}", *map(float, q)) for i, q in enumerate(queries)], "name string, a double, b double")
+    flat = df.where("z IS NOT NULL").selectExpr("k", "z[0] AS a", "z[1] AS b")
+    out = similarity.nearest_to_table(flat, ["a", "b"], ["k"], table, ["name"], 4, with_values=True).collect()
+    assert len(out) == 23 * 4 and {r["name"] for r in out} == {f"q{i:02}" for i in range(23)}
+    values = {i: v for i, v in data}
+    assert all([r["a"], r["b"]] == values[r["k"]] for r in out)
+
+
+def test_nearest_sorts_nothing_before_the_limit(spark):
+    df = spark.range(1000).selectExpr("id AS k", "array(double(id), double(id % 7)) AS z")
+    plan = similarity.nearest(df, F.col("z"), [[1.0, 2.0]], ["k"], 3)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("MapInArrow"):]
+    assert "Sort" not in below and "Window" not in plan and "NestedLoop" not in plan
+
+
+def test_nearest_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "k long, a double, b double")
+    assert similarity.nearest(df, F.array("a", "b"), [[1.0, 2.0]], ["k"], 3).collect() == []
+    queries = spark.createDataFrame([], "name string, a double, b double")
+    some = spark.createDataFrame([(1, 1.0, 2.0)], "k long, a double, b double")
+    assert similarity.nearest_to_table(some, ["a", "b"], ["k"], queries, ["name"]).collect() == []

@@ -1,28 +1,39 @@
 """Similarity: standardise, k nearest rows to query points, cohort comparison
 (SIM-1..3) and similar rows with self excluded (PAT-5).
 
-Query points are a bounded set (checked); they travel as a literal array in
-the projection, so each row computes its distance to every query in one
-map-only step -- no join, no all-pairs table.  ``row_number() <= k`` per
-query is planned as a WindowGroupLimit, which keeps only k rows per query in
-every map task before the shuffle.
+Nearest rows are a block join: query points go round in blocks of at most
+``QUERY_CELLS`` numbers, each task compares its Arrow batches with the block
+in NumPy and keeps the k nearest rows per query, so it writes at most k rows
+per query however many rows it read.  These bounded lists are merged in
+groups of ``FAN`` tasks until one is left per query.  The query set may be a
+list or a table of any size; no row meets a sort before the k nearest of its
+task are known.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.columns import complete_rows, nan_to_null, qcol, require_numeric
 from ..plans.aggregates import bounded_rows
+from ..plans.ordered import ordered_prefix
+from ..session import cut_lineage
 
 SIMILARITY_SCALE = 15        # fixed: similarity % = max(0, 100 - 15 * distance)
 DEFAULT_K = 5
 SELF_EXCLUDED_K = 4          # fixed: PAT-5 keeps 4 neighbours
-MAX_QUERY_CELLS = 2_000_000  # queries x dimensions carried as a literal
-MAX_UNROLLED_TERMS = 256     # beyond this the unrolled distance outgrows codegen
+QUERY_CELLS = 1 << 20         # queries x dimensions that go to the tasks at once (8 MB)
+DISTANCES = 1 << 22          # distances a task holds at once
+FAN = 256                    # lists of k nearest merged together
 
 
 def _as_vector(cols: Sequence[str]) -> Column:
@@ -50,52 +61,136 @@ def standardise(vec: Column, means: Sequence[float], stds: Sequence[float]) -> C
     return F.zip_with(F.zip_with(vec, m, lambda x, a: x - a), s, lambda x, b: x / b)
 
 
-def _distances(z: Column | Sequence[Column], queries: Sequence[Sequence[float]]) -> Column:
-    """Array of Euclidean distances to each query point.  With one Column
-    per dimension the whole expression is plain arithmetic and stays inside
-    whole-stage codegen (lambda functions would not)."""
-    if isinstance(z, Column):
-        q = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in queries])
-        return F.transform(q, lambda qv: F.sqrt(F.aggregate(
-            F.zip_with(z, qv, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)))
-    dims = list(z)
-    out = []
-    for row in queries:
-        total = None
-        for zc, qv in zip(dims, row):
-            diff = zc - F.lit(float(qv))
-            total = diff * diff if total is None else total + diff * diff
-        out.append(F.sqrt(total))
-    return F.array(*out)
-
-
 def standardised_dims(values: Sequence[Column], means: Sequence[float], stds: Sequence[float]) -> list[Column]:
     """(x_j - mean_j) / std_j as one Column per dimension."""
     return [(v - F.lit(float(m))) / F.lit(float(sd)) for v, m, sd in zip(values, means, stds)]
 
 
+def _first_k(rows: pa.Table, keys: Sequence[str], k: int) -> pa.Table:
+    """The k nearest rows of each query, by distance, then key (nulls first)."""
+    order = [("query", "ascending"), ("distance", "ascending"), *[(c, "ascending") for c in keys]]
+    rows = rows.take(pc.sort_indices(rows, sort_keys=order, null_placement="at_start"))
+    query = rows["query"].to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]])) if len(query) else np.zeros(0, np.int64)
+    rank = np.arange(len(query)) - np.repeat(starts, np.diff(np.append(starts, len(query))))
+    return rows.filter(pa.array(rank < k))
+
+
+def _candidates(z: np.ndarray, points: np.ndarray, own: dict[int, list[int]], k: int):
+    """(query, row, distance) of at least the k nearest rows of each query,
+    all rows at the k-th distance included."""
+    step = max(1, DISTANCES // max(len(z), 1))
+    for lo in range(0, len(points), step):
+        some = points[lo:lo + step]
+        square = np.zeros((len(some), len(z)))
+        for j in range(z.shape[1]):
+            gap = some[:, j, None] - z[None, :, j]
+            square += gap * gap
+        for row, queries in own.items():
+            square[[q - lo for q in queries if lo <= q < lo + len(some)], row] = np.inf
+        kth = np.partition(square, min(k, len(z)) - 1, axis=1)[:, min(k, len(z)) - 1]
+        q, row = np.nonzero((square <= kth[:, None]) & np.isfinite(square))
+        yield q + lo, row, np.sqrt(square[q, row])
+
+
+def _nearest_of_task(points: np.ndarray, base: int, own: dict, keys: Sequence[str], schema: pa.Schema, k: int):
+    """The k nearest rows of a task's batches to every query of a block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, best = TaskContext.get().partitionId(), None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            z = np.asarray(b.column("_z").flatten()).reshape(b.num_rows, -1)
+            mine = {}
+            if own:
+                for i, key in enumerate(zip(*(b.column(c).to_pylist() for c in keys))):
+                    if key in own:
+                        mine[i] = own[key]
+            rows = pa.Table.from_batches([b.drop_columns(["_z"])])
+            for q, row, distance in _candidates(z, points, mine, k):
+                found = rows.take(pa.array(row))
+                for name, v in (("part", np.full(len(q), part, np.int32)), ("distance", distance),
+                                ("query", (q + base).astype(np.int32))):
+                    found = found.add_column(0, name, pa.array(v))
+                found = found.cast(schema)
+                best = _first_k(found if best is None else pa.concat_tables([best, found]), keys, k)
+        if best is not None:
+            yield from best.to_batches()
+    return run
+
+
+def _nearest_block(rows: DataFrame, points: np.ndarray, base: int, own: dict, keys: Sequence[str], k: int) -> DataFrame:
+    fields = [f for f in rows.schema.fields if f.name != "_z"]
+    schema = T.StructType([T.StructField("query", T.IntegerType()), T.StructField("distance", T.DoubleType()),
+                           T.StructField("part", T.IntegerType()), *fields])
+    found = rows.mapInArrow(_nearest_of_task(points, base, own, keys, to_arrow_schema(schema), k), schema)
+    tasks = rows.rdd.getNumPartitions()
+    while tasks > FAN:
+        found = found.withColumn("part", F.floor(F.col("part") / FAN).cast("int"))
+        found = found.groupBy("query", "part").applyInArrow(lambda t: _first_k(t, keys, k), schema)
+        tasks = -(-tasks // FAN)
+
+    def ranked(t: pa.Table) -> pa.Table:
+        t = _first_k(t, keys, k)
+        return t.set_column(t.schema.get_field_index("part"), "part", pa.array(range(1, t.num_rows + 1), pa.int32()))
+    return found.groupBy("query").applyInArrow(ranked, schema).withColumnRenamed("part", "rank")
+
+
 def nearest(df: DataFrame, z: Column | Sequence[Column], queries: Sequence[Sequence[float]], key_cols: Sequence[str],
-            k: int, exclude_keys: Sequence[tuple] | None = None, value_cols: Sequence[str] = ()) -> DataFrame:
+            k: int, exclude_keys: Sequence[tuple] | None = None, value_cols: Sequence[str] = (),
+            first_query: int = 0) -> DataFrame:
     """k nearest rows to each query point: (query, rank, key..., distance,
-    similarity_pct, value_cols...).  Ties break on the key."""
-    if len(queries) * max(len(queries[0]) if queries else 1, 1) > MAX_QUERY_CELLS:
-        raise ValueError("too many query points for a literal broadcast; split the query set")
-    dist = df.select(*[qcol(c) for c in dict.fromkeys([*key_cols, *value_cols])], F.posexplode(_distances(z, queries)).alias("query", "distance"))
-    if exclude_keys is not None:
-        own = F.lit(False)
-        for qi, key in enumerate(exclude_keys):
-            same = F.col("query") == qi
-            for c, v in zip(key_cols, key):
-                same = same & (qcol(c) == F.lit(v))
-            own = own | same
-        dist = dist.where(~own)
-    w = Window.partitionBy("query").orderBy("distance", *[qcol(c) for c in key_cols])
-    top = dist.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return top.select("query", "rank", *key_cols, "distance",
+    similarity_pct, value_cols...).  Ties break on the key; rows with a missing
+    coordinate are nobody's neighbours."""
+    vector = z if isinstance(z, Column) else F.array(*z)
+    names = list(dict.fromkeys([*key_cols, *value_cols]))
+    rows = df.select(*[qcol(c) for c in names], vector.cast("array<double>").alias("_z")).where(
+        F.col("_z").isNotNull() & ~F.exists("_z", lambda v: v.isNull() | F.isnan(v)))
+    points = np.asarray(queries, float).reshape(len(queries), -1 if len(queries) else 1)
+    step, found = max(1, QUERY_CELLS // max(points.shape[1], 1)), []
+    for lo in range(0, max(len(points), 1), step):
+        own: dict[tuple, list[int]] = {}
+        for q, key in enumerate((exclude_keys or [])[lo:lo + step]):
+            own.setdefault(tuple(key), []).append(q)
+        found.append(_nearest_block(rows, points[lo:lo + step], first_query + lo, own, list(key_cols), k))
+    top = found[0]
+    for more in found[1:]:
+        top = top.unionByName(more)
+    return top.select("query", "rank", *[qcol(c) for c in key_cols], "distance",
                       F.greatest(F.lit(0.0), 100 - F.col("distance") * SIMILARITY_SCALE).alias("similarity_pct"),
                       *[F.round(qcol(c).cast("double"), 3).alias(c) for c in value_cols if c not in key_cols])
 
 
+def nearest_to_table(df: DataFrame, feature_cols: Sequence[str], key_cols: Sequence[str], queries: DataFrame,
+                     query_cols: Sequence[str], k: int = DEFAULT_K, with_values: bool = False) -> DataFrame:
+    """SIM-2 for a table of queries of any size: (query_cols..., rank, key...,
+    distance, similarity_pct, value_cols...).  ``queries`` has the feature
+    columns (missing: the column mean of df) and names its rows by
+    ``query_cols``, whose names must not be those of ``key_cols``.  Its rows
+    pass the driver in blocks of ``QUERY_CELLS`` numbers, each written before
+    the next one starts."""
+    cols = require_numeric(df, feature_cols, "A")
+    work = complete_rows(df, cols)
+    means, stds = scale_stats(work, _as_vector(cols), len(cols))
+    dims = standardised_dims([qcol(c).cast("double") for c in cols], means, stds)
+    q = nan_to_null(queries, cols)
+    q = q.select(*[qcol(c) for c in query_cols], F.array(*[
+        (F.coalesce(qcol(c).cast("double"), F.lit(float(m))) - F.lit(float(m))) / F.lit(float(s))
+        for c, m, s in zip(cols, means, stds)]).alias("_q"))
+    numbered = cut_lineage(ordered_prefix(q, list(query_cols), [], index_name="_at"))
+    total, step, found = numbered.count(), max(1, QUERY_CELLS // max(len(cols), 1)), []
+    for lo in range(0, max(total, 1), step):
+        block = numbered.where((F.col("_at") >= lo) & (F.col("_at") < lo + step)).orderBy("_at").select("_q").toArrow()
+        points = np.asarray(block["_q"].combine_chunks().flatten()).reshape(block.num_rows, len(cols))
+        part = nearest(work, dims, points, key_cols, k, value_cols=cols if with_values else (), first_query=lo)
+        found.append(part if total <= step else cut_lineage(part))
+    top = found[0]
+    for more in found[1:]:
+        top = top.unionByName(more)
+    return numbered.select("_at", *[qcol(c) for c in query_cols]).join(
+        top.withColumnRenamed("query", "_at"), "_at").drop("_at")
+
+
 def find_similar(df: DataFrame, feature_cols: Sequence[str], key_cols: Sequence[str],
                  query_values: Sequence[dict], n_similar: int = DEFAULT_K,
                  with_values: bool = False) -> tuple[DataFrame, list[str]]:
@@ -148,11 +243,7 @@ def nearest_vectors(df: DataFrame, vec_col: str, key_cols: Sequence[str], raw_qu
     vec = qcol(vec_col).cast("array<double>")
     means, stds = scale_stats(df, vec, dims)
     queries = [[(q[d] - means[d]) / stds[d] for d in range(dims)] for q in raw_queries]
-    if len(queries) * dims <= MAX_UNROLLED_TERMS:
-        z = standardised_dims([vec[d] for d in range(dims)], means, stds)
-    else:  # too many terms for one generated method: array functions instead
-        z = standardise(vec, means, stds)
-    return nearest(df, z, queries, key_cols, k)
+    return nearest(df, standardise(vec, means, stds), queries, key_cols, k)
 
 
 def similar_rows(df: DataFrame, feature_cols: Sequence[str], key_cols: Sequence[str], query_keys: Sequence[tuple],

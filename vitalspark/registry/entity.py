@@ -138,6 +138,30 @@ def similar_rows(spark, sf_dir):
                       r4(F.col("similarity_pct")).alias("similarity_pct"), *LINEITEM_NUM)
 
 
+SIM_TABLE_SQL = (
+    "WITH d AS (SELECT s_suppkey, s_acctbal AS x, CAST(s_nationkey AS DOUBLE) AS y FROM supplier),"
+    " st AS (SELECT avg(x) AS mx, coalesce(nullif(stddev_pop(x), 0), 1) AS sx, avg(y) AS my,"
+    " coalesce(nullif(stddev_pop(y), 0), 1) AS sy FROM d),"
+    " q AS (SELECT c_custkey, c_acctbal AS qx, CAST(c_nationkey AS DOUBLE) AS qy FROM customer),"
+    " dd AS (SELECT c_custkey, s_suppkey, x, y, sqrt(((x - mx) / sx - (qx - mx) / sx) * ((x - mx) / sx - (qx - mx) / sx)"
+    " + ((y - my) / sy - (qy - my) / sy) * ((y - my) / sy - (qy - my) / sy)) AS distance FROM d, q, st),"
+    " top AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY distance, s_suppkey) AS rank FROM dd)"
+    " SELECT c_custkey, CAST(rank AS INTEGER) AS rank, s_suppkey, round(distance, 4) AS distance,"
+    " round(greatest(0.0, 100 - distance * 15), 4) AS similarity_pct, round(x, 3) AS acctbal, round(y, 3) AS nationkey"
+    " FROM top WHERE rank <= 3")
+
+
+@register("similar_table", "SIM-1 SIM-2", SIM_TABLE_SQL)
+def similar_table(spark, sf_dir):
+    """For every customer the three nearest suppliers, with their values: a
+    query table against a data table."""
+    suppliers = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "s_acctbal AS acctbal", "s_nationkey AS nationkey")
+    customers = table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_acctbal AS acctbal", "c_nationkey AS nationkey")
+    out = similarity.nearest_to_table(suppliers, ["acctbal", "nationkey"], ["s_suppkey"], customers, ["c_custkey"], 3, True)
+    return out.select("c_custkey", "rank", "s_suppkey", r4(F.col("distance")).alias("distance"),
+                      r4(F.col("similarity_pct")).alias("similarity_pct"), "acctbal", "nationkey")
+
+
 def _cohort_sql() -> str:
     parts = []
     for i, c in enumerate(LINEITEM_NUM):

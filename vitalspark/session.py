@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,12 +67,49 @@ def ensure_worker_path(spark: SparkSession) -> None:
     spark.sparkContext.environment.setdefault("PYTHONPATH", root)
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end of the block and also when it fails, every table that
+    operators wrote to the shared folder inside it.  Write or collect the
+    result within the block: a lazy result still reads those tables."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            remove_tree(spark, path)
+
+
+def remove_tree(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def scratch_table(spark: SparkSession, what: str) -> str:
+    """A new folder name below the shared checkpoint folder."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder.
+    """The rows written to the shared checkpoint folder and read again.
 
-    Used where a physical property (range-partition id) must stay fixed
-    between two uses of the same rows and where a recomputation after an
-    executor loss would otherwise replay a long plan.
+    Used where values that depend on the partitioning (range-partition ids)
+    must stay fixed between two uses of the same rows, and where a
+    recomputation after an executor loss would otherwise replay a long plan.
+    A checkpoint would compute the rows twice and tell the planner no size;
+    it is used for the types that Parquet does not hold.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    if any(t in kind for _, kind in df.dtypes for t in ("void", "interval", "variant")):
+        ensure_checkpoint_dir(spark)
+        return df.checkpoint(eager=True)
+    path = scratch_table(spark, "rows")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
