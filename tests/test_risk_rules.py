@@ -135,11 +135,54 @@ def test_rule_table_path_matches_inline(patients):
              rules.evaluate_rules_table(patients, rules.rules_frame(patients.sparkSession, rs, patients.columns))
              .collect()}
     assert inline == table and len(inline) == len(rs)
-    many = rs * 12   # beyond the inline limit: same answers through the table path
+    many = rs * 12
     big = rules.evaluate_rules(patients, many).collect()
     assert len(big) == len(many) and {r["rule_id"] % len(rs): r["n_triggered"] for r in big} == inline
 
 
+def _brute_rules(values, rs, k):
+    import operator as o
+    ops = {">": o.gt, "<": o.lt, ">=": o.ge, "<=": o.le, "==": o.eq, "!=": o.ne}
+    out = {}
+    for i, r in enumerate(rs):
+        hits = [key for key, v in sorted(values[r["column"]]) if v is not None and ops[r["operator"]](v, r["value"])]
+        out[i] = (len(hits), hits[:k])
+    return out
+
+
+@pytest.mark.parametrize("n_rules", [1, 60, 3000])
+def test_threshold_index_equals_comparing_every_row(spark, monkeypatch, n_rules):
+    """Any number of rules, thresholds in one block or several, places merged
+    in one group or many; a hot value, nulls and a column without values."""
+    import random
+    rng = random.Random(n_rules)
+    rows = [(i, float(rng.randint(0, 40)) if i % 3 else 7.0, None if rng.random() < 0.2 else rng.random() * 10, None)
+            for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, a double, b double, c double").repartition(5)
+    rs = [{"column": rng.choice("abc"), "operator": rng.choice(rules.OPERATORS), "value": float(rng.randint(-2, 43))}
+          for _ in range(n_rules)]
+    values = {c: [(r[0], r[j]) for r in rows] for j, c in ((1, "a"), (2, "b"), (3, "c"))}
+    want = _brute_rules(values, rs, 4)
+    for blocks in ((1 << 20, 4096), (17, 5)):
+        monkeypatch.setattr(rules, "THRESHOLDS", blocks[0])
+        monkeypatch.setattr(rules, "PLACES", blocks[1])
+        got = {r["rule_id"]: r for r in rules.evaluate_rules(df, rs).collect()}
+        assert {i: r["n_triggered"] for i, r in got.items()} == {i: n for i, (n, _) in want.items()}
+        assert all(r["n_total"] == sum(v is not None for _, v in values[r["column"]]) for r in got.values())
+        first = {}
+        for r in rules.triggered_rows(df, rs, ["k"], 4).orderBy("rule_id", "rank").collect():
+            first.setdefault(r["rule_id"], []).append(r["k"])
+        assert first == {i: keys for i, (_, keys) in want.items() if keys}
+
+
+def test_rules_have_one_plan_for_any_number(patients):
+    def shape(n):
+        rs = [{"column": "age", "operator": ">", "value": float(v)} for v in range(n)]
+        plan = rules.evaluate_rules(patients, rs)._jdf.queryExecution().optimizedPlan().toString()
+        return [line.split("(")[0].strip(" +-:").split(" ")[0] for line in plan.splitlines()]
+    assert shape(1) == shape(1000)
+
+
 def test_change_alerts_per_entity(spark):
     from pyspark.sql import functions as F
     rows = [(u, i, 10.0 if (u == 1 and i >= 40) else 1.0) for u in (1, 2) for i in range(50)] + [(3, 0, 5.0)]

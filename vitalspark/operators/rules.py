@@ -1,22 +1,33 @@
 """Alert rules (RUL-1..4) and dataset comparison (CMP-1, CMP-2).
 
-All rules are evaluated in ONE scan: each rule is a ``count_if`` in a single
-aggregate, so a rule set costs the same as one rule.  Triggered row keys come
-from a WindowGroupLimit (top 10 per rule, limited on the map side first).
+Rules are evaluated by a threshold index, one plan for one rule or a million:
+the distinct values that rules compare a column with are sorted, a binary
+search gives each row's place among them (below, at or above each one), tasks
+add up a histogram of places, and its running sums answer every rule of every
+operator.  The first rows of a rule come from bounded lists per place, merged
+along the places the rule covers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.columns import qcol, to_double
-from ..plans.aggregates import wide_to_long
+from ..plans.aggregates import bounded_rows, wide_to_long
+from ..plans.topk import first_k
 
 OPERATORS = (">", "<", ">=", "<=", "==", "!=")
 TRIGGERED_ROWS = 10
+THRESHOLDS = 1 << 20   # distinct rule values that go to the tasks at once (8 MB)
+PLACES = 4096          # places whose lists of first rows are merged together
 
 # Rule templates suggested by column-name pattern
 # (pattern, operator, value, severity, action), in the reference's order.
@@ -73,49 +84,77 @@ def normalise_rules(df: DataFrame, rules: Sequence[Mapping]) -> list[dict]:
 
 def evaluate_rules(df: DataFrame, rules: Sequence[Mapping]) -> DataFrame:
     """RUL-1: per rule the triggered count over the coerced non-null values,
-    their count, share, status and the column mean/max.  One aggregate."""
-    rs = normalise_rules(df, rules)
-    spark = df.sparkSession
-    if not rs:
-        return spark.createDataFrame([], RULE_SCHEMA + ", n_triggered long, n_total long, percent double, "
-                                     "status string, col_mean double, col_max double")
-    if len(rs) > INLINE_RULES:
-        return evaluate_rules_table(df, rules_frame(spark, rules, df.columns))
-    cols = sorted({r["column"] for r in rs}, key=df.columns.index)
-    num = {c: to_double(c) for c in cols}
-    aggs = []
-    for j, c in enumerate(cols):
-        aggs += [F.count(num[c]).alias(f"n{j}"), F.avg(num[c]).alias(f"m{j}"), F.max(num[c]).alias(f"x{j}")]
-    for r in rs:
-        aggs.append(F.count_if(compare(num[r["column"]], r["operator"], r["value"])).alias(f"t{r['rule_id']}"))
-    wide = df.agg(*aggs)
-    rows = []
-    for r in rs:
-        j = cols.index(r["column"])
-        t, n = F.col(f"t{r['rule_id']}"), F.col(f"n{j}")
-        rows.append({
-            "rule_id": F.lit(r["rule_id"]), "name": F.lit(r["name"]), "column": F.lit(r["column"]),
-            "operator": F.lit(r["operator"]), "value": F.lit(r["value"]), "severity": F.lit(r["severity"]),
-            "action": F.lit(r["action"]), "n_triggered": t.cast("long"), "n_total": n.cast("long"),
-            "percent": F.when(n > 0, t / n * 100).otherwise(F.lit(0.0)),
-            "status": F.when(t > 0, "TRIGGERED").otherwise("CLEAR"),
-            "col_mean": F.col(f"m{j}"), "col_max": F.col(f"x{j}")})
-    return wide_to_long(wide, rows)
-
-
-# Above this many rules one aggregate with a count_if per rule outgrows code
-# generation; the rules then travel as a table.
-INLINE_RULES = 200
-
-
-def evaluate_rules_table(df: DataFrame, rules_df: DataFrame, max_rules: int = 1_000_000) -> DataFrame:
-    """RUL-1 for rule sets that are data (hundreds to millions of rules):
-    ``rules_df`` has rule_id, name, column, operator, value, severity,
-    action.  Values are unpivoted per referenced column, joined with the
-    rules of that column (broadcast behind a size check) and compared by
-    operator; one aggregation per rule."""
-    from ..plans.aggregates import bounded_rows, broadcast_if_small
-    cols = [r["column"] for r in bounded_rows(rules_df.select("column").distinct(), 100_000)
+    their count, share, status and the column mean/max."""
+    return evaluate_rules_table(df, rules_frame(df.sparkSession, rules, df.columns))
+
+
+def _place(values: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
+    """2 j for a value between thresholds j - 1 and j, 2 j + 1 for one equal
+    to threshold j."""
+    at = np.searchsorted(thresholds, values)
+    equal = np.zeros(len(values), bool)
+    inside = at < len(thresholds)
+    equal[inside] = thresholds[at[inside]] == values[inside]
+    return 2 * at + equal
+
+
+def _histogram(thresholds: dict[str, np.ndarray]):
+    """(column, place, n) of a task's rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = [np.zeros(2 * len(t) + 1, np.int64) for t in thresholds.values()]
+        for b in batches:
+            for i, t in enumerate(thresholds.values()):
+                v = b.column(f"v{i}").drop_null().to_numpy(zero_copy_only=False)
+                counts[i] += np.bincount(_place(v, t), minlength=len(counts[i]))
+        for name, n in zip(thresholds, counts):
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()),
+                                              pa.array(n[at])], names=["column", "place", "n"])
+    return run
+
+
+def _below(thresholds: dict[str, np.ndarray]):
+    """(column, value, below, equal) of every threshold, by running sums."""
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        name = key[0].as_py()
+        values = thresholds[name]
+        n = np.zeros(2 * len(values) + 1, np.int64)
+        n[t["place"].to_numpy()] = t["n"].to_numpy()
+        return pa.table({"column": pa.array([name] * len(values), pa.string()), "value": pa.array(values),
+                         "below": pa.array(np.cumsum(n)[0:-1:2]), "equal": pa.array(n[1::2])})
+    return run
+
+
+def _threshold_blocks(rules_df: DataFrame) -> Iterator[dict[str, np.ndarray]]:
+    """The distinct (column, value) of the rules in order, ``THRESHOLDS`` at a time."""
+    distinct, last = rules_df.select("column", F.col("value").cast("double").alias("value")).where(
+        F.col("value").isNotNull()).distinct(), None
+    while True:
+        rest = distinct
+        if last is not None:
+            rest = distinct.where((F.col("column") > last[0]) | ((F.col("column") == last[0]) & (F.col("value") > last[1])))
+        block = rest.orderBy("column", "value").limit(THRESHOLDS).toArrow()
+        names, values = np.array(block["column"].to_pylist(), object), block["value"].to_numpy()
+        if len(values):
+            yield {c: values[names == c] for c in dict.fromkeys(names)}
+            last = names[-1], float(values[-1])
+        if len(values) < THRESHOLDS:
+            return
+
+
+def _threshold_counts(df: DataFrame, thresholds: dict[str, np.ndarray]) -> DataFrame:
+    """(column, value, below, equal): non-null values below and at each threshold."""
+    values = df.select(*[to_double(c).alias(f"v{i}") for i, c in enumerate(thresholds)])
+    places = values.mapInArrow(_histogram(thresholds), "column string, place int, n long")
+    return places.groupBy("column", "place").agg(F.sum("n").alias("n")).groupBy("column").applyInArrow(
+        _below(thresholds), "column string, value double, below long, equal long")
+
+
+def evaluate_rules_table(df: DataFrame, rules_df: DataFrame) -> DataFrame:
+    """RUL-1 for rules that are data: ``rules_df`` has rule_id, name, column,
+    operator, value, severity, action; rules on unknown columns are left out.
+    Their thresholds pass the driver in blocks of ``THRESHOLDS``."""
+    cols = [r["column"] for r in bounded_rows(rules_df.select("column").distinct().orderBy("column"))
             if r["column"] in df.columns]
     spark = df.sparkSession
     bad = rules_df.where(~F.col("operator").isin(*OPERATORS)).limit(1).collect()
@@ -124,21 +163,25 @@ def evaluate_rules_table(df: DataFrame, rules_df: DataFrame, max_rules: int = 1_
     if not cols:
         return spark.createDataFrame([], RULE_SCHEMA + ", n_triggered long, n_total long, percent double, "
                                      "status string, col_mean double, col_max double")
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), to_double(c).alias("v"))
-                                         for c in cols])).alias("_u")).select("_u.*").where(F.col("v").isNotNull())
-    stats = long.groupBy("column").agg(F.count(F.lit(1)).alias("n_total"), F.avg("v").alias("col_mean"),
-                                       F.max("v").alias("col_max"))
-    rules_small = broadcast_if_small(rules_df.where(F.col("column").isin(*cols)), max_rules)
-    v, t, op = F.col("v"), F.col("value"), F.col("operator")
-    hit = (F.when(op == ">", v > t).when(op == "<", v < t).when(op == ">=", v >= t).when(op == "<=", v <= t)
-           .when(op == "==", v == t).otherwise(v != t))
-    counts = long.join(rules_small, "column").groupBy("rule_id").agg(F.count_if(hit).alias("n_triggered"))
-    out = rules_small.join(counts, "rule_id", "left").join(F.broadcast(stats), "column", "left") \
-        .withColumn("n_triggered", F.coalesce("n_triggered", F.lit(0)).cast("long")) \
-        .withColumn("n_total", F.coalesce("n_total", F.lit(0)).cast("long"))
-    n = F.col("n_total")
-    return out.select("rule_id", "name", "column", "operator", F.col("value").cast("double").alias("value"),
-                      "severity", "action", "n_triggered", "n_total",
+    known = rules_df.where(F.col("column").isin(*cols)).withColumn("value", F.col("value").cast("double"))
+    counts = None
+    for block in _threshold_blocks(known):
+        found = _threshold_counts(df, block)
+        counts = found if counts is None else counts.unionByName(found)
+    if counts is None:
+        counts = spark.createDataFrame([], "column string, value double, below long, equal long")
+    aggs = []
+    for j, c in enumerate(cols):
+        v = to_double(c)
+        aggs += [F.count(v).alias(f"n{j}"), F.avg(v).alias(f"m{j}"), F.max(v).alias(f"x{j}")]
+    stats = wide_to_long(df.agg(*aggs), [{"column": F.lit(c), "n_total": F.col(f"n{j}"), "col_mean": F.col(f"m{j}"),
+                                          "col_max": F.col(f"x{j}")} for j, c in enumerate(cols)])
+    out = known.join(counts, ["column", "value"], "left").join(F.broadcast(stats), "column", "left")
+    op, n, below, equal = F.col("operator"), F.col("n_total"), F.col("below"), F.col("equal")
+    hits = (F.when(op == ">", n - below - equal).when(op == "<", below).when(op == ">=", n - below)
+            .when(op == "<=", below + equal).when(op == "==", equal).otherwise(n - equal))
+    out = out.withColumn("n_triggered", F.coalesce(hits, F.lit(0)).cast("long"))
+    return out.select("rule_id", "name", "column", "operator", "value", "severity", "action", "n_triggered", "n_total",
                       F.when(n > 0, F.col("n_triggered") / n * 100).otherwise(F.lit(0.0)).alias("percent"),
                       F.when(F.col("n_triggered") > 0, "TRIGGERED").otherwise("CLEAR").alias("status"),
                       "col_mean", "col_max")
@@ -155,20 +198,86 @@ def rules_frame(spark, rules: Sequence[Mapping], columns: Sequence[str]) -> Data
                                    r["action"]) for r in rs], RULE_SCHEMA)
 
 
+def _first_of_task(thresholds: dict[str, np.ndarray], keys: Sequence[str], schema: pa.Schema, k: int):
+    """The first k rows of a task at every place of every column."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list = [None] * len(thresholds)
+        for b in batches:
+            rows = pa.Table.from_batches([b.select(list(keys))])
+            for i, t in enumerate(thresholds.values()):
+                v = b.column(f"_v{i}")
+                at = np.flatnonzero(v.is_valid().to_numpy(zero_copy_only=False))
+                if not len(at):
+                    continue
+                place = _place(v.drop_null().to_numpy(zero_copy_only=False), t).astype(np.int32)
+                found = rows.take(pa.array(at)).add_column(0, "_place", pa.array(place)).add_column(
+                    0, "_column", pa.array(np.full(len(at), i, np.int32))).cast(schema)
+                best[i] = first_k(found if best[i] is None else pa.concat_tables([best[i], found]), "_place", keys, k)
+        for t in best:
+            if t is not None:
+                yield from t.to_batches()
+    return run
+
+
+def _rows_of_rules(rules: dict[int, list[tuple[int, str, int]]], keys: Sequence[str], schema: pa.Schema, k: int):
+    """(rule_id, rank, key...) of a column's rules (id, operator, threshold
+    number), from the first k rows of each place."""
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.append_column("_one", pa.array(np.zeros(t.num_rows, np.int32)))
+        t = first_k(t, "_one", keys, t.num_rows)  # by key: a row's number is its rank
+        by_place: dict[int, list[int]] = {}
+        for row, place in enumerate(t["_place"].to_pylist()):
+            by_place.setdefault(place, []).append(row)
+        order = sorted(by_place)
+
+        def running(places):
+            out, so_far = [[]], []
+            for p in places:
+                so_far = sorted(so_far + by_place[p])[:k]
+                out.append(so_far)
+            return out
+        ahead, behind = running(order), running(order[::-1])[::-1]  # of the first n places; from place n on
+        rule_id, rank, rows = [], [], []
+        for name, op, j in rules[key[0].as_py()]:
+            lo, hi = bisect_left(order, 2 * j + 1), bisect_right(order, 2 * j + 1)
+            if op in ("<", "<="):
+                first = ahead[lo if op == "<" else hi]
+            elif op in (">", ">="):
+                first = behind[hi if op == ">" else lo]
+            elif op == "==":
+                first = by_place.get(2 * j + 1, [])
+            else:
+                first = sorted(ahead[lo] + behind[hi])[:k]
+            rule_id += [name] * len(first)
+            rank += range(1, len(first) + 1)
+            rows += first
+        found = t.select(list(keys)).take(pa.array(rows, pa.int64()))
+        return found.add_column(0, "rank", pa.array(rank, pa.int32())).add_column(
+            0, "rule_id", pa.array(rule_id, pa.int32())).cast(schema)
+    return run
+
+
 def triggered_rows(df: DataFrame, rules: Sequence[Mapping], key_cols: Sequence[str],
                    k: int = TRIGGERED_ROWS) -> DataFrame:
     """RUL-2: the first ``k`` triggering rows per rule in key order:
     (rule_id, rank, key...)."""
     rs = normalise_rules(df, rules)
-    spark = df.sparkSession
+    fields = df.select(*[qcol(c) for c in key_cols]).schema.fields
+    out = T.StructType([T.StructField("rule_id", T.IntegerType()), T.StructField("rank", T.IntegerType()), *fields])
     if not rs:
-        return spark.createDataFrame([], "rule_id int, rank int")
-    hits = F.filter(F.array(*[F.when(compare(to_double(r["column"]), r["operator"], r["value"]),
-                                     F.lit(r["rule_id"])) for r in rs]), lambda x: x.isNotNull())
-    long = df.select(*[qcol(c) for c in key_cols], F.explode(hits).alias("rule_id"))
-    w = Window.partitionBy("rule_id").orderBy(*[qcol(c) for c in key_cols])
-    return long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
-        .select("rule_id", "rank", *key_cols)
+        return df.sparkSession.createDataFrame([], out)
+    thresholds = {c: np.unique([r["value"] for r in rs if r["column"] == c]) for c in dict.fromkeys(r["column"] for r in rs)}
+    of_column: dict[int, list[tuple[int, str, int]]] = {i: [] for i in range(len(thresholds))}
+    for r in rs:
+        i = list(thresholds).index(r["column"])
+        of_column[i].append((r["rule_id"], r["operator"], int(np.searchsorted(thresholds[r["column"]], r["value"]))))
+    schema = T.StructType([T.StructField("_column", T.IntegerType()), T.StructField("_place", T.IntegerType()), *fields])
+    rows = df.select(*[qcol(c) for c in key_cols], *[to_double(c).alias(f"_v{i}") for i, c in enumerate(thresholds)])
+    found = rows.mapInArrow(_first_of_task(thresholds, list(key_cols), to_arrow_schema(schema), k), schema)
+    merged = found.groupBy("_column", F.floor(F.col("_place") / PLACES)).applyInArrow(
+        lambda t: first_k(t, "_place", list(key_cols), k), schema)
+    return merged.groupBy("_column").applyInArrow(
+        _rows_of_rules(of_column, list(key_cols), to_arrow_schema(out), k), out)
 
 
 def rollup_status(evaluated: DataFrame) -> DataFrame:

@@ -16,7 +16,6 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions.columns import complete_rows, nan_to_null, qcol, require_numeric
 from ..plans.aggregates import bounded_rows
 from ..plans.ordered import ordered_prefix
+from ..plans.topk import first_k
 from ..session import cut_lineage
 
 SIMILARITY_SCALE = 15        # fixed: similarity % = max(0, 100 - 15 * distance)
@@ -66,16 +66,6 @@ def standardised_dims(values: Sequence[Column], means: Sequence[float], stds: Se
     return [(v - F.lit(float(m))) / F.lit(float(sd)) for v, m, sd in zip(values, means, stds)]
 
 
-def _first_k(rows: pa.Table, keys: Sequence[str], k: int) -> pa.Table:
-    """The k nearest rows of each query, by distance, then key (nulls first)."""
-    order = [("query", "ascending"), ("distance", "ascending"), *[(c, "ascending") for c in keys]]
-    rows = rows.take(pc.sort_indices(rows, sort_keys=order, null_placement="at_start"))
-    query = rows["query"].to_numpy()
-    starts = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]])) if len(query) else np.zeros(0, np.int64)
-    rank = np.arange(len(query)) - np.repeat(starts, np.diff(np.append(starts, len(query))))
-    return rows.filter(pa.array(rank < k))
-
-
 def _candidates(z: np.ndarray, points: np.ndarray, own: dict[int, list[int]], k: int):
     """(query, row, distance) of at least the k nearest rows of each query,
     all rows at the k-th distance included."""
@@ -113,7 +103,7 @@ def _nearest_of_task(points: np.ndarray, base: int, own: dict, keys: Sequence[st
                                 ("query", (q + base).astype(np.int32))):
                     found = found.add_column(0, name, pa.array(v))
                 found = found.cast(schema)
-                best = _first_k(found if best is None else pa.concat_tables([best, found]), keys, k)
+                best = first_k(found if best is None else pa.concat_tables([best, found]), "query", ["distance", *keys], k)
         if best is not None:
             yield from best.to_batches()
     return run
@@ -127,11 +117,11 @@ def _nearest_block(rows: DataFrame, points: np.ndarray, base: int, own: dict, ke
     tasks = rows.rdd.getNumPartitions()
     while tasks > FAN:
         found = found.withColumn("part", F.floor(F.col("part") / FAN).cast("int"))
-        found = found.groupBy("query", "part").applyInArrow(lambda t: _first_k(t, keys, k), schema)
+        found = found.groupBy("query", "part").applyInArrow(lambda t: first_k(t, "query", ["distance", *keys], k), schema)
         tasks = -(-tasks // FAN)
 
     def ranked(t: pa.Table) -> pa.Table:
-        t = _first_k(t, keys, k)
+        t = first_k(t, "query", ["distance", *keys], k)
         return t.set_column(t.schema.get_field_index("part"), "part", pa.array(range(1, t.num_rows + 1), pa.int32()))
     return found.groupBy("query").applyInArrow(ranked, schema).withColumnRenamed("part", "rank")
 
