@@ -54,6 +54,36 @@ def rules_eval(spark, sf_dir):
     return _rounded(rules.evaluate_rules(table(spark, sf_dir, "orders"), ORDER_RULES))
 
 
+RULES_MANY_SQL = (
+    "WITH r AS (SELECT CAST(c_custkey AS INTEGER) AS rule_id, CASE c_custkey % 6 WHEN 0 THEN '>' WHEN 1 THEN '<'"
+    " WHEN 2 THEN '>=' WHEN 3 THEN '<=' WHEN 4 THEN '==' ELSE '!=' END AS operator,"
+    " CASE WHEN c_custkey % 2 = 0 THEN 'o_totalprice' ELSE 'o_custkey' END AS col,"
+    " CASE WHEN c_custkey % 2 = 0 THEN c_acctbal * 30 ELSE CAST(c_custkey AS DOUBLE) END AS value FROM customer),"
+    " v AS (SELECT 'o_totalprice' AS col, CAST(o_totalprice AS DOUBLE) AS v FROM orders"
+    " UNION ALL SELECT 'o_custkey', CAST(o_custkey AS DOUBLE) FROM orders),"
+    " g AS (SELECT col, v, count(*) AS n FROM v GROUP BY col, v),"
+    " t AS (SELECT col, sum(n) AS n_total FROM g GROUP BY col)"
+    " SELECT rule_id, col AS \"column\", operator, round(value, 4) AS value,"
+    " CAST(coalesce(sum(n) FILTER (CASE operator WHEN '>' THEN v > value WHEN '<' THEN v < value WHEN '>=' THEN v >= value"
+    " WHEN '<=' THEN v <= value WHEN '==' THEN v = value ELSE v <> value END), 0) AS BIGINT) AS n_triggered,"
+    " CAST(any_value(n_total) AS BIGINT) AS n_total FROM r JOIN g USING (col) JOIN t USING (col)"
+    " GROUP BY rule_id, col, operator, value")
+
+
+@register("rules_many", "RUL-1", RULES_MANY_SQL)
+def rules_many(spark, sf_dir):
+    """A rule for every customer, the rules being a table themselves."""
+    price = F.col("c_custkey") % 2 == 0
+    op = F.element_at(F.array(*[F.lit(o) for o in rules.OPERATORS]), (F.col("c_custkey") % 6 + 1).cast("int"))
+    known = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("int").alias("rule_id"), F.lit("customer rule").alias("name"),
+        F.when(price, "o_totalprice").otherwise("o_custkey").alias("column"), op.alias("operator"),
+        F.when(price, F.col("c_acctbal") * 30).otherwise(F.col("c_custkey").cast("double")).alias("value"),
+        F.lit("info").alias("severity"), F.lit("").alias("action"))
+    out = rules.evaluate_rules_table(table(spark, sf_dir, "orders"), known)
+    return out.select("rule_id", "column", "operator", r4(F.col("value")).alias("value"), "n_triggered", "n_total")
+
+
 @register("rules_rows", "RUL-2",
           "WITH h AS (" + " UNION ALL ".join(
               f"SELECT {i} AS rule_id, o_orderkey FROM orders WHERE TRY_CAST({r['column']} AS DOUBLE)"
