@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from llm_fixtures import SF, docs_of, sf_texts  # noqa: F401  (fixtures)
 from pyspark.sql import functions as F
 
-from vitalspark.llm import alignment, packing, periodic_runs, queries
+from vitalspark.llm import alignment, common, packing, periodic_runs, queries
 
 A, B, WORDS = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"), P.path("word_bpe_49k.json")
 ODD = [(None, None), (None, "x"), (1, ""), (1, " "), (2, "a b " * 40), (2, "a b " * 40), (3, "wörd " * 9_000)]
@@ -113,7 +113,7 @@ def test_runs_edges(docs_of):
 # ---------------------------------------------------------------- alignment
 def brute_sides(pair, text):
     """[(id, end byte)] of A and B, spelled by hand."""
-    byte, out = alignment.byte_letters(), []
+    byte, out = common.byte_letters(), []
     if not text:
         return [], []
     at, side = 0, []
@@ -289,4 +289,18 @@ def test_chunks_encode_like_whole_texts(text):
     assert np.frombuffer(encoder.encode([text.encode()])[0], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_ranked_vocabularies_encode_alike(sf_texts):
+    """The faster library must be in use, and agree on every word of the table."""
+    from tokenizers import Tokenizer
+    encoder, whole = packing.encoder("test", open(WORDS, encoding="utf-8").read()), Tokenizer.from_file(WORDS)
+    pair = alignment.Pair(open(A, encoding="utf-8").read(), open(B, "rb").read())
+    assert encoder.fast and pair.fast
+    for _, text in sf_texts:
+        assert np.frombuffer(encoder.encode([text.encode()])[0], "<u4").tolist() == whole.encode(
+            text, add_special_tokens=False).ids
+        assert pair.fast.encode_ordinary(" " + text) == pair.a.encode(" " + text, add_special_tokens=False).ids
+    model = open(WORDS, encoding="utf-8").read()
+    assert common.merge_ranks(model) is None and common.merge_ranks(open(A, encoding="utf-8").read(), b"x") is None
+
+
 _WHOLE: list = []

@@ -27,6 +27,7 @@ no rows.  Memory a task: a slice of texts, or one block.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -39,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, salted_join, slices_by_bytes, stored, utf8
+from .common import batch, byte_letters, merge_ranks, salted_join, slices_by_bytes, stored, utf8
 
 WINDOW = 4096
 BLOCK_BYTES = 8 << 20
@@ -49,6 +50,8 @@ BORDER = "\udc00"  # in no UTF-8 text
 # A border behind a character that Unicode calls white space.
 AFTER_WHITE = re.compile("([\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000])" + BORDER)
 NONE = (b"", b"")
+# Fixed value: the word pattern of byte-level models.
+BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ALIGNED = pa.schema([("doc_id", pa.int64()), ("a_ids", pa.list_(pa.int32())), ("b_ids", pa.list_(pa.int32())),
                      ("a_cuts", pa.list_(pa.int32())), ("b_cuts", pa.list_(pa.int32())),
                      ("byte_cuts", pa.list_(pa.int32()))])
@@ -61,19 +64,6 @@ BLOCKS_DDL = ("block bigint, doc_id bigint, n_a bigint, n_b bigint, groups_sha25
               "pairs binary, counts binary")
 
 
-def byte_letters() -> dict[str, int]:
-    """The printable stand-in of each byte in byte-level vocabularies: visible
-    Latin-1 letters stand for themselves, the rest for U+0100 onwards."""
-    out, shift = {}, 0
-    for b in range(256):
-        if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174:
-            out[chr(b)] = b
-        else:
-            out[chr(256 + shift)] = b
-            shift += 1
-    return out
-
-
 class Side:
     """Spellings of one vocabulary as arrays; ``id -> bytes`` by slices."""
 
@@ -112,6 +102,19 @@ class Pair:
         self.cuts = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in pieces)
         self.space = self.b.encode("\n")[:1]
         self.memo: dict[str, tuple[bytes, bytes]] = {}
+        self.fast = self._ranked(a_model)
+
+    @staticmethod
+    def _ranked(a_model: str):
+        """The same vocabulary and merges in the faster library, if the file
+        has the usual word pattern and ids in the order of its merges."""
+        split = json.loads(a_model).get("pre_tokenizer") or {}
+        usual = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        ranks = merge_ranks(a_model) if usual and not json.loads(a_model).get("normalizer") else None
+        if not ranks:
+            return None
+        import tiktoken
+        return tiktoken.Encoding("a", pat_str=BYTE_LEVEL_WORDS, mergeable_ranks=ranks, special_tokens={})
 
     def chunks(self, text: str) -> list[str]:
         """A space and the text, cut before each space or line end that follows
@@ -126,7 +129,10 @@ class Pair:
         where they do not spell the chunk."""
         for at in range(0, len(new), 8192):
             some = new[at:at + 8192]
-            found = [e.ids for e in self.a.encode_batch_fast(some, add_special_tokens=False)]
+            if self.fast:
+                found = [self.fast.encode_ordinary(c) for c in some]
+            else:
+                found = [e.ids for e in self.a.encode_batch_fast(some, add_special_tokens=False)]
             # B puts its own space in front, of a text that is not empty.
             pieces = self.b.encode([c[1:] if c[0] == " " else c for c in some], num_threads=1)
             pieces = [self.space if c == " " else x if c[0] == " " else x[1:] for c, x in zip(some, pieces)]

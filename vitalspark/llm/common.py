@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
+import json
 from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, remove_tree, scratch_table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Fixed seeds of the 64-bit mixer below (splitmix64).
@@ -56,7 +57,7 @@ def quoted(name: str) -> str:
 
 def shared_path(spark: SparkSession, what: str) -> str:
     """A new folder name below the cluster's shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return scratch_table(spark, what)
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -66,6 +67,44 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def byte_letters() -> dict[str, int]:
+    """The printable stand-in of each byte in byte-level vocabularies: visible
+    Latin-1 letters stand for themselves, the rest for U+0100 onwards."""
+    out, shift = {}, 0
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174:
+            out[chr(b)] = b
+        else:
+            out[chr(256 + shift)] = b
+            shift += 1
+    return out
+
+
+def merge_ranks(model: str, end: bytes = b"") -> dict[bytes, int] | None:
+    """bytes -> id of a byte-level BPE file whose ids follow the order of its
+    merges, so that merging the pair of lowest id first is the same algorithm;
+    None for other files.  The model's mark of a word's end is spelt ``end``."""
+    bpe = json.loads(model)["model"]
+    suffix, letters = bpe.get("end_of_word_suffix") or "", byte_letters()
+    special = {t["content"] for t in json.loads(model).get("added_tokens", [])}
+    joined = ["".join(m if isinstance(m, list) else m.split(" ")) for m in bpe["merges"]]
+    if suffix:
+        joined = [t.replace(suffix, "", t.count(suffix) - t.endswith(suffix)) for t in joined]
+    ids = [bpe["vocab"].get(t) for t in joined]
+    first = 512 if suffix else 256
+    if bpe.get("ignore_merges") or bool(suffix) != bool(end) or ids != list(range(first, first + len(ids))):
+        return None
+    out = {}
+    for token, i in bpe["vocab"].items():
+        if token not in special:
+            whole = bool(suffix) and token.endswith(suffix)
+            word = token[:len(token) - len(suffix)] if whole else token
+            if not all(c in letters for c in word):
+                return None
+            out[bytes(letters[c] for c in word) + (end if whole else b"")] = i
+    return out
+
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -90,8 +129,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder that ``store`` made and that nothing reads any more."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    remove_tree(spark, path)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -150,6 +188,15 @@ def slices_by_bytes(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]
         at = to
 
 
+def text_slices(column: pa.Array, most: int) -> Iterator[tuple[int, int, list]]:
+    """(from, to, texts) of consecutive rows of about ``most`` bytes: a batch is
+    never turned into Python strings as a whole.  Nulls count as empty."""
+    lens = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    for lo, hi in slices_by_bytes(lens, most):
+        yield lo, hi, column.slice(lo, hi - lo).to_pylist()
+    pa.default_memory_pool().release_unused()
+
+
 def batch(schema: pa.Schema, **cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if not isinstance(cols[f.name], pa.Array)
                                        else cols[f.name] for f in schema], schema=schema)
@@ -162,7 +209,7 @@ class TokenTable(dict):
     which only new ones are converted.  ``fresh()`` empties a table that has
     outgrown its memory; call it between slices only."""
 
-    def __init__(self, describe, dtypes: Sequence, most: int = 400_000):
+    def __init__(self, describe, dtypes: Sequence, most: int = 200_000):
         super().__init__()
         self.describe, self.dtypes, self.most = describe, dtypes, most
         self._reset()

@@ -40,12 +40,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, slices_by_bytes, stored, utf8
+from .common import batch, merge_ranks, slices_by_bytes, stored, utf8
 
 CAPACITY, GROUP_DOCS, GAP, SEED = 2048, 2048, 8, 17
 END_ID = 1
 SLICE_BYTES = 4 << 20
 MEMO_CHUNKS = 400_000  # remembered chunks a worker; emptied, not capped, when full
+# Lower-case Latin letters of one or two bytes, or one closing mark.
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+|[.,]").fullmatch
+END = b"\x00"  # spells the end of a plain word
 CLOSING = re.compile(rb"(?<=[a-z0-9])(?=[.,])")
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
                     ("doc_tokens", pa.int64()), ("ids", pa.binary())])
@@ -62,6 +65,19 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(model)
         self.memo: dict[bytes, bytes] = {}
+        ranks, self.fast = merge_ranks(model, END), None
+        if ranks:  # the same vocabulary and merges in a faster library, for plain words
+            import tiktoken
+            self.fast = tiktoken.Encoding("words", pat_str="[^\\x00]+\\x00", mergeable_ranks=ranks, special_tokens={})
+            self.closes = np.zeros(max(ranks.values()) + 1, bool)
+            self.closes[[i for t, i in ranks.items() if t.endswith(END) and len(t) > 1]] = True
+
+    def _learn_plain(self, words: list[bytes]) -> None:
+        """Words that the model's own splitting and spelling leave as they are;
+        each ends with the one token that closes a word."""
+        ids = np.array(self.fast.encode_ordinary(END.join(words).decode("utf-8") + END.decode()), "<u4")
+        ends, raw = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist(), ids.tobytes()
+        self.memo.update(zip(words, [raw[a:b] for a, b in zip([0, *ends], ends)]))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         parts = [CLOSING.sub(b" ", t.lower()).split() for t in texts]
@@ -69,6 +85,11 @@ class ChunkEncoder:
         if len(memo) > MEMO_CHUNKS:
             memo.clear()
         new = [c for c in set(chain.from_iterable(parts)) if c not in memo]
+        if self.fast:
+            plain = [c for c in new if PLAIN(c)]
+            for at in range(0, len(plain), 1 << 13):
+                self._learn_plain(plain[at:at + (1 << 13)])
+            new = [c for c in new if c not in memo]
         for at in range(0, len(new), 1 << 15):
             some = new[at:at + (1 << 15)]
             found = self.tokenizer.encode_batch_fast([c.decode("utf-8") for c in some], add_special_tokens=False)

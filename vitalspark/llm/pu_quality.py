@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TokenTable, crc_mod, mix, slices_by_bytes, stored, text_of
+from .common import TokenTable, crc_mod, mix, text_slices, stored, text_of
 
 STEPS, RIDGE, STEP_UP = 12, 1e-3, 0.1
 SLICE_CHARS = 2 << 20
@@ -111,9 +111,7 @@ def feature_column(text: Column) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = new_table()
         for column in batches:
-            texts = column.to_pylist()
-            out = [features(texts[lo:hi], table) for lo, hi in slices_by_bytes(
-                np.fromiter(map(len, texts), np.int64, len(texts)), SLICE_CHARS)]
+            out = [features(texts, table) for _, _, texts in text_slices(column, SLICE_CHARS)]
             flat = np.concatenate(out).ravel() if out else np.zeros(0)
             yield pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, D), pa.int32()), pa.array(flat))
     return run(text)
@@ -256,9 +254,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", into: str = "quali
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = new_table()
         for column in batches:
-            texts = column.to_pylist()
-            out = [model.value(features(texts[lo:hi], table)) for lo, hi in slices_by_bytes(
-                np.fromiter(map(len, texts), np.int64, len(texts)), SLICE_CHARS)]
+            out = [model.value(features(texts, table)) for _, _, texts in text_slices(column, SLICE_CHARS)]
             value = np.concatenate(out) if out else np.zeros(0)
             yield pa.array(probability(value))
     return docs.withColumn(into, run(text_of(text)))

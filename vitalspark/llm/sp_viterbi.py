@@ -236,8 +236,7 @@ class Automaton:
         """Per text its ids as little-endian 32-bit integers."""
         memo, parts = self.memo, [self.chunks(t or "") for t in texts]
         if self.held > MEMO_BYTES:
-            memo.clear()
-            self.held = 0
+            self.forget()
         new = [c for c in set(chain.from_iterable(parts)) if c not in memo]
         if new:
             lens = np.fromiter(map(len, new), np.int64, len(new))
@@ -251,6 +250,10 @@ class Automaton:
             self.held += int(lens.sum()) * 8 + len(new) * ENTRY_BYTES
         return [b"".join([memo[c] for c in x]) for x in parts]
 
+    def forget(self) -> None:
+        self.memo.clear()
+        self.held = 0
+
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
@@ -337,6 +340,7 @@ class Tokenizer:
             auto = _once(("encode", *key), lambda: Automaton(pieces.value, scores))
             for texts in batches:
                 yield auto.encode_array(texts)
+            auto.forget()
         return run(text)
 
     def both(self, text: Column) -> Column:
@@ -351,6 +355,7 @@ class Tokenizer:
                 yield pa.StructArray.from_arrays([ids, spell.decode_array(ids)], ["ids", "decoded"])
                 del ids
                 pa.default_memory_pool().release_unused()
+            auto.forget()
         return run(text)
 
     def decode(self, ids: Column) -> Column:

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TokenTable, labelled_sample, slices_by_bytes, text_of
+from .common import TokenTable, labelled_sample, slices_by_bytes, text_slices, text_of
 
 ORDER, DECAY, SUPPORT = 3, 0.7, 0.75
 FIT_ROWS, CANDIDATES, LANDMARKS, ALIKE = 4000, 1000, 128, 0.97
@@ -439,11 +439,10 @@ def scored(docs: DataFrame, model: Model, text: str = "text", into: str = "toxic
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         reader = Reader(Landmarks(list(model.landmarks)))
         for column in batches:
-            texts = column.to_pylist()
-            best = np.full((len(texts), TOP), model.bias)
-            for lo, hi in slices_by_bytes(np.fromiter(map(len, texts), np.int64, len(texts)), SLICE_CHARS):
+            best = np.full((len(column), TOP), model.bias)
+            for lo, hi, texts in text_slices(column, SLICE_CHARS):
                 if model.landmarks:
-                    owner, kernel = reader.sentences(texts[lo:hi])
+                    owner, kernel = reader.sentences(texts)
                     best[lo:hi] = best_values(model.value(kernel), owner, hi - lo, model.bias)
             yield pa.array(model.probability(best))
     return docs.withColumn(into, run(text_of(text)))

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import (batch, bitmap_words, bits_for, free_name, in_bitmap, materialise, mix, quoted, salted_join,
-                     slices_by_bytes, stored, utf8)
+                     text_slices, stored, utf8)
 
 SHINGLE, M, ROWS = 5, 128, 4
 BANDS = M // ROWS
@@ -140,11 +140,11 @@ def set_key(elements: np.ndarray) -> int:
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo = WordHashes()
     for b in batches:
-        ids, texts = b.column("doc_id"), b.column("body").to_pylist()
-        for lo, hi in slices_by_bytes(np.fromiter(map(len, texts), np.int64, len(texts)), SLICE_BYTES):
+        ids = b.column("doc_id")
+        for lo, hi, texts in text_slices(b.column("body"), SLICE_BYTES):
             if len(memo) > MEMO:
                 memo.clear()
-            sets = shingle_sets([t.lower() for t in texts[lo:hi]], memo)
+            sets = shingle_sets([t.lower() for t in texts], memo)
             bands = packed(superminhash(sets))
             sig = pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo + 1) * BANDS, BANDS), pa.int32()),
                                            pa.array(bands.ravel(), pa.int64()))
@@ -205,12 +205,11 @@ def _element_sets(wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, memo = wanted.value, WordHashes()
         for b in batches:
-            texts = b.column("body").to_pylist()
             ids = b.column("rep").to_numpy()
-            for lo, hi in slices_by_bytes(np.fromiter(map(len, texts), np.int64, len(texts)), SLICE_BYTES):
+            for lo, hi, texts in text_slices(b.column("body"), SLICE_BYTES):
                 if len(memo) > MEMO:
                     memo.clear()
-                at = lo + np.flatnonzero(in_bitmap(seen, ids[lo:hi].view(np.uint64)))
+                at = np.flatnonzero(in_bitmap(seen, ids[lo:hi].view(np.uint64)))
                 sets = shingle_sets([texts[i].lower() for i in at], memo)
                 if sets:
                     yield batch(SETS, key=[set_key(s) for s in sets], elements=[s.astype("<u8").tobytes() for s in sets])

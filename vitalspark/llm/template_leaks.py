@@ -51,12 +51,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (batch, bitmap_words, bits_for, free_name, in_bitmap, mix, salted_join, slices_by_bytes, text_of,
+from .common import (batch, bitmap_words, bits_for, free_name, in_bitmap, mix, salted_join, text_slices, text_of,
                      utf8)
 
 WINDOW, MIN_LITERALS, MIN_WINDOWS = 10, 6, 3
 SLICE_BYTES = 2 << 20
-VOCABULARY = 400_000  # memo of spellings per worker; emptied, not capped, when full
+VOCABULARY = 200_000  # memo of spellings per worker; emptied, not capped, when full
 # What counts as a unit after a number.
 UNITS = ("mm cm m km in inch inches ft foot feet yd yard yards mile miles mi mg g kg t lb lbs oz ml cl l litre litres "
          "liter liters s sec second seconds min minute minutes h hr hour hours day days week weeks month months year "
@@ -170,13 +170,13 @@ def _windows(lengths: tuple[int, ...], whole: bool, bitmap, window: int, min_lit
         seen = None if words is None else words.value
         memo = Spellings()
         for b in batches:
-            ids, texts = b.column("id").to_pylist(), b.column("body").to_pylist()
-            for lo, hi in slices_by_bytes(np.fromiter(map(len, texts), np.int64, len(texts)), SLICE_BYTES):
+            ids = b.column("id").to_pylist()
+            for lo, hi, texts in text_slices(b.column("body"), SLICE_BYTES):
                 if len(memo.text) > VOCABULARY:
                     memo = Spellings()
                 out = {f.name: [] for f in WINDOWS}
                 doc, hashed, kind, start, end, idx, (lead, spelled, rest), pieces = templates(
-                    texts[lo:hi], memo)
+                    texts, memo)
                 literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
                 size = np.bincount(doc, minlength=hi - lo) if len(doc) else np.zeros(hi - lo, int)
                 offset = np.concatenate([[0], np.cumsum(size)])
@@ -184,7 +184,7 @@ def _windows(lengths: tuple[int, ...], whole: bool, bitmap, window: int, min_lit
 
                 def put(d, h, n, pos, template, slots, last):
                     if d not in keys:
-                        keys[d] = row_key(ids[lo + d], texts[lo + d])
+                        keys[d] = row_key(ids[lo + d], texts[d])
                     out["id"].append(ids[lo + d])
                     out["key"].append(keys[d])
                     out["h"].append(int(h.view(np.int64)))
