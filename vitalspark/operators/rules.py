@@ -99,32 +99,48 @@ def _place(values: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
 
 
 def _histogram(thresholds: dict[str, np.ndarray]):
-    """(column, place, n) of a task's rows."""
+    """(column, place, n) of a task's rows, and at place -1 the sum and the
+    largest of a column's values."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = [np.zeros(2 * len(t) + 1, np.int64) for t in thresholds.values()]
+        total, most = np.zeros(len(counts)), np.full(len(counts), -np.inf)
         for b in batches:
             for i, t in enumerate(thresholds.values()):
                 v = b.column(f"v{i}").drop_null().to_numpy(zero_copy_only=False)
                 counts[i] += np.bincount(_place(v, t), minlength=len(counts[i]))
-        for name, n in zip(thresholds, counts):
+                total[i] += v.sum()
+                most[i] = v.max(initial=most[i])
+        for i, (name, n) in enumerate(zip(thresholds, counts)):
             at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()),
-                                              pa.array(n[at])], names=["column", "place", "n"])
+            if len(at):
+                places = np.append(at, -1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(places), pa.string()), pa.array(places, pa.int32()), pa.array(np.append(n[at], 0)),
+                     pa.array(np.where(places < 0, total[i], 0.0)), pa.array(np.where(places < 0, most[i], -np.inf))],
+                    names=["column", "place", "n", "total", "most"])
     return run
 
 
 def _below(thresholds: dict[str, np.ndarray]):
-    """(column, value, below, equal) of every threshold, by running sums."""
+    """(column, value, below, equal) of every threshold, by running sums, with
+    the column's count, mean and maximum."""
     def run(key: tuple, t: pa.Table) -> pa.Table:
         name = key[0].as_py()
         values = thresholds[name]
-        n = np.zeros(2 * len(values) + 1, np.int64)
-        n[t["place"].to_numpy()] = t["n"].to_numpy()
+        place, n = t["place"].to_numpy(), np.zeros(2 * len(values) + 1, np.int64)
+        n[place[place >= 0]] = t["n"].to_numpy()[place >= 0]
+        count, total, most = int(n.sum()), t["total"].to_numpy()[place < 0][0], t["most"].to_numpy()[place < 0][0]
         return pa.table({"column": pa.array([name] * len(values), pa.string()), "value": pa.array(values),
-                         "below": pa.array(np.cumsum(n)[0:-1:2]), "equal": pa.array(n[1::2])})
+                         "below": pa.array(np.cumsum(n)[0:-1:2]), "equal": pa.array(n[1::2]),
+                         "n_total": pa.array(np.full(len(values), count)),
+                         "col_mean": pa.array(np.full(len(values), total / count)),
+                         "col_max": pa.array(np.full(len(values), most))})
     return run
 
 
+COUNTED = "column string, value double, below long, equal long, n_total long, col_mean double, col_max double"
+
+
 def _threshold_blocks(rules_df: DataFrame) -> Iterator[dict[str, np.ndarray]]:
     """The distinct (column, value) of the rules in order, ``THRESHOLDS`` at a time."""
     distinct, last = rules_df.select("column", F.col("value").cast("double").alias("value")).where(
@@ -143,17 +159,20 @@ def _threshold_blocks(rules_df: DataFrame) -> Iterator[dict[str, np.ndarray]]:
 
 
 def _threshold_counts(df: DataFrame, thresholds: dict[str, np.ndarray]) -> DataFrame:
-    """(column, value, below, equal): non-null values below and at each threshold."""
+    """(column, value, below, equal, n_total, col_mean, col_max): non-null values
+    below and at each threshold, and in all."""
     values = df.select(*[to_double(c).alias(f"v{i}") for i, c in enumerate(thresholds)])
-    places = values.mapInArrow(_histogram(thresholds), "column string, place int, n long")
-    return places.groupBy("column", "place").agg(F.sum("n").alias("n")).groupBy("column").applyInArrow(
-        _below(thresholds), "column string, value double, below long, equal long")
+    places = values.mapInArrow(_histogram(thresholds), "column string, place int, n long, total double, most double")
+    return places.groupBy("column", "place").agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("most").alias("most")).groupBy("column").applyInArrow(
+        _below(thresholds), COUNTED)
 
 
 def evaluate_rules_table(df: DataFrame, rules_df: DataFrame) -> DataFrame:
     """RUL-1 for rules that are data: ``rules_df`` has rule_id, name, column,
     operator, value, severity, action; rules on unknown columns are left out.
-    Their thresholds pass the driver in blocks of ``THRESHOLDS``."""
+    Their thresholds pass the driver in blocks of ``THRESHOLDS``; a block costs
+    one scan of the columns it names.  A rule without a value counts nothing."""
     cols = [r["column"] for r in bounded_rows(rules_df.select("column").distinct().orderBy("column"))
             if r["column"] in df.columns]
     spark = df.sparkSession
@@ -169,14 +188,8 @@ def evaluate_rules_table(df: DataFrame, rules_df: DataFrame) -> DataFrame:
         found = _threshold_counts(df, block)
         counts = found if counts is None else counts.unionByName(found)
     if counts is None:
-        counts = spark.createDataFrame([], "column string, value double, below long, equal long")
-    aggs = []
-    for j, c in enumerate(cols):
-        v = to_double(c)
-        aggs += [F.count(v).alias(f"n{j}"), F.avg(v).alias(f"m{j}"), F.max(v).alias(f"x{j}")]
-    stats = wide_to_long(df.agg(*aggs), [{"column": F.lit(c), "n_total": F.col(f"n{j}"), "col_mean": F.col(f"m{j}"),
-                                          "col_max": F.col(f"x{j}")} for j, c in enumerate(cols)])
-    out = known.join(counts, ["column", "value"], "left").join(F.broadcast(stats), "column", "left")
+        counts = spark.createDataFrame([], COUNTED)
+    out = known.join(counts, ["column", "value"], "left").withColumn("n_total", F.coalesce("n_total", F.lit(0)).cast("long"))
     op, n, below, equal = F.col("operator"), F.col("n_total"), F.col("below"), F.col("equal")
     hits = (F.when(op == ">", n - below - equal).when(op == "<", below).when(op == ">=", n - below)
             .when(op == "<=", below + equal).when(op == "==", equal).otherwise(n - equal))
