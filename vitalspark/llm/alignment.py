@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import batch, byte_letters, merge_ranks, salted_join, slices_by_bytes, stored, utf8
 
 WINDOW = 4096
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20
 MEMO_CHUNKS = 150_000  # remembered chunks a worker; emptied, not capped, when full
 SPACE = "▁"
 BORDER = "\udc00"  # in no UTF-8 text
@@ -324,7 +324,8 @@ def _blocks(key, models, most: int):
                             pairs=[None] * n + [pairs.astype("<i8").tobytes()],
                             counts=[None] * n + [counts.astype("<i8").tobytes()])
                 block += 1
-            pa.default_memory_pool().release_unused()
+                del s, codes, at, raw
+                pa.default_memory_pool().release_unused()
     return run
 
 
@@ -341,7 +342,7 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("id"), utf8("text").alias("body"))
 
 
-def aligned(docs: DataFrame, a_path: str, b_path: str, slice_bytes: int = BLOCK_BYTES // 4) -> DataFrame:
+def aligned(docs: DataFrame, a_path: str, b_path: str, slice_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, a_ids, b_ids, a_cuts, b_cuts, byte_cuts): ids of both sides and,
     for each group, how many ids and bytes of the text stand before its end."""
     return _rows(docs).mapInArrow(_aligned((a_path, b_path), _models(docs, a_path, b_path), slice_bytes), ALIGNED_DDL)
