@@ -39,3 +39,16 @@ def test_first_values_keep_a_heap_not_a_sort(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     plan = _plan(first_values(docs, docs.columns, ["doc_id"], 3))
     assert plan.count("TakeOrderedAndProject") == len(docs.columns) and "WindowGroupLimit" not in plan
+
+
+def test_distinct_counts_shuffle_hashes_only(spark):
+    """No Expand; the columns that rows are dealt by are numbers, not texts."""
+    import re
+
+    from vitalspark.operators import profile, quality
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for df in (quality.column_pass(docs), profile.detect_tasks(docs), profile.column_info(docs, ["doc_id"])):
+        plan = _plan(df)
+        assert "Expand" not in plan
+        keys = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+        assert any("h1" in k and "h2" in k for k in keys) and not any("text" in k for k in keys)

@@ -63,3 +63,27 @@ def test_quality_detects_injected_problems(spark):
     assert flags["const"]["is_constant"] and flags["mixed"]["mixed_type"]
     # missing (critical) -10, duplicate -5, imbalance -5, two constant columns -5 each
     assert rep.score.first()["overall_score"] == 100 - 10 - 5 - 5 - 5 - 5
+
+
+def test_distinct_table_equals_plain_counts(spark):
+    """Nulls, signed zeros, NaN, ties, long texts, equal values in two columns
+    and an empty table."""
+    from vitalspark.plans.distinct import cell_counts, class_figures
+    from vitalspark.functions.columns import nan_to_null
+    nan = float("nan")
+    rows = [(0.0, "a", "a", None), (-0.0, "a", "b", None), (nan, "b", "x" * 100_000, None), (None, "b", "x" * 100_000 + "y", None)]
+    df = nan_to_null(spark.createDataFrame(rows, "v double, s string, t string, empty string"))
+    got = {r["position"]: (r["distinct"], r["total"], r["top"], r["bottom"])
+           for r in class_figures(cell_counts(df)).collect()}
+    assert got == {0: (1, 2, 2, 2), 1: (2, 4, 2, 2), 2: (4, 4, 1, 1)}
+    assert cell_counts(df.limit(0)).count() == 0
+    stats = {r["column"]: r for r in profile.column_stats(df.selectExpr("*", "monotonically_increasing_id() as id"),
+                                                          ["id"]).collect()}
+    assert stats["s"]["most_common"] == "a" and stats["s"]["unique_values"] == "a | b"
+    assert stats["t"]["most_common"] == "a" and "empty" not in stats
+
+
+def test_imbalance_names_the_smallest_of_tied_classes(spark):
+    df = spark.createDataFrame([("b",)] * 30 + [("a",)] * 30 + [("c",)], "k string")
+    row = quality.imbalance_report(df).first()
+    assert (row["dominant_class"], row["ratio"], row["dominant_pct"]) == ("a", 30.0, 49.2)

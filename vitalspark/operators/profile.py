@@ -1,9 +1,9 @@
 """Profiling and task detection (PRF-1..5).
 
-Every per-column figure of a report comes from ONE aggregate over the table
-(null counts, distinct counts, min/max/avg for all columns at once); only
-order-dependent parts (first values, medians, modes) take their own pass, and
-those work on distinct values, never on a collected column.
+Null counts, minima, maxima and means of all columns come from ONE aggregate
+over the table; distinct counts, modes and listed values from one shared table
+of distinct values (``plans.distinct``).  Only first values and medians take a
+pass of their own.
 """
 
 from __future__ import annotations
@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import is_float, is_numeric, is_text, nan_to_null, qcol
-from ..plans.aggregates import broadcast_if_small, wide_to_long
+from ..plans.aggregates import wide_to_long
+from ..plans.distinct import CELL, cell_counts, class_figures, fetch_values
 from ..plans.ordered import exact_quantiles
+from ..session import cut_lineage
 
 SAMPLE_VALUES = 3        # fixed: PRF-1 shows the first 3 non-null values
 MAX_UNIQUE_LISTED = 50   # fixed: PRF-2 lists at most 50 distinct values
@@ -29,8 +31,15 @@ INT_CLASS_RATIO = 0.05
 MULTI_REGRESSION_DISTINCT = 10
 
 
-def _distinct(c: Column, approx: bool) -> Column:
-    return F.approx_count_distinct(c) if approx else F.count_distinct(c)
+def _with_distinct(df: DataFrame, aggs: Sequence[Column], rows: Sequence[dict], approx: bool) -> DataFrame:
+    """The long report ``rows`` over one aggregate, with the distinct count of
+    each column (nulls excluded) as ``_d``."""
+    if approx:
+        sketches = [F.approx_count_distinct(qcol(c)).alias(f"d{i}") for i, c in enumerate(df.columns)]
+        return wide_to_long(df.agg(*aggs, *sketches), [{**r, "_d": F.col(f"d{i}")} for i, r in enumerate(rows)])
+    report = wide_to_long(df.agg(*aggs), [{**r, "_at": F.lit(i)} for i, r in enumerate(rows)])
+    found = class_figures(cell_counts(df)).select(F.col("position").alias("_at"), F.col("distinct").alias("_d"))
+    return report.join(found, "_at", "left").withColumn("_d", F.coalesce("_d", F.lit(0))).drop("_at")
 
 
 def first_values(df: DataFrame, cols: Sequence[str], key_cols: Sequence[str], k: int) -> DataFrame:
@@ -53,17 +62,14 @@ def column_info(df: DataFrame, key_cols: Sequence[str], approx: bool = False) ->
     (nulls excluded), null count and the first 3 non-null values."""
     df = nan_to_null(df)
     fields = df.schema.fields
-    aggs = []
-    for i, f in enumerate(fields):
-        c = qcol(f.name)
-        aggs += [_distinct(c, approx).alias(f"d{i}"), F.count_if(c.isNull()).alias(f"n{i}")]
-    wide = df.agg(*aggs)
+    aggs = [F.count_if(qcol(f.name).isNull()).alias(f"n{i}") for i, f in enumerate(fields)]
     rows = [{"column": F.lit(f.name), "position": F.lit(i),
              "dtype": F.lit(f.dataType.simpleString()),
              "col_type": F.lit("numeric" if is_numeric(f.dataType, "A") else "categorical"),
-             "unique_values": F.col(f"d{i}").cast("long"), "null_count": F.col(f"n{i}").cast("long")}
+             "null_count": F.col(f"n{i}").cast("long")}
             for i, f in enumerate(fields)]
-    info = wide_to_long(wide, rows)
+    info = _with_distinct(df, aggs, rows, approx).select(
+        "column", "position", "dtype", "col_type", F.col("_d").cast("long").alias("unique_values"), "null_count")
     samples = first_values(df, df.columns, key_cols, SAMPLE_VALUES) \
         .groupBy("column").agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("_s")) \
         .select("column", F.concat_ws(" | ", F.transform("_s", lambda s: s["value"])).alias("sample_values"))
@@ -114,25 +120,26 @@ def column_stats(df: DataFrame, key_cols: Sequence[str]) -> DataFrame:
             F.lit(None).cast("string").alias("most_common"), F.lit(None).cast("string").alias("unique_values"))
         out.append(numeric)
     if cat:
-        long = df.select(*[qcol(k) for k in key_cols], F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column"), qcol(c).cast("string").alias("value")) for c in cat
-        ])).alias("_u")).select(*[qcol(k) for k in key_cols], "_u.column", "_u.value") \
-            .where(F.col("value").isNotNull())
-        first_key = F.struct(*[F.col(k) for k in key_cols])
-        counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"),
-                                                     F.min(first_key).alias("first_key"))
-        top = counts.groupBy("column").agg(F.max("cnt").alias("top_cnt"))
-        mode = counts.join(broadcast_if_small(top, 100_000), "column") \
-            .where(F.col("cnt") == F.col("top_cnt")) \
-            .groupBy("column").agg(F.min("value").alias("most_common"))
-        w = Window.partitionBy("column").orderBy("first_key")
-        listed = counts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= MAX_UNIQUE_LISTED) \
-            .groupBy("column").agg(F.array_sort(F.collect_list(F.struct("_r", "value"))).alias("_l")) \
-            .select("column", F.concat_ws(" | ", F.transform("_l", lambda s: s["value"])).alias("unique_values"))
-        categorical = mode.join(listed, "column").select(
+        cells = cell_counts(df, cat, key_cols, store=True)
+        per = class_figures(cells).select("position", "top")  # a row per column
+        w = Window.partitionBy("position").orderBy("first_key")
+        listed = cells.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= MAX_UNIQUE_LISTED) \
+            .select(*CELL, "first_key", "_r")
+        # Where no value repeats, all tie and the smallest of the column is it.
+        tied = cells.join(F.broadcast(per.where(F.col("top") > 1)), "position").where(F.col("cnt") == F.col("top")) \
+            .select(*CELL, "first_key", F.lit(None).cast("int").alias("_r"))
+        shown = fetch_values(df, cat, cut_lineage(listed.unionByName(tied)), key_cols).groupBy("position").agg(
+            F.min(F.when(F.col("_r").isNull(), F.col("value"))).alias("_tied"),
+            F.array_sort(F.collect_list(F.when(F.col("_r").isNotNull(), F.struct("_r", "value")))).alias("_l"))
+        smallest = wide_to_long(df.agg(*[F.min(qcol(c).cast("string")).alias(f"m{i}") for i, c in enumerate(cat)]),
+                                [{"position": F.lit(i), "column": F.lit(c), "_least": F.col(f"m{i}")}
+                                 for i, c in enumerate(cat)])
+        shown = smallest.join(shown, "position")
+        categorical = shown.select(
             "column", F.lit("categorical").alias("type"),
             *[F.lit(None).cast("double").alias(n) for n in ("min", "max", "mean", "median", "step")],
-            "most_common", "unique_values")
+            F.coalesce("_tied", "_least").alias("most_common"),
+            F.concat_ws(" | ", F.transform("_l", lambda s: s["value"])).alias("unique_values"))
         out.append(categorical)
     if not out:
         return spark.createDataFrame([], "column string, type string, min double, max double, mean double, "
@@ -157,15 +164,14 @@ def dataset_summary(df: DataFrame) -> DataFrame:
 
 
 def detect_tasks(df: DataFrame, approx: bool = False) -> DataFrame:
-    """PRF-4 (auto task rule) and PRF-5 (multi-target rule) for every column
-    in one aggregate."""
+    """PRF-4 (auto task rule) and PRF-5 (multi-target rule) for every column."""
     df = nan_to_null(df)
     fields = df.schema.fields
-    wide = df.agg(F.count(F.lit(1)).alias("_rows"),
-                  *[_distinct(qcol(f.name), approx).alias(f"d{i}") for i, f in enumerate(fields)])
-    rows = []
-    for i, f in enumerate(fields):
-        d = F.col(f"d{i}")
+    aggs = [F.count(F.lit(1)).alias("_rows")]
+    report = _with_distinct(df, aggs, [{"column": F.lit(f.name), "_place": F.lit(i), "_rows": F.col("_rows")}
+                                       for i, f in enumerate(fields)], approx)
+    d, auto_of, multi_of = F.col("_d"), [], []
+    for f in fields:
         if is_float(f.dataType):
             auto = F.lit("regression")
         elif is_text(f.dataType) or isinstance(f.dataType, T.DecimalType):
@@ -179,5 +185,11 @@ def detect_tasks(df: DataFrame, approx: bool = False) -> DataFrame:
             multi = F.when(d > MULTI_REGRESSION_DISTINCT, "regression").otherwise("classification")
         else:
             multi = F.lit("classification")
-        rows.append({"column": F.lit(f.name), "distinct": d.cast("long"), "task_auto": auto, "task_multi": multi})
-    return wide_to_long(wide, rows)
+        auto_of.append(auto)
+        multi_of.append(multi)
+    if not fields:
+        return df.sparkSession.createDataFrame([], "column string, distinct long, task_auto string, task_multi string")
+    place = F.col("_place") + 1
+    return report.select("column", d.cast("long").alias("distinct"),
+                         F.element_at(F.array(*auto_of), place).alias("task_auto"),
+                         F.element_at(F.array(*multi_of), place).alias("task_multi"))

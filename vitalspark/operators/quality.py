@@ -1,9 +1,10 @@
 """Data-quality check (DQ-1..8).
 
-One aggregate computes, for all columns at once, null counts, distinct
-counts and the numeric-looking share of text columns; duplicates, quartiles
-and class shares take one more pass each.  The reports are small long-form
-DataFrames; the score is summed from them.
+One aggregate computes, for all columns at once, null counts and the
+numeric-looking share of text columns; distinct counts and class shares are
+read from one shared table of distinct values (``plans.distinct``);
+duplicates and quartiles take one more pass each.  The reports are small
+long-form DataFrames; the score is summed from them.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import is_numeric, is_text, nan_to_null, qcol
 from ..plans.aggregates import broadcast_if_small, wide_to_long
+from ..plans.distinct import CELL, cell_counts, class_figures, fetch_values
 from ..plans.ordered import exact_quantiles
 
 # Fixed values of the reference's quality check.
@@ -24,7 +26,8 @@ MISSING_WARNING_PCT = 5        # -3 each
 DUPLICATE_PENALTY = 5
 IQR_FACTOR = 3
 OUTLIER_WARNING_PCT = 5        # -3 each
-IMBALANCE_RATIO = 10           # -5 each
+IMBALANCE_RATIO = 10
+IMBALANCE_PENALTY = 5          # each
 CONSTANT_PENALTY = 5
 BINARY_MIN_ROWS = 100
 HIGH_CARDINALITY_CAP = 50
@@ -54,20 +57,21 @@ class QualityReport:
     score: DataFrame
 
 
-def column_pass(df: DataFrame, with_distinct: bool = True, approx_distinct: bool = False) -> DataFrame:
-    """DQ-1, 5, 6, 7 from one aggregate: one row per column.  Distinct
-    counts (the expensive part: one exact distinct set per column, i.e. an
-    Expand of the rows per column) only when asked for; ``approx_distinct``
-    swaps them for HyperLogLog sketches (no Expand, a few KB per column) on
-    very wide tables."""
+def column_pass(df: DataFrame, with_distinct: bool = True, approx_distinct: bool = False,
+                cells: DataFrame | None = None) -> DataFrame:
+    """DQ-1, 5, 6, 7: one row per column.  Null counts and the numeric-looking
+    share come from one aggregate; exact distinct counts, only when asked for,
+    from the distinct table of all columns (``cells``, made here when not
+    given).  ``approx_distinct`` swaps them for HyperLogLog sketches (a few KB
+    per column, no shuffle of cells) on very wide tables."""
     df = nan_to_null(df)
     fields = df.schema.fields
+    sketched = with_distinct and approx_distinct
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, f in enumerate(fields):
         c = qcol(f.name)
-        distinct = F.approx_count_distinct(c) if approx_distinct else F.count_distinct(c)
         aggs += [F.count_if(c.isNull()).alias(f"n{i}"),
-                 (distinct if with_distinct else F.lit(None).cast("long")).alias(f"d{i}")]
+                 (F.approx_count_distinct(c) if sketched else F.lit(None).cast("long")).alias(f"d{i}")]
         if with_distinct and is_text(f.dataType):
             aggs += [F.count(c).alias(f"v{i}"), F.count_if(c.rlike(NUMERIC_TEXT)).alias(f"x{i}")]
     wide = df.agg(*aggs)
@@ -81,7 +85,12 @@ def column_pass(df: DataFrame, with_distinct: bool = True, approx_distinct: bool
             "non_null": (F.col(f"v{i}") if text and with_distinct else F.lit(None)).cast("long"),
             "numeric_like": (F.col(f"x{i}") if text and with_distinct else F.lit(None)).cast("long"),
         })
-    return wide_to_long(wide, rows)
+    out = wide_to_long(wide, rows)
+    if not with_distinct or sketched:
+        return out
+    found = class_figures(cell_counts(df) if cells is None else cells).select("position", F.col("distinct").alias("_d"))
+    return out.join(found, "position", "left").withColumn("distinct", F.coalesce("_d", F.lit(0))) \
+        .select(*out.columns)
 
 
 def missing_report(cols: DataFrame) -> DataFrame:
@@ -156,26 +165,35 @@ def outlier_report(df: DataFrame) -> DataFrame:
                       rank.alias("report_rank"))
 
 
-def imbalance_report(df: DataFrame) -> DataFrame:
+def imbalance_report(df: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """DQ-4: text columns with >= 2 classes whose largest/smallest class
-    ratio (rounded to 1) exceeds 10."""
-    txt = [f.name for f in df.schema.fields if is_text(f.dataType)]
-    spark = df.sparkSession
+    ratio (rounded to 1) exceeds 10.  ``cells``: the distinct table of all
+    columns of ``df``.  Only the text of the largest classes is read again (the
+    smallest of tied ones is named)."""
+    df = nan_to_null(df)
+    txt = [i for i, f in enumerate(df.schema.fields) if is_text(f.dataType)]
     if not txt:
-        return spark.createDataFrame([], "column string, dominant_class string, dominant_pct double, "
-                                         "ratio double, penalty int")
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), qcol(c).alias("value")) for c in txt])).alias("_u")) \
-        .select("_u.*").where(F.col("value").isNotNull())
-    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    per = counts.groupBy("column").agg(
-        F.count(F.lit(1)).alias("classes"), F.sum("cnt").alias("total"),
-        F.max("cnt").alias("top"), F.min("cnt").alias("bottom"),
-        F.min_by("value", F.struct((-F.col("cnt")).alias("c"), F.col("value").alias("v"))).alias("dominant_class"))
+        return df.sparkSession.createDataFrame([], "column string, dominant_class string, dominant_pct double, "
+                                                   "ratio double, penalty int")
+    if cells is None:
+        names = [df.columns[i] for i in txt]
+        cells, df, txt = cell_counts(df, names, store=True), df.select(*map(qcol, names)), range(len(names))
+    per = imbalance_penalties(cells, txt)
+    tied = cells.join(F.broadcast(per), "position").where(F.col("cnt") == F.col("top"))  # a row per column
+    per = fetch_values(df, df.columns, tied.select(*CELL, "total", "top", "ratio"), only=list(txt)) \
+        .groupBy("position", "total", "top", "ratio").agg(F.min("value").alias("dominant_class"))
+    name = F.element_at(F.array(*[F.lit(c) for c in df.columns]), F.col("position") + 1)
+    return per.select(name.alias("column"), "dominant_class", _pct(F.col("top"), F.col("total")).alias("dominant_pct"),
+                      "ratio", F.lit(IMBALANCE_PENALTY).alias("penalty"))
+
+
+def imbalance_penalties(cells: DataFrame, text_positions: Sequence[int]) -> DataFrame:
+    """Figures and penalty of the imbalanced text columns, without the names
+    of their classes: no value is read."""
     ratio = F.round(F.col("top") / F.col("bottom"), 1)
-    return per.where(F.col("classes") >= 2).withColumn("ratio", ratio).where(F.col("ratio") > IMBALANCE_RATIO) \
-        .select("column", "dominant_class", _pct(F.col("top"), F.col("total")).alias("dominant_pct"),
-                "ratio", F.lit(5).alias("penalty"))
+    return class_figures(cells.where(F.col("position").isin(*text_positions))) \
+        .where(F.col("distinct") >= 2).withColumn("ratio", ratio).where(F.col("ratio") > IMBALANCE_RATIO) \
+        .withColumn("penalty", F.lit(IMBALANCE_PENALTY))
 
 
 def mixed_type_sample(df: DataFrame, key_cols: Sequence[str], sample: int = 100) -> DataFrame:
@@ -224,12 +242,22 @@ def quality_score(missing: DataFrame, duplicates: DataFrame, outliers: DataFrame
 
 
 def run_quality_check(df: DataFrame, approx_distinct: bool = False) -> QualityReport:
+    """All reports.  One distinct table, written once, gives distinct counts
+    and class shares; with ``approx_distinct`` it holds the text columns only."""
     df = nan_to_null(df)
-    cols = column_pass(df, approx_distinct=approx_distinct)
+    txt = [i for i, f in enumerate(df.schema.fields) if is_text(f.dataType)]
+    if approx_distinct:
+        cols = column_pass(df, approx_distinct=True)
+        imb = imbalance_report(df)
+        imb_penalties = imb
+    else:
+        cells = cell_counts(df, store=True)
+        cols = column_pass(df, cells=cells)
+        imb = imbalance_report(df, cells)
+        imb_penalties = imbalance_penalties(cells, txt) if txt else imb
     missing = missing_report(cols)
     dup = duplicate_report(df)
     out = outlier_report(df)
-    imb = imbalance_report(df)
     flags = column_flags(cols)
     return QualityReport(missing, dup, out, imb, flags,
-                         quality_score(missing, dup, out, imb, flags, cols))
+                         quality_score(missing, dup, out, imb_penalties, flags, cols))
