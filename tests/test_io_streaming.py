@@ -1,8 +1,10 @@
+import datetime
 import io
 import os
 import tempfile
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF
@@ -114,3 +116,40 @@ def test_read_table_dispatch_and_ordered_log(spark):
     assert a.count() == b.count() == 3 and dict(a.dtypes)["turn"] == "int"
     pos = {(r["conv"], r["turn"]): r["position"] for r in sinks.ordered_log(b, ["conv"], ["turn"]).collect()}
     assert pos == {(1, 0): 0, (1, 1): 1, (2, 0): 0}
+
+
+def test_snapshot_versions_replace_and_delete(spark, patients):
+    base = tempfile.mkdtemp(prefix="vs-snap-")
+    first = sinks.save_snapshot(patients.limit(5), base, "a/b", ["patient_id"])
+    old = sinks.load_snapshot(spark, base, "a/b")
+    second = sinks.save_snapshot(sinks.load_snapshot(spark, base, "a/b").limit(3), base, "a/b", ["patient_id"])
+    assert first != second and old.count() == 5  # a reader of the old version goes on
+    profile = {r["column"]: r["unique_values"] for r in sinks.load_profile(spark, base, "a/b").collect()}
+    assert sinks.load_snapshot(spark, base, "a/b").count() == 3 == profile["patient_id"]
+    home = os.path.join(base, "a%2Fb")
+    open(os.path.join(home, "commits", "000000000003"), "w").close()  # a commit under way
+    assert sinks.snapshot_version(spark, base, "a/b") == second
+    with pytest.raises(Exception):
+        sinks.save_snapshot(patients.select(F.raise_error(F.lit("lost")).alias("x")), base, "a/b", ["x"])
+    assert sinks.snapshot_version(spark, base, "a/b") == second
+    sinks.drop_old_versions(spark, base, "a/b")
+    assert sorted(os.listdir(home)) == sorted(["commits", second])
+    assert sinks.delete_snapshot(spark, base, "a/b") and not sinks.delete_snapshot(spark, base, "a/b")
+    assert os.listdir(home) == ["commits"]
+    with pytest.raises(FileNotFoundError):
+        sinks.load_snapshot(spark, base, "a/b")
+
+
+def test_stream_leaves_late_rows_out(spark):
+    """Closed windows stay as they are when a row comes after the watermark;
+    a row inside it counts; an empty part changes nothing."""
+    schema = "ts timestamp_ntz, value double"
+    at = lambda day, hour: datetime.datetime(2024, 1, day, hour, 30)
+    parts = [[(at(1, 1), 9.0), (at(1, 5), 9.0)], [(at(2, 1), 9.0), (at(1, 23), 9.0)], [],
+             [(at(1, 1), 9.0), (at(2, 0), 9.0), (at(3, 0), 9.0)]]
+    rules = [{"column": "value", "operator": ">", "value": 5}]
+    out = rules_stream.feed_rules_stream([spark.createDataFrame(p, schema) for p in parts], rules, "ts",
+                                         tempfile.mkdtemp(prefix="vs-feed-"))
+    got = {(r["d"], r["h"]): r["n_triggered"] for r in out.selectExpr("day(window_start) d", "hour(window_start) h",
+                                                                      "n_triggered").collect()}
+    assert got == {(1, 1): 1, (1, 5): 1, (1, 23): 1, (2, 0): 1, (2, 1): 1}

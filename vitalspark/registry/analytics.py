@@ -359,6 +359,35 @@ def rules_stream_run(spark, sf_dir):
                       "rule_id", "name", "severity", "n_triggered")
 
 
+# Events arrive in four parts of equal time; the sign-ups of the first day come
+# with the last part, long after their windows closed.
+_LATE_SQL = ("WITH b AS (SELECT epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi FROM events), kept AS ("
+             "SELECT e.* FROM events e, b WHERE NOT (event_type = 'signup' AND epoch_us(ts) < lo + 86400000000)), c AS ("
+             + _event_rules_sql().replace("strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S')",
+                                          "time_bucket(INTERVAL 1 HOUR, ts)").replace("FROM events", "FROM kept")
+             + ") SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, rule_id, name, severity,"
+               " n_triggered FROM c, b WHERE epoch_us(window_start) + 3600000000 <= hi - 7200000000")
+
+
+@register("rules_stream_late", "RUL-5", _LATE_SQL)
+def rules_stream_late(spark, sf_dir):
+    """Append mode with a watermark of two hours over four parts, each a new
+    start from the checkpoint; rows that come after their window are left out."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..streaming.rules_stream import feed_rules_stream
+    events = table(spark, sf_dir, "events")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    lo, hi = events.agg(F.min(us), F.max(us)).first()
+    late = (F.col("event_type") == "signup") & (us < lo + 86_400_000_000)
+    part = F.when(late, 3).otherwise(F.least(F.floor((us - lo) * 4 / (hi - lo + 1)), F.lit(3)))
+    out = feed_rules_stream([events.where(part == i) for i in range(4)], EVENT_RULES, "ts",
+                            f"{ensure_checkpoint_dir(spark).rstrip('/')}/rules-{uuid.uuid4().hex}")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+                      "rule_id", "name", "severity", "n_triggered")
+
+
 @register("compare_summary", "CMP-2",
           "WITH c AS (" + _compare_sql() + ") SELECT count(*) AS n_compared, max(rows_a) AS rows_a,"
           " max(rows_b) AS rows_b, count_if(significant AND effect_size IN ('medium', 'large')) AS n_significant,"

@@ -15,6 +15,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.columns import to_double
@@ -99,3 +100,29 @@ def start_rules_stream(spark: SparkSession, source_dir: str, schema, rules: Sequ
         .option("path", sink_dir).option("checkpointLocation", checkpoint_dir)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()
+
+
+def feed_rules_stream(batches: Sequence[DataFrame], rules: Sequence[Mapping], ts_col: str, folder: str,
+                      window: str = DEFAULT_WINDOW, watermark: str = DEFAULT_WATERMARK) -> DataFrame:
+    """Feed batches that arrive one after another and return the windows that
+    the stream has closed.
+
+    Each batch is appended to the source folder and the stream starts again
+    from its checkpoint (so a lost driver goes on the same way), reads it,
+    moves the watermark to the newest event less ``watermark`` and appends the
+    windows that end by then; later rows of such a window are left out, and its
+    state is gone.  State is bounded by the windows inside the watermark.
+    ``folder`` lies on shared storage.  Without a batch, or with empty ones
+    only, there is no window."""
+    source, sink, checkpoint = (f"{folder}/{part}" for part in ("source", "windows", "checkpoint"))
+    if not batches:
+        raise ValueError("no batch")
+    spark, schema = batches[0].sparkSession, batches[0].schema
+    for rows in batches:
+        rows.select(*schema.names).write.mode("append").parquet(source)
+        start_rules_stream(spark, source, schema, rules, ts_col, sink, checkpoint, window, watermark).awaitTermination()
+    closed = rule_window_counts(spark.createDataFrame([], schema), rules, ts_col, window).schema
+    for field in closed.fields:  # the watermark makes the wall clock a point in time
+        if field.name.startswith("window_") and dict(batches[0].dtypes)[ts_col] == "timestamp_ntz":
+            field.dataType = T.TimestampType()
+    return spark.read.schema(closed).parquet(sink)
