@@ -272,3 +272,35 @@ def test_dbscan_auto_eps_against_brute_force(spark, n_spread):
     got = {r["k"]: r["cluster"] for r in dbscan.dbscan(df, ["a", "b"], ["k"]).collect()}
     want = _brute_dbscan(z, _brute_auto_eps(z), max(3, len(x) // 20))
     assert [got[i] for i in range(len(x))] == list(want)
+
+
+def test_euclidean_silhouette_equals_brute_force(spark, monkeypatch):
+    """Repeated points, noise, null labels, missing numbers, a cluster of one
+    row, several blocks, and a sample smaller than a cluster."""
+    import hashlib
+
+    import numpy as np
+    from vitalspark.ml import cluster
+    monkeypatch.setattr(cluster, "SILHOUETTE_BLOCK", 16)
+    r = np.random.default_rng(3)
+    pts = [(i, int(i % 3), [float(x) for x in r.normal(i % 3, 1, 3)]) for i in range(60)]
+    pts += [(60, 0, pts[0][2]), (61, 3, [9.0, 9.0, 9.0])]
+    odd = [(62, -1, [0.0] * 3), (63, None, [0.0] * 3), (64, 1, [0.0, None, 0.0]), (65, 1, None)]
+    df = spark.createDataFrame(pts + odd, "id long, c int, z array<double>")
+    for cap in (1000, 7):
+        got = {x["id"]: x for x in cluster.euclidean_silhouette(df, "c", "z", ["id"], per_cluster=cap).collect()}
+        name = lambda i: hashlib.md5(str(i).encode()).hexdigest()
+        sample = [p for c in range(4) for p in sorted((p for p in pts if p[1] == c), key=lambda p: name(p[0]))[:cap]]
+        assert sorted(got) == [p[0] for p in pts]
+        for i, c, z in pts:
+            mean = {}
+            for k in range(4):
+                d = [np.linalg.norm(np.subtract(z, q[2])) for q in sample if q[1] == k and q[0] != i]
+                if d:
+                    mean[k] = np.mean(d)
+            other = min(v for k, v in mean.items() if k != c)
+            want = (other - mean[c]) / max(other, mean[c]) if c in mean else 0.0
+            assert abs(got[i]["silhouette"] - want) < 1e-9
+    one = df.where("c = 1")
+    assert all(x["silhouette"] == 0 for x in cluster.euclidean_silhouette(one, "c", "z", ["id"]).collect())
+    assert cluster.euclidean_silhouette(df.limit(0), "c", "z", ["id"]).count() == 0

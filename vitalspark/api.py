@@ -174,7 +174,7 @@ def run_clustering(df: DataFrame, feature_cols: Sequence[str], key_cols: Sequenc
         labels = lab.select(*key_cols, "cluster")
     labelled = st.data.join(labels, list(key_cols))
     return {"labels": labels, "cluster_stats": _cluster.cluster_stats(labelled, st.feature_cols),
-            "scatter": _cluster.pca_scatter(labelled, key_cols), "silhouette": _cluster.silhouette(labelled)}
+            "scatter": _cluster.pca_scatter(labelled, key_cols), "silhouette": _cluster.silhouette(labelled, key_cols=key_cols)}
 
 
 def run_explainability(df: DataFrame, feature_cols: Sequence[str], target_col: str, key_cols: Sequence[str],

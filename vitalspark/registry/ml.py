@@ -4,6 +4,7 @@ SQL-expressible: these are checked by row counts here and by the unit tests
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions.columns import r4
@@ -94,10 +95,37 @@ def ml_kmeans(spark, sf_dir):
 @register("ml_pca", "ML-14 ML-12")
 def ml_pca(spark, sf_dir):
     _, labelled = _customer_clusters(spark, sf_dir)
-    sil = cluster.silhouette(labelled)
+    sil = cluster.silhouette(labelled, key_cols=["c_custkey"])
     return cluster.pca_scatter(labelled, ["c_custkey"]).withColumn("silhouette", F.lit(sil))
 
 
+_SILHOUETTE_SQL = """
+WITH s AS (SELECT avg(c_acctbal) AS mb, stddev_pop(c_acctbal) AS sb, avg(c_nationkey) AS mn, stddev_pop(c_nationkey) AS sn
+           FROM customer),
+     p AS (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0 WHEN c_acctbal < 5000 THEN 1 ELSE 2 END AS label,
+                  (c_acctbal - mb) / sb AS x, (c_nationkey - mn) / sn AS y,
+                  md5(CAST(c_custkey AS VARCHAR)) AS name FROM customer, s),
+     q AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY label ORDER BY name) <= 1000),
+     m AS (SELECT a.c_custkey, a.label, q.label AS their, avg(sqrt((a.x - q.x) ** 2 + (a.y - q.y) ** 2)) AS d
+           FROM p a JOIN q ON a.c_custkey <> q.c_custkey GROUP BY ALL),
+     o AS (SELECT c_custkey, label, max(d) FILTER (their = label) AS own, min(d) FILTER (their <> label) AS nearest
+           FROM m GROUP BY ALL)
+SELECT c_custkey, CAST(label AS BIGINT) AS label, round(own, 4) AS own, round(nearest, 4) AS "other",
+       round((nearest - own) / greatest(nearest, own), 4) AS silhouette FROM o
+"""
+
+
+@register("ml_silhouette", "ML-12", _SILHOUETTE_SQL)
+def ml_silhouette(spark, sf_dir):
+    """Euclidean silhouette of every customer, the clusters given by balance."""
+    st = cluster.standardise_features(table(spark, sf_dir, "customer"), ["c_acctbal", "c_nationkey"], ["c_custkey"])
+    bal = F.col("c_acctbal")
+    points = st.data.select("c_custkey", F.when(bal < 0, 0).when(bal < 5000, 1).otherwise(2).alias("label"),
+                            vector_to_array("features").alias("z"))
+    out = cluster.euclidean_silhouette(points, "label", "z", ["c_custkey"])
+    return out.select("c_custkey", "label", *[r4(F.col(c)).alias(c) for c in ("own", "other", "silhouette")])
+
+
 # ---------------------------------------------------------------- RES-1 on trend fits
 
 def _grading_sql() -> str:
