@@ -78,3 +78,33 @@ def test_survival_needs_five_rows(spark):
     df = spark.createDataFrame([(1.0, 1), (2.0, 0)], "d double, e int")
     with pytest.raises(ValueError):
         survival.run_kaplan_meier(df, "d", "e")
+
+
+def test_moving_average_by_messages_equals_brute_force(spark):
+    """One group with half of all rows, groups of 1 to 40 rows, text keys, and
+    a plan without self-joins."""
+    import numpy as np
+    from vitalspark.operators import trend
+    r = np.random.default_rng(5)
+    sizes = {0: 900, **{g: g for g in range(1, 41)}}
+    rows = [(g, f"{j:05d}", float(r.integers(0, 1000))) for g, n in sizes.items() for j in range(n)]
+    df = spark.createDataFrame([rows[j] for j in r.permutation(len(rows))], "g long, at string, v double")
+    ti = trend.trend_input(df, ["v"], ["at"], ["g"])
+    lines = trend.trend_lines(ti, trend.linear_trend(ti))
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2  # the two tables with one row a group
+    got = {}
+    for x in lines.collect():
+        got.setdefault(x["g"], []).append((x["idx"], x["at"], x["value"], x["moving_avg"], x["window"]))
+    for g, n in sizes.items():
+        mine = sorted(got[g])
+        v = [q[2] for q in rows if q[0] == g]
+        w = max(3, n // 10)
+        o = (w - 1) // 2
+        assert [(m[0], m[1], m[2]) for m in mine] == [(j, f"{j:05d}", v[j]) for j in range(n)]
+        for j, m in enumerate(mine):
+            if n < w:
+                assert m[3] is None
+                continue
+            c = min(max(j, w - 1 - o), n - 1 - o)
+            assert m[4] == w and abs(m[3] - np.mean(v[c - (w - 1 - o):c + o + 1])) < 1e-9

@@ -4,8 +4,11 @@ The reference regresses each column on the row position.  Here the position
 comes from ``order_by`` (and restarts per ``group_by`` entity), computed with
 ``ordered_prefix`` so even a group holding a third of all rows is spread
 over many tasks.  The centred moving average uses running sums: the mean of
-a frame is a difference of two prefix sums, looked up by equi-joins on
-(group, position), so the frame width (n // 10, huge at scale) costs nothing.
+a frame is a difference of two prefix sums.  Each row sends its running sum to
+the two positions whose frames it bounds, and one aggregate by (group,
+position) brings them together: no self-join, no hot key, and the frame width
+(n // 10, huge at scale) costs nothing.  The windows of a group's edge rows are
+computed once a group.
 """
 
 from __future__ import annotations
@@ -14,17 +17,18 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import complete_rows, qcol, require_numeric
-from ..plans.aggregates import one_row
+from ..plans.aggregates import broadcast_if_small, one_row
 from ..plans.ordered import ordered_prefix
 from ..session import cut_lineage
 
 MIN_WINDOW = 3           # fixed: moving-average window is max(3, n // 10)
 WINDOW_DIVISOR = 10
 FORECAST_STEPS = 10
+COEF_ROWS = 100_000      # lines broadcast at once: about ten numbers and a group key each
 FIRST_ABS_FLOOR = 0.001  # change % is 0 when |first| <= 0.001
 # Running sums are exact decimals: a frame sum is the difference of two
 # running sums, which in doubles would lose digits as the sums grow.  22 whole
@@ -90,20 +94,39 @@ def trend_lines(ti: TrendInput, fit: DataFrame) -> DataFrame:
     take the first / last full window (pandas bfill + ffill).  ``moving_sum``
     is the exact frame sum in multiples of ``unit`` (1 for ordinary columns)."""
     g = [*ti.group_cols, "column"]
-    coef = fit.select(*g, "n", "slope", "intercept")
-    rows = ti.long.join(coef, g)
     w = F.greatest(F.lit(MIN_WINDOW), F.floor(F.col("n") / WINDOW_DIVISOR)).cast("long")
-    o = F.floor((w - 1) / 2).cast("long")
-    back = w - 1 - o
-    centre = F.least(F.greatest(F.col("idx"), back), F.col("n") - 1 - o)
-    rows = rows.withColumns({"_w": w, "_hi": centre + o, "_lo": centre - back - 1})
-    pref = ti.long.select(*g, F.col("idx").alias("_pi"), F.col("cum").alias("_pc"))
-    hi = pref.withColumnRenamed("_pi", "_hi").withColumnRenamed("_pc", "_sum_hi")
-    lo = pref.withColumnRenamed("_pi", "_lo").withColumnRenamed("_pc", "_sum_lo")
-    rows = rows.join(hi, [*g, "_hi"], "left").join(lo, [*g, "_lo"], "left")
-    frame_sum = F.when(F.col("n") >= F.col("_w"), F.col("_sum_hi") - F.coalesce(F.col("_sum_lo"), F.lit(0)))
+    ahead = F.floor((F.col("_w") - 1) / 2).cast("long")
+    coef = cut_lineage(fit.select(*g, "n", "slope", "intercept", w.alias("_w")).withColumn("_o", ahead)
+                       .withColumn("_back", F.col("_w") - 1 - F.col("_o")))
+    i, n = F.col("idx"), F.col("n")
+    framed = ti.long.join(broadcast_if_small(coef, COEF_ROWS), g)
+    # The first and last full window of a group: three running sums of it.
+    edges = cut_lineage(framed.groupBy(*g).agg(
+        F.max(F.when(i == F.col("_w") - 1, F.col("cum"))).alias("_head"),
+        F.max(F.when(i == n - 1, F.col("cum"))).alias("_all"),
+        F.max(F.when(i == n - 1 - F.col("_w"), F.col("cum"))).alias("_before")))
+    framed = framed.join(broadcast_if_small(edges, COEF_ROWS), g)
+    # Every row's running sum goes to the two rows whose frames it bounds.
+    own = [*ti.key_cols, "value", "unit", "n", "slope", "intercept", "_w", "_o", "_back", "_head", "_all", "_before"]
+    names = [f"_m{j}" for j in range(len(own))]
+    kinds = dict(framed.dtypes)
+
+    def message(at: Column, kind: str) -> Column:
+        payload = [F.when(F.lit(kind == "own"), F.col(c)).cast(kinds[c]).alias(m) for c, m in zip(own, names)]
+        sums = [F.when(F.lit(kind == k), F.col("cum")).cast(PREFIX_TYPE).alias(f"_{k}") for k in ("hi", "lo")]
+        inside = (F.lit(True) if kind == "own" else
+                  (n >= F.col("_w")) & (at >= F.col("_back")) & (at <= n - 1 - F.col("_o")))
+        return F.when(inside, F.struct(at.alias("idx"), *payload, *sums))
+    sent = framed.select(*g, F.explode(F.array(message(i, "own"), message(i - F.col("_o"), "hi"),
+                                               message(i + F.col("_back") + 1, "lo"))).alias("_u")) \
+        .where("_u is not null").select(*g, "_u.*")
+    rows = sent.groupBy(*g, "idx").agg(*[F.max(m).alias(c) for c, m in zip(own, names)],
+                                       F.max("_hi").alias("_hi"), F.max("_lo").alias("_lo"))
+    upper = F.when(i < F.col("_back"), F.col("_head")).when(i > n - 1 - F.col("_o"), F.col("_all")).otherwise(F.col("_hi"))
+    lower = F.when(i < F.col("_back"), F.lit(None)).when(i > n - 1 - F.col("_o"), F.col("_before")).otherwise(F.col("_lo"))
+    frame_sum = F.when(n >= F.col("_w"), upper - F.coalesce(lower, F.lit(0)))
     ma = frame_sum.cast("double") / F.col("_w") * F.col("unit")
-    fitted = F.col("slope") * F.col("idx") + F.col("intercept")
+    fitted = F.col("slope") * i + F.col("intercept")
     return rows.select(*ti.group_cols, *ti.key_cols, "column", "idx", "value",
                        fitted.alias("fitted"), ma.alias("moving_avg"), frame_sum.alias("moving_sum"), "unit",
                        F.col("_w").alias("window"))
