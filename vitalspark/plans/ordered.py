@@ -109,7 +109,7 @@ def exact_quantiles(long_df: DataFrame, group_cols: Sequence[str], value_col: st
     """Linear-interpolated quantiles per group, exact.
 
     ``percentile_approx`` (rank error <= n / accuracy) brackets each target
-    rank with a value band.  A counting pass gives, per (group, p), the exact
+    rank with a value band.  One counting scan gives, per (group, p), the exact
     number of values below the band and the distinct values inside it.  When
     the bands are small they are read and the two order statistics around
     p * (n - 1) are picked; when they are not (huge n), approximate quantiles
@@ -151,18 +151,23 @@ def exact_quantiles(long_df: DataFrame, group_cols: Sequence[str], value_col: st
     for _ in range(MAX_NARROWING_ROUNDS):
         joined = _attach_targets(clean, group_cols, targets)
         in_band = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
-        below = {tuple(r[g] for g in group_cols) + (r["p"],): r["_below"] for r in bounded_rows(
-            joined.groupBy(*group_cols, "p").agg(F.count_if(F.col("_v") < F.col("_lo")).alias("_below")),
-            len(targets))}
-        band = joined.where(in_band).groupBy(*group_cols, "p", "_v").agg(F.count(F.lit(1)).alias("_c"))
-        band_rows = band.limit(limit + 1).collect()
-        if len(band_rows) <= limit:
+        # One scan: values in the band by value, those below it as one null.
+        counted = joined.where(F.col("_v") <= F.col("_hi")) \
+            .groupBy(*group_cols, "p", F.when(in_band, F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+        cut = limit + len(targets)
+        rows = counted.limit(cut + 1).collect()
+        band_rows = [r for r in rows if r["_v"] is not None]
+        if len(rows) <= cut and len(band_rows) <= limit:
+            below = {tuple(r[g] for g in group_cols) + (r["p"],): r["_c"] for r in rows if r["_v"] is None}
             picked = _pick(targets, below, band_rows, group_cols)
             if picked is None:
                 return exact_quantiles_sorted(long_df, group_cols, value_col, probs, max_groups)
             return spark.createDataFrame(picked, out_schema)
         # Too many distinct values in the bands: narrow each band with
         # approximate quantiles computed on its own rows.
+        below = {tuple(r[g] for g in group_cols) + (r["p"],): r["_below"] for r in bounded_rows(
+            joined.groupBy(*group_cols, "p").agg(F.count_if(F.col("_v") < F.col("_lo")).alias("_below")),
+            len(targets))}
         grid = [i / NARROW_GRID for i in range(NARROW_GRID + 1)]
         stats = bounded_rows(joined.where(in_band).groupBy(*group_cols, "p").agg(
             F.count(F.lit(1)).alias("_m"), F.percentile_approx("_v", grid, APPROX_ACCURACY).alias("_g")),
