@@ -242,15 +242,39 @@ def test_components_paths_agree(spark):
     assert a == b == {0: 0, 1: 0, 2: 0, 5: 0, 3: 3, 4: 4, 6: 6, 7: 7, 8: 7, 9: 9, 10: 9, 11: 9}
 
 
-def test_isolation_forest_large_input_sampling(spark):
+@pytest.mark.parametrize("n", [40, 1279, 1280, 1281, 6000])
+def test_isolation_forest_samples_are_the_smallest_places(spark, n):
+    """One rule at every size: a tree's sample are the rows of the smallest
+    places, whatever the partitions; 1,280 = 64 rows * 20 trees."""
     rng = np.random.default_rng(8)
-    x = np.vstack([rng.normal(size=(6000, 2)), rng.normal(loc=9, size=(10, 2))])
+    x = np.vstack([rng.normal(size=(n - 10, 2)), rng.normal(loc=9, size=(10, 2))])
     df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "k long, a double, b double")
-    trees = isoforest.fit_forest(df, ["a", "b"], ["k"], n_trees=20, sample_size=64)   # 6010 >= 4*64*20
-    assert len(trees) == 20 and all(t[0, 4] == 64 for t in trees)
-    out = isoforest.isolation_forest(df, ["a", "b"], ["k"], n_trees=20, sample_size=64)
-    flagged = {r["k"] for r in out.where("is_anomaly").collect()}
-    assert set(range(6000, 6010)) <= flagged
+    trees = isoforest.fit_forest(df.repartition(7), ["a", "b"], ["k"], n_trees=20, sample_size=64)
+    again = isoforest.fit_forest(df.coalesce(1), ["a", "b"], ["k"], n_trees=20, sample_size=64)
+    assert len(trees) == 20 and all(t[0, 4] == min(n, 64) for t in trees)
+    assert all(np.array_equal(t, u) for t, u in zip(trees, again))
+    h = np.array([r[0] for r in df.orderBy("k").select(F.xxhash64("k", "a", "b", F.lit(42))).collect()])
+    place = isoforest._places(h, 20, 42)
+    depth = int(np.ceil(np.log2(64)))
+    for t in (0, 19):
+        drawn = x[np.argsort(place[:, t])[:64]]
+        want = isoforest.grow_tree(drawn, np.random.default_rng(42 * 1_000_003 + t), depth)
+        assert np.array_equal(trees[t], np.array([w[1:] for w in sorted(want)], dtype=float))
+    if n > 1000:
+        out = isoforest.isolation_forest(df, ["a", "b"], ["k"], n_trees=20, sample_size=64)
+        assert set(range(n - 10, n)) <= {r["k"] for r in out.where("is_anomaly").collect()}
+
+
+def test_isolation_forest_odd_rows(spark):
+    """Equal rows, null keys, a clashing column name; an empty table has no scores."""
+    schema = "tree long, place double, x double"
+    rows = [(None, 1.0, 2.0)] * 300 + [(i, 1.0 + i % 7, 2.0) for i in range(300)] + [(5, None, 1.0)]
+    out = isoforest.isolation_forest(spark.createDataFrame(rows, schema), ["place", "x"], ["tree"], n_trees=5)
+    assert out.count() == 600 and out.where("anomaly_score is null").count() == 0
+    none = isoforest.isolation_forest(spark.createDataFrame([], schema), ["place", "x"], ["tree"], n_trees=5)
+    assert none.collect() == [] and none.columns == out.columns
+    one = isoforest.isolation_forest(spark.createDataFrame(rows[-2:], schema), ["place", "x"], ["tree"], n_trees=5)
+    assert one.count() == 1
 
 
 def _brute_auto_eps(z):

@@ -1,10 +1,12 @@
 """Isolation forest (RSK-3) as a Spark job.
 
-1. Samples: uniform per tree, chosen by row-key hashes (one hash per row on
-   large inputs, one per row and tree on small ones, see ``fit_forest``); a
-   map-side pre-filter keeps ~4 x 256 candidates per tree and
-   ``row_number() <= 256`` per tree (WindowGroupLimit) picks them.
-2. Trees: ``groupBy(tree).applyInPandas`` grows each tree from its 256 rows
+1. Samples: every row has one 64-bit hash (of key and features); mixed with a
+   tree's constant it gives the row's place for that tree, and the tree's
+   sample are the 256 smallest places -- an independent uniform sample a tree,
+   the same rule for any number of rows.  Each task keeps the 256 smallest of
+   what it has read, lists of up to 1,024 tasks merge into one, and those of a
+   tree into its sample, so no task holds more than about 10^5 rows of a tree.
+2. Trees: ``groupBy(tree).applyInArrow`` grows each tree from its 256 rows
    (NumPy, random feature and split between the node's min and max, depth
    limit ceil(log2 256) = 8).  A tree is at most 511 nodes, so the forest
    (100 trees) is a bounded table that is collected and shipped to tasks.
@@ -21,6 +23,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,18 +77,88 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[t
     return [tuple(n) for n in nodes]
 
 
-def _builder(feature_cols: Sequence[str], sample_size: int, seed: int):
+_PLACED = "tree int, place long, x array<double>"
+_MERGED_TASKS = 1024           # lists of this many tasks become one before a tree's are merged
+_TASK_FLOATS = 4 << 20         # (row, tree) places and feature values held at a time
+
+
+def _places(row_hash: np.ndarray, trees: int, seed: int) -> np.ndarray:
+    """(rows, trees) unsigned places: the row hash mixed with each tree's constant."""
+    odd = np.random.default_rng(seed).integers(0, 1 << 63, trees, dtype=np.uint64)
+    v = row_hash.astype(np.uint64)[:, None] ^ odd[None, :]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        v ^= v >> np.uint64(shift)
+        v *= np.uint64(factor)
+    return v ^ v >> np.uint64(31)
+
+
+def _smallest(place: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k smallest places of each tree with their features:
+    place (rows, trees), x (rows, trees, features)."""
+    if len(place) <= k:
+        return place, x
+    at = np.argpartition(place, k - 1, axis=0)[:k]
+    return np.take_along_axis(place, at, 0), np.take_along_axis(x, at[:, :, None], 0)
+
+
+def _placed_table(tree: np.ndarray, place: np.ndarray, x: np.ndarray) -> pa.Table:
+    ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[-1])
+    return pa.table({"tree": pa.array(tree.astype(np.int32)), "place": pa.array(place.view(np.int64)),
+                     "x": pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(x).ravel()))})
+
+
+def _sample_of_task(n_features: int, trees: int, k: int, seed: int):
+    step = max(1, _TASK_FLOATS // trees)
+    block = max(1, min(trees, _TASK_FLOATS // (2 * k * n_features)))
+
+    def run(batches):
+        place, x = np.zeros((0, trees), np.uint64), np.zeros((0, trees, n_features))
+        for b in batches:
+            for start in range(0, b.num_rows, step):
+                part = b.slice(start, step)
+                new = _places(part.column(0).to_numpy(), trees, seed)
+                rows = np.column_stack([c.to_numpy(zero_copy_only=False) for c in part.columns[1:]])
+                if len(place) == k:  # only rows that some tree takes
+                    live = (new < place.max(axis=0)).any(axis=1)
+                    new, rows = new[live], rows[live]
+                if not len(new):
+                    continue
+                n = min(k, len(place) + len(new))
+                kept_place, kept_x = np.empty((n, trees), np.uint64), np.empty((n, trees, n_features))
+                for t in range(0, trees, block):
+                    s = slice(t, t + block)
+                    at = np.argpartition(new[:, s], k - 1, axis=0)[:k] if len(new) > k else np.broadcast_to(
+                        np.arange(len(new))[:, None], new[:, s].shape)
+                    kept_place[:, s], kept_x[:, s] = _smallest(
+                        np.concatenate([place[:, s], np.take_along_axis(new[:, s], at, 0)]),
+                        np.concatenate([x[:, s], rows[at]]), k)
+                place, x = kept_place, kept_x
+        for t in range(trees if len(place) else 0):
+            yield from _placed_table(np.full(len(place), t), place[:, t], x[:, t]).to_batches()
+    return run
+
+
+def _sample_of_lists(k: int):
+    def run(t: pa.Table) -> pa.Table:
+        place = t["place"].to_numpy().view(np.uint64)
+        return t.select(["tree", "place", "x"]).take(np.argsort(place, kind="stable")[:k])
+    return run
+
+
+def _builder(sample_size: int, seed: int):
     max_depth = int(math.ceil(math.log2(max(sample_size, 2))))
+    merge = _sample_of_lists(sample_size)
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(pdf["tree"].iloc[0])
-        pdf = pdf.sort_values("_u")
-        x = pdf[list(feature_cols)].to_numpy(dtype=float)
-        rng = np.random.default_rng(seed * 1_000_003 + tree)
-        nodes = grow_tree(x, rng, max_depth)
-        out = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left", "right", "size"])
-        out.insert(0, "tree", tree)
-        return out
+    def build(t: pa.Table) -> pa.Table:
+        t = merge(t)
+        tree = t["tree"][0].as_py()
+        x = t["x"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        nodes = grow_tree(x, np.random.default_rng(seed * 1_000_003 + tree), max_depth)
+        node, feature, threshold, left, right, size = (np.array(c) for c in zip(*nodes))
+        ints = {"node": node, "feature": feature, "left": left, "right": right, "size": size}
+        cols = {"tree": pa.array(np.full(len(nodes), tree, np.int32)), "threshold": pa.array(threshold.astype(float)),
+                **{c: pa.array(v.astype(np.int32)) for c, v in ints.items()}}
+        return pa.table(cols).select(["tree", "node", "feature", "threshold", "left", "right", "size"])
     return build
 
 
@@ -136,57 +209,31 @@ def path_lengths(x: np.ndarray, trees: list[np.ndarray] | dict) -> np.ndarray:
 
 
 def fit_forest(work: DataFrame, feature_cols: Sequence[str], key_cols: Sequence[str], n_trees: int = N_TREES,
-               sample_size: int = SAMPLE_SIZE, seed: int = SEED, n_rows: int | None = None) -> list[np.ndarray]:
-    """Grow the trees.  Each tree's sample is a uniform sample of the rows:
-
-    * large input (n >= 4 * sample_size * n_trees): ONE hash per row picks at
-      most one tree -- the hash range is cut into n_trees slices and the
-      lowest hashes of each slice form that tree's sample (samples do not
-      overlap, which changes nothing when n is this much larger than the
-      forest's total sample);
-    * small input: every tree hashes every row with its own seed (an
-      explode by tree, cheap at this size), so samples overlap as
-      independent draws do.
-    A map-side pre-filter keeps about 4 x sample_size candidates per tree and
-    ``row_number() <= sample_size`` (WindowGroupLimit) picks them."""
-    from pyspark.sql import Window
-    n = work.count() if n_rows is None else n_rows
-    keys = [qcol(k) for k in key_cols]
-    feats = [qcol(c).cast("double").alias(c) for c in feature_cols]
-    unit = lambda h: F.shiftrightunsigned(h, 11) / float(1 << 53)  # noqa: E731  all 64 bits of the hash count
-    if n >= 4 * sample_size * n_trees:
-        u = unit(F.xxhash64(*keys, F.lit(seed)))
-        slot = u * n_trees
-        keep = min(1.0, 4.0 * sample_size * n_trees / n)
-        cand = work.select(*keys, *feats, F.floor(slot).cast("int").alias("tree"), (slot - F.floor(slot)).alias("_u")) \
-            .where(F.col("_u") < keep)
-    else:
-        keep = min(1.0, 4.0 * sample_size / max(n, 1))
-        trees = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree")
-        cand = work.select(*keys, *feats, trees)
-        u = unit(F.xxhash64(*keys, F.col("tree"), F.lit(seed)))
-        cand = cand.withColumn("_u", u).where(F.col("_u") < keep)
-    w = Window.partitionBy("tree").orderBy("_u", *keys)
-    sample = cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample_size)
-    built = sample.select("tree", "_u", *feature_cols).groupBy("tree").applyInPandas(
-        _builder(feature_cols, sample_size, seed), TREE_SCHEMA)
-    rows = bounded_rows(built, n_trees * (2 * sample_size))
+               sample_size: int = SAMPLE_SIZE, seed: int = SEED) -> list[np.ndarray]:
+    """Grow the trees, each from the ``sample_size`` rows with its smallest
+    places (all rows when there are fewer); no trees without rows.  Rows that
+    agree in key and features have one hash, so which of them is drawn makes
+    no difference, and the trees do not depend on the partitioning."""
+    feats = [qcol(c).cast("double") for c in feature_cols]
+    rows = work.select(F.xxhash64(*[qcol(k) for k in key_cols], *feats, F.lit(seed)).alias("h"),
+                       *[c.alias(f"x{i}") for i, c in enumerate(feats)])
+    lists = rows.mapInArrow(_sample_of_task(len(feats), n_trees, sample_size, seed), _PLACED)
+    merged = lists.withColumn("lists", F.floor(F.spark_partition_id() / _MERGED_TASKS)) \
+        .groupBy("tree", "lists").applyInArrow(_sample_of_lists(sample_size), _PLACED)
+    built = merged.groupBy("tree").applyInArrow(_builder(sample_size, seed), TREE_SCHEMA)
     by_tree: dict[int, list] = {}
-    for r in rows:
+    for r in bounded_rows(built, n_trees * 2 * sample_size):
         by_tree.setdefault(r["tree"], []).append((r["node"], r["feature"], r["threshold"], r["left"], r["right"],
                                                  r["size"]))
-    if len(by_tree) < n_trees and n >= n_trees:
+    if by_tree and len(by_tree) < n_trees:
         raise RuntimeError(f"only {len(by_tree)} of {n_trees} trees got rows")
-    out = []
-    for t in sorted(by_tree):
-        nodes = sorted(by_tree[t])
-        out.append(np.array([[f, thr, le, ri, s] for _, f, thr, le, ri, s in nodes], dtype=float))
-    return out
+    return [np.array([n[1:] for n in sorted(by_tree[t])], dtype=float) for t in sorted(by_tree)]
 
 
 def score(work: DataFrame, feature_cols: Sequence[str], trees: list[np.ndarray],
           sample_size: int = SAMPLE_SIZE) -> DataFrame:
-    """Adds ``anomaly_score`` in (0, 1]; higher is more anomalous."""
+    """Adds ``anomaly_score`` in (0, 1]; higher is more anomalous.  ``sample_size``
+    is the number of rows a tree was grown from."""
     norm = c_factor(sample_size)
     spark = work.sparkSession
     bc = spark.sparkContext.broadcast(stack_forest(trees))
@@ -208,10 +255,10 @@ def isolation_forest(df: DataFrame, feature_cols: Sequence[str], key_cols: Seque
     is_anomaly."""
     cols = require_numeric(df, feature_cols, "A")
     work = complete_rows(df.select(*[qcol(k) for k in key_cols], *[qcol(c) for c in cols]), cols)
-    n = work.count()
-    size = min(sample_size, max(n, 1))
-    trees = fit_forest(work, cols, key_cols, n_trees, size, seed, n_rows=n)
-    scored = cut_lineage(score(work, cols, trees, size))
+    trees = fit_forest(work, cols, key_cols, n_trees, sample_size, seed)
+    if not trees:
+        return work.withColumns({"anomaly_score": F.lit(None).cast("double"), "is_anomaly": F.lit(None).cast("boolean")})
+    scored = cut_lineage(score(work, cols, trees, max(2, int(trees[0][0, 4]))))
     q = exact_quantiles(scored.select(F.col("anomaly_score").alias("v")), [], "v", [1 - contamination]).first()
     cut = q["q"] if q else float("inf")
     return scored.withColumn("is_anomaly", F.col("anomaly_score") > F.lit(cut))
