@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +110,14 @@ def test_compare_golden(patients, sample):
     assert r["cohens_d"] == pytest.approx(d) and r["t_stat"] == pytest.approx(t)
     assert r["effect_size"] == next((b for cut, b in ((.8, "large"), (.5, "medium"), (.2, "small")) if abs(d) > cut), "negligible")
     assert r["p_approx"] == pytest.approx(2 * (1 - min(abs(t) / (abs(t) + 3), .999)))
+    assert r["p_normal"] == pytest.approx(math.erfc(abs(t) / 2 ** 0.5), rel=1e-6)
+
+
+def test_two_sided_normal(spark):
+    from pyspark.sql import functions as F
+    rows = spark.createDataFrame([(t,) for t in (-9.0, -2.0, -1e-4, 0.0, 0.3, 1.96, 6.0, 60.0)], "t double")
+    for r in rows.select("t", rules.two_sided_normal(F.col("t")).alias("p")).collect():
+        assert r["p"] == pytest.approx(math.erfc(abs(r["t"]) / 2 ** 0.5), rel=2e-6, abs=1e-300)
 
 
 def test_result_grading_branches(spark):

@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +36,28 @@ def test_profile_cells_percentiles(patients):
     assert all(r["risk_level"] in ("LOW", "MEDIUM", "HIGH") for r in risk)
 
 
+def test_profile_cells_hot_and_missing_values(spark):
+    """Half of the rows hold one value, a quarter none; every column has its
+    row, lists and texts as text; figures as pandas has them."""
+    rows = [(i, 5.0 if i % 2 else None if i % 4 else float(i), None if i % 3 else f"t{i}", [i]) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k long, v double, s string, l array<int>")
+    cells = entity.profile_cells(df, ["k"], ["s"], other_columns=True).collect()
+    got = {(r["k"], r["column"]): r for r in cells}
+    assert len(cells) == len(got) == 12000
+    v = pd.Series([r[1] for r in rows], dtype=float)
+    below = v.rank(method="min") - 1
+    for i, value, text, _ in rows:
+        r = got[i, "v"]
+        assert (r["value"], r["text_value"], r["is_missing"]) == (value, None, value is None)
+        assert r["percentile"] == (None if value is None else pytest.approx(below[i] / v.count() * 100))
+        assert r["median"] == v.median() and r["mean"] == pytest.approx(v.mean())
+        t = got[i, "s"]
+        assert (t["text_value"], t["is_missing"], t["is_feature"], t["percentile"]) == (text, text is None, True, None)
+        assert got[i, "l"]["text_value"] == f"[{i}]"
+    texts = entity.profile_cells(df.select("k", "s"), ["k"], other_columns=True)
+    assert texts.count() == 4000 and entity.profile_cells(df.limit(0), ["k"], other_columns=True).collect() == []
+
+
 def test_cohort_comparison(patients, sample):
     qv = [{"glucose": 140.0}]
     nn, cols = similarity.find_similar(patients, NUM6, ["patient_id"], qv)

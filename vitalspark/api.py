@@ -77,7 +77,7 @@ def get_patient_profile(df: DataFrame, key_cols: Sequence[str], feature_cols: Se
                         target_col: str | None = None, keys: Sequence[tuple] = ()) -> dict:
     """All rows are profiled; ``keys`` selects rows for the similar-rows
     panel (neighbours need query points)."""
-    out = {"cells": entity.profile_cells(df, key_cols, feature_cols, target_col),
+    out = {"cells": entity.profile_cells(df, key_cols, feature_cols, target_col, other_columns=True),
            "risk": entity.risk_profile(df, key_cols, feature_cols)}
     if keys:
         out["selected"] = entity.profile_keys(df, key_cols, keys, feature_cols, target_col)

@@ -6,9 +6,14 @@ gets its percentile, z-score, outlier flag and direction in one plan:
 * percentile = share of non-null values strictly below: computed on the
   distinct-value table with ``ordered_prefix`` (running counts, spread over
   range partitions) and joined back on (column, value) -- no n^2 count and
-  no single-task window;
-* mean / sample std / median per column come from one aggregate plus
-  ``exact_quantiles`` and are applied as literals.
+  no single-task window.  Values that hold over a thousandth of a column (at
+  most 1,000 a column) come by broadcast and their rows, like those without a
+  value, are spread over the join's partitions;
+* mean and sample std per column come from one aggregate, the median from the
+  running counts of the distinct-value table.
+
+Columns that are not numeric (texts, dates, lists) have a value and the
+missing / feature / target flags but no figures, with ``other_columns``.
 """
 
 from __future__ import annotations
@@ -30,6 +35,8 @@ REASON_COLUMNS = 4             # fixed: the reason names at most 4 columns
 
 def column_moments(df: DataFrame, cols: Sequence[str]) -> dict:
     """count, mean and sample std (0 / single row -> 1) per column."""
+    if not cols:
+        return {}
     aggs = []
     for i, c in enumerate(cols):
         v = qcol(c).cast("double")
@@ -39,32 +46,59 @@ def column_moments(df: DataFrame, cols: Sequence[str]) -> dict:
     return {c: (row[f"n{i}"], row[f"m{i}"], row[f"s{i}"], row[f"r{i}"]) for i, c in enumerate(cols)}
 
 
+HOT_SHARE = 1000               # a value is hot when it holds over 1 / HOT_SHARE of its column
+HOT_SPREAD = 1024              # places that the rows of hot and missing values are spread over
+
+
+def _medians(ranked: DataFrame) -> DataFrame:
+    """(column, median) from (column, value, _c, _below, _n): the mean of the
+    two middle values."""
+    low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+    covers = lambda at: (F.col("_below") <= at) & (at < F.col("_below") + F.col("_c"))
+    return ranked.groupBy("column").agg(
+        ((F.max(F.when(covers(low), F.col("value"))) + F.max(F.when(covers(high), F.col("value")))) / 2).alias("median"))
+
+
 def profile_cells(df: DataFrame, key_cols: Sequence[str], feature_cols: Sequence[str] = (),
-                  target_col: str | None = None) -> DataFrame:
+                  target_col: str | None = None, other_columns: bool = False) -> DataFrame:
     """PAT-1 (+ PAT-6 figures) in long form: one row per (key, numeric
     column) with value, percentile, column mean/median/std, z, outlier,
-    direction and the feature/target flags."""
+    direction and the feature/target flags.  With ``other_columns`` every
+    column has its row; one that is not numeric shows its value as text in
+    ``text_value`` (null for numeric ones) and has no figures."""
     df = nan_to_null(df)
-    num = [f.name for f in df.schema.fields if is_numeric(f.dataType, "C") and f.name not in key_cols]
+    kinds = {f.name: is_numeric(f.dataType, "C") for f in df.schema.fields if f.name not in key_cols}
+    num = [c for c, numeric in kinds.items() if numeric]
+    shown = list(kinds) if other_columns else num
     mom = column_moments(df, num)
-    long = df.select(*[qcol(k) for k in key_cols], F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), qcol(c).cast("double").alias("value")) for c in num
-    ])).alias("_u")).select(*key_cols, "_u.column", "_u.value")
+    cell = [F.struct(F.lit(c).alias("column"),
+                     (qcol(c).cast("double") if kinds[c] else F.lit(None).cast("double")).alias("value"),
+                     (F.lit(None) if kinds[c] else qcol(c)).cast("string").alias("text_value")) for c in shown]
+    long = df.select(*[qcol(k) for k in key_cols], F.explode(F.array(*cell)).alias("_u")) \
+        .select(*key_cols, "_u.column", "_u.value", "_u.text_value")
+    stats = df.sparkSession.createDataFrame(
+        [(c, *((int(mom[c][0] or 0), *mom[c][1:]) if kinds[c] else (0, None, None, None))) for c in shown],
+        "column string, _n long, mean double, _s double, std double")
     counts = long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("_c"))
     ranked = ordered_prefix(counts, ["value"], ["column"], sums=[("_cum", "_c")], index_name=None) \
-        .select("column", "value", (F.col("_cum") - F.col("_c")).alias("_below"))
-    med = exact_quantiles(long.select("column", "value"), ["column"], "value", [0.5]) \
-        .select("column", F.col("q").alias("median"))
-    stats = df.sparkSession.createDataFrame(
-        [(c, int(n or 0), m, s, r) for c, (n, m, s, r) in mom.items()],
-        "column string, _n long, mean double, _s double, std double").join(med, "column", "left")
-    cells = long.join(ranked, ["column", "value"], "left").join(F.broadcast(stats), "column")
+        .select("column", "value", "_c", (F.col("_cum") - F.col("_c")).alias("_below")) \
+        .join(F.broadcast(stats.select("column", "_n")), "column")
+    hot = F.col("_c") * HOT_SHARE > F.col("_n")
+    cells = long.join(F.broadcast(ranked.where(hot).select("column", "value", F.col("_below").alias("_hot"))),
+                      ["column", "value"], "left")
+    spread = F.when(F.col("_hot").isNotNull() | F.col("value").isNull(),
+                    1 + F.pmod(F.xxhash64(*[qcol(k) for k in key_cols]), F.lit(HOT_SPREAD))).otherwise(F.lit(0))
+    cells = cells.withColumn("_spread", spread.cast("long")).join(
+        ranked.where(~hot).select("column", "value", F.lit(0).cast("long").alias("_spread"), "_below"),
+        ["column", "value", "_spread"], "left")
+    cells = cells.join(F.broadcast(stats.join(_medians(ranked), "column", "left")), "column")
     z = (F.col("value") - F.col("mean")) / F.col("_s")
     return cells.select(
-        *key_cols, "column", "value", F.col("value").isNull().alias("is_missing"),
+        *key_cols, "column", "value", *(["text_value"] if other_columns else []),
+        (F.col("value").isNull() & F.col("text_value").isNull()).alias("is_missing"),
         F.col("column").isin(list(feature_cols)).alias("is_feature"),
         (F.col("column") == F.lit(target_col or "")).alias("is_target"),
-        (F.col("_below") / F.col("_n") * 100).alias("percentile"),
+        (F.coalesce("_hot", "_below") / F.col("_n") * 100).alias("percentile"),
         "mean", "median", "std", z.alias("z_score"), (F.abs(z) > OUTLIER_Z).alias("is_outlier"),
         F.when(z > DIRECTION_Z, "high").when(z < -DIRECTION_Z, "low")
         .when(z.isNotNull(), "normal").alias("direction"))

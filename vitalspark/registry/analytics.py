@@ -146,6 +146,12 @@ def rules_suggest(spark, sf_dir):
 _CMP_COLS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *LINEITEM_NUM, "l_returnflag")
 
 
+def _normal_sql(t: str) -> str:
+    z, u = f"(abs({t}) / sqrt(2.0))", f"(1 / (1 + abs({t}) / sqrt(2.0) / 2))"
+    poly = " + ".join(f"({c!r}) * {u} ** {i}" for i, c in enumerate(rules.ERFC_TERMS))
+    return f"{u} * exp({poly} - {z} * {z})"
+
+
 def _compare_sql() -> str:
     parts = []
     for i, c in enumerate(_CMP_COLS):
@@ -168,7 +174,7 @@ def _compare_sql() -> str:
         " round(CASE WHEN mb <> 0 THEN (ma - mb) / abs(mb) * 100 ELSE 0.0 END, 4) + 0.0 AS mean_diff_pct,"
         " round(cd, 4) + 0.0 AS cohens_d, CASE WHEN abs(cd) > 0.8 THEN 'large' WHEN abs(cd) > 0.5 THEN 'medium'"
         " WHEN abs(cd) > 0.2 THEN 'small' ELSE 'negligible' END AS effect_size, round(ts, 4) + 0.0 AS t_stat,"
-        " round(pa, 4) AS p_approx, pa < 0.05 AS significant,"
+        f" round(pa, 4) AS p_approx, round(least({_normal_sql('ts')}, 1), 4) AS p_normal, pa < 0.05 AS significant,"
         " CASE WHEN ma > mb THEN 'A_higher' WHEN mb > ma THEN 'B_higher' ELSE 'equal' END AS direction FROM p")
 
 

@@ -43,6 +43,24 @@ def profile_cells(spark, sf_dir):
     return cells.select(*[r4(F.col(c)).alias(c) if c in dbl else F.col(c) for c in cells.columns])
 
 
+_OTHERS = ("l_returnflag", "l_linestatus")
+PROFILE_COLUMNS_SQL = (
+    "SELECT " + _KEYS + ", \"column\", value, CAST(NULL AS VARCHAR) AS text_value, is_missing, is_feature, is_target,"
+    f" percentile, mean, median, std, z_score, is_outlier, direction FROM ({PROFILE_SQL}) UNION ALL "
+    + " UNION ALL ".join(
+        f"SELECT {_KEYS}, '{c}', NULL, {c}, {c} IS NULL, {'true' if c == 'l_returnflag' else 'false'}, false, NULL, NULL,"
+        f" NULL, NULL, NULL, NULL, NULL FROM ({LINEITEM_NULLS_SQL})" for c in _OTHERS))
+
+
+@register("profile_columns", "PAT-1 PAT-6", PROFILE_COLUMNS_SQL)
+def profile_columns(spark, sf_dir):
+    """Every column of a row's profile, the text ones with their value and flags."""
+    cells = entity.profile_cells(lineitem_nulls(spark, sf_dir), LINEITEM_KEY, (*_FEATURES, "l_returnflag"), _TARGET,
+                                 other_columns=True)
+    dbl = ("value", "percentile", "mean", "median", "std", "z_score")
+    return cells.select(*[r4(F.col(c)).alias(c) if c in dbl else F.col(c) for c in cells.columns])
+
+
 def _risk_profile_sql() -> str:
     terms, flags = [], []
     for i, c in enumerate(LINEITEM_NUM):
