@@ -39,6 +39,29 @@ def test_explain_contributions(patients):
     assert sum(r["contribution"] for r in rows) == pytest.approx(rows[0]["prediction"] - base, abs=1e-6)
 
 
+def test_explain_given_inputs(spark, patients):
+    """Missing numbers stand for their mean, unseen and missing categories for
+    the first; a row of the table explained as an input comes out the same."""
+    cols = ["age", "bmi", "gender"]
+    inputs = spark.createDataFrame([(1, 40.0, None, "Male"), (2, None, 30.0, "unknown"), (3, float("nan"), 30.0, None)],
+                                   "who int, age double, bmi double, gender string")
+    out, _, base = explain.explain(patients, cols, "glucose", ["patient_id"], "linear", "regression", inputs=inputs,
+                                   input_keys=["who"])
+    got = {(r["who"], r["feature"]): r for r in out.collect()}
+    assert len(got) == 9 and got[1, "bmi"]["contribution"] == 0 and got[2, "age"]["contribution"] == 0
+    assert [got[w, "gender"]["shown_value"] for w in (1, 2, 3)] == ["Male", "Female", "Female"]
+    assert got[2, "age"]["value"] == got[3, "age"]["value"] == pytest.approx(patients.toPandas().age.mean())
+    for w in (1, 2, 3):
+        rows = [r for (k, _), r in got.items() if k == w]
+        assert sum(r["contribution"] for r in rows) == pytest.approx(rows[0]["prediction"] - base, abs=1e-6)
+    fitted, _, _ = explain.explain(patients, cols, "diagnosis", ["patient_id"], task="classification", trees=5)
+    given, _, _ = explain.explain(patients, cols, "diagnosis", ["patient_id"], task="classification", trees=5,
+                                  inputs=patients.drop("diagnosis"))
+    key = lambda r: (r["patient_id"], r["feature"])
+    assert sorted(fitted.collect(), key=key) == sorted(given.collect(), key=key)
+    assert all(r["prediction_label"] and 0 < r["confidence"] <= 100 for r in given.collect())
+
+
 def test_multi_target(patients):
     out = supervised.compare_targets(patients, ["age", "bmi"], ["glucose", "diagnosis"], ["patient_id"], trees=10)
     rows = {r["target"]: r for r in out.collect()}

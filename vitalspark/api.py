@@ -178,8 +178,10 @@ def run_clustering(df: DataFrame, feature_cols: Sequence[str], key_cols: Sequenc
 
 
 def run_explainability(df: DataFrame, feature_cols: Sequence[str], target_col: str, key_cols: Sequence[str],
-                       model_type: str = "random_forest") -> dict:
-    contrib, imp, base = _explain.explain(df, feature_cols, target_col, key_cols, model_type)
+                       model_type: str = "random_forest", inputs: DataFrame | None = None,
+                       input_keys: Sequence[str] = ()) -> dict:
+    contrib, imp, base = _explain.explain(df, feature_cols, target_col, key_cols, model_type, inputs=inputs,
+                                          input_keys=input_keys)
     return {"local_contributions": contrib, "global_importance": imp, "baseline": base}
 
 

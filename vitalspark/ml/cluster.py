@@ -176,10 +176,12 @@ def cluster_stats(labelled: DataFrame, feature_cols: Sequence[str], label_col: s
 
 def pca_scatter(labelled: DataFrame, key_cols: Sequence[str], label_col: str = "cluster") -> DataFrame:
     """ML-14: two principal components of the standardised features; each
-    component's sign is fixed so its largest loading is positive."""
+    component's sign is fixed so its largest loading (of equal ones the first)
+    is positive."""
     model = PCA(k=2, inputCol="features", outputCol="_pc").fit(labelled)
     pc = model.pc.toArray()
-    signs = [1.0 if pc[abs(pc[:, j]).argmax(), j] >= 0 else -1.0 for j in range(2)]
+    largest = [int((abs(pc[:, j]) > abs(pc[:, j]).max() - 1e-9).argmax()) for j in range(2)]
+    signs = [1.0 if pc[i, j] >= 0 else -1.0 for j, i in enumerate(largest)]
     t = model.transform(labelled)
     arr = vector_to_array(F.col("_pc"))
     return t.select(*key_cols, (arr[0] * signs[0]).alias("x"), (arr[1] * signs[1]).alias("y"), label_col)

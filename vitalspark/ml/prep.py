@@ -2,8 +2,9 @@
 
 Listwise deletion over features + target, text features label-encoded in
 sorted order (``StringIndexer(alphabetAsc)``, the order of a sorted label
-encoder), all assembled into one vector.  The split is a hash of the row key,
-so it is stable under any repartitioning (``randomSplit`` is not).
+encoder), all assembled into one vector.  The split is an MD5 of the row key,
+so it is stable under any repartitioning (``randomSplit`` is not) and other
+engines can repeat it.
 """
 
 from __future__ import annotations
@@ -79,8 +80,10 @@ def label_names(prep: Prepared) -> list[str]:
 
 
 def split_flag(key_cols: Sequence[str], seed: int = SEED, train_percent: int = TRAIN_PERCENT) -> Column:
-    """ML-2: True for training rows: pmod(xxhash64(key, seed), 100) < 80."""
-    return F.pmod(F.xxhash64(*[qcol(c) for c in key_cols], F.lit(seed)), F.lit(100)) < train_percent
+    """ML-2: True for training rows: the first 32 bits of md5('key|...|seed'),
+    modulo 100, below ``train_percent``; null keys are left out of the name."""
+    name = F.concat_ws("|", *[qcol(c).cast("string") for c in key_cols], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("bigint") % 100 < train_percent
 
 
 def split(df: DataFrame, key_cols: Sequence[str], seed: int = SEED,

@@ -16,8 +16,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import qcol
-from ..functions.columns import is_numeric
+from ..functions.columns import is_numeric, qcol, to_double
 from ..operators.profile import MULTI_REGRESSION_DISTINCT, detect_tasks
 from . import prep as P
 
@@ -176,25 +175,32 @@ def importances(fr: FitResult) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double, percent double")
 
 
-def predict_inputs(fr: FitResult, inputs: DataFrame, key_cols: Sequence[str]) -> DataFrame:
-    """ML-16: score new rows with the fitted preprocessing and model.  A
-    missing numeric value becomes 0, an unseen category index 0; classifiers
-    add confidence % and the class label."""
+def encode_inputs(fr: FitResult, inputs: DataFrame, missing: Mapping[str, float]) -> DataFrame:
+    """``inputs`` with the encoded features and their vector.  A numeric value
+    that is missing, NaN or no number becomes ``missing[column]`` (0 without
+    one); an unseen or missing category has index 0; so has a missing column."""
     data = inputs
     for c in fr.prep.feature_cols:
         if c not in data.columns:
-            data = data.withColumn(c, F.lit(0.0))
-    data = data.withColumns({c: F.coalesce(qcol(c).cast("double"), F.lit(0.0))
-                             for c in fr.prep.feature_cols if c not in fr.prep.text_features})
-    stages = [s for s in fr.prep.prep_model.stages if getattr(s, "getOutputCol", lambda: "")() != "label"]
-    for st in stages:
+            data = data.withColumn(c, F.lit(None).cast("string"))
+    data = data.withColumns({c: qcol(c).cast("string") if c in fr.prep.text_features
+                             else F.coalesce(to_double(c), F.lit(float(missing.get(c, 0.0))))
+                             for c in fr.prep.feature_cols})
+    for st in fr.prep.prep_model.stages:
+        out = getattr(st, "getOutputCol", lambda: "")()
+        if out == "label":
+            continue
+        data = st.transform(data)
         if hasattr(st, "labels"):
-            n = len(st.labels)
-            data = st.transform(data)
-            out = st.getOutputCol()
-            data = data.withColumn(out, F.when(F.col(out) >= n, F.lit(0.0)).otherwise(F.col(out)))
-        else:
-            data = st.transform(data)
+            data = data.withColumn(out, F.when(qcol(out) >= len(st.labels), F.lit(0.0)).otherwise(qcol(out)))
+    return data
+
+
+def predict_inputs(fr: FitResult, inputs: DataFrame, key_cols: Sequence[str]) -> DataFrame:
+    """ML-16: score new rows with the fitted preprocessing and model.  A
+    missing numeric value becomes 0, an unseen category index 0; classifiers
+    add confidence % and the class label."""
+    data = encode_inputs(fr, inputs, {})
     scored = fr.model.transform(data)
     cols = [*key_cols, "prediction"]
     if fr.task == "classification":

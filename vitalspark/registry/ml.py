@@ -1,6 +1,7 @@
-"""Machine-learning queries (ML-1..17, RES-1).  Model fits are not
-SQL-expressible: these are checked by row counts here and by the unit tests
-(metric bounds, invariants, brute-force comparisons)."""
+"""Machine-learning queries (ML-1..17, RES-1).  Linear fits of two features,
+their metrics, predictions and explanations have SQL; other model fits are
+checked by row counts here and by the unit tests (metric bounds, invariants,
+brute-force comparisons)."""
 
 from __future__ import annotations
 
@@ -8,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions.columns import r4
-from ..ml import cluster, dbscan, explain, isoforest, supervised, ward
+from ..ml import cluster, dbscan, explain, isoforest, prep, supervised, ward
 from ..operators import narrative, trend
 from .base import LINEITEM_KEY, register, table
 
@@ -59,8 +60,9 @@ def ml_logistic_predictions(spark, sf_dir):
 
 @register("ml_explain", "ML-15")
 def ml_explain(spark, sf_dir):
+    """The model of the labelled documents, explained for every document."""
     contrib, _, _ = explain.explain(_docs_labelled(spark, sf_dir), ["n_chars", "lang", "source"], "quality",
-                                    ["doc_id"], task="classification")
+                                    ["doc_id"], task="classification", inputs=table(spark, sf_dir, "documents"))
     return contrib
 
 
@@ -73,6 +75,176 @@ def ml_predict_inputs(spark, sf_dir):
     return supervised.predict_inputs(fr, unlabelled, ["doc_id"])
 
 
+# ---------------------------------------------------------------- with SQL
+
+# Least squares of y on x1, x2 over the rows t(x1, x2, y), as one row m.
+_OLS = (
+    "c AS (SELECT avg(x1) AS a1, avg(x2) AS a2, avg(y) AS ay, var_pop(x1) AS v1, var_pop(x2) AS v2,"
+    " covar_pop(x1, x2) AS c12, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2 FROM t),"
+    " b AS (SELECT *, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS b1,"
+    " (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS b2 FROM c),"
+    " m AS (SELECT *, ay - b1 * a1 - b2 * a2 AS b0 FROM b)")
+
+
+def _train_sql(keys) -> str:
+    name = " || '|' || ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+    return f"CAST('0x' || substr(md5({name} || '|42'), 1, 8) AS BIGINT) % 100 < 80"
+
+
+_PREPARED_SQL = (
+    "SELECT doc_id, CAST(n_chars AS DOUBLE) AS n_chars, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INTEGER) AS lang_code,"
+    " CAST(dense_rank() OVER (ORDER BY source) - 1 AS INTEGER) AS source_code,"
+    " CAST(dense_rank() OVER (ORDER BY quality) - 1 AS INTEGER) AS label, " + _train_sql(["doc_id"]) + " AS is_train"
+    " FROM documents JOIN labels USING (doc_id) WHERE n_chars IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL"
+    " AND quality IS NOT NULL")
+
+
+@register("ml_prepared", "ML-1 ML-2", _PREPARED_SQL)
+def ml_prepared(spark, sf_dir):
+    """Encoded features and label of the labelled documents, and their side of the split."""
+    p = prep.prepare(_docs_labelled(spark, sf_dir), ["n_chars", "lang", "source"], "quality", ["doc_id"], index_label=True)
+    return p.data.select("doc_id", F.col("n_chars").cast("double").alias("n_chars"),
+                         F.col("lang__idx").cast("int").alias("lang_code"),
+                         F.col("source__idx").cast("int").alias("source_code"), F.col("label").cast("int").alias("label"),
+                         prep.split_flag(["doc_id"]).alias("is_train"))
+
+
+def _price(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").withColumn("price", F.col("l_extendedprice") / 1000)
+
+
+def _price_fit(spark, sf_dir):
+    return supervised.fit(_price(spark, sf_dir), ["l_quantity", "l_discount"], "price", LINEITEM_KEY,
+                          task="regression", model_type="linear")
+
+
+_LI_KEYS = ", ".join(LINEITEM_KEY)
+_PRICE_SQL = (
+    f"WITH r AS (SELECT {_LI_KEYS}, l_quantity AS x1, l_discount AS x2, l_extendedprice / 1000 AS y,"
+    f" {_train_sql(LINEITEM_KEY)} AS is_train FROM lineitem WHERE l_quantity IS NOT NULL AND l_discount IS NOT NULL"
+    f" AND l_extendedprice IS NOT NULL), t AS (SELECT * FROM r WHERE is_train), {_OLS},"
+    f" p AS (SELECT {_LI_KEYS}, y AS label, b0 + b1 * x1 + b2 * x2 AS prediction FROM r, m WHERE NOT is_train)")
+
+
+@register("ml_linear_metrics", "ML-2 ML-3 ML-5",
+          _PRICE_SQL + ", s AS (SELECT count(*) AS n_test, avg((prediction - label) ** 2) AS mse,"
+          " 1 - sum((prediction - label) ** 2) / (var_pop(label) * count(*)) AS r2 FROM p)"
+          " SELECT n_test, round(mse, 4) AS mse, round(sqrt(mse), 4) AS rmse, round(r2, 4) AS r2,"
+          " round(r2 * 100, 4) AS r2_percent FROM s")
+def ml_linear_metrics(spark, sf_dir):
+    out = supervised.regression_metrics(_price_fit(spark, sf_dir).predictions)
+    return out.select("n_test", *[r4(F.col(c)).alias(c) for c in ("mse", "rmse", "r2", "r2_percent")])
+
+
+@register("ml_linear_predictions", "ML-3 ML-8",
+          _PRICE_SQL + f" SELECT {_LI_KEYS}, label, round(prediction, 2) AS prediction FROM p")
+def ml_linear_predictions(spark, sf_dir):
+    return _price_fit(spark, sf_dir).predictions.select(
+        *LINEITEM_KEY, "label", F.round("prediction", 2).alias("prediction"))
+
+
+@register("ml_linear_importance", "ML-7",
+          _PRICE_SQL + ", i AS (SELECT 'l_quantity' AS feature, abs(b1) / (abs(b1) + abs(b2)) AS w FROM m UNION ALL"
+          " SELECT 'l_discount', abs(b2) / (abs(b1) + abs(b2)) FROM m)"
+          " SELECT feature, round(w, 4) AS importance, round(w * 100, 4) AS percent FROM i")
+def ml_linear_importance(spark, sf_dir):
+    out = supervised.importances(_price_fit(spark, sf_dir))
+    return out.select("feature", *[r4(F.col(c)).alias(c) for c in ("importance", "percent")])
+
+
+# Inputs with a missing quantity, an unseen and a missing flag; the model is fitted on lineitem itself.
+_INPUTS_SQL = (
+    "WITH g AS (SELECT l_returnflag AS f, CAST(row_number() OVER (ORDER BY l_returnflag) - 1 AS DOUBLE) AS code"
+    " FROM (SELECT DISTINCT l_returnflag FROM lineitem WHERE l_returnflag IS NOT NULL)),"
+    " t AS (SELECT l_quantity AS x1, code AS x2, l_extendedprice / 1000 AS y FROM lineitem JOIN g ON l_returnflag = f"
+    f" WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL), {_OLS},"
+    f" i AS (SELECT {_LI_KEYS}, CASE WHEN l_linenumber % 7 <> 0 THEN l_quantity END AS q, coalesce(code, 0) AS x2,"
+    " (SELECT min(f) FROM g) AS first FROM (SELECT *, CASE WHEN l_orderkey % 50 = 0 THEN 'unseen'"
+    " WHEN l_orderkey % 50 <> 1 THEN l_returnflag END AS flag FROM lineitem) LEFT JOIN g ON flag = f)")
+
+
+def _inputs(spark, sf_dir):
+    order = F.col("l_orderkey") % 50
+    return table(spark, sf_dir, "lineitem").select(
+        *LINEITEM_KEY, F.when(F.col("l_linenumber") % 7 != 0, F.col("l_quantity")).alias("l_quantity"),
+        F.when(order == 0, "unseen").when(order != 1, F.col("l_returnflag")).alias("l_returnflag"))
+
+
+@register("ml_linear_inputs", "ML-16 PAT-4",
+          _INPUTS_SQL + f" SELECT {_LI_KEYS}, round(b0 + b1 * coalesce(q, 0) + b2 * x2, 2) + 0.0 AS prediction FROM i, m")
+def ml_linear_inputs(spark, sf_dir):
+    fr = supervised.fit(_price(spark, sf_dir), ["l_quantity", "l_returnflag"], "price", LINEITEM_KEY,
+                        task="regression", model_type="linear", holdout=False)
+    out = supervised.predict_inputs(fr, _inputs(spark, sf_dir), LINEITEM_KEY)
+    return out.select(*LINEITEM_KEY, (F.round("prediction", 2) + 0.0).alias("prediction"))
+
+
+@register("ml_linear_explain", "ML-15",
+          _INPUTS_SQL + f", e AS (SELECT {_LI_KEYS}, 'l_quantity' AS feature, coalesce(q, a1) AS value, b1 * (coalesce(q, a1) - a1)"
+          " AS w, b0 + b1 * coalesce(q, a1) + b2 * x2 AS f FROM i, m UNION ALL"
+          f" SELECT {_LI_KEYS}, 'l_returnflag', x2, b2 * (x2 - a2), b0 + b1 * coalesce(q, a1) + b2 * x2 FROM i, m)"
+          f" SELECT {_LI_KEYS}, feature, round(value, 2) AS value, round(f, 2) + 0.0 AS prediction, round(w, 2) + 0.0 AS contribution,"
+          " CASE WHEN w > 0 THEN 'increases' ELSE 'decreases' END AS direction, round(abs(w), 2) AS magnitude FROM e")
+def ml_linear_explain(spark, sf_dir):
+    """Given inputs explained: a missing quantity stands for the mean, an
+    unseen or missing flag for the first one."""
+    out, _, _ = explain.explain(_price(spark, sf_dir), ["l_quantity", "l_returnflag"], "price", LINEITEM_KEY, "linear",
+                                "regression", inputs=_inputs(spark, sf_dir))
+    two = lambda c: (F.round(c, 2) + 0.0).alias(c)
+    return out.select(*LINEITEM_KEY, "feature", two("value"), two("prediction"), two("contribution"), "direction",
+                      two("magnitude"))
+
+
+_REPORT_SQL = (
+    "WITH p AS (SELECT quality AS label, CAST(n_chars >= 400 AS INTEGER) AS prediction FROM documents JOIN labels USING (doc_id)"
+    " WHERE quality IS NOT NULL AND n_chars IS NOT NULL), k AS (SELECT label AS k FROM p UNION SELECT prediction FROM p),"
+    " c AS (SELECT k, count_if(label = k) AS support, count_if(prediction = k) AS predicted,"
+    " count_if(label = k AND prediction = k) AS tp FROM k, p GROUP BY k),"
+    " r AS (SELECT k, support, tp, coalesce(tp / nullif(predicted, 0), 0) AS pr, coalesce(tp / nullif(support, 0), 0) AS re FROM c),"
+    " f AS (SELECT *, CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END AS f1 FROM r),"
+    " a AS (SELECT CAST(k AS VARCHAR) AS class, pr, re, f1, support FROM f UNION ALL"
+    " SELECT 'accuracy', sum(tp) / sum(support), sum(tp) / sum(support), sum(tp) / sum(support), sum(support) FROM f UNION ALL"
+    " SELECT 'macro avg', avg(pr), avg(re), avg(f1), sum(support) FROM f UNION ALL"
+    " SELECT 'weighted avg', sum(pr * support) / sum(support), sum(re * support) / sum(support),"
+    " sum(f1 * support) / sum(support), sum(support) FROM f)"
+    " SELECT class, round(pr, 4) AS precision, round(re, 4) AS recall, round(f1, 4) AS f1, CAST(support AS BIGINT) AS support FROM a")
+
+
+@register("ml_report", "ML-6", _REPORT_SQL)
+def ml_report(spark, sf_dir):
+    """The report of a rule that calls documents of 400 characters good."""
+    preds = _docs_labelled(spark, sf_dir).where("quality is not null and n_chars is not null").select(
+        F.col("quality").cast("double").alias("label"), (F.col("n_chars") >= 400).cast("double").alias("prediction"))
+    out = supervised.classification_report(preds)
+    return out.select("class", *[r4(F.col(c)).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+@register("ml_cluster_stats", "ML-13",
+          "SELECT CAST(CASE WHEN c_acctbal < 0 THEN -1 ELSE c_nationkey % 3 END AS INTEGER) AS cluster, count(*) AS size,"
+          " round(avg(c_acctbal), 4) AS mean_c_acctbal, round(avg(c_nationkey), 4) AS mean_c_nationkey,"
+          " c_acctbal < 0 AS is_noise FROM customer GROUP BY ALL")
+def ml_cluster_stats(spark, sf_dir):
+    """Figures of given clusters, those in debt being noise."""
+    given = F.when(F.col("c_acctbal") < 0, -1).otherwise(F.col("c_nationkey") % 3).cast("int")
+    out = cluster.cluster_stats(table(spark, sf_dir, "customer").withColumn("cluster", given), ["c_acctbal", "c_nationkey"])
+    return out.select("cluster", "size", r4(F.col("mean_c_acctbal")).alias("mean_c_acctbal"),
+                      r4(F.col("mean_c_nationkey")).alias("mean_c_nationkey"), "is_noise")
+
+
+# Two standardised features have the axes (1, 1) and (1, -1), in the order of their correlation's sign.
+@register("ml_pca_plane", "ML-14",
+          "WITH s AS (SELECT avg(l_quantity) AS a1, stddev_pop(l_quantity) AS s1, avg(l_extendedprice) AS a2,"
+          " stddev_pop(l_extendedprice) AS s2, corr(l_quantity, l_extendedprice) AS r FROM lineitem),"
+          f" z AS (SELECT {_LI_KEYS}, l_linenumber AS cluster, (l_quantity - a1) / s1 AS p, (l_extendedprice - a2) / s2 AS q, r"
+          " FROM lineitem, s WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL)"
+          f" SELECT {_LI_KEYS}, round((p + sign(r) * q) / sqrt(2.0), 4) + 0.0 AS x, round((p - sign(r) * q) / sqrt(2.0), 4) + 0.0 AS y,"
+          " cluster FROM z")
+def ml_pca_plane(spark, sf_dir):
+    st = cluster.standardise_features(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"], LINEITEM_KEY)
+    out = cluster.pca_scatter(st.data.withColumn("cluster", F.col("l_linenumber")), LINEITEM_KEY)
+    return out.select(*LINEITEM_KEY, r4(F.col("x")).alias("x"), r4(F.col("y")).alias("y"), "cluster")
+
+
 @register("ml_multi_target", "ML-17 PRF-5")
 def ml_multi_target(spark, sf_dir):
     return supervised.compare_targets(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_tax"],
