@@ -142,10 +142,11 @@ def _features(depth: int):
 
 # ------------------------------------------------------------------- the tree
 class Subtrees:
-    """Contexts of ``low`` and more bytes of some complete depth-2 subtrees."""
+    """Contexts of ``low`` and more bytes of some complete depth-2 subtrees.
+    With ``paths`` the tree knows the nodes that each of its own grams passes."""
 
-    def __init__(self, gram: np.ndarray, n: np.ndarray, depth: int, low: int):
-        seen = n > 0
+    def __init__(self, gram: np.ndarray, n: np.ndarray, depth: int, low: int, paths: bool = False):
+        self.seen = seen = n > 0
         sym, ctx, n = gram[seen] & np.uint64(255), gram[seen] >> np.uint64(8), n[seen].astype(np.float64)
         keys, ones, zeros = [], [], []
         for t in range(8):
@@ -155,10 +156,12 @@ class Subtrees:
             zeros.append(np.where(bit == 0, n, 0.0))
         key, a, b = np.concatenate(keys), np.concatenate(zeros), np.concatenate(ones)
         below = np.zeros(len(key))
-        self.levels = {}
+        self.levels, self.steps = {}, []
         for d in range(depth, low - 1, -1):
             mask = np.uint64((1 << (8 * d + 8)) - 1)
             distinct, inverse = np.unique(key & mask, return_inverse=True)
+            if paths:
+                self.steps.append(inverse.astype(np.int32))
             a, b, below = (np.bincount(inverse, weights=v, minlength=len(distinct)) for v in (a, b, below))
             kt = log_kt(a, b)
             weighted = kt if d == depth else np.logaddexp(kt, below) - math.log(2)
@@ -167,6 +170,17 @@ class Subtrees:
             key, below = distinct, weighted
         self.top = (key, a, b, below)
 
+    def own(self) -> np.ndarray:
+        """P(one) as ``one`` gives it, of the eight paths of every seen gram: (8, grams)."""
+        p, node = None, None
+        for (_, kt, stop), step in zip(self.levels.values(), self.steps):
+            if p is None:
+                p = kt
+            else:
+                node = step if node is None else step[node]
+                p = stop[node] * kt[node] + (1 - stop[node]) * p
+        return p[self.steps[0]].reshape(8, -1)
+
     def one(self, path: np.ndarray, depth: int, low: int) -> np.ndarray:
         """P(one) at (context, node) paths, mixed over depths low..depth."""
         p = np.full(len(path), 0.5)
@@ -234,13 +248,15 @@ def _lengths(depth: int, weights):
     def run(batches):
         base, rest = weights.value
         for gram, n in _complete_groups(batches):
-            tree = Subtrees(gram, n, depth, 2)
+            tree = Subtrees(gram, n, depth, 2, paths=True)
             sym, ctx = gram & np.uint64(255), gram >> np.uint64(8)
-            total = np.zeros(len(gram))
+            total, own, new = np.zeros(len(gram)), tree.own(), ~tree.seen
+            below = np.empty(len(gram))
             for t in range(8):
                 path = ctx << np.uint64(8) | (np.uint64(1 << t) | (sym >> np.uint64(8 - t)))
                 root = (path & np.uint64(0xFFFF)).astype(np.int64)
-                one = base[root] + rest[root] * tree.one(path, depth, 2)
+                below[tree.seen], below[new] = own[t], tree.one(path[new], depth, 2)
+                one = base[root] + rest[root] * below
                 total += np.log10(np.where((sym >> np.uint64(7 - t)) & np.uint64(1) == 1, one, 1 - one))
             yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(total)], names=["gram", "value"])
     return run
