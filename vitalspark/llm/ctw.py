@@ -141,25 +141,39 @@ def _features(depth: int):
 
 
 # ------------------------------------------------------------------- the tree
+# The bit that each of the 255 nodes decides, above the seven bytes of context and node.
+_BIT = np.array([max(node, 1).bit_length() - 1 for node in range(256)], np.uint64) << np.uint64(56)
+
+
+def _level_mask(depth: int) -> np.uint64:
+    return np.uint64(7 << 56 | (1 << (8 * depth + 8)) - 1)
+
+
 class Subtrees:
     """Contexts of ``low`` and more bytes of some complete depth-2 subtrees.
     With ``paths`` the tree knows the nodes that each of its own grams passes."""
 
     def __init__(self, gram: np.ndarray, n: np.ndarray, depth: int, low: int, paths: bool = False):
+        """``gram`` ascending.  A key is (bit, context, node), so the keys of each
+        bit ascend with the grams and those of full depth need no sorting."""
         self.seen = seen = n > 0
         sym, ctx, n = gram[seen] & np.uint64(255), gram[seen] >> np.uint64(8), n[seen].astype(np.float64)
         keys, ones, zeros = [], [], []
         for t in range(8):
             bit = (sym >> np.uint64(7 - t)) & np.uint64(1)
-            keys.append(ctx << np.uint64(8) | (np.uint64(1 << t) | (sym >> np.uint64(8 - t))))
+            keys.append(_BIT[1 << t] | ctx << np.uint64(8) | (np.uint64(1 << t) | (sym >> np.uint64(8 - t))))
             ones.append(np.where(bit == 1, n, 0.0))
             zeros.append(np.where(bit == 0, n, 0.0))
         key, a, b = np.concatenate(keys), np.concatenate(zeros), np.concatenate(ones)
         below = np.zeros(len(key))
         self.levels, self.steps = {}, []
         for d in range(depth, low - 1, -1):
-            mask = np.uint64((1 << (8 * d + 8)) - 1)
-            distinct, inverse = np.unique(key & mask, return_inverse=True)
+            if d == depth:
+                first = np.ones(len(key), bool)
+                first[1:] = key[1:] != key[:-1]
+                distinct, inverse = key[first], np.cumsum(first) - 1
+            else:
+                distinct, inverse = np.unique(key & _level_mask(d), return_inverse=True)
             if paths:
                 self.steps.append(inverse.astype(np.int32))
             a, b, below = (np.bincount(inverse, weights=v, minlength=len(distinct)) for v in (a, b, below))
@@ -184,9 +198,10 @@ class Subtrees:
     def one(self, path: np.ndarray, depth: int, low: int) -> np.ndarray:
         """P(one) at (context, node) paths, mixed over depths low..depth."""
         p = np.full(len(path), 0.5)
+        path = path | _BIT[path & np.uint64(255)]
         for d in range(depth, low - 1, -1):
             keys, kt, stop = self.levels[d]
-            want = path & np.uint64((1 << (8 * d + 8)) - 1)
+            want = path & _level_mask(d)
             at = np.minimum(np.searchsorted(keys, want), max(len(keys) - 1, 0))
             hit = keys[at] == want if len(keys) else np.zeros(len(want), bool)
             if len(keys):
@@ -194,8 +209,15 @@ class Subtrees:
         return p
 
 
+def _ascending(rows: pa.Table, end: int) -> tuple[np.ndarray, np.ndarray]:
+    gram, n = rows["gram"].to_numpy()[:end].view(np.uint64), rows["n"].to_numpy()[:end]
+    order = np.argsort(gram)
+    return gram[order], n[order]
+
+
 def _complete_groups(batches: Iterator[pa.RecordBatch]):
-    """(gram, n) arrays of whole depth-2 subtrees, from rows sorted by ctx."""
+    """(gram, n) arrays of whole depth-2 subtrees, grams ascending, from rows
+    sorted by ctx."""
     held: list[pa.RecordBatch] = []
     size = 0
     for b in batches:
@@ -207,12 +229,11 @@ def _complete_groups(batches: Iterator[pa.RecordBatch]):
         ctx = whole["ctx"].to_numpy()
         end = int(np.searchsorted(ctx, ctx[-1], "left"))  # the last group may go on
         if end:
-            yield whole["gram"].to_numpy()[:end].view(np.uint64), whole["n"].to_numpy()[:end]
+            yield _ascending(whole, end)
         held = whole.slice(end).to_batches()
         size = whole.num_rows - end
     if size:
-        whole = pa.Table.from_batches(held).combine_chunks()
-        yield whole["gram"].to_numpy().view(np.uint64), whole["n"].to_numpy()
+        yield _ascending(pa.Table.from_batches(held).combine_chunks(), size)
 
 
 def _tops(depth: int):
