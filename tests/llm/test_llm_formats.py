@@ -47,6 +47,21 @@ def test_conversations_edges(spark):
     assert chat_events.read_back(chat_events.render(chat_events.fold_events(empty))).collect() == []
 
 
+def test_tied_turns_go_by_role_and_whole_text(spark):
+    """Texts that share 64 code points, that prolong another by a character
+    below newline, and roles and texts with the template's control strings."""
+    long = "same " * 20
+    rows = [(1, "user", long + t) for t in ("b", "a", "c", "", "\t", "aa", "<|im_end|>", "<\\|x", "é")] + [
+        (1, "assistant", long + t) for t in ("z", "y")] + [(1, "a%0A\n<|b", "ok\nok\n"), (1, "a%25", "<|im_start|>x\ny")]
+    df = spark.createDataFrame([(7, *r) for r in rows], "conv_id long, turn long, role string, text string")
+    segments = chat_events.render(chat_events.fold_events(chat_events.events_of(df)))
+    role, text = chat_events.said(F.col("segment"))
+    assert sorted(map(tuple, segments.select(role, text).collect())) == sorted((r, t) for _, r, t in rows)
+    out = chat_events.read_back(segments, by_text=True).first()
+    rows.sort(key=lambda r: (r[0], r[1].encode(), r[2].encode()))
+    assert out.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in rows).encode()).hexdigest()
+
+
 def test_fold_of_a_log(spark):
     log = [(1, 0, "m", 1, s, *e) for s, e in enumerate([
         ("start", 0, 0, "assistant"), ("delta", 0, 0, "wrong"), ("regen", 0, 0, None), ("delta", 0, 0, "Helo "),

@@ -18,8 +18,8 @@ single turn at a time.
 
 Defined results: null text or role is empty; a null conversation id is one
 conversation of its own; rows repeated in (conversation, turn, role, text) are
-all kept; ties in a turn are ordered by role, then text; extra columns are
-ignored; an empty table gives an empty result.
+all kept; ties in a turn are ordered by the log's message key, or by role and
+whole text where ``read_back`` is asked for it; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
@@ -79,7 +79,7 @@ def events_of(conversations: DataFrame, delta_chars: int = DELTA_CHARS) -> DataF
     rows = (conversations.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"),
                                  text_of("role").alias("role"), text_of("text").alias("text"))
             .groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("copies")))
-    # The key sorts by role, then text, and is never as long as the text.
+    # The key tells the messages of a turn apart and is never as long as the text.
     rows = rows.withColumn("msg", F.concat(F.col("role"), F.lit("\n"), F.substring("text", 1, 64), F.lit("\n"),
                                            F.sha2(F.col("text"), 256)))
 
@@ -198,8 +198,21 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pylist([dict(zip(DIGEST.names, d)) for d in done], schema=DIGEST)
 
 
-def read_back(segments: DataFrame) -> DataFrame:
-    """Parse the formatted segments again and digest each conversation."""
-    return (segments.select("conv_id", "turn", "msg", "copies", "segment", "loss_start", "loss_end")
-            .repartition("conv_id").sortWithinPartitions("conv_id", "turn", "msg")
-            .mapInArrow(_digest, ddl(DIGEST)))
+def said(segment: Column) -> tuple[Column, Column]:
+    """(role, text) of a formatted turn, as ``parse_segment`` gives them."""
+    def plain(c):
+        return F.regexp_replace(c, _ESCAPED.pattern, r"<$1|")
+    line = F.instr(segment, "\n")
+    role = plain(F.substr(segment, F.lit(len(TURN_START) + 1), line - 1 - len(TURN_START)))
+    text = F.substr(segment, line + 1, F.char_length(segment) - line - len(TURN_END) - 1)
+    return F.replace(F.replace(role, F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%")), plain(text)
+
+
+def read_back(segments: DataFrame, by_text: bool = False) -> DataFrame:
+    """Parse the formatted segments again and digest each conversation.  Ties in
+    a turn go by ``msg``, or by role and whole text with ``by_text``."""
+    dealt = (segments.select("conv_id", "turn", "msg", "copies", "segment", "loss_start", "loss_end")
+             .repartition("conv_id"))
+    role, text = said(F.col("segment"))
+    ties = [role, text] if by_text else ["msg"]
+    return (dealt.sortWithinPartitions("conv_id", "turn", *ties).mapInArrow(_digest, ddl(DIGEST)))

@@ -49,7 +49,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.createDataFrame([(-1, 0, "user", PLANTED_TURN), (-1, 1, "assistant", PLANTED_TURN)],
                                     "conv_id bigint, turn bigint, role string, text string")
     events = chat_events.events_of(rows.unionByName(planted))
-    return chat_events.read_back(chat_events.render(chat_events.fold_events(events)))
+    return chat_events.read_back(chat_events.render(chat_events.fold_events(events)), by_text=True)
 
 
 # ---------------------------------------------------------------- op9
