@@ -351,3 +351,25 @@ def test_euclidean_silhouette_equals_brute_force(spark, monkeypatch):
     one = df.where("c = 1")
     assert all(x["silhouette"] == 0 for x in cluster.euclidean_silhouette(one, "c", "z", ["id"]).collect())
     assert cluster.euclidean_silhouette(df.limit(0), "c", "z", ["id"]).count() == 0
+
+
+def test_forests_keep_node_ids_and_sort_large_training_sets(spark):
+    from vitalspark.ml import prep, supervised
+    for task in ("regression", "classification"):
+        assert supervised.make_model(task).getCacheNodeIds()
+    assert not supervised._fills_nodes(2 * 8, 2, 4) and supervised._fills_nodes(2 * 8 + 1, 2, 4)
+    df = spark.range(1000).selectExpr("id", "id * 7 % 13 AS a")
+    kept = prep.iteration_input(df, [F.col("a")])
+    for part in kept.rdd.glom().collect():
+        assert [r["a"] for r in part] == sorted(r["a"] for r in part)
+    assert kept.count() == 1000
+    kept.unpersist()
+
+
+def test_forest_of_sorted_rows_counts_and_learns(spark):
+    from vitalspark.ml import supervised
+    df = spark.range(400).selectExpr("id", "CAST(id % 20 AS DOUBLE) AS a", "CAST(id % 3 AS STRING) AS b",
+                                     "CAST(id % 20 AS DOUBLE) * 2 AS y")
+    fr = supervised.fit(df, ["a", "b"], "y", ["id"], task="regression", trees=2, depth=4)   # 16 < 320 rows: sorted
+    assert fr.n_rows == 400 and fr.model.getNumTrees == 2
+    assert supervised.regression_metrics(fr.predictions).first()["r2"] > 0.9

@@ -92,14 +92,16 @@ def split(df: DataFrame, key_cols: Sequence[str], seed: int = SEED,
     return df.where(flag), df.where(~flag)
 
 
-def iteration_input(df: DataFrame) -> DataFrame:
+def iteration_input(df: DataFrame, near: Sequence[Column] = ()) -> DataFrame:
     """Training input for iterative fits (forests, boosting, K-means): spread
     over the cluster's cores when it arrives in fewer partitions (a single
     Parquet row group is one task), and persisted so every iteration reads
-    it once from memory/disk instead of from the source.  Callers unpersist
-    after fitting."""
+    it once from memory/disk instead of from the source.  ``near``: columns
+    by which every partition is sorted.  Callers unpersist after fitting."""
     from pyspark import StorageLevel
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
         df = df.repartition(cores)
+    if near:
+        df = df.sortWithinPartitions(*near)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
