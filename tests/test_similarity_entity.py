@@ -116,6 +116,35 @@ def test_nearest_equals_brute_force_whatever_the_blocks(spark, monkeypatch):
     assert all([r["a"], r["b"]] == values[r["k"]] for r in out)
 
 
+def test_many_queries_meet_only_near_boxes(spark, monkeypatch):
+    """Boxes give the brute-force lists (ties by key, equal rows), and compare far
+    fewer pairs than there are; no query is a Python call of its own."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    data = [(i, [float(x), float(y)]) for i, (x, y) in enumerate(rng.integers(0, 128, (1500, 2)) / 128)]
+    data += [(5000 - i, [0.5, 0.5]) for i in range(200)]
+    queries = [[float(x), float(y)] for x, y in rng.integers(0, 128, (similarity.BOXED_QUERIES, 2)) / 128]
+    df = spark.createDataFrame(data, "k long, z array<double>").repartition(3)
+    out = similarity.nearest(df, F.col("z"), queries, ["k"], 3)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r["query"], r["rank"]): (r["k"], r["distance"]) for r in out.collect()}
+    z, keys = np.array([v for _, v in data]), np.array([i for i, _ in data])
+    for q, point in enumerate(queries):
+        square = (z[:, 0] - point[0]) ** 2 + (z[:, 1] - point[1]) ** 2
+        for rank, i in enumerate(np.lexsort((keys, square))[:3]):
+            assert got[q, rank + 1][0] == keys[i] and got[q, rank + 1][1] == pytest.approx(square[i] ** 0.5)
+    assert len(got) == 3 * len(queries)
+    many = rng.random((20000, 2))
+    seen, whole, all_pairs = [0], similarity._candidates, len(data) * len(many)
+
+    def counted(rows, points, own, k):
+        seen[0] += len(rows) * len(points)
+        return whole(rows, points, own, k)
+    monkeypatch.setattr(similarity, "_candidates", counted)
+    list(similarity._boxed_candidates(z, many, similarity._boxes(many, similarity.BOX), 3))
+    assert seen[0] < all_pairs / 4
+
+
 def test_nearest_sorts_nothing_before_the_limit(spark):
     df = spark.range(1000).selectExpr("id AS k", "array(double(id), double(id % 7)) AS z")
     plan = similarity.nearest(df, F.col("z"), [[1.0, 2.0]], ["k"], 3)._jdf.queryExecution().executedPlan().toString()

@@ -7,7 +7,9 @@ in NumPy and keeps the k nearest rows per query, so it writes at most k rows
 per query however many rows it read.  These bounded lists are merged in
 groups of ``FAN`` tasks until one is left per query.  The query set may be a
 list or a table of any size; no row meets a sort before the k nearest of its
-task are known.
+task are known.  A block of many queries is not compared with every row: rows
+and queries are put in boxes of near points, and a box of queries only meets
+the boxes of rows that can hold one of its k nearest.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions.columns import complete_rows, nan_to_null, qcol, require_numeric
 from ..plans.aggregates import bounded_rows
 from ..plans.ordered import ordered_prefix
-from ..plans.topk import first_k
+from ..plans.topk import first_k, places
 from ..session import cut_lineage
 
 SIMILARITY_SCALE = 15        # fixed: similarity % = max(0, 100 - 15 * distance)
@@ -34,6 +37,10 @@ SELF_EXCLUDED_K = 4          # fixed: PAT-5 keeps 4 neighbours
 QUERY_CELLS = 1 << 20         # queries x dimensions that go to the tasks at once (8 MB)
 DISTANCES = 1 << 22          # distances a task holds at once
 FAN = 256                    # lists of k nearest merged together
+BOX = 64                     # queries in a box; rows in a box: half
+BOXED_QUERIES = 1024         # blocks of fewer queries are compared with every row
+BOXED_DIMS = 8               # in more dimensions nearly every box is near
+PENDING = 1 << 20            # candidates a task holds before it keeps the k nearest
 
 
 def _as_vector(cols: Sequence[str]) -> Column:
@@ -83,47 +90,133 @@ def _candidates(z: np.ndarray, points: np.ndarray, own: dict[int, list[int]], k:
         yield q + lo, row, np.sqrt(square[q, row])
 
 
+def _boxes(z: np.ndarray, size: int):
+    """The points in boxes of at most ``size`` near ones, by halving the widest
+    side: order, first place, length, low and high corner of each box."""
+    order, todo, starts = np.arange(len(z)), [(0, len(z))], []
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo <= size:
+            starts.append(lo)
+            continue
+        part, mid = z[order[lo:hi]], (hi - lo) // 2
+        side = np.argmax(part.max(axis=0) - part.min(axis=0))
+        order[lo:hi] = order[lo:hi][np.argpartition(part[:, side], mid)]
+        todo += [(lo, lo + mid), (lo + mid, hi)]
+    at, put = np.array(sorted(starts)), z[order]
+    return order, at, np.diff(np.append(at, len(z))), np.minimum.reduceat(put, at), np.maximum.reduceat(put, at)
+
+
+def _boxed_candidates(z: np.ndarray, points: np.ndarray, boxes: tuple, k: int):
+    """As ``_candidates`` for the points in ``boxes``: a box of queries meets
+    the rows of those boxes that are no farther than k rows surely are."""
+    order, at, sizes, low, high = _boxes(z, max(1, BOX // 2))
+    for first, n, q_low, q_high in zip(*boxes[1:]):
+        gap = np.maximum(np.maximum(low - q_high, q_low - high), 0.0)
+        span = np.maximum(high - q_low, q_high - low)
+        far = (span * span).sum(axis=1)
+        if sizes.min() >= k:
+            reach = far.min()
+        else:
+            by = np.argsort(far)
+            reach = far[by[min(np.searchsorted(np.cumsum(sizes[by]), k), len(by) - 1)]]
+        near = np.flatnonzero((gap * gap).sum(axis=1) <= reach * (1 + 1e-9))
+        rows = np.concatenate([order[at[i]:at[i] + sizes[i]] for i in near])
+        mine = boxes[0][first:first + n]
+        for q, row, distance in _candidates(z[rows], points[mine], {}, k):
+            yield mine[q], rows[row], distance
+
+
+def _first_of_equal(rows: pa.Table, z: np.ndarray, keys: Sequence[str], k: int):
+    """Of rows with the same point the first k by key: others are nobody's k nearest."""
+    by = pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in keys], null_placement="at_start").to_numpy()
+    by = by[np.lexsort(z[by].T[::-1])]
+    same = np.concatenate([[False], (z[by][1:] == z[by][:-1]).all(axis=1)])
+    by = by[places(np.cumsum(~same)) < k]
+    return rows.take(pa.array(by)), z[by]
+
+
 def _nearest_of_task(points: np.ndarray, base: int, own: dict, keys: Sequence[str], schema: pa.Schema, k: int):
     """The k nearest rows of a task's batches to every query of a block."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, best = TaskContext.get().partitionId(), None
+    boxed = len(points) >= BOXED_QUERIES and points.shape[1] <= BOXED_DIMS and not own and bool(np.isfinite(points).all())
+
+    def read(batches: Iterator[pa.RecordBatch]):
+        """Batches, for boxes put together up to DISTANCES / BOX rows."""
+        held, n = [], 0
         for b in batches:
-            if not b.num_rows:
-                continue
-            z = np.asarray(b.column("_z").flatten()).reshape(b.num_rows, -1)
-            mine = {}
+            if b.num_rows:
+                held.append(b)
+                n += b.num_rows
+            if held and (not boxed or n >= DISTANCES // BOX):
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, kept, pending = TaskContext.get().partitionId(), [], 0
+        queries = _boxes(points, BOX) if boxed else None
+
+        def first(tables):
+            return first_k(pa.concat_tables(tables), "query", ["distance", *keys], k)
+        for b in read(batches):
+            z = np.asarray(b.column("_z").combine_chunks().flatten()).reshape(b.num_rows, -1)
+            mine, rows = {}, b.drop_columns(["_z"])
             if own:
                 for i, key in enumerate(zip(*(b.column(c).to_pylist() for c in keys))):
                     if key in own:
                         mine[i] = own[key]
-            rows = pa.Table.from_batches([b.drop_columns(["_z"])])
-            for q, row, distance in _candidates(z, points, mine, k):
-                found = rows.take(pa.array(row))
+            if boxed and np.isfinite(z).all():
+                rows, z = _first_of_equal(rows, z, keys, k)
+                found = _boxed_candidates(z, points, queries, k)
+            else:
+                found = _candidates(z, points, mine, k)
+            for q, row, distance in _joined(found):
+                near = rows.take(pa.array(row))
                 for name, v in (("part", np.full(len(q), part, np.int32)), ("distance", distance),
                                 ("query", (q + base).astype(np.int32))):
-                    found = found.add_column(0, name, pa.array(v))
-                found = found.cast(schema)
-                best = first_k(found if best is None else pa.concat_tables([best, found]), "query", ["distance", *keys], k)
-        if best is not None:
-            yield from best.to_batches()
+                    near = near.add_column(0, name, pa.array(v))
+                kept.append(near.cast(schema))
+                pending += len(q)
+                if pending >= PENDING:
+                    kept, pending = [first(kept)], 0
+        if kept:
+            yield from first(kept).to_batches()
     return run
 
 
+def _joined(found):
+    """Candidates of many boxes as a few long arrays."""
+    held, n = [], 0
+    for one in found:
+        held.append(one)
+        n += len(one[0])
+        if n >= 1 << 16:
+            yield tuple(map(np.concatenate, zip(*held)))
+            held, n = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
 def _nearest_block(rows: DataFrame, points: np.ndarray, base: int, own: dict, keys: Sequence[str], k: int) -> DataFrame:
     fields = [f for f in rows.schema.fields if f.name != "_z"]
     schema = T.StructType([T.StructField("query", T.IntegerType()), T.StructField("distance", T.DoubleType()),
                            T.StructField("part", T.IntegerType()), *fields])
     found = rows.mapInArrow(_nearest_of_task(points, base, own, keys, to_arrow_schema(schema), k), schema)
+
+    # Lists of at most FAN * k rows are sorted where they are put together: no
+    # Python call for a query.
+    rest = [f.name for f in fields if f.name not in keys]
+    near = F.slice(F.sort_array(F.collect_list(F.struct("distance", *[qcol(c) for c in (*keys, *rest)]))), 1, k)
+
+    def merged(lists: DataFrame, by: list[str]) -> DataFrame:
+        return lists.groupBy(*by).agg(near.alias("_near")).select(*by, F.posexplode("_near").alias("rank", "_row")) \
+            .select(*by, (F.col("rank") + 1).alias("rank"), "_row.*")
     tasks = rows.rdd.getNumPartitions()
     while tasks > FAN:
-        found = found.withColumn("part", F.floor(F.col("part") / FAN).cast("int"))
-        found = found.groupBy("query", "part").applyInArrow(lambda t: first_k(t, "query", ["distance", *keys], k), schema)
+        found = merged(found.withColumn("part", F.floor(F.col("part") / FAN).cast("int")), ["query", "part"])
         tasks = -(-tasks // FAN)
-
-    def ranked(t: pa.Table) -> pa.Table:
-        t = first_k(t, "query", ["distance", *keys], k)
-        return t.set_column(t.schema.get_field_index("part"), "part", pa.array(range(1, t.num_rows + 1), pa.int32()))
-    return found.groupBy("query").applyInArrow(ranked, schema).withColumnRenamed("part", "rank")
+    return merged(found, ["query"])
 
 
 def nearest(df: DataFrame, z: Column | Sequence[Column], queries: Sequence[Sequence[float]], key_cols: Sequence[str],
