@@ -68,3 +68,27 @@ def test_phi_sample_rows_parity(spark):
     assert whole["note"]["is_phi"] and whole["note"]["email_hits"] == 5
     assert not first20["note"]["is_phi"] and first20["note"]["non_null"] == 20
     assert first20["note"]["sample"] == "note 0"
+
+
+def test_value_hits_equal_the_patterns(spark):
+    import random
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("aZ0159_.+-@/ \né\U0001f600") for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    texts += [a + b + c for a in ("", " ", "x", "é", "_") for c in ("", " ", "\n", "y", "é", "_", ".")
+              for b in ("a@b.co", "@b.co", "a@b.c", "a@.co", "a.@b-1.cC", "0123456789", "01234567890", "012345678901", "012345678",
+                        "+1 234567", "+44123456", "+1234 56789", "1/2/34", "11-12-2024", "111/2/34", "1/2/3", "1/2/34567")]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    hits = privacy.value_hits(F.col("t"))
+    old = [F.col("t").rlike(p) for p in (privacy.EMAIL_PATTERN, privacy.PHONE_PATTERN, privacy.DATE_PATTERN)]
+    assert df.where(~F.array(*hits).eqNullSafe(F.array(*old))).count() == 0
+    assert all(df.where(h).count() > 5 for h in hits)
+
+
+def test_a_long_word_is_read_once(spark):
+    """The text of one word of 600,000 characters is checked in linear time."""
+    import time
+    df = spark.createDataFrame([("a" * 600_000,), ("b" * 600_000 + "@x.org",)], "t string")
+    start = time.time()
+    row = privacy.detect_phi(df).first()
+    assert (row["email_hits"], row["phone_hits"], row["date_hits"]) == (1, 0, 0)
+    assert time.time() - start < 30

@@ -39,6 +39,12 @@ _B_END = r"($|[^A-Za-z0-9_])"
 EMAIL_PATTERN = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[a-z]{2,}"
 PHONE_PATTERN = _B_START + r"[0-9]{10,11}" + _B_END + r"|\+[0-9]{1,3}\s?[0-9]{6,}"
 DATE_PATTERN = _B_START + r"[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}" + _B_END
+# The same texts are found by these: an e-mail address needs one character before
+# its '@' (a long word is then read once, not from each of its characters), and
+# a phone number or date its digits, which are looked for first.
+_EMAIL_FOUND = r"[A-Za-z0-9_.+-]@[A-Za-z0-9_-]+\.[a-z]{2}"
+_PHONE_DIGITS = r"[0-9]{6}"
+_DATE_DIGITS = r"[0-9][/-][0-9]{1,2}[/-][0-9]{2}"
 
 REVIEW_SCORE = 60
 HIGH_PENALTY, MEDIUM_PENALTY = 20, 10
@@ -53,6 +59,12 @@ def name_match(column: str, patterns: Sequence[str] = NAME_PATTERNS, split_under
     return any(re.search(p, name) for p in patterns)
 
 
+def value_hits(v: Column) -> tuple[Column, Column, Column]:
+    """Whether a text holds an e-mail address, a phone number, a date."""
+    return (v.contains("@") & v.rlike(_EMAIL_FOUND), v.rlike(_PHONE_DIGITS) & v.rlike(PHONE_PATTERN),
+            v.rlike(_DATE_DIGITS) & v.rlike(DATE_PATTERN))
+
+
 def detect_phi(df: DataFrame, key_cols: Sequence[str] | None = None, split_underscore: bool = False,
                sample_rows: int | None = None) -> DataFrame:
     """PHI-1: per column the name verdict, value hit counts over the whole
@@ -67,10 +79,9 @@ def detect_phi(df: DataFrame, key_cols: Sequence[str] | None = None, split_under
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, f in enumerate(fields):
         v = qcol(f.name).cast("string")
-        aggs += [F.count(v).alias(f"n{i}"),
-                 F.count_if(v.rlike(EMAIL_PATTERN)).alias(f"e{i}"),
-                 F.count_if(v.rlike(PHONE_PATTERN)).alias(f"p{i}"),
-                 F.count_if(v.rlike(DATE_PATTERN)).alias(f"d{i}")]
+        email, phone, date = value_hits(v)
+        aggs += [F.count(v).alias(f"n{i}"), F.count_if(email).alias(f"e{i}"), F.count_if(phone).alias(f"p{i}"),
+                 F.count_if(date).alias(f"d{i}")]
     wide = df.agg(*aggs)
     rows = []
     for i, f in enumerate(fields):
@@ -96,10 +107,11 @@ def _detect_phi_sampled(df: DataFrame, key_cols: Sequence[str], split_underscore
     from .profile import first_values
     vals = first_values(df, df.columns, key_cols, sample_rows)
     v = F.col("value")
+    email, phone, date = value_hits(v)
     hits = vals.groupBy("column").agg(F.count(F.lit(1)).alias("non_null"),
-                                      F.count_if(v.rlike(EMAIL_PATTERN)).alias("email_hits"),
-                                      F.count_if(v.rlike(PHONE_PATTERN)).alias("phone_hits"),
-                                      F.count_if(v.rlike(DATE_PATTERN)).alias("date_hits"),
+                                      F.count_if(email).alias("email_hits"),
+                                      F.count_if(phone).alias("phone_hits"),
+                                      F.count_if(date).alias("date_hits"),
                                       F.min_by(v, "rank").alias("sample"))
     spark = df.sparkSession
     meta = spark.createDataFrame(
