@@ -47,4 +47,4 @@ def snapshot_round_trip(spark, sf_dir):
     profile = sinks.load_profile(spark, base, "orders").where("column = 'o_custkey'").first()
     return sinks.load_snapshot(spark, base, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", r4(F.col("o_totalprice")).alias("o_totalprice"), "o_orderpriority",
-        F.lit(profile["unique_values"]).alias("profile_customers"))
+        F.lit(profile["unique_values"]).cast("long").alias("profile_customers"))
