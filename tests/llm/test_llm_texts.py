@@ -302,6 +302,39 @@ def test_groups_equal_brute_force(docs_of, monkeypatch, block):
     assert got == sorted((str(d), n, str(c)) for d, n, c in brute_groups(rows))
 
 
+def test_a_large_component_is_not_compared_with_itself(spark, docs_of, monkeypatch):
+    """One bucket of 40 linked classes and 2 others with links to
+    them that only round 3 can find: the 40 are dealt once a block of the others."""
+    monkeypatch.setattr(superminhash, "BLOCK", 4)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base[:i] + [f"new{i}"] + base[i + 1:]) for i in range(42)]
+    docs = docs_of(list(enumerate(texts)))
+    sigs = superminhash.signatures(docs).orderBy("doc_id").collect()
+    keys = [r.key for r in sigs]
+    buckets = spark.createDataFrame([(k, 0, 7) for k in keys], "key bigint, band int, val bigint")
+    classes = spark.createDataFrame(
+        [(r.key, r.doc_id, r.n_shingles, [7, *r.sig[1:]]) for r in sigs],
+        "key bigint, rep bigint, n_shingles bigint, sig array<bigint>")
+    comp = spark.createDataFrame([(k, min(keys[:40])) for k in keys[:40]], "key bigint, comp bigint")
+    dealt, joined, deal = [], [], superminhash._dealt
+
+    def counted(rows):
+        dealt.append(rows.count())
+        joined.append(rows._jdf.queryExecution().optimizedPlan().toString().count("Generate explode(places"))
+        return deal(rows)
+    monkeypatch.setattr(superminhash, "_dealt", counted)
+    got = {frozenset(r) for r in superminhash.remaining_links(buckets, docs, classes, comp).collect()}
+    assert dealt[0] == 40 * 1 + 2 * (1 + 10) and joined == [1, 1]  # 42 * 11 when every block meets every block
+    of = {k: i for i, k in enumerate(keys)}
+    label = {k: 0 if i < 40 else i for k, i in of.items()}
+    linked = {frozenset(label[k] for k in pair) for pair in got}
+    assert all(len(x) == 2 for x in linked)
+    reached = {0}
+    for _ in range(3):
+        reached |= {y for x in linked if x & reached for y in x}
+    assert reached == {0, 40, 41}
+
+
 def test_groups_of_the_table(spark, sf_texts):
     got = {r.doc_id: r for r in queries.QUERIES["op8_superminhash"](spark, SF).collect()}
     for d, n, c in brute_groups(sf_texts):

@@ -17,7 +17,8 @@
    Round 3 looks, block by block inside tasks, at all pairs of different
    components that remain, each in the first bucket they share, and puts out a
    spanning forest of the links it finds, so that no link between components
-   is lost and no list of pairs is ever written.
+   is lost and no list of pairs is ever written.  A bucket's largest component
+   is never compared with itself.
 4. Every candidate whose signatures agree in at least ``SIGNATURE_FLOOR`` of
    the entries is verified on the full sets (intersection and union counted).
 5. Connected components by alternating large-star and small-star steps.
@@ -383,16 +384,33 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def unsettled_rows(buckets: DataFrame, comp: DataFrame) -> DataFrame:
-    """(band, val, key, label, blocks) of the buckets that still hold different
-    components; ``blocks`` is the bucket's size over BLOCK."""
+    """(band, val, key, label, blocks, free, settled, top) of the buckets that
+    still hold different components.  ``blocks`` is the bucket's size over
+    BLOCK.  Members of its largest component, ``top``, are not compared with
+    each other: where that deals fewer rows they form ``settled`` blocks of
+    their own and the others ``free`` ones, else all blocks are free."""
     labelled = buckets.join(comp, "key", "left").select(
         "band", "val", "key", F.coalesce("comp", "key").alias("label"))
-    unsettled = (labelled.groupBy("band", "val")
-                 .agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("n"))
-                 .where("l <> h").select("band", "val", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    n, most = F.col("n"), F.col("most.n")
+    blocks, free, settled = (F.ceil(rows / BLOCK).cast("int") for rows in (n, n - most, most))
+    fewer = (n - most) * (free + settled) + most * free < n * blocks
+    unsettled = (labelled.groupBy("band", "val", "label").agg(F.count(F.lit(1)).alias("n"))
+                 .groupBy("band", "val").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"))
+                 .where(n > most)
+                 .select("band", "val", blocks.alias("blocks"), F.when(fewer, free).otherwise(blocks).alias("free"),
+                         F.when(fewer, settled).otherwise(0).alias("settled"), F.col("most.label").alias("top")))
     return salted_join(labelled, unsettled, ["band", "val"], F.col("key"))
 
 
+def _per_key(rows: DataFrame, columns: list[str], *payloads: DataFrame) -> DataFrame:
+    """rows(key, columns) with the payloads (one row per key) of their keys.  A
+    class meets its signature or set once, not once for each of its buckets."""
+    held = rows.groupBy("key").agg(F.collect_list(F.struct(*columns)).alias("places"))
+    for payload in payloads:
+        held = held.join(payload, "key")
+    return held.withColumn("place", F.explode("places")).select("place.*", *[c for c in held.columns if c != "places"])
+
+
 def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "key")
 
@@ -400,23 +418,28 @@ def _dealt(rows: DataFrame) -> DataFrame:
 def medoid_candidates(buckets: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
     mine = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     rows = unsettled_rows(buckets, comp).withColumn("lo", mine).withColumn("hi", mine)
-    return _dealt(rows.select(*GROUP, "key", "label").join(classes.select("key", "sig"), "key")).mapInArrow(
+    return _dealt(_per_key(rows, [*GROUP, "label"], classes.select("key", "sig"))).mapInArrow(
         _medoid_pairs, PAIRS_DDL)
 
 
 def remaining_links(buckets: DataFrame, docs: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
-    """Links between different components, all pairs of a bucket considered
-    (every pair of blocks meets once: size / BLOCK copies of a row), of which
-    only spanning links are put out."""
-    mine = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    rows = (unsettled_rows(buckets, comp).withColumn("_m", mine)
-            .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    """Links between different components, all such pairs of a bucket
+    considered, of which only spanning links are put out.  Every pair of blocks
+    that may hold one meets once: a free block meets every block, a settled one
+    the free ones only, so that a member of the bucket's largest component is
+    copied by the number of the others over BLOCK, whatever its own size."""
+    in_top = (F.col("settled") > 0) & (F.col("label") == F.col("top"))
+    mine = F.when(in_top, F.col("free") + F.pmod(F.xxhash64("key"), F.greatest("settled", F.lit(1)))) \
+        .otherwise(F.pmod(F.xxhash64("key"), F.col("free"))).cast("int")
+    meets = F.when(in_top, F.col("free")).otherwise(F.col("free") + F.col("settled"))
+    rows = unsettled_rows(buckets, comp).withColumn("_m", mine).withColumn("_n", meets)
+    rows = (_per_key(rows, ["band", "val", "label", "_m", "_n"], classes.select("key", "sig"))
+            .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
             .withColumn("lo", F.least("_m", "_o")).withColumn("hi", F.greatest("_m", "_o"))
             .withColumn("side", F.when(F.col("_m") > F.col("_o"), 1).otherwise(0).cast("bigint")))
-    rows = rows.select(*GROUP, "key", "label", "side").join(classes.select("key", "sig"), "key")
-    open_ = stored(_dealt(rows).mapInArrow(_open_rows, OPEN_DDL), "open")
+    open_ = stored(_dealt(rows.select(*GROUP, "key", "label", "side", "sig")).mapInArrow(_open_rows, OPEN_DDL), "open")
     sets = stored(element_sets(docs, classes, open_.select("key").distinct()), "sets")
-    return _dealt(open_.join(classes.select("key", "sig"), "key").join(sets, "key")).mapInArrow(
+    return _dealt(_per_key(open_, [*GROUP, "label", "side"], classes.select("key", "sig"), sets)).mapInArrow(
         _block_links, PAIRS_DDL)
 
 
