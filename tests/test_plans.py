@@ -72,3 +72,35 @@ def test_exact_quantiles_narrowing_rounds(spark, monkeypatch):
         sub = vals[np.array(sel)]
         for p in probs:
             assert got[(name, p)] == pytest.approx(float(np.quantile(sub, p)))
+
+
+def test_exact_quantiles_of_counted_values(spark, monkeypatch):
+    """Counts weigh, values may come in several rows, ranges narrow over heavy
+    tails; infinite values go by the sorted path."""
+    import vitalspark.plans.ordered as O
+    rng = np.random.default_rng(6)
+    rows = [(0, float(v), int(c)) for v, c in zip(np.exp(rng.normal(0, 2, 3000)), rng.integers(1, 9, 3000))]
+    rows += [(1, 7.0, 1000), (1, 7.0, 1), (1, 8.0, 1), (2, -3.0, 1), (2, None, 5), (3, 1.0, 1), (3, 2.0, 1)]
+    probs = [0.0, 0.25, 0.5, 0.75, 0.999, 1.0]
+
+    def check(rows):
+        df = spark.createDataFrame(rows, "position int, value double, cnt long")
+        got = {(r["position"], r["p"]): r["q"] for r in
+               O.exact_quantiles_counted(df, ["position"], "value", "cnt", probs).collect()}
+        assert len(got) == len(probs) * len({r[0] for r in rows})
+        for g in {r[0] for r in rows}:
+            whole = np.repeat(*map(np.array, zip(*[(v, c) for k, v, c in rows if k == g and v is not None])))
+            for p in probs:
+                h = p * (len(whole) - 1)
+                x, y = np.sort(whole)[[int(h), min(int(h) + 1, len(whole) - 1)]]
+                if np.isfinite(x):
+                    assert got[(g, p)] == pytest.approx(x + (y - x) * (h - int(h)), rel=1e-12)
+    check([*rows[-7:], (4, float("inf"), 1), (4, 1.0, 6000), (4, -5.0, 3)])
+
+    def no_fallback(*a, **k):
+        raise AssertionError("fell back to the sorted path")
+    monkeypatch.setattr(O, "_quantiles_by_sort", no_fallback)
+    monkeypatch.setattr(O, "QUANTILE_BINS", 64)
+    check(rows)
+    empty = spark.createDataFrame([], "position int, value double, cnt long")
+    assert O.exact_quantiles_counted(empty, ["position"], "value", "cnt", probs).collect() == []

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from conftest import NUM6
@@ -87,3 +88,25 @@ def test_imbalance_names_the_smallest_of_tied_classes(spark):
     df = spark.createDataFrame([("b",)] * 30 + [("a",)] * 30 + [("c",)], "k string")
     row = quality.imbalance_report(df).first()
     assert (row["dominant_class"], row["ratio"], row["dominant_pct"]) == ("a", 30.0, 49.2)
+
+
+def test_outliers_and_duplicates_do_not_read_the_rows_again(spark, monkeypatch):
+    """Outliers come from the distinct table (no row is exploded a second time),
+    duplicates without a join of whole rows; marks that collide change nothing."""
+    rows = [(i % 40, float(i % 7), None if i % 3 else -0.0, i) for i in range(400)] + [(10**6, 1e9, 0.0, -(10**7))] * 2
+    df = spark.createDataFrame(rows, "k long, v double, z double, u long")
+    monkeypatch.setattr(quality, "REPEATED_BITS", 6)
+    rep = quality.run_quality_check(df)
+    plan = rep.outliers._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "position" in plan
+    assert "LeftSemi" not in rep.duplicates._jdf.queryExecution().optimizedPlan().toString()
+    assert rep.duplicates.first()["duplicates"] == 1
+    whole = {r["column"]: r for r in rep.outliers.collect()}
+    assert whole == {r["column"]: r for r in quality.outlier_report(df).collect()} and list(whole) == ["k", "v", "u"]
+    for at, c in ((0, "k"), (1, "v"), (3, "u")):
+        values = np.array([r[at] for r in rows], float)
+        q1, q3 = np.quantile(values, [0.25, 0.75])
+        far = (values < q1 - 3 * (q3 - q1)) | (values > q3 + 3 * (q3 - q1))
+        r = whole[c]
+        assert (r["position"], r["q1"], r["q3"], r["outliers"], r["min"], r["max"]) == (
+            at, q1, q3, far.sum(), values.min(), values.max())

@@ -1,9 +1,9 @@
 """Data-quality check (DQ-1..8).
 
 One aggregate computes, for all columns at once, null counts and the
-numeric-looking share of text columns; distinct counts and class shares are
-read from one shared table of distinct values (``plans.distinct``);
-duplicates and quartiles take one more pass each.  The reports are small
+numeric-looking share of text columns; distinct counts, class shares, quartiles
+and outliers are read from one shared table of distinct values
+(``plans.distinct``); duplicates take one more pass.  The reports are small
 long-form DataFrames; the score is summed from them.
 """
 
@@ -16,15 +16,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_numeric, is_text, nan_to_null, qcol
-from ..plans.aggregates import broadcast_if_small, wide_to_long
+from ..plans.aggregates import wide_to_long
 from ..plans.distinct import CELL, cell_counts, class_figures, fetch_values
-from ..plans.ordered import exact_quantiles
+from ..plans.ordered import exact_quantiles_counted
 
 # Fixed values of the reference's quality check.
 MISSING_CRITICAL_PCT = 30      # -10 each
 MISSING_WARNING_PCT = 5        # -3 each
 DUPLICATE_PENALTY = 5
 IQR_FACTOR = 3
+# Repeated row hashes are marked in so many bits (2 ** 25: at most 2 ** 19 words go round).
+REPEATED_BITS = 25
 OUTLIER_WARNING_PCT = 5        # -3 each
 IMBALANCE_RATIO = 10
 IMBALANCE_PENALTY = 5          # each
@@ -107,11 +109,13 @@ def missing_report(cols: DataFrame) -> DataFrame:
 def duplicate_report(df: DataFrame) -> DataFrame:
     """DQ-2: rows minus distinct rows (nulls equal), exact.
 
-    Rows are first counted by a 128-bit row hash (two independent 64-bit
-    hashes), so the shuffle carries 16 bytes per distinct hash instead of
-    whole rows.  Only rows whose hash occurs more than once are then grouped
-    by their full content, which turns hash equality into row equality; a
-    hot duplicate collapses map-side in both steps."""
+    Rows are first counted by a row hash (three independent hashes), so the
+    shuffle carries a few bytes per distinct hash instead of whole rows.  The
+    hashes that occur more than once are marked in a bitmap of fixed size that
+    goes round; only rows with a mark are grouped by their full content, which
+    turns hash equality into row equality (a row marked by chance is alone in
+    its group and adds nothing).  A hot duplicate collapses map-side in both
+    steps."""
     cols = [qcol(c) for c in df.columns]
     # Row digest: three hashes (two seeds of xxhash64, one murmur3) of the
     # same columns; nulls hash consistently, so nulls compare equal.
@@ -119,8 +123,12 @@ def duplicate_report(df: DataFrame) -> DataFrame:
                                           F.xxhash64(F.lit(7), *cols).alias("c")))
     by_hash = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_c"))
     totals = by_hash.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("rows"))
-    repeated = by_hash.where(F.col("_c") > 1).select("_h")
-    cand = hashed.join(repeated, "_h", "left_semi")
+    slot = F.col("_h.a").bitwiseAND(F.lit((1 << REPEATED_BITS) - 1))
+    bit = F.expr("shiftleft(1L, cast(_h.a & 63 as int))")
+    marks = by_hash.where(F.col("_c") > 1).groupBy(F.shiftright(slot, 6).alias("_h_word")) \
+        .agg(F.bit_or(bit).alias("_h_bits"))
+    cand = hashed.join(F.broadcast(marks), F.shiftright(slot, 6) == F.col("_h_word")) \
+        .where(F.col("_h_bits").bitwiseAND(bit) != 0)
     exact = cand.groupBy(*cols).agg(F.count(F.lit(1)).alias("_c")) \
         .agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).alias("duplicates"))
     # Two one-row results meet through a union + sum, not a join.
@@ -133,9 +141,11 @@ def duplicate_report(df: DataFrame) -> DataFrame:
                        F.when(F.col("duplicates") > 0, DUPLICATE_PENALTY).otherwise(0).alias("penalty"))
 
 
-def outlier_report(df: DataFrame) -> DataFrame:
+def outlier_report(df: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """DQ-3: 3xIQR outliers of every numeric column (exact linear quartiles,
     computed distributed); iqr = 0 columns skipped; penalty when > 5 %.
+    ``cells``: the stored distinct table of all columns of ``df`` with their
+    numbers; every figure is read from it, not from the rows.
     ``report_rank`` <= 10 is the reference's displayed cut (first 10 columns)."""
     df = nan_to_null(df)
     num = [f.name for f in df.schema.fields if is_numeric(f.dataType, "D")]
@@ -144,20 +154,22 @@ def outlier_report(df: DataFrame) -> DataFrame:
               "q1 double, q3 double, penalty int, report_rank int")
     if not num:
         return spark.createDataFrame([], schema)
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"), qcol(c).cast("double").alias("value"))
-        for i, c in enumerate(num)])).alias("_u")).select("_u.*")
-    q = exact_quantiles(long.select("column", "value"), ["column"], "value", [0.25, 0.75]) \
-        .groupBy("column").agg(F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),
-                               F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("q3")) \
+    at = [df.columns.index(c) for c in num]
+    if cells is None:
+        cells, at = cell_counts(df, num, store=True, numbers=True), list(range(len(num)))
+    values = cells.where(F.col("position").isin(at)).select("position", F.col("number").alias("value"), "cnt")
+    q = exact_quantiles_counted(values, ["position"], "value", "cnt", [0.25, 0.75]) \
+        .groupBy("position").agg(F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),
+                                 F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("q3")) \
         .where(F.col("q3") - F.col("q1") != 0)
-    q = broadcast_if_small(q, 100_000)
     iqr = F.col("q3") - F.col("q1")
     is_out = (F.col("value") < F.col("q1") - IQR_FACTOR * iqr) | (F.col("value") > F.col("q3") + IQR_FACTOR * iqr)
-    counted = long.where(F.col("value").isNotNull()).join(q, "column").groupBy("column", "position", "q1", "q3").agg(
-        F.count_if(is_out).alias("outliers"), F.count(F.lit(1)).alias("_n"),
+    counted = values.join(F.broadcast(q), "position").groupBy("position", "q1", "q3").agg(  # q: a row per column
+        F.sum(F.when(is_out, F.col("cnt")).otherwise(0)).alias("outliers"), F.sum("cnt").alias("_n"),
         F.round(F.min("value"), 2).alias("min"), F.round(F.max("value"), 2).alias("max"))
-    rep = counted.where(F.col("outliers") > 0).withColumn("percent", _pct(F.col("outliers"), F.col("_n")))
+    place = F.array_position(F.array(*map(F.lit, at)), F.col("position")).cast("int")
+    rep = counted.where(F.col("outliers") > 0).withColumn("percent", _pct(F.col("outliers"), F.col("_n"))) \
+        .withColumn("column", F.element_at(F.array(*map(F.lit, num)), place)).withColumn("position", place - 1)
     rank = F.row_number().over(Window.orderBy("position"))  # at most one row per column
     return rep.select("column", "position", F.col("outliers").cast("long").alias("outliers"), "percent",
                       "min", "max", "q1", "q3",
@@ -242,22 +254,23 @@ def quality_score(missing: DataFrame, duplicates: DataFrame, outliers: DataFrame
 
 
 def run_quality_check(df: DataFrame, approx_distinct: bool = False) -> QualityReport:
-    """All reports.  One distinct table, written once, gives distinct counts
-    and class shares; with ``approx_distinct`` it holds the text columns only."""
+    """All reports.  One distinct table, written once, gives distinct counts,
+    class shares and outliers; with ``approx_distinct`` there is one of the text
+    and one of the numeric columns."""
     df = nan_to_null(df)
     txt = [i for i, f in enumerate(df.schema.fields) if is_text(f.dataType)]
     if approx_distinct:
         cols = column_pass(df, approx_distinct=True)
         imb = imbalance_report(df)
-        imb_penalties = imb
+        imb_penalties, cells = imb, None
     else:
-        cells = cell_counts(df, store=True)
+        cells = cell_counts(df, store=True, numbers=True)
         cols = column_pass(df, cells=cells)
         imb = imbalance_report(df, cells)
         imb_penalties = imbalance_penalties(cells, txt) if txt else imb
     missing = missing_report(cols)
     dup = duplicate_report(df)
-    out = outlier_report(df)
+    out = outlier_report(df, cells)
     flags = column_flags(cols)
     return QualityReport(missing, dup, out, imb, flags,
                          quality_score(missing, dup, out, imb_penalties, flags, cols))

@@ -7,7 +7,9 @@ copied once a column as ``count(distinct)`` of many columns does.  Distinct
 counts, class shares and modes of every column are read from this one table.
 
 With key columns each cell also holds its smallest row key: the *representative*
-row, from which a value can be fetched when a report shows it.  Nulls have no
+row, from which a value can be fetched when a report shows it; with ``numbers``
+the cells of numeric columns hold their value, so that figures of a column are
+read from its distinct values instead of its rows.  Nulls have no
 cell; 0.0 and -0.0 are one value.  Two values of one column share a cell with
 probability 2^-128 a pair.
 """
@@ -19,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import qcol
+from ..functions.columns import is_numeric, qcol
 from ..session import cut_lineage
 from .aggregates import broadcast_if_small
 
@@ -29,13 +31,19 @@ FETCH_ROWS = 100_000
 
 
 def _cells(df: DataFrame, cols: Sequence[str], positions: Sequence[int], carried: Sequence[Column],
-           with_value: bool) -> DataFrame:
-    """carried columns, position, h1, h2 (, value as text): a row per non-null cell."""
+           with_value: bool, numbers: bool = False) -> DataFrame:
+    """carried columns, position, h1, h2 (, value as text)(, number: value as
+    double, null for other types): a row per non-null cell."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+
     def cell(i: int, name: str) -> Column:
         c = qcol(name)
         fields = [F.lit(i).alias("position"), F.xxhash64(c).alias("h1"), F.xxhash64(F.lit(i + 1), c).alias("h2")]
         if with_value:
             fields.append(c.cast("string").alias("value"))
+        if numbers:  # -0.0 + 0.0 is 0.0
+            number = c.cast("double") + F.lit(0.0) if is_numeric(types[name], "D") else F.lit(None).cast("double")
+            fields.append(number.alias("number"))
         return F.when(c.isNotNull(), F.struct(*fields))
     return df.select(*carried, F.explode(F.array(*[cell(i, c) for i, c in zip(positions, cols)])).alias("_u")) \
         .where("_u is not null").select(*(["_key"] if carried else []), "_u.*")
@@ -46,15 +54,17 @@ def _row_key(key_cols: Sequence[str]) -> Column:
 
 
 def cell_counts(df: DataFrame, cols: Sequence[str] | None = None, key_cols: Sequence[str] = (),
-                store: bool = False) -> DataFrame:
-    """(position, h1, h2, cnt[, first_key]) of the columns ``cols`` (default:
+                store: bool = False, numbers: bool = False) -> DataFrame:
+    """(position, h1, h2, cnt[, first_key][, number]) of the columns ``cols`` (default:
     all); ``position`` counts from 0 within ``cols``.  ``store`` writes the table
     to the shared folder when several reports read it."""
     cols = list(df.columns if cols is None else cols)
     if not cols:
-        return df.sparkSession.createDataFrame([], "position int, h1 long, h2 long, cnt long")
-    cells = _cells(df, cols, range(len(cols)), [_row_key(key_cols)] if key_cols else [], False)
+        return df.sparkSession.createDataFrame([], "position int, h1 long, h2 long, cnt long"
+                                               + ", number double" * numbers)
+    cells = _cells(df, cols, range(len(cols)), [_row_key(key_cols)] if key_cols else [], False, numbers)
     first = [F.min("_key").alias("first_key")] if key_cols else []
+    first += [F.min("number").alias("number")] if numbers else []
     counts = cells.groupBy(*CELL).agg(F.count(F.lit(1)).alias("cnt"), *first)
     return cut_lineage(counts) if store else counts
 

@@ -18,12 +18,14 @@ ordered window would give them.
 
 ``exact_quantiles`` gives linear-interpolated quantiles (pandas/NumPy
 "linear", DuckDB ``quantile_cont``) exactly, from approximate brackets and
-exact counts; ``exact_quantiles_sorted`` is the fully sorted variant built
-on ``ordered_prefix``.  Neither holds a whole column in one buffer.
+exact counts; ``exact_quantiles_counted`` reads them from a table of distinct
+values; ``exact_quantiles_sorted`` is the fully sorted variant built on
+``ordered_prefix``.  None holds a whole column in one buffer.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -193,14 +195,16 @@ MAX_NARROWING_ROUNDS = 6
 NARROW_GRID = 1000
 
 
-def _attach_targets(clean: DataFrame, group_cols: list, targets: dict) -> DataFrame:
-    """Every value row next to the (few) targets of its group: a broadcast
-    equi-join on the group, or literals when there is no group."""
+def _attach_targets(clean: DataFrame, group_cols: list, targets: dict, carried: Sequence[str] = ()) -> DataFrame:
+    """Every value row (with the columns ``carried``) next to the (few) targets
+    of its group: a broadcast equi-join on the group, or literals when there is
+    no group."""
     rows = [(*key, lo, hi) for key, (lo, hi, *_rest) in targets.items()]
     if not group_cols:
         arr = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(lo).alias("_lo"), F.lit(hi).alias("_hi"))
                         for p, lo, hi in rows])
-        return clean.select("_v", F.explode(arr).alias("_t")).select("_v", "_t.p", "_t._lo", "_t._hi")
+        return clean.select("_v", *carried, F.explode(arr).alias("_t")) \
+            .select("_v", *carried, "_t.p", "_t._lo", "_t._hi")
     schema = clean.select(*group_cols).schema.add("p", "double").add("_lo", "double").add("_hi", "double")
     tdf = clean.sparkSession.createDataFrame(rows, schema)
     return clean.join(F.broadcast(tdf), group_cols)
@@ -226,6 +230,70 @@ def _pick(targets: dict, below: dict, band_rows: list, group_cols: list) -> list
     return out
 
 
+QUANTILE_BINS = 1024
+
+
+def exact_quantiles_counted(counts: DataFrame, group_cols: Sequence[str], value_col: str, count_col: str,
+                            probs: Sequence[float], max_groups: int = 100_000) -> DataFrame:
+    """``exact_quantiles`` of values that come with how often they occur; the
+    table should be stored, as every round reads it.
+
+    A round counts the values of each target's range in QUANTILE_BINS bins of
+    equal width, with the smallest and largest value of each.  The two order
+    statistics are known as soon as they fall into different bins or a bin with
+    one value; else the range shrinks to the values of their bin.  Only bins
+    (bounded) leave the executors.  Infinite values, and ranges that do not
+    shrink fast enough, are answered by the fully sorted path."""
+    from .aggregates import bounded_rows
+    group_cols = list(group_cols)
+    clean = counts.where(F.col(value_col).isNotNull()).select(
+        *group_cols, F.col(value_col).cast("double").alias("_v"), F.col(count_col).alias("_c"))
+    heads = bounded_rows(clean.groupBy(*group_cols).agg(
+        F.sum("_c").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max")), max_groups)
+    out_schema = counts.select(*group_cols).schema.add("p", "double").add("q", "double")
+    targets: dict[tuple, list] = {}  # group key + p -> [lo, hi, count below lo, k_lo, k_hi, frac]
+    for r in heads:
+        if r["_n"]:
+            for p in map(float, probs):
+                h = p * (r["_n"] - 1)
+                k_lo = int(h // 1)
+                targets[tuple(r[g] for g in group_cols) + (p,)] = [
+                    r["_min"], r["_max"], 0, k_lo, min(k_lo + 1, r["_n"] - 1), h - k_lo]
+    found = []
+    for _ in range(MAX_NARROWING_ROUNDS):
+        if not targets or not all(math.isfinite(hi - lo) for lo, hi, *_rest in targets.values()):
+            break
+        width = F.col("_hi") - F.col("_lo")
+        place = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * QUANTILE_BINS),
+                                          F.lit(QUANTILE_BINS - 1))).otherwise(0).alias("_bin")
+        bins = bounded_rows(_attach_targets(clean, group_cols, targets, ["_c"])
+                            .where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+                            .groupBy(*group_cols, "p", place)
+                            .agg(F.sum("_c").alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max")),
+                            len(targets) * QUANTILE_BINS)
+        held: dict[tuple, list] = {}
+        for r in sorted(bins, key=lambda r: r["_bin"]):
+            held.setdefault(tuple(r[g] for g in group_cols) + (r["p"],), []).append((r["_c"], r["_min"], r["_max"]))
+        for key, (_, _, below, k_lo, k_hi, frac) in list(targets.items()):
+            lower = upper = None
+            for c, low, high in held[key]:
+                if below <= k_lo < below + c:
+                    lower = (below, low, high)
+                if below <= k_hi < below + c:
+                    upper = (below, low, high)
+                below += c
+            if lower == upper and lower[1] != lower[2]:
+                targets[key][:3] = lower[1], lower[2], lower[0]
+                continue
+            x, y = lower[2], upper[1]  # neighbours in order: the last of one bin, the first of the next
+            found.append((*key, x + (y - x) * frac))
+            del targets[key]
+    if targets:
+        return _quantiles_by_sort(clean.groupBy(*group_cols, "_v").agg(F.sum("_c").alias("_c")), group_cols, "_v",
+                                  probs, max_groups)
+    return counts.sparkSession.createDataFrame(found, out_schema)
+
+
 def exact_quantiles_sorted(long_df: DataFrame, group_cols: Sequence[str], value_col: str,
                            probs: Sequence[float], max_groups: int = 100_000) -> DataFrame:
     """Linear-interpolated quantiles per group, exact and distributed.
@@ -238,6 +306,12 @@ def exact_quantiles_sorted(long_df: DataFrame, group_cols: Sequence[str], value_
     group_cols = list(group_cols)
     counts = long_df.where(F.col(value_col).isNotNull()) \
         .groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_c"))
+    return _quantiles_by_sort(counts, group_cols, value_col, probs, max_groups)
+
+
+def _quantiles_by_sort(counts: DataFrame, group_cols: list, value_col: str, probs: Sequence[float],
+                       max_groups: int) -> DataFrame:
+    """Quantiles of (group..., value, _c), one row per value."""
     ranked = ordered_prefix(counts, [value_col], group_cols, sums=[("_cum", "_c")], index_name=None)
     totals = counts.groupBy(*group_cols).agg(F.sum("_c").alias("_n"))
     first = F.col("_cum") - F.col("_c")
@@ -247,7 +321,7 @@ def exact_quantiles_sorted(long_df: DataFrame, group_cols: Sequence[str], value_
         n = totals.first()
         n = int(n["_n"]) if n and n["_n"] is not None else 0
         if n == 0:
-            return long_df.sparkSession.createDataFrame([], "p double, q double")
+            return counts.sparkSession.createDataFrame([], "p double, q double")
         picks = []
         for p in probs:
             h = float(p) * (n - 1)
