@@ -1,6 +1,7 @@
 """Periodic runs, cross-tokenizer alignment and packing against brute force."""
 import hashlib
 import random
+import signal
 import zlib
 from collections import Counter, defaultdict
 
@@ -88,6 +89,28 @@ def test_extension_equals_comparing_letters():
                 assert got == n
 
 
+def test_grammar_ends_when_texts_end_with_the_first_word():
+    texts = [b"a " + b"b c " * 20 + b"a"] * 6 + [b"a " * 30 + b"d a", b"d " + b"e a " * 15]
+    def late(*_):
+        raise TimeoutError("the grammar does not end")
+    before = signal.signal(signal.SIGALRM, late)
+    signal.alarm(60)
+    try:
+        found = periodic_runs.Slice(texts)
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+    assert [found.runs(i) for i in range(len(texts))] == [brute_runs(t.split()) for t in texts]
+
+
+def test_runs_of_every_small_period_are_found_at_every_place():
+    texts = [" ".join([f"x{i}" for i in range(off)] + [f"w{i % p}" for i in range(max(24, 3 * p) + more)] + ["y"] * (off % 2))
+             for p in range(1, 13) for more in (0, 1, p - 1, 3 * p) for off in range(p + 2)]
+    found = periodic_runs.Slice([t.encode() for t in texts])
+    for i, t in enumerate(texts):
+        assert found.runs(i) == brute_runs(t.split()) != []
+
+
 def test_runs_query_equals_brute_force(spark, sf_texts):
     got = {r.doc_id: r for r in queries.QUERIES["op11_recompression_runs"](spark, SF).collect()}
     assert len(got) == len(sf_texts) and sum(r.n_runs for r in got.values()) > 10

@@ -4,8 +4,8 @@ A run is a stretch of consecutive words with smallest period q (words q apart
 are identical) and at least ``max(MIN_LENGTH, 3 q)`` words that no neighbouring
 word extends keeping period q.
 
-1. Words of a batch of texts become numbers; a separator of its own kind ends
-   each text, so that nothing extends over texts.
+1. Words of a batch of texts become numbers (Arrow's dictionary of the batch);
+   a separator of its own kind ends each text, so that nothing extends over texts.
 2. Recompression turns the sequence into a run-length grammar, level by level:
    block compression replaces each maximal power of a symbol by one symbol,
    pair compression splits the symbols by a hash of level and symbol into left
@@ -13,7 +13,10 @@ word extends keeping period q.
    stretches are parsed alike but for a few symbols at their borders.
 3. Candidates come from the harmonic grid: for each period p the places that
    are multiples of p (about n ln n of a text's n words).  A run of period p
-   holds three neighbouring ones, whose words must agree.
+   holds three neighbouring ones (m = 24 / p if that is more), whose words must
+   agree, and so must every word from the first to the last but one with the
+   word p later; a few of them are looked at first.  A text without a candidate
+   left has no run and stays out of the grammar.
 4. The grammar answers how far two places agree to the right and to the left
    (longest common extension), for all candidates of a batch side by side:
    climb the levels while the symbols agree, then descend to the first word
@@ -43,8 +46,10 @@ from pyspark.sql import functions as F
 from .common import batch, free_name, mix, slices_by_bytes, utf8
 
 MIN_LENGTH = 24
+CHECKS = 8  # places of a candidate that are compared before the grammar is asked
 SLICE_BYTES = 3 << 20
 QUERIES = 1 << 18  # candidates extended side by side
+TURNS = 6
 RUNS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
 RUNS_DDL = "doc_id bigint, start bigint, length bigint, period bigint"
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_runs", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
@@ -97,7 +102,8 @@ class Grammar:
                     new[many] = name
                     fresh = int(name.max()) + 1
             else:
-                right = (mix(s.astype(np.uint64) * np.uint64(2 * turn + 1)) >> np.uint64(40)) & np.uint64(1) != 0
+                # Every symbol, 0 too, changes sides from turn to turn: one that never did would never be paired.
+                right = (mix(s.astype(np.uint64) + mix(np.array([turn], np.uint64))) >> np.uint64(40)) & np.uint64(1) != 0
                 usable = open_(s)
                 pair = ~right[:-1] & right[1:] & usable[:-1] & usable[1:]
                 starts = np.flatnonzero(np.concatenate([[True], ~pair])) if len(s) else np.zeros(0, int)
@@ -218,60 +224,123 @@ def grid_candidates(words: np.ndarray, longest: int) -> Iterator[tuple[np.ndarra
             yield at * p, p
 
 
+def standing(words: np.ndarray, spots: np.ndarray, periods: np.ndarray) -> np.ndarray:
+    """Which candidates (place x, period p) can be the first multiple of p in a
+    run: m = max(3, 24 // p) multiples lie in every run, so all words of x to
+    x + (m - 2) p equal the word p later.  Up to ``CHECKS`` of these are
+    compared, until most candidates agree."""
+    span = (np.maximum(3, MIN_LENGTH // periods) - 2) * periods
+    left = np.flatnonzero(spots + span + periods < len(words))
+    for i in range(CHECKS):
+        before = len(left)
+        x, p = spots[left] + 1 + (span[left] - 2) * i // (CHECKS - 1), periods[left]
+        left = left[words[x] == words[x + p]]
+        if 4 * len(left) >= 3 * before:
+            break
+    return left
+
+
+def stretches(grammar: Grammar, spots: np.ndarray, periods: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(begin, length, period) of the maximal stretches around candidates given
+    by period and place.  Of a row of neighbouring multiples the first is
+    extended; those inside its stretch have the same one and need no query.
+    The next left one follows in another turn, all that are left in the last."""
+    gap = np.ones(len(spots), bool)
+    gap[1:] = (periods[1:] != periods[:-1]) | (spots[1:] - spots[:-1] != periods[1:])
+    row, left = np.cumsum(gap) - 1, np.arange(len(spots))
+    reach = np.zeros(int(row[-1]) + 1 if len(row) else 0, np.int64)  # where a row's last stretch ends
+    out = []
+    for turn in range(TURNS):
+        if not len(left):
+            break
+        asked = left[np.flatnonzero(np.diff(row[left], prepend=-1))] if turn < TURNS - 1 else left
+        for lo in range(0, len(asked), QUERIES):
+            one = asked[lo:lo + QUERIES]
+            x, p = spots[one], periods[one]
+            right = grammar.extension(x, x + p)
+            back = grammar.extension(x, x + p, back=True)
+            out.append((x - back + 1, back + right - 1 + p, p))
+            reach[row[one]] = x + right + p
+        left = left[spots[left] + periods[left] >= reach[row[left]]]
+    return tuple(np.concatenate(v) for v in zip(*out)) if out else (spots, spots, periods)
+
+
+def padded_words(words: np.ndarray, texts: np.ndarray, lens: np.ndarray, distinct: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the words with a separator in front and behind every text, places of
+    the separators)."""
+    walls = np.append(np.cumsum(lens) - lens, len(words)) + np.arange(len(lens) + 1)
+    padded = np.empty(len(words) + len(lens) + 1, np.int64)
+    padded[walls] = distinct + np.arange(len(lens) + 1)
+    padded[np.arange(len(words)) + texts + 1] = words
+    return padded, walls
+
+
 def find_runs(words: np.ndarray, texts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, ...]:
     """(text, start, length, period) of all runs, by text, start, period.
     ``words``: numbers of all words of all texts, ``texts``: the text of each,
     ``lens``: words per text."""
-    n_texts, distinct = len(lens), int(words.max(initial=-1)) + 1
-    first = np.cumsum(lens) - lens
-    # A separator in front and behind every text.
-    places = np.arange(len(words)) + texts + 1
-    padded = np.empty(len(words) + n_texts + 1, np.int64)
-    walls = np.append(first, len(words)) + np.arange(n_texts + 1)
-    padded[walls] = distinct + np.arange(n_texts + 1)
-    padded[places] = words
-    longest = int(lens.max(initial=0))
+    distinct = int(words.max(initial=-1)) + 1
+    padded, walls = padded_words(words, texts, lens, distinct)
+    longest, short = int(lens.max(initial=0)), padded.astype(np.int32)
     spots, periods = [], []
-    for at, p in grid_candidates(padded.astype(np.int32), longest):
+    for at, p in grid_candidates(short, longest):
         spots.append(at)
         periods.append(np.full(len(at), p))
     none = np.zeros(0, np.int64)
     if not spots:
         return none, none, none, none
     spots, periods = np.concatenate(spots), np.concatenate(periods).astype(np.int64)
-    grammar = Grammar(padded, distinct)
-    begins, lengths = [], []
-    for lo in range(0, len(spots), QUERIES):
-        x, p = spots[lo:lo + QUERIES], periods[lo:lo + QUERIES]
-        right = grammar.extension(x, x + p)
-        left = grammar.extension(x, x + p, back=True)
-        begins.append(x - left + 1)
-        lengths.append(left + right - 1 + p)
-    begin, length = np.concatenate(begins), np.concatenate(lengths)
-    enough = length >= np.maximum(MIN_LENGTH, 3 * periods)
-    begin, length, period = begin[enough], length[enough], periods[enough]
+    kept = standing(short, spots, periods)
+    spots, periods = spots[kept], periods[kept]
+    owner = np.searchsorted(walls, spots, "right") - 1
+    inside = spots + 2 * periods < walls[owner + 1]
+    spots, periods, owner = spots[inside], periods[inside], owner[inside]
+    if not len(spots):
+        return none, none, none, none
+    # The grammar of the texts that have candidates.
+    held = np.unique(owner)
+    if len(held) < len(lens):
+        chosen = np.zeros(len(lens), bool)
+        chosen[held] = True
+        mine, some = chosen[texts], lens[held]
+        whole = walls
+        padded, walls = padded_words(words[mine], np.repeat(np.arange(len(held)), some), some, distinct)
+        spots = spots - whole[owner] + walls[np.searchsorted(held, owner)]
+    begin, length, period = stretches(Grammar(padded, distinct), spots, periods)
+    enough = length >= np.maximum(MIN_LENGTH, 3 * period)
+    begin, length, period = begin[enough], length[enough], period[enough]
     order = np.lexsort([period, length, begin])
     begin, length, period = begin[order], length[order], period[order]
     fresh = np.concatenate([[True], (np.diff(begin) != 0) | (np.diff(length) != 0)]) if len(begin) else np.zeros(0, bool)
     begin, length, period = begin[fresh], length[fresh], period[fresh]
     text = np.searchsorted(walls, begin, "right") - 1
     start = begin - walls[text] - 1
+    text = held[text]
     order = np.lexsort([period, start, text])
     return text[order], start[order], length[order], period[order]
 
 
+def split_words(bodies: pa.Array) -> pa.ListArray:
+    """The words of each text (UTF-8 bytes)."""
+    parts = pc.ascii_split_whitespace(bodies.view(pa.string()))
+    words = parts.flatten()
+    real = pc.greater(pc.binary_length(words), 0)  # white space at an end leaves an empty part
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    at = parts.offsets.to_numpy()
+    return pa.ListArray.from_arrays(pa.array(before[at - at[0]], pa.int32()), words.filter(real))
+
+
 class Slice:
-    """Words and runs of some texts."""
-
-    def __init__(self, bodies: list[bytes]):
-        self.words = [b.split() for b in bodies]
-        self.lens = np.fromiter(map(len, self.words), np.int64, len(bodies))
-        number: dict[bytes, int] = {}
-        flat = np.fromiter((number.setdefault(w, len(number)) for w in chain.from_iterable(self.words)), np.int64,
-                           int(self.lens.sum()))
+    """Words and runs of some texts, given as bytes."""
+
+    def __init__(self, bodies: list[bytes] | pa.Array):
+        self.words = split_words(bodies if isinstance(bodies, pa.Array) else pa.array(bodies, pa.binary()))
+        self.lens = np.diff(self.words.offsets.to_numpy()).astype(np.int64)
         self.text, self.start, self.length, self.period = find_runs(
-            flat, np.repeat(np.arange(len(bodies)), self.lens), self.lens)
-        self.ends = np.searchsorted(self.text, np.arange(len(bodies) + 1))
+            self.words.values.dictionary_encode().indices.to_numpy().astype(np.int64),
+            np.repeat(np.arange(len(self.lens)), self.lens), self.lens)
+        self.ends = np.searchsorted(self.text, np.arange(len(self.lens) + 1))
+        self.joined = pc.binary_join(self.words, " ").view(pa.binary())
 
     def runs(self, i: int) -> list[tuple[int, int, int]]:
         a, b = self.ends[i], self.ends[i + 1]
@@ -279,20 +348,20 @@ class Slice:
 
     def collapsed(self, i: int) -> bytes:
         """The words that no run holds after its first period, joined by spaces."""
-        words, runs = self.words[i], self.runs(i)
+        joined, runs = self.joined[i].as_py(), self.runs(i)
         if runs:
-            keep = np.ones(len(words), bool)
+            words, keep = joined.split(b" "), np.ones(self.lens[i], bool)
             for start, length, period in runs:
                 keep[start + period:start + length] = False
-            words = [words[k] for k in np.flatnonzero(keep)]
-        return b" ".join(words)
+            joined = b" ".join([words[k] for k in np.flatnonzero(keep)])
+        return joined
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, Slice]]:
     for b in batches:
         lens = pc.binary_length(b.column("body")).to_numpy(zero_copy_only=False)
         for lo, hi in slices_by_bytes(lens, SLICE_BYTES):
-            yield b.column("id").slice(lo, hi - lo).to_pylist(), Slice(b.column("body").slice(lo, hi - lo).to_pylist())
+            yield b.column("id").slice(lo, hi - lo).to_pylist(), Slice(b.column("body").slice(lo, hi - lo))
         pa.default_memory_pool().release_unused()
 
 
