@@ -373,3 +373,70 @@ def test_forest_of_sorted_rows_counts_and_learns(spark):
     fr = supervised.fit(df, ["a", "b"], "y", ["id"], task="regression", trees=2, depth=4)   # 16 < 320 rows: sorted
     assert fr.n_rows == 400 and fr.model.getNumTrees == 2
     assert supervised.regression_metrics(fr.predictions).first()["r2"] > 0.9
+
+
+def _many_rows(spark, n=9000):
+    """Two numbers and a text, a number and classes that follow from them; rows and keys repeat."""
+    return spark.range(n).selectExpr("id % 4000 AS id", "CAST(hash(id) % 60 AS DOUBLE) AS a", "CAST(hash(id, 1) % 5 AS DOUBLE) AS b",
+                                     "CAST(pmod(hash(id, 2), 3) AS STRING) AS c").selectExpr(
+        "*", "1e6 + a * 3 + b * b + CAST(c AS INT) * 10 + hash(id, a) % 7 AS y", "CAST(a + 9 * b > 3 AS INT) AS two",
+        "CASE WHEN a > 20 THEN 'x' WHEN b > 1 THEN 'y' ELSE 'z' END AS three")
+
+
+def test_binned_forest_equals_sparks_on_many_rows(spark):
+    """Same quality and importances as Spark's own forest, the same predictions as the model read row by row."""
+    from unittest import mock
+
+    from vitalspark.ml import binned_forest as BF
+    from vitalspark.ml import supervised
+    df = _many_rows(spark).cache()
+    for target, task, cols in (("y", "regression", ["a", "b", "c"]), ("two", "classification", ["a", "b", "c"]),
+                               ("three", "classification", ["a", "b"])):
+        with mock.patch.object(BF, "fit", wraps=BF.fit) as used:
+            fr = supervised.fit(df, cols, target, ["id", "a", "b"], task=task, trees=5, depth=5)
+            again = supervised.fit(df.repartition(7), cols, target, ["id", "a", "b"], task=task, trees=5, depth=5)
+        assert used.call_count == 2 and fr.model.getNumTrees == 5 and fr.model.numFeatures == len(cols)
+        with mock.patch.object(supervised, "_grid", return_value=None):
+            own = supervised.fit(df, cols, target, ["id", "a", "b"], task=task, trees=5, depth=5)
+        both = [x.model.featureImportances.toArray() for x in (fr, own)]
+        assert np.array_equal(both[0], again.model.featureImportances.toArray())   # the layout of rows changes nothing
+        assert abs(both[0].sum() - 1) < 1e-9
+        score = [supervised.regression_metrics(x.predictions).first()["r2"] if task == "regression" else
+                 x.predictions.selectExpr("avg(CAST(label = prediction AS DOUBLE))").first()[0] for x in (fr, own)]
+        assert min(score) > 0.85 and abs(score[0] - score[1]) < 0.05
+        if task == "regression":
+            assert np.abs(both[0] - both[1]).max() < 0.05
+        test = fr.prep.data.where(~supervised.P.split_flag(["id", "a", "b"]))
+        name = ["id", "a", "b", "label"]
+        want = sorted(map(tuple, fr.model.transform(test).select(*name, "prediction").collect()))
+        assert sorted(map(tuple, fr.predictions.select(*name, "prediction").collect())) == want
+    df.unpersist()
+
+
+def test_binned_tree_splits_where_brute_force_does():
+    """Root split of a tree and its gain, by trying every border on rows with their weights."""
+    from vitalspark.ml import binned_forest as BF
+    rng = np.random.default_rng(4)
+    grid = BF.Grid((tuple(range(5)), None), (6, 4))
+    cells = np.arange(24)
+    w = rng.integers(0, 6, 24).astype(float)
+    y = rng.random(24) * 10
+    tree = BF.Tree(grid, cells, np.stack([w, w * y, w * y * y], 1), 0, 3, rng).table(0).to_pylist()
+    var = lambda on: np.average((y[on] - np.average(y[on], weights=w[on])) ** 2, weights=w[on])
+    bins, best = grid.parts(cells), 0
+    lefts = [bins[:, 0] <= t for t in range(5)] + [np.isin(bins[:, 1], [k for k in range(4) if m >> k & 1]) for m in range(1, 15)]
+    for left in lefts:
+        a, b = left & (w > 0), ~left & (w > 0)
+        if a.any() and b.any():
+            best = max(best, var(w > 0) - w[a].sum() / w.sum() * var(a) - w[b].sum() / w.sum() * var(b))
+    assert abs(tree[0]["gain"] - best) < 1e-9 and abs(tree[0]["prediction"] - np.average(y, weights=w)) < 1e-9
+    assert all(n["leftChild"] > n["id"] or n["leftChild"] < 0 for n in tree) and [n["id"] for n in tree] == list(range(len(tree)))
+
+
+def test_binned_forest_borders_and_weights():
+    from vitalspark.ml import binned_forest as BF
+    assert BF.borders([3.0, 1.0, 1.0, 2.0]) == [1.5, 2.5] and BF.borders([7.0] * 9) == []
+    many = BF.borders(np.arange(1000.0))
+    assert len(many) == 31 and max(abs(x - 1000 * (i + 1) / 32) for i, x in enumerate(many)) < 2
+    drawn = BF.Poisson().draw(np.random.default_rng(1), 100_000, 10)
+    assert abs(drawn.mean() - 1) < 0.01 and abs(drawn.var() - 1) < 0.01 and abs((drawn == 0).mean() - np.exp(-1)) < 0.003

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import is_numeric, qcol, to_double
 from ..operators.profile import MULTI_REGRESSION_DISTINCT, detect_tasks
+from . import binned_forest as BF
 from . import prep as P
 
 # Fixed values of the reference's models (trees / stages per fit).
@@ -101,6 +102,18 @@ def _fills_nodes(rows: int, trees: int, depth: int) -> bool:
     return rows > trees << (depth - 1)
 
 
+def _grid(prep: P.Prepared, values: Mapping[str, Sequence[float]], task: str, n_classes: int, rows: int) -> BF.Grid | None:
+    """The bins of a forest's features, if there are few enough combinations
+    for ``binned_forest`` (see there) to fit it from sums; otherwise None."""
+    labels = {st.getOutputCol(): len(st.labels) for st in prep.prep_model.stages if hasattr(st, "labels")}
+    thresholds = [None if c in prep.text_features else tuple(BF.borders(values[c])) for c in prep.feature_cols]
+    bins = [labels[e] + 1 if t is None else len(t) + 1 for e, t in zip(prep.encoded_cols, thresholds)]
+    grid, sums = BF.Grid(tuple(thresholds), tuple(bins)), n_classes if task == "classification" else 3
+    ordered = task == "regression" or n_classes == 2 or not prep.text_features  # one order of the categories
+    small = max(bins) <= BF.MAX_BINS and grid.cells * sums <= BF.CELLS and grid.cells * BF.ROWS_PER_CELL <= rows
+    return grid if ordered and small and (task == "regression" or n_classes > 1) else None
+
+
 def fit(df: DataFrame, feature_cols: Sequence[str], target_col: str, key_cols: Sequence[str],
         task: str = "auto", model_type: str = "random_forest", holdout: bool = True,
         trees: int = FOREST_TREES, depth: int = FOREST_DEPTH) -> FitResult:
@@ -111,14 +124,24 @@ def fit(df: DataFrame, feature_cols: Sequence[str], target_col: str, key_cols: S
     data = prep.data
     n_classes = len(P.label_names(prep)) or 2
     train, test = P.split(data, key_cols) if holdout else (data, data)
-    # Both counts in one scan, before the training rows are kept.
-    sizes = data.agg(F.count(F.lit(1)).alias("n"), F.count_if(P.split_flag(key_cols)).alias("train")).first()
-    n_train = sizes["train"] if holdout else sizes["n"]
-    near = [qcol(c) for c in prep.encoded_cols] if model_type == "random_forest" and _fills_nodes(n_train, trees, depth) else []
-    train = P.iteration_input(train, near)
-    model = make_model(task, model_type, n_train, n_classes, trees=trees, depth=depth,
-                       memory_mb=tree_memory_mb(df.sparkSession)).fit(train)
-    train.unpersist()
+    # Both counts, and what a forest needs for its bins, in one scan, before the training rows are kept.
+    trained = P.split_flag(key_cols) if holdout else F.lit(True)
+    forest = model_type == "random_forest"
+    numbers = [c for c in feature_cols if forest and c not in prep.text_features]
+    seen = data.select(trained.alias("_t"), *[qcol(c).cast("double").alias(f"_c{i}") for i, c in enumerate(numbers)])
+    sizes = seen.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_t")).alias("train"), *[
+        BF.quantiles(f"CASE WHEN _t THEN _c{i} END").alias(f"_q{i}") for i in range(len(numbers))]).first()
+    n_train = sizes["train"]
+    near = [qcol(c) for c in prep.encoded_cols] if forest and _fills_nodes(n_train, trees, depth) else []
+    estimator = make_model(task, model_type, n_train, n_classes, trees=trees, depth=depth,
+                           memory_mb=tree_memory_mb(df.sparkSession))
+    grid = _grid(prep, {c: sizes[f"_q{i}"] for i, c in enumerate(numbers)}, task, n_classes, n_train) if near else None
+    if grid:
+        model = BF.fit(train, estimator, prep.encoded_cols, key_cols, grid, n_classes if task == "classification" else 0, P.SEED)
+    else:
+        train = P.iteration_input(train, near)
+        model = estimator.fit(train)
+        train.unpersist()
     preds = model.transform(test)
     keep = [*key_cols, "label", "prediction"] + (["probability"] if "probability" in preds.columns else [])
     return FitResult(task, model_type, prep, model, preds.select(*keep), sizes["n"])
