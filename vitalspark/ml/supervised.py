@@ -142,7 +142,7 @@ def fit(df: DataFrame, feature_cols: Sequence[str], target_col: str, key_cols: S
         train = P.iteration_input(train, near)
         model = estimator.fit(train)
         train.unpersist()
-    preds = model.transform(test)
+    preds = BF.predictions(model, test, prep.encoded_cols, grid) if grid else model.transform(test)
     keep = [*key_cols, "label", "prediction"] + (["probability"] if "probability" in preds.columns else [])
     return FitResult(task, model_type, prep, model, preds.select(*keep), sizes["n"])
 
